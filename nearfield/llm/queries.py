@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from nearfield.llm import sentencepiece_codec
+from nearfield.llm import seed_decontamination, sentencepiece_codec, token_counts, token_files, url_templates
 
-_MODULES = (sentencepiece_codec,)
+_MODULES = (sentencepiece_codec, token_counts, token_files, url_templates, seed_decontamination)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
