@@ -63,9 +63,8 @@ def merged(partials: DataFrame, width: int, depth: int, thresholds: tuple[int, .
     """Adds the tasks' sketches up, block by block on the executors."""
 
     def add(table: pa.Table) -> pa.Table:
-        counts = np.zeros(min(BLOCK, width), dtype=np.int64)
-        for packed in table.column("cells"):
-            counts += np.bincount(unpack_sorted(packed.as_py()), minlength=len(counts))
+        hit = np.concatenate([unpack_sorted(packed.as_py()) for packed in table.column("cells")])
+        counts = np.bincount(hit, minlength=min(BLOCK, width))
         bits = [np.packbits(counts >= t).tobytes() for t in thresholds]
         n = len(thresholds)
         return pa.table({"row": pa.array([table["row"][0].as_py()] * n, pa.int32()), "block": pa.array([table["block"][0].as_py()] * n, pa.int32()), "threshold": pa.array(thresholds, pa.int32()), "bits": pa.array(bits, pa.binary())})
