@@ -97,9 +97,10 @@ def sentencepiece_decode(encoded: DataFrame, path: str, id_col: str = "doc_id",
     return encoded.select(id_col, F.col(ids_col).alias("ids")).mapInArrow(run, schema)
 
 
-def sentencepiece_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes each text in one pass over it."""
-    schema = f"{id_col} {documents.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def sentencepiece_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: encodes and decodes each text in one pass over it."""
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
+    schema = f"{id_col} {documents.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -114,7 +115,9 @@ def sentencepiece_digests(documents: DataFrame, path: str, id_col: str = "doc_id
                     id_sums.append(hashlib.sha256(b" ".join([digits[i] for i in own])).hexdigest())
                     text_sums.append(hashlib.sha256(library.decode(own).encode()).hexdigest())
                 arrays = [part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
