@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.merge_vocabulary import vocabulary
 from nearfield.llm.sentencepiece_codec import default_vocabulary
-from nearfield.llm.text_kernels import slices, word_hashes
+from nearfield.llm.text_kernels import mix, slices, word_hashes
 
 #: Documents looked at, and the pre-tokens taken from them, for the broadcast side of the join.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, HEAD_SIZE = 4000, 20_000, 1 << 17
@@ -119,18 +119,44 @@ def token_counts(documents: DataFrame, path: str, limit: int = 4096, id_col: str
             codes = pc.fill_null(coded.indices, len(names)).to_numpy().astype(np.int64)
             tokens = flat[5].to_numpy() + pieces[codes] * flat[3].to_numpy()
             copies = np.asarray(flat[0].is_null().to_numpy(zero_copy_only=False), dtype=np.int64)
-            sums = pa.table([flat[1], flat[2], pa.array(copies), flat[4], pa.array(tokens)], names=["doc_id", "key", "copies", "n_bytes", "tokens"])
-            sums = sums.group_by(["doc_id", "key"]).aggregate([("copies", "sum"), ("n_bytes", "max"), ("tokens", "sum")])
-            yield from sums.select([*sums.column_names[:2], "copies_sum", "n_bytes_max", "tokens_sum"]).rename_columns(["doc_id", "key", "copies", "n_bytes", "tokens"]).combine_chunks().to_batches()
+            sums = _by_document(pa.table([flat[1], flat[2], pa.array(copies), flat[4], pa.array(tokens)], names=_SUM_COLUMNS))
+            # one row for each batch and bucket of documents
+            ids = pc.fill_null(sums.column("doc_id"), 0).to_numpy().view(np.uint64)
+            bucket = (mix(ids ^ mix(sums.column("key").to_numpy().view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            offsets = pa.array(np.append(at, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in sums.take(pa.array(order)).combine_chunks().to_batches()[0].columns] if len(order) else []
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), *lists], names=["bucket", *_SUM_COLUMNS])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(pa.table([batch.column(i).flatten() for i in range(1, 6)], names=_SUM_COLUMNS))
+            if sum(map(len, held)) > 1 << 20:
+                held = [_by_document(pa.concat_tables(held))]
+        if held:
+            yield from _by_document(pa.concat_tables(held)).to_batches(max_chunksize=1 << 16)
 
     keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    sums = keyed.mapInArrow(frequencies, _ENTRY).repartition(partitions, "bucket").mapInArrow(counted, "doc_id long, key long, copies long, n_bytes long, tokens long")
-    by_document = sums.groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("tokens"))
+    counts = keyed.mapInArrow(frequencies, _ENTRY).repartition(partitions, "bucket").mapInArrow(counted, _SUMS)
+    by_document = counts.repartition(partitions, "bucket").mapInArrow(summed, ", ".join(f"{c} long" for c in _SUM_COLUMNS))
     each = by_document.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     n_tokens = F.expr("tokens div copies")
     return each.select(F.col("doc_id").alias(id_col), "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
 
 
+_SUM_COLUMNS = ["doc_id", "key", "copies", "n_bytes", "tokens"]
+_SUMS = "bucket int, " + ", ".join(f"{c} array<long>" for c in _SUM_COLUMNS)
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """One row for each (doc_id, key): copies and tokens added up."""
+    sums = rows.group_by(["doc_id", "key"]).aggregate([("copies", "sum"), ("n_bytes", "max"), ("tokens", "sum")])
+    return sums.select(["doc_id", "key", "copies_sum", "n_bytes_max", "tokens_sum"]).rename_columns(_SUM_COLUMNS)
+
+
 def _pretoken_hashes(pretokens: list[bytes]) -> np.ndarray:
     """A hash of each pre-token that is the same in all tasks."""
     sizes = np.array([len(p) for p in pretokens], dtype=np.int64)
