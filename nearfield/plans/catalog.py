@@ -1,4 +1,399 @@
-"""All registered search queries with their DuckDB equivalents."""
+"""All registered search queries with their DuckDB equivalents.
 
-QUERIES: dict = {}
+Vector queries run over the whole of ``embeddings``; its rows with a vec_id divisible by 100 are the queries, and three labels are
+derived from vec_id and label alike in both engines.  Grid queries run over the whole of ``lineitem``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions.filters import Divide, Interval, IntervalMap, Shift, inside, range_middle, with_bounds
+from nearfield.functions.grids import coordinate, flattened, morton_code, morton_coordinates, unflattened
+from nearfield.functions.vectors import cosine_distance, looked_up, squared_l2
+from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, expanded, intersecting, prefix_sums
+from nearfield.operators.metrics import recall
+from nearfield.operators.quantise import code_tables, part_of
+from nearfield.operators.range_join import label_extent, range_join
+from nearfield.operators.topk import merged_top_k, top_k
+from nearfield.plans.indexes import Params, exact, ranked, search
+
+K = 10
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def keep(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return keep
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("double").alias("l0"), F.expr("double(vec_id * 37 % 101)").alias("l1"), F.expr("double(vec_id div 50)").alias("l2"))
+
+
+def asked(data: DataFrame) -> DataFrame:
+    own = data.where(F.col("id") % 100 == 0)
+    return own.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), (F.col("l0") + 1).alias("x0"), F.col("l1").alias("x1"), F.col("l2").alias("x2"), (F.col("l2") - 3).alias("x2_from"), (F.col("l2") + 4).alias("x2_to"))
+
+
+INTERVALS = ((0, 2), (1, 3), (0, 5), (3, 3), (2, 6), (5, 9), (4, 7), (7, 8), (6, 9), (9, 9))
+_CATEGORY = IntervalMap(tuple((float(a), float(b)) for a, b in INTERVALS))
+
+#: Name: filters, their anchors, the labels they bound, and the same as SQL.
+CASES = {
+    "shift": ((Shift(15, 10),), ("x1",), ("l1",), "d.l1 BETWEEN q.l1 - 15 AND q.l1 + 10"),
+    "map": ((_CATEGORY,), ("x0",), ("l0",), f"d.l0 BETWEEN {[a for a, _ in INTERVALS]}[q.l0::INT + 1] AND {[b for _, b in INTERVALS]}[q.l0::INT + 1]"),
+    "div": ((Divide(10),), ("x1",), ("l1",), "d.l1 >= trunc(q.l1)::BIGINT // 10"),
+    "range": ((Interval(),), (("x2_from", "x2_to"),), ("l2",), "d.l2 BETWEEN q.l2 - 3 AND q.l2 + 4"),
+}
+_MULTI = ((Shift(30, 30), _CATEGORY, Divide(2)), ("x1", "x0", "x2"), ("l1", "l0", "l2"))
+_MULTI_SQL = f"d.l1 BETWEEN q.l1 - 30 AND q.l1 + 30 AND {CASES['map'][3]} AND d.l2 >= trunc(q.l2)::BIGINT // 2"
+CASES["multi"] = (*_MULTI, _MULTI_SQL)
+
+_L2 = "list_sum([(x::DOUBLE - {b}[i]::DOUBLE) * (x::DOUBLE - {b}[i]::DOUBLE) for x, i in {a}])"
+_D = """d AS (SELECT vec_id AS id, embedding AS vec, label::DOUBLE AS l0, (vec_id * 37 % 101)::DOUBLE AS l1, (vec_id // 50)::DOUBLE AS l2 FROM embeddings),
+q AS (SELECT id AS qid, vec AS qvec, l0, l1, l2 FROM d WHERE id % 100 = 0)"""
+_DISTANCE = _L2.format(a="q.qvec", b="d.vec")
+
+
+def _ranked_sql(pairs: str, k: int = K, where: str = "TRUE") -> str:
+    return f"""SELECT qid, rank, id AS neighbor, round(distance, 6) AS distance FROM
+(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INTEGER AS rank FROM ({pairs}) WHERE {where}) WHERE rank <= {k}"""
+
+
+def _exact_sql(condition: str) -> str:
+    return f"WITH {_D} " + _ranked_sql(f"SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q JOIN d ON {condition}")
+
+
+def _rounded(result: DataFrame, *columns: str) -> DataFrame:
+    return result.withColumns({c: F.round(c, 6) for c in columns or ("distance",)})
+
+
+def _case(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    filters, anchors, labels, _ = CASES[name]
+    data = vectors(spark, sf_dir)
+    return data, with_bounds(asked(data), filters, anchors), labels
+
+
+def _filtered(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data, queries, labels = _case(spark, sf_dir, name)
+        return _rounded(exact(data, queries, labels, K))
+
+    return query
+
+
+for _name, _spec in CASES.items():
+    _register(f"filtered_topk_{_name}", _exact_sql(_spec[3]))(_filtered(_name))
+
+
+@_register("unfiltered_topk", _exact_sql("TRUE"))
+def unfiltered_topk(spark, sf_dir):
+    data = vectors(spark, sf_dir)
+    return _rounded(exact(data, asked(data), (), K))
+
+
+@_register("cell_join_topk", _exact_sql(_MULTI_SQL))
+def cell_join_topk(spark, sf_dir):
+    """The equi-join on grid cells that many queries get."""
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    pairs = range_join(data, queries, labels, max_broadcast=0)
+    return _rounded(ranked(pairs.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), K))
+
+
+@_register("range_filter_counts", f"WITH {_D} SELECT q.qid, count(d.id) AS cnt FROM q LEFT JOIN d ON {_MULTI_SQL} GROUP BY q.qid")
+def range_filter_counts(spark, sf_dir):
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    found = range_join(data.drop("vec"), queries.drop("qvec"), labels).groupBy("qid").agg(F.count("*").alias("cnt"))
+    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+
+
+@_register("soft_filter_topk", f"WITH {_D} " + _ranked_sql(f"SELECT q.qid, d.id, {_DISTANCE} + 0.5 * CASE WHEN {_MULTI_SQL} THEN 0 ELSE 1e6 END AS distance FROM q, d"))
+def soft_filter_topk(spark, sf_dir):
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    fits = F.coalesce(inside(labels), F.lit(False))
+    pairs = range_join(data, queries, []).select("qid", "id", (squared_l2("qvec", "vec") + 0.5 * F.when(fits, 0.0).otherwise(1e6)).alias("distance"))
+    return _rounded(ranked(pairs, K))
+
+
+# A codebook kept as data, so that SQL can check quantised distances: the parts of eight vectors are the centres.
+_PARTS, _CODES = 4, 8
+
+
+def codebook(data: DataFrame) -> DataFrame:
+    """(part, code, center)."""
+    parts = F.sequence(F.lit(0), F.lit(_PARTS - 1))
+    return data.where(F.col("id") < _CODES).select(F.col("id").cast("int").alias("code"), "vec", F.explode(parts).alias("part")).select("part", "code", part_of(F.col("vec"), F.col("part"), _PARTS).alias("center"))
+
+
+def coded(data: DataFrame, centers: DataFrame) -> DataFrame:
+    """(id, codes): the nearest centre of each part, the smaller code on ties."""
+    near = data.select("id", "vec").join(F.broadcast(centers)).select("id", "part", F.struct(squared_l2(part_of(F.col("vec"), F.col("part"), _PARTS), F.col("center")).alias("d"), "code").alias("c"))
+    near = near.groupBy("id", "part").agg(F.min("c").alias("c")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "c.code"))).alias("all"))
+    return near.select("id", F.col("all.code").alias("codes"))
+
+
+def adc_pairs(data: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, distance) of all queries and rows by codes."""
+    centers = codebook(data)
+    rows = code_tables(queries, centers, _PARTS).groupBy("qid", "part").agg(F.sort_array(F.collect_list(F.struct("code", "distance"))).alias("row"))
+    tables = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("part", F.col("row.distance").alias("row")))).alias("all")).select("qid", F.col("all.row").alias("lut"))
+    return coded(data, centers).join(F.broadcast(tables)).select("qid", "id", looked_up("lut", "codes").alias("distance"))
+
+
+_PART = "vec[part * len(vec) // 4 + 1:(part + 1) * len(vec) // 4]"
+_CB = f"""c AS (SELECT id AS code, part, {_PART} AS center FROM d, range(4) r(part) WHERE id < 8),
+lut AS (SELECT qid, part, code, {_L2.format(a="own", b="center")} AS distance FROM (SELECT qid, part, qvec[part * len(qvec) // 4 + 1:(part + 1) * len(qvec) // 4] AS own FROM q, range(4) r(part)) JOIN c USING (part))"""
+_ADC = f"""{_CB},
+e AS (SELECT id, part, first(code ORDER BY dd, code) AS code FROM (SELECT v.id, part, code, {_L2.format(a="own", b="center")} AS dd
+      FROM (SELECT id, part, {_PART} AS own FROM d, range(4) r(part)) v JOIN c USING (part)) GROUP BY id, part),
+a AS (SELECT qid, id, sum(distance ORDER BY part) AS distance FROM e JOIN lut USING (part, code) GROUP BY qid, id)"""
+
+
+@_register("pq_lut", f"WITH {_D}, {_CB} SELECT qid, part::INTEGER AS part, code::INTEGER AS code, round(distance, 6) AS distance FROM lut")
+def pq_lut(spark, sf_dir):
+    data = vectors(spark, sf_dir)
+    return _rounded(code_tables(asked(data), codebook(data), _PARTS))
+
+
+@_register("pq_adc_topk", f"WITH {_D}, {_ADC} SELECT qid, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INTEGER AS rank FROM a) WHERE rank <= {K}")
+def pq_adc_topk(spark, sf_dir):
+    data = vectors(spark, sf_dir)
+    return _rounded(ranked(adc_pairs(data, asked(data)), K).drop("neighbor"))
+
+
+_ADC_BEST = "b AS (SELECT qid, id FROM a QUALIFY rank() OVER (PARTITION BY qid ORDER BY round(distance, 9)) <= 50)"
+
+
+@_register("refine_topk", f"WITH {_D}, {_ADC}, {_ADC_BEST} " + _ranked_sql(f"SELECT b.qid, b.id, {_DISTANCE} AS distance FROM b JOIN q USING (qid) JOIN d USING (id)"))
+def refine_topk(spark, sf_dir):
+    """The best by codes (with all that tie with the last of them), ranked by their exact distances."""
+    from pyspark.sql import Window
+
+    data = vectors(spark, sf_dir)
+    queries = asked(data)
+    place = F.rank().over(Window.partitionBy("qid").orderBy(F.round("distance", 9)))
+    best = adc_pairs(data, queries).withColumn("place", place).where("place <= 50").select("qid", "id")
+    pairs = best.join(data, "id").join(queries, "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+    return _rounded(ranked(pairs, K))
+
+
+_LISTS = f"""c AS (SELECT id AS list, vec AS center FROM d WHERE id < 8),
+e AS (SELECT d.id, first(list ORDER BY {_L2.format(a="d.vec", b="center")}, list) AS list FROM d, c GROUP BY d.id),
+p AS (SELECT qid, list FROM (SELECT qid, list, row_number() OVER (PARTITION BY qid ORDER BY {_L2.format(a="q.qvec", b="center")}, list) AS r FROM q, c) WHERE r <= 3)"""
+
+
+@_register("ivf_probe_topk", f"WITH {_D}, {_LISTS} " + _ranked_sql(f"SELECT q.qid, d.id, {_DISTANCE} AS distance FROM p JOIN e USING (list) JOIN q USING (qid) JOIN d USING (id)"))
+def ivf_probe_topk(spark, sf_dir):
+    """Eight vectors are the lists' centres; a query reads its three nearest lists."""
+    data = vectors(spark, sf_dir)
+    queries = asked(data)
+    centers = F.broadcast(data.where("id < 8").select(F.col("id").alias("list"), F.col("vec").alias("center")))
+    own = data.join(centers).select("id", "vec", F.struct(squared_l2("vec", "center").alias("d"), "list").alias("c"))
+    lists = own.groupBy("id").agg(F.first("vec").alias("vec"), F.min("c.list").alias("any"), F.min("c").alias("c")).select("id", "vec", F.col("c.list").alias("list"))
+    near = queries.join(centers).select("qid", "qvec", F.col("list").alias("id"), squared_l2("qvec", "center").alias("distance"))
+    probes = top_k(near, 3).select("qid", "qvec", F.col("id").alias("list"))
+    return _rounded(ranked(lists.join(probes, "list").select("qid", "id", squared_l2("qvec", "vec").alias("distance")), K))
+
+
+@_register("cosine_topk", f"WITH {_D} " + _ranked_sql("SELECT q.qid, d.id, 1 - list_sum([x::DOUBLE * d.vec[i]::DOUBLE for x, i in q.qvec]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in q.qvec])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in d.vec]))) AS distance FROM q, d"))
+def cosine_topk(spark, sf_dir):
+    data = vectors(spark, sf_dir)
+    return _rounded(ranked(range_join(data, asked(data), []).select("qid", "id", cosine_distance("qvec", "vec").alias("distance")), K))
+
+
+@_register("postfilter_topk", f"WITH {_D}, f AS ({_ranked_sql(f'SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q, d', 40).replace('id AS neighbor', 'id').replace('round(distance, 6) AS distance', 'distance')}) " + _ranked_sql(f"SELECT f.qid, f.id, f.distance FROM f JOIN q USING (qid) JOIN d USING (id) WHERE {_MULTI_SQL}"))
+def postfilter_topk(spark, sf_dir):
+    """Four times k nearest rows first, filters after: may give fewer than k."""
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    pairs = range_join(data, queries, []).select("qid", "id", squared_l2("qvec", "vec").alias("distance"), F.coalesce(inside(labels), F.lit(False)).alias("fits"))
+    return _rounded(ranked(top_k(pairs, 4 * K).where("fits").drop("rank"), K))
+
+
+@_register("partial_topk_merge", _exact_sql("TRUE"))
+def partial_topk_merge(spark, sf_dir):
+    data = vectors(spark, sf_dir)
+    queries = asked(data)
+    parts = [exact(data.where(F.col("id") % 4 == i), queries, (), K) for i in range(4)]
+    return _rounded(merged_top_k(parts, K, row="neighbor").select("qid", "rank", "neighbor", "distance"))
+
+
+@_register("recall_at_k", f"""WITH {_D}, t AS ({_ranked_sql(f'SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q JOIN d ON {_MULTI_SQL}')}),
+f AS ({_ranked_sql(f'SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q, d', 40)})
+SELECT t.qid, count(f.neighbor) AS hits, count(*) AS expected, round(count(f.neighbor) / count(*), 6) AS recall FROM t LEFT JOIN f ON f.qid = t.qid AND f.neighbor = t.neighbor GROUP BY t.qid""")
+def recall_at_k(spark, sf_dir):
+    """Share of the filtered nearest that an unfiltered search of four times their number would have found."""
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    return _rounded(recall(exact(data, queries, (), 4 * K), exact(data, queries, labels, K)), "recall")
+
+
+@_register("range_mid_normalise", f"WITH {_D} SELECT qid, round((l1 - 15 + l1 + 10) / 2 - (SELECT min(l1) FROM d), 6) AS middle FROM q")
+def range_mid_normalise(spark, sf_dir):
+    data, queries, _ = _case(spark, sf_dir, "shift")
+    return _rounded(queries.select("qid", range_middle(0, label_extent(data, ["l1"])[0][0]).alias("middle")), "middle")
+
+
+@_register("sample_ratio_sets", f"""WITH {_D} SELECT q.qid, d.l0::INTEGER AS set_id, round(avg(CASE WHEN d.l1 BETWEEN q.l1 - 15 AND q.l1 + 10 THEN 1 ELSE 0 END), 6) AS ratio
+FROM q, d GROUP BY q.qid, d.l0 HAVING avg(CASE WHEN d.l1 BETWEEN q.l1 - 15 AND q.l1 + 10 THEN 1 ELSE 0 END) > 0.2""")
+def sample_ratio_sets(spark, sf_dir):
+    """Label sets of which enough rows pass a query's filter."""
+    data, queries, labels = _case(spark, sf_dir, "shift")
+    pairs = range_join(data.drop("vec"), queries.drop("qvec"), [])
+    out = pairs.groupBy("qid", F.col("l0").cast("int").alias("set_id")).agg(F.avg(inside(labels).cast("int")).alias("ratio"))
+    return _rounded(out.where("ratio > 0.2"), "ratio")
+
+
+# --- grids over lineitem -------------------------------------------------------------------------------------------------
+
+_SHAPE = (10, 7, 16)
+_AXES = ("c0", "c1", "c2")
+_LEFT, _SPAN = (1.0, 1.0, 9131.0), (50.0, 7.0, 2500.0)
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem's keys with the grid coordinates of quantity, line number and ship date."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    values = (F.col("l_quantity"), F.col("l_linenumber"), F.unix_date(F.col("l_shipdate").cast("date")))
+    at = {a: coordinate(v, left, span, size) for a, v, left, span, size in zip(_AXES, values, _LEFT, _SPAN, _SHAPE)}
+    return rows.withColumns(at).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *_AXES)
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each part: (qid, c_lo, c_hi for each axis)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    low = [F.expr(f"bigint(p_partkey * {m} % {size})") for m, size in zip((3, 5, 7), _SHAPE)]
+    high = [F.least(lo + F.expr(f"bigint(p_size % {m})"), F.lit(size - 1)) for lo, m, size in zip(low, (6, 5, 9), _SHAPE)]
+    return part.select(F.col("p_partkey").alias("qid"), *(c.alias(f"{a}_{side}") for a, lo, hi in zip(_AXES, low, high) for side, c in (("lo", lo), ("hi", hi))))
+
+
+def _at_sql(value: str, i: int) -> str:
+    return f"least(floor((greatest({_LEFT[i]}, least({value}::DOUBLE, {_LEFT[i] + _SPAN[i]})) - {_LEFT[i]}) * {_SHAPE[i]}.0 / {_SPAN[i]})::BIGINT, {_SHAPE[i] - 1})"
+
+
+_G = f"""g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, {_at_sql("l_quantity", 0)} AS c0, {_at_sql("l_linenumber", 1)} AS c1,
+{_at_sql("date_diff('day', DATE '1970-01-01', l_shipdate::DATE)", 2)} AS c2 FROM lineitem),
+b AS (SELECT p_partkey AS qid, p_partkey * 3 % 10 AS c0_lo, least(p_partkey * 3 % 10 + p_size % 6, 9) AS c0_hi, p_partkey * 5 % 7 AS c1_lo, least(p_partkey * 5 % 7 + p_size % 5, 6) AS c1_hi,
+p_partkey * 7 % 16 AS c2_lo, least(p_partkey * 7 % 16 + p_size % 9, 15) AS c2_hi FROM part)"""
+_IN_BOX = "c0 BETWEEN c0_lo AND c0_hi AND c1 BETWEEN c1_lo AND c1_hi AND c2 BETWEEN c2_lo AND c2_hi"
+
+
+@_register("label_minmax", "SELECT min(l_quantity) AS lo_0, max(l_quantity) AS hi_0, min(l_extendedprice) AS lo_1, max(l_extendedprice) AS hi_1, min(l_discount) AS lo_2, max(l_discount) AS hi_2 FROM lineitem")
+def label_minmax(spark, sf_dir):
+    labels = ("l_quantity", "l_extendedprice", "l_discount")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.agg(*(f(n).alias(f"{side}_{i}") for i, n in enumerate(labels) for side, f in (("lo", F.min), ("hi", F.max))))
+
+
+@_register("grid_cell_counts", f"WITH {_G} SELECT c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL")
+def grid_cell_counts(spark, sf_dir):
+    return cell_counts(placed(spark, sf_dir), _AXES)
+
+
+_DENSE = "x AS (SELECT a.c0, b.c1, c.c2 FROM range(10) a(c0), range(7) b(c1), range(16) c(c2)), n AS (SELECT c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL)"
+
+
+@_register("grid_prefix_sum", f"WITH {_G}, {_DENSE} SELECT x.c0, x.c1, x.c2, coalesce(sum(n.cnt) FILTER (n.c0 = x.c0 AND n.c1 = x.c1 AND n.c2 = x.c2), 0)::BIGINT AS cnt, coalesce(sum(n.cnt), 0)::BIGINT AS cum FROM x LEFT JOIN n ON n.c0 <= x.c0 AND n.c1 <= x.c1 AND n.c2 <= x.c2 GROUP BY ALL")
+def grid_prefix_sum(spark, sf_dir):
+    return prefix_sums(cell_counts(placed(spark, sf_dir), _AXES), _AXES, _SHAPE)
+
+
+@_register("grid_box_counts", f"WITH {_G}, n AS (SELECT c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL) SELECT qid, sum(n.cnt)::BIGINT AS cnt FROM b JOIN n ON {_IN_BOX} GROUP BY qid")
+def grid_box_counts(spark, sf_dir):
+    """By the corners of prefix sums; the SQL counts cells."""
+    sums = prefix_sums(cell_counts(placed(spark, sf_dir), _AXES), _AXES, _SHAPE)
+    return box_counts_from_sums(sums, boxes(spark, sf_dir), _AXES).where("cnt > 0")
+
+
+@_register("nonempty_cells", f"WITH {_G}, n AS (SELECT l_returnflag, c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL) SELECT qid, l_returnflag, sum(n.cnt)::BIGINT AS cnt FROM b JOIN n ON {_IN_BOX} GROUP BY ALL")
+def nonempty_cells(spark, sf_dir):
+    """Groups that hold rows in a box, as the flagship prunes clusters."""
+    return box_counts(cell_counts(placed(spark, sf_dir), _AXES, ["l_returnflag"]), F.broadcast(boxes(spark, sf_dir)), _AXES, "qid", ["l_returnflag"])
+
+
+@_register("grid_intersect", f"""WITH {_G}, r AS (SELECT DISTINCT c0, c1 FROM g),
+k AS (SELECT c0 * 7 + c1 AS cell, c0 * 5.0 AS l0, c0 * 5.0 + 6 AS h0, c1 * 1.0 AS l1, c1 + 1.5 AS h1 FROM r),
+i AS (SELECT s_suppkey AS qid, s_suppkey % 40 AS l0, s_suppkey % 40 + 4.0 AS h0, s_suppkey % 6 AS l1, s_suppkey % 6 + 0.25 AS h1 FROM supplier)
+SELECT qid, cell FROM i JOIN k ON i.h0 >= k.l0 AND k.h0 >= i.l0 AND i.h1 >= k.l1 AND k.h1 >= i.l1""")
+def grid_intersect(spark, sf_dir):
+    """Overlapping cells against a box for each supplier."""
+    cells = placed(spark, sf_dir).select("c0", "c1").distinct()
+    cells = cells.select(flattened([F.col("c0"), F.col("c1")], _SHAPE[:2]).alias("cell"), (F.col("c0") * 5.0).alias("cell_lo_0"), (F.col("c0") * 5.0 + 6).alias("cell_hi_0"), (F.col("c1") * 1.0).alias("cell_lo_1"), (F.col("c1") + 1.5).alias("cell_hi_1"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("qid"), F.expr("double(s_suppkey % 40)").alias("lo_0"), F.expr("s_suppkey % 40 + 4.0D").alias("hi_0"), F.expr("double(s_suppkey % 6)").alias("lo_1"), F.expr("s_suppkey % 6 + 0.25D").alias("hi_1"))
+    return intersecting(rows, F.broadcast(cells), 2).select("qid", "cell")
+
+
+def _z_sql(columns: tuple[str, ...], bits: int = 4) -> str:
+    return " | ".join(f"((({c} >> {b}) & 1) << {b * len(columns) + len(columns) - 1 - i})" for b in range(bits) for i, c in enumerate(columns))
+
+
+@_register("morton_encode", f"WITH {_G} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ({_z_sql(_AXES)})::BIGINT AS zcode FROM g")
+def morton_encode(spark, sf_dir):
+    return placed(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", morton_code([F.col(a) for a in _AXES], 4).alias("zcode"))
+
+
+@_register("morton_roundtrip", f"WITH {_G} SELECT c0, c1, c2, (c0 * 7 + c1) * 16 + c2 AS cell, count(*) AS cnt FROM g GROUP BY ALL")
+def morton_roundtrip(spark, sf_dir):
+    """Coordinates decoded from Morton codes, and from row-major cell numbers and back."""
+    coded_rows = placed(spark, sf_dir).select(morton_code([F.col(a) for a in _AXES], 4).alias("z"))
+    back = coded_rows.select(*(c.alias(a) for a, c in zip(_AXES, morton_coordinates(F.col("z"), 3, 4))))
+    numbered = back.withColumn("cell", flattened([F.col(a) for a in _AXES], _SHAPE))
+    return numbered.select(*(c.cast("bigint").alias(a) for a, c in zip(_AXES, unflattened(F.col("cell"), _SHAPE))), "cell").groupBy(*_AXES, "cell").agg(F.count("*").alias("cnt"))
+
+
+@_register("zrange_candidates", f"""WITH {_G}, n AS (SELECT c0, c1, c2, {_z_sql(_AXES)} AS z, count(*) AS cnt FROM g GROUP BY ALL),
+r AS (SELECT *, {_z_sql(tuple(f"{a}_lo" for a in _AXES))} AS z_lo, {_z_sql(tuple(f"{a}_hi" for a in _AXES))} AS z_hi FROM b)
+SELECT qid, sum(cnt)::BIGINT AS in_range, coalesce(sum(cnt) FILTER ({_IN_BOX}), 0)::BIGINT AS in_box FROM r JOIN n ON z BETWEEN z_lo AND z_hi GROUP BY qid""")
+def zrange_candidates(spark, sf_dir):
+    """Rows between the Morton codes of a box's corners, and those of them in the box."""
+    cells = cell_counts(placed(spark, sf_dir), _AXES).withColumn("z", morton_code([F.col(a) for a in _AXES], 4))
+    ends = {f"z_{side}": morton_code([F.col(f"{a}_{side}") for a in _AXES], 4) for side in ("lo", "hi")}
+    pairs = cells.join(F.broadcast(boxes(spark, sf_dir).withColumns(ends)), F.expr("z BETWEEN z_lo AND z_hi"))
+    return pairs.groupBy("qid").agg(F.sum("cnt").alias("in_range"), F.coalesce(F.sum(F.when(F.expr(_IN_BOX), F.col("cnt"))), F.lit(0)).alias("in_box"))
+
+
+@_register("sorted_bound_counts", "SELECT q.lo, count(*) FILTER (value < q.lo) AS first, count(*) FILTER (value <= q.lo + 50) AS last FROM (SELECT DISTINCT p_size * 7.0 AS lo FROM part) q, events GROUP BY q.lo")
+def sorted_bound_counts(spark, sf_dir):
+    """Where an interval's ends fall in the sorted values, for an interval from each part size."""
+    ends = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * F.lit(7.0)).alias("lo")).distinct()
+    values = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("value").count()
+    pairs = values.join(F.broadcast(ends))
+    return pairs.groupBy("lo").agg(F.coalesce(F.sum(F.when(F.col("value") < F.col("lo"), F.col("count"))), F.lit(0)).alias("first"), F.coalesce(F.sum(F.when(F.col("value") <= F.col("lo") + 50, F.col("count"))), F.lit(0)).alias("last"))
+
+
+@_register("segment_expand", "SELECT o_orderkey, unnest(range(o_custkey, o_custkey + o_orderkey % 5)) AS position FROM orders")
+def segment_expand(spark, sf_dir):
+    segments = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("start"), F.expr("o_orderkey % 5").alias("length"))
+    return expanded(segments).select("o_orderkey", "position")
+
+
+# --- strategies, with settings at which each must give the exact result --------------------------------------------------
+
+_ALL = Params(k=K, codes=16, keep=1000, keep_soft=1000, label_clusters=4, label_probes=4, pass_ratio=0, max_cells=27, lists=4, probes=10_000, clusters=4, sub_clusters=2, cluster_probes=4, sub_probes=8, grids=64, beta=1000, refine=1)
+
+
+def _strategy(algorithm: str, params: Params) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data, queries, labels = _case(spark, sf_dir, "multi")
+        return _rounded(search(algorithm, data, queries, labels, params))
+
+    return query
+
+
+for _algorithm in ("prefilter", "parafilter", "sorting", "ivf-ivf_pq", "grid-ivf_pq", "super-grid", "ivfpq-post"):
+    _register("algo_" + _algorithm.replace("-", "_"), _exact_sql(_MULTI_SQL))(_strategy(_algorithm, _ALL))
+
+# approximate by nature: no SQL gives their rows; the tests measure recall
+_register("algo_pq")(_strategy("pq", Params(k=K, codes=64)))
+_register("algo_cagra_post")(_strategy("cagra-post", Params(k=K, beta=6, frontier=128, rounds=5)))
+_register("algo_super_grid_probing")(_strategy("super-grid", Params(k=K, codes=64, keep=10)))
