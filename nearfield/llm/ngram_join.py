@@ -8,16 +8,13 @@ used on two levels:
 
 1. G is the whole corpus.  A merged count-min sketch (bounded size, see count_min) says which tokens occur in two documents or
    more, never missing one.  A document of which fewer than 80 % of the tokens do can link to nothing, and is done.
-2. Among the remaining documents, one for each set, G is a group of similar documents.  A document's prefix is the first
-   n - ceil(0.8 n) + 1 of its tokens in an order that puts rare ones first; linked documents share a prefix token.  Documents
-   with the same first prefix token are compared with one of them, and those that link to it form a group.  Groups of
-   which the unions of prefixes meet are candidates.  The members of the smaller one are the queries: a query's overlap
-   with the other group's token union bounds its overlap with each member, and the group is opened only if it reaches
-   80 % of the query.  Members of one group are linked already, so nothing is compared inside a group, and large groups
-   of copies cost one comparison each.
-
-Groups are held in parts of at most PART documents, so no task gets more than one part.  Each round
-of grouping lets every document meet the groups by another prefix token, which leaves few groups for the last step.
+2. The remaining documents, one for each different set, are partitioned into groups of similar ones (_grouped), held in parts of
+   bounded size.  A set's prefix is the first n - ceil(0.8 n) + 1 of its tokens in an order that puts rare ones first; linked
+   sets share a prefix token.  Parts whose members' prefixes share a token are candidates; the smaller one's members are the queries,
+   and each part's members are queries to the part itself.  A query whose overlap with a part's token union is under 80 % of
+   the query is done with it; otherwise the part is opened, and the overlaps with all members are counted at once along the
+   union's lists of holders.  So pairs of documents exist only inside a task, and what is shuffled is each part's members once
+   for each candidate part.  A task returns a spanning forest of the links it found.
 
 Defined cases: an empty or null text has no shingles and links with nothing; a row with a null doc_id gets its n_shingles and
 a null component_id, and links nothing; rows that share a doc_id are separate rows that may link; an empty table gives no
@@ -37,9 +34,11 @@ from pyspark.sql import functions as F
 from nearfield.llm import count_min
 from nearfield.llm.components import connected_components
 from nearfield.llm.shared_store import written
-from nearfield.llm.text_kernels import LOWER, slices, text_bytes, window_hashes, word_hashes, word_spans
+from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, window_hashes, word_hashes, word_spans
 
-SHINGLE, PERCENT, PART, COMMON, ROUNDS = 5, 80, 256, 32, 3
+SHINGLE, PERCENT, COMMON, LEAST = 5, 80, 32, 4
+#: Sets and tokens in a part of a group, at most (a larger set is alone in its part).
+PART_SETS, PART_TOKENS = 1024, 500_000
 
 
 def least_overlap(n):
@@ -47,16 +46,6 @@ def least_overlap(n):
     return (PERCENT * n + 99) // 100
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two ascending token sets link."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= PERCENT * (len(both) - common)
-
-
 def shingle_sets(part: pa.RecordBatch, text: int) -> Iterator[np.ndarray]:
     """The ascending distinct shingle hashes of each text."""
     data, offsets = text_bytes(part.column(text))
@@ -95,12 +84,12 @@ def token_sketch(texts: DataFrame, text_bytes_total: int) -> count_min.Sketch:
 
 
 def _sets(texts: DataFrame, sketch) -> DataFrame:
-    """(doc_id, n, set, tokens, prefix); tokens and prefix are null for documents that can't link to another set."""
+    """(doc_id, n, set, tokens, prefix, least); the last three are null for documents that can't link to another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, names, tokens, prefixes = [], [], [], []
+                sizes, names, tokens, prefixes, least = [], [], [], [], []
                 sets = list(shingle_sets(part, 1))
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 shared, common = (sketch.value.at_least(every, t) for t in (2, COMMON))
@@ -113,75 +102,92 @@ def _sets(texts: DataFrame, sketch) -> DataFrame:
                     if not n or np.count_nonzero(shared[mine]) < least_overlap(n):
                         tokens.append(None)
                         prefixes.append(None)
+                        least.append(None)
                         continue
                     # tokens of one document alone come first, common ones last
                     order = np.argsort(shared[mine].astype(np.int8) + common[mine], kind="stable")[: n - least_overlap(n) + 1]
                     tokens.append(own.tobytes())
                     prefixes.append(own[order][shared[mine][order]].view(np.int64))
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "set", "tokens", "prefix"])
+                    least.append(own[:LEAST].view(np.int64))
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, least))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "set", "tokens", "prefix", "least"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, set binary, tokens binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, set binary, tokens binary, prefix array<long>, least array<long>")
 
 
 def _array(packed) -> np.ndarray:
     return np.frombuffer(packed.as_buffer(), dtype=np.uint64)
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the rows (a, b, tokens_a, tokens_b) whose token sets link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [linked(_array(x), _array(y)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a binary, b binary")
-
-
-def _leader_links(sets: DataFrame, place: str) -> DataFrame:
-    """Links between each document and the first one of those with the same prefix token at a place."""
-    keyed = sets.withColumn("token", F.expr(f"prefix[{place}]"))
-    leaders = keyed.groupBy("token").agg(F.min("set").alias("b"))
-    led = keyed.select("token", F.col("set").alias("a"), F.col("tokens").alias("tokens_a")).join(leaders, "token").where("a <> b")
-    return _verified(led.join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("tokens_b")), "b"))
-
-
-def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(set, grp): each set's component by the links found so far."""
-    roots = connected_components(links)
-    return sets.select("set").join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("grp"))
-
-
-def _group_links(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): pairs of groups between which a document of the smaller one links to one of the other."""
-    matrix = sets.select("set", F.explode("prefix").alias("token")).join(groups, "set").select("token", "grp").distinct()
-    pairs = matrix.join(matrix.withColumnRenamed("grp", "other"), "token").where("grp < other").select("grp", "other").distinct()
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    pairs = pairs.join(sizes, "grp").join(sizes.select(F.col("grp").alias("other"), F.col("members").alias("others")), "other")
-    swap = F.col("members") <= F.col("others")
-    asked = pairs.select(F.when(swap, F.col("grp")).otherwise(F.col("other")).alias("query_grp"), F.when(swap, F.col("other")).otherwise(F.col("grp")).alias("grp"), F.greatest("members", "others").alias("members"))
-    parts = F.expr(f"int((members + {PART} - 1) div {PART})")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    owned = sets.join(groups, "set")
-    queries = asked.join(owned.select(F.col("grp").alias("query_grp"), "set", "tokens"), "query_grp").select("grp", "part", "query_grp", "tokens")
-    opened = owned.join(asked.select("grp", "members").distinct(), "grp").withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).select("grp", "part", "tokens")
+def _grouped(sets: DataFrame) -> DataFrame:
+    """sets with part, a bounded piece of a group of similar sets.
+
+    Of a set's LEAST smallest tokens, the one that most sets have among theirs names its group; sets that share most of their
+    tokens mostly choose alike.
+    """
+    least = sets.select("set", "n", F.explode("least").alias("token"))
+    popular = least.groupBy("token").agg(F.count("*").alias("holders"))
+    chosen = least.join(popular, "token").groupBy("set", "n").agg(F.max(F.struct("holders", "token")).alias("c")).select("set", "n", F.col("c.token").alias("grp"))
+    pieces = chosen.groupBy("grp").agg(F.greatest(F.expr(f"ceil(count(*) / {PART_SETS})"), F.expr(f"ceil(sum(n) / {PART_TOKENS})")).alias("pieces"))
+    part = F.struct("grp", F.pmod(F.xxhash64("set"), F.col("pieces")).alias("piece"))
+    return sets.join(chosen.join(pieces, "grp").select("set", part.alias("part")), "set")
+
+
+def _spanning(left: list[bytes], right: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
+    """Links (i of left, j of right) as a forest: as few edges as give the same components."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    edges = []
+    for i, j in links:
+        a, b = find(left[i]), find(right[j])
+        if a != b:
+            root[a] = b
+            edges.append((left[i], right[j]))
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
+
+
+def search_part(queries: list[np.ndarray], members: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, members that link to it), for the queries that open the part."""
+    sizes = np.array([len(m) for m in members])
+    every = np.concatenate(members)
+    order = np.argsort(every, kind="stable")
+    owner = np.repeat(np.arange(len(members)), sizes)[order]
+    union, starts, holders = np.unique(every[order], return_index=True, return_counts=True)
+    for i, query in enumerate(queries):
+        at = np.minimum(np.searchsorted(union, query), len(union) - 1)
+        at = at[union[at] == query]
+        if len(at) < least_overlap(len(query)):
+            continue  # the union of the part's tokens holds too few of the query's: no member can link
+        common = np.bincount(owner[ragged_positions(starts[at], holders[at])], minlength=len(members))
+        yield i, np.flatnonzero(100 * common >= PERCENT * (len(query) + sizes - common))
+
+
+def _links(sets: DataFrame) -> DataFrame:
+    """(a, b): links between sets, as many as keep their components."""
+    parts = sets.groupBy("part").agg(F.count("*").alias("members"))
+    matrix = sets.select("part", F.explode("prefix").alias("token")).distinct()
+    pairs = matrix.join(matrix.withColumnRenamed("part", "other"), "token").where("part < other").select("part", "other").distinct()
+    pairs = pairs.join(parts, "part").join(parts.select(F.col("part").alias("other"), F.col("members").alias("others")), "other")
+    few = F.col("members") <= F.col("others")
+    asked = pairs.select(F.when(few, F.col("part")).otherwise(F.col("other")).alias("from"), F.when(few, F.col("other")).otherwise(F.col("part")).alias("part"))
+    asked = asked.unionAll(parts.where("members > 1").select(F.col("part").alias("from"), "part"))
+    queries = asked.join(sets.select(F.col("part").alias("from"), "set", "tokens"), "from").select("part", "set", "tokens")
+    opened = sets.join(asked.select("part").distinct(), "part", "left_semi").select("part", "set", "tokens")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[bytes, bytes] = {}
-        if len(left) and len(right):
-            members = [_array(x) for x in right.column("tokens")]
-            union = np.unique(np.concatenate(members))
-            for grp, query_grp, packed in zip(left.column("grp"), left.column("query_grp"), left.column("tokens")):
-                query = _array(packed)
-                if query_grp.as_py() in found:
-                    continue  # the two groups are linked already
-                at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-                if np.count_nonzero(union[at] == query) >= least_overlap(len(query)) and any(linked(query, m) for m in members):
-                    found[query_grp.as_py()] = grp.as_py()
-        return pa.table({"a": pa.array(list(found), pa.binary()), "b": pa.array(list(found.values()), pa.binary())})
-
-    return queries.groupBy("grp", "part").cogroup(opened.groupBy("grp", "part")).applyInArrow(search, "a binary, b binary").distinct()
+        names, owned = left.column("set").to_pylist(), right.column("set").to_pylist()
+        links = []
+        if names and owned:
+            for i, found in search_part([_array(x) for x in left.column("tokens")], [_array(x) for x in right.column("tokens")]):
+                links += ((i, int(j)) for j in found)
+        return _spanning(names, owned, links)
+
+    return queries.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(search, "a binary, b binary")
 
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,14 +197,11 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = written(_sets(texts, spark.sparkContext.broadcast(token_sketch(texts, total))), "sets")
     identified = rows.where("doc_id IS NOT NULL")
-    sets = written(identified.where("tokens IS NOT NULL").groupBy("set").agg(F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix")).where("size(prefix) > 0"), "set-tokens")
-    links = None
-    for place in ("0", "size(prefix) - 1", "size(prefix) div 2")[:ROUNDS]:
-        more = _leader_links(sets, place)
-        links = more if links is None else links.unionAll(more)
-    groups = written(_grouped(sets, links), "groups")
-    roots = connected_components(_group_links(sets, groups))
-    groups = groups.join(roots.withColumnRenamed("node", "grp"), "grp", "left").select("set", F.coalesce("root", "grp").alias("grp"))
+    one = [F.first(c).alias(c) for c in ("n", "tokens", "prefix", "least")]
+    sets = identified.where("size(prefix) > 0").groupBy("set").agg(*one)
+    sets = written(_grouped(sets), "set-groups")
+    roots = connected_components(_links(sets))
+    groups = roots.select(F.col("node").alias("set"), F.col("root").alias("grp"))
     firsts = identified.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first")).join(groups, "set", "left").withColumn("grp", F.coalesce("grp", "set"))
     smallest = firsts.groupBy("grp").agg(F.min("first").alias("component_id"))
     components = firsts.select("set", "grp").join(smallest, "grp").select("set", "component_id")

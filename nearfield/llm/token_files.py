@@ -41,7 +41,9 @@ from nearfield.llm.merge_vocabulary import Generations
 from nearfield.llm.shared_store import new_path, written
 from nearfield.llm.text_kernels import ragged_positions, slices, text_bytes
 
-SEQUENCE_LENGTH, SEQUENCES_PER_BATCH, STORE_SIZE = 2048, 256, 250_000
+SEQUENCE_LENGTH, SEQUENCES_PER_BATCH = 2048, 256
+#: Runs whose ids a worker keeps (twice as many at most), and bytes of text that it encodes at a time.
+STORE_SIZE, ENCODE_BYTES = 450_000, 8 << 20
 
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -142,7 +144,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
         left, n_documents, n_tokens, writers = np.zeros(0, encoder.dtype), 0, 0, []
         full = length * SEQUENCES_PER_BATCH
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", ENCODE_BYTES):
                 if not writers:
                     files = [f.open_output_stream(p) for f, p in map(fs.FileSystem.from_uri, names)]
                     writers = [pa.ipc.new_stream(f, s) for f, s in zip(files, schemas)]

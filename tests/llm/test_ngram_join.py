@@ -63,10 +63,9 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_parts_and_full_sketch_lose_nothing(spark, monkeypatch):
-    """Tiny parts, one round of grouping and a sketch that knows nothing give the same result."""
+    """Tiny parts and a sketch that knows nothing give the same result."""
     monkeypatch.setattr(count_min, "width_for", lambda *_, **__: 64)
-    monkeypatch.setattr(ngram_join, "PART", 3)
-    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "PART_SETS", 3)
     documents = odd_documents(spark, corpus(3))
     assert Counter(tuple(r) for r in similar_groups(documents).collect()) == brute_force(documents.collect())
     kept = one_of_each_group(documents)
