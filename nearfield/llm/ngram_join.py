@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import count_min
 from nearfield.llm.components import connected_components
-from nearfield.llm.shared_store import written
+from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, window_hashes, word_hashes, word_spans
 
 SHINGLE, PERCENT, COMMON, LEAST = 5, 80, 32, 4
@@ -192,7 +192,7 @@ def _links(sets: DataFrame) -> DataFrame:
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = written(_sets(texts, spark.sparkContext.broadcast(token_sketch(texts, total))), "sets")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.merge_vocabulary import Generations, MergeVocabulary, vocabulary
+from nearfield.llm.shared_store import small_batches
 from nearfield.llm.text_kernels import ragged_positions, slices
 
 #: Encoded pre-tokens that a worker keeps (twice as many at most).
@@ -72,6 +73,7 @@ def encode_column(column: pa.Array, path: str, add_end: bool = True) -> tuple[np
 
 def sentencepiece_encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): the ids of each text with the end id last."""
+    small_batches(documents.sparkSession)
     schema = f"{id_col} {documents.schema[id_col].dataType.simpleString()}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +102,7 @@ def sentencepiece_decode(encoded: DataFrame, path: str, id_col: str = "doc_id",
 def sentencepiece_digests(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: encodes and decodes each text in one pass over it."""
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
+    small_batches(documents.sparkSession)
     schema = f"{id_col} {documents.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

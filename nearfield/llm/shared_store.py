@@ -1,4 +1,5 @@
-"""Tables and files that every executor can read: in the folder that spark.checkpoint.dir names."""
+"""What the operators ask of the session: tables and files that every executor can read, in the folder that spark.checkpoint.dir
+names, and small Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,6 +9,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows after which an Arrow batch to a Python worker ends.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, set so that the Arrow batches of long texts are bounded by their bytes and not only by their rows.
+
+    The JVM and the worker each hold a batch or two for each task; a setting of the user's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one of this machine only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.llm.shared_store import new_path
+from nearfield.llm.shared_store import new_path, small_batches
 
 BUCKET_BYTES, MAX_BUCKETS, SEED = 16 << 20, 1 << 20, 20240501
 
@@ -38,7 +38,7 @@ def _permuted(rows: list[pa.RecordBatch], seed: int, slot: int) -> pa.RecordBatc
 
 def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all rows and columns to folder/shard=<n>/ with size, text_crc32 and slot; returns the table as written."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     added = ("size", "text_crc32", "shard", "slot", "__bucket", "__first", "__place")
     rows = documents.select([documents[c] for c in documents.columns if c not in added])

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nearfield.llm import count_min
+from nearfield.llm.shared_store import small_batches
 from nearfield.llm.text_kernels import slices, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW, KEY_WORDS, DEPTH, BLOCK_BYTES = 50, 9, 2, 16 << 20
@@ -155,7 +156,7 @@ def _kept(own: _Windows, gone: np.ndarray) -> pa.Array:
 
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with n_words, n_removed and kept_text (the words left, joined by one space)."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     added = ("n_words", "n_removed", "kept_text", "__block")
     rows = documents.select([documents[c] for c in documents.columns if c not in added])

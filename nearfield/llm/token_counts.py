@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.merge_vocabulary import vocabulary
 from nearfield.llm.sentencepiece_codec import default_vocabulary
+from nearfield.llm.shared_store import small_batches
 from nearfield.llm.text_kernels import mix, slices, word_hashes
 
 #: Documents looked at, and the pre-tokens taken from them, for the broadcast side of the join.
@@ -64,7 +65,7 @@ def common_pretokens(documents: DataFrame, path: str) -> dict[bytes, int]:
 
 def token_counts(documents: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each document."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * partitions
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.merge_vocabulary import Generations
-from nearfield.llm.shared_store import new_path, written
+from nearfield.llm.shared_store import new_path, small_batches, written
 from nearfield.llm.text_kernels import ragged_positions, slices, text_bytes
 
 SEQUENCE_LENGTH, SEQUENCES_PER_BATCH = 2048, 256
@@ -129,7 +129,7 @@ def _lists(values: np.ndarray, length: int) -> pa.FixedSizeListArray:
 
 def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int = 0, length: int = SEQUENCE_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files into folder; returns the manifest (part, tokens_file, documents_file, n_documents, n_tokens)."""
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(small_batches(documents.sparkSession).conf.get("spark.sql.shuffle.partitions"))
     filesystem, _ = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(fs.FileSystem.from_uri(folder)[1])
 
