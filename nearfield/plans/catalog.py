@@ -149,7 +149,7 @@ def adc_pairs(data: DataFrame, queries: DataFrame) -> DataFrame:
     centers = codebook(data)
     rows = code_tables(queries, centers, _PARTS).groupBy("qid", "part").agg(F.sort_array(F.collect_list(F.struct("code", "distance"))).alias("row"))
     tables = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("part", F.col("row.distance").alias("row")))).alias("all")).select("qid", F.col("all.row").alias("lut"))
-    return coded(data, centers).join(F.broadcast(tables)).select("qid", "id", looked_up("lut", "codes").alias("distance"))
+    return range_join(coded(data, centers), tables, []).select("qid", "id", looked_up("lut", "codes").alias("distance"))
 
 
 _PART = "vec[part * len(vec) // 4 + 1:(part + 1) * len(vec) // 4]"
@@ -207,10 +207,11 @@ def ivf_probe_topk(spark, sf_dir):
     return _rounded(ranked(lists.join(probes, "list").select("qid", "id", squared_l2("qvec", "vec").alias("distance")), K))
 
 
-@_register("cosine_topk", f"WITH {_D} " + _ranked_sql("SELECT q.qid, d.id, 1 - list_sum([x::DOUBLE * d.vec[i]::DOUBLE for x, i in q.qvec]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in q.qvec])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in d.vec]))) AS distance FROM q, d"))
+@_register("cosine_topk", f"WITH {_D} " + _ranked_sql("SELECT q.qid, d.id, 1 - list_sum([x::DOUBLE * d.vec[i]::DOUBLE for x, i in q.qvec]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in q.qvec])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in d.vec]))) AS distance FROM q, d").replace("round(distance, 6)", "abs(round(distance, 6))"))
 def cosine_topk(spark, sf_dir):
     data = vectors(spark, sf_dir)
-    return _rounded(ranked(range_join(data, asked(data), []).select("qid", "id", cosine_distance("qvec", "vec").alias("distance")), K))
+    # abs: a zero has no sign
+    return _rounded(ranked(range_join(data, asked(data), []).select("qid", "id", cosine_distance("qvec", "vec").alias("distance")), K)).withColumn("distance", F.abs("distance"))
 
 
 @_register("postfilter_topk", f"WITH {_D}, f AS ({_ranked_sql(f'SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q, d', 40).replace('id AS neighbor', 'id').replace('round(distance, 6) AS distance', 'distance')}) " + _ranked_sql(f"SELECT f.qid, f.id, f.distance FROM f JOIN q USING (qid) JOIN d USING (id) WHERE {_MULTI_SQL}"))
@@ -288,11 +289,15 @@ p_partkey * 7 % 16 AS c2_lo, least(p_partkey * 7 % 16 + p_size % 9, 15) AS c2_hi
 _IN_BOX = "c0 BETWEEN c0_lo AND c0_hi AND c1 BETWEEN c1_lo AND c1_hi AND c2 BETWEEN c2_lo AND c2_hi"
 
 
-@_register("label_minmax", "SELECT min(l_quantity) AS lo_0, max(l_quantity) AS hi_0, min(l_extendedprice) AS lo_1, max(l_extendedprice) AS hi_1, min(l_discount) AS lo_2, max(l_discount) AS hi_2 FROM lineitem")
+_EXTENT_LABELS = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+# a zero has no sign: the data hold both
+@_register("label_minmax", "SELECT " + ", ".join(f"coalesce(nullif({f}({n}), 0), 0) AS {side}_{i}" for i, n in enumerate(_EXTENT_LABELS) for side, f in (("lo", "min"), ("hi", "max"))) + " FROM lineitem")
 def label_minmax(spark, sf_dir):
-    labels = ("l_quantity", "l_extendedprice", "l_discount")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.agg(*(f(n).alias(f"{side}_{i}") for i, n in enumerate(labels) for side, f in (("lo", F.min), ("hi", F.max))))
+    ends = {f"{side}_{i}": f(n) for i, n in enumerate(_EXTENT_LABELS) for side, f in (("lo", F.min), ("hi", F.max))}
+    return rows.agg(*(c.alias(n) for n, c in ends.items())).select(*(F.when(F.col(n) != 0, F.col(n)).otherwise(F.lit(0.0)).alias(n) for n in ends))
 
 
 @_register("grid_cell_counts", f"WITH {_G} SELECT c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL")
@@ -318,7 +323,8 @@ def grid_box_counts(spark, sf_dir):
 @_register("nonempty_cells", f"WITH {_G}, n AS (SELECT l_returnflag, c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL) SELECT qid, l_returnflag, sum(n.cnt)::BIGINT AS cnt FROM b JOIN n ON {_IN_BOX} GROUP BY ALL")
 def nonempty_cells(spark, sf_dir):
     """Groups that hold rows in a box, as the flagship prunes clusters."""
-    return box_counts(cell_counts(placed(spark, sf_dir), _AXES, ["l_returnflag"]), F.broadcast(boxes(spark, sf_dir)), _AXES, "qid", ["l_returnflag"])
+    # at most as many cells as _SHAPE has, for each flag
+    return box_counts(F.broadcast(cell_counts(placed(spark, sf_dir), _AXES, ["l_returnflag"])), boxes(spark, sf_dir), _AXES, "qid", ["l_returnflag"])
 
 
 @_register("grid_intersect", f"""WITH {_G}, r AS (SELECT DISTINCT c0, c1 FROM g),
@@ -358,11 +364,11 @@ def zrange_candidates(spark, sf_dir):
     """Rows between the Morton codes of a box's corners, and those of them in the box."""
     cells = cell_counts(placed(spark, sf_dir), _AXES).withColumn("z", morton_code([F.col(a) for a in _AXES], 4))
     ends = {f"z_{side}": morton_code([F.col(f"{a}_{side}") for a in _AXES], 4) for side in ("lo", "hi")}
-    pairs = cells.join(F.broadcast(boxes(spark, sf_dir).withColumns(ends)), F.expr("z BETWEEN z_lo AND z_hi"))
+    pairs = boxes(spark, sf_dir).withColumns(ends).join(F.broadcast(cells), F.expr("z BETWEEN z_lo AND z_hi"))
     return pairs.groupBy("qid").agg(F.sum("cnt").alias("in_range"), F.coalesce(F.sum(F.when(F.expr(_IN_BOX), F.col("cnt"))), F.lit(0)).alias("in_box"))
 
 
-@_register("sorted_bound_counts", "SELECT q.lo, count(*) FILTER (value < q.lo) AS first, count(*) FILTER (value <= q.lo + 50) AS last FROM (SELECT DISTINCT p_size * 7.0 AS lo FROM part) q, events GROUP BY q.lo")
+@_register("sorted_bound_counts", "SELECT q.lo, count(*) FILTER (value < q.lo) AS first, count(*) FILTER (value <= q.lo + 50) AS last FROM (SELECT DISTINCT p_size * 7.0::DOUBLE AS lo FROM part) q, events GROUP BY q.lo")
 def sorted_bound_counts(spark, sf_dir):
     """Where an interval's ends fall in the sorted values, for an interval from each part size."""
     ends = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * F.lit(7.0)).alias("lo")).distinct()

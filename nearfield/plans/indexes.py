@@ -294,7 +294,8 @@ class SuperGrid(Strategy):
             boxes = boxes.withColumn(f"z_{side}", morton_code([F.col(f"{n}_{side}") for n in names], x["bits"]) if names else F.lit(0).cast("bigint"))
         spark = queries.sparkSession
         subs = spark.createDataFrame([(i, int(x["of"][i]), [float(v) for v in c], [float(v) for v in x["centers"][x["of"][i]]]) for i, c in enumerate(x["sub_centers"])], "sub int, cluster int, sub_center array<double>, center array<double>")
-        held = box_counts(x["counts"], F.broadcast(boxes), names, "qid", ["sub"]).where("cnt > 0")
+        # at most grids * clusters * sub_clusters cells: parameters
+        held = box_counts(F.broadcast(x["counts"]), boxes, names, "qid", ["sub"]).where("cnt > 0")
         held = held.join(F.broadcast(subs), "sub").join(queries.select("qid", "qvec"), "qid")
         clusters = held.groupBy("qid", F.col("cluster").alias("id")).agg(F.min(squared_l2("qvec", "center")).alias("distance"))
         probed = top_k(clusters, p.cluster_probes).select("qid", F.col("id").alias("cluster"))
