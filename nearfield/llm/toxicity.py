@@ -11,9 +11,11 @@ back to counts shared by both classes: so an expression that is rare, or known t
 A word's letters count from the third on, given the first two: these mostly tell the language, which isn't the question.
 A logistic curve on the difference, fitted on labelled texts that the counts haven't seen, gives the score.
 
-Counts come from the whole texts of all labelled documents whose crc32(doc_id as text) mod 3 is 0, by a Spark aggregation that
-grows with the input.  The curve, two numbers, is fitted on a bounded sample of those with remainder 2: the CALIBRATION documents
-of each class with the smallest hash of their doc_id.  The model that is broadcast holds the MAX_GRAMS most frequent expressions at
+Counts come from the whole texts of all labelled documents whose crc32(doc_id as text) mod 3 is 0 or 2, by a Spark aggregation
+that grows with the input; those with remainder 1 are held out.  The curve, two numbers, is cross-fitted: a bounded sample of each
+of the two folds, the CALIBRATION documents of each class with the smallest hash of their doc_id, is compared by the counts of the
+other fold alone.  Where one of these has no labels of both classes to count, only the other fold's counts compare, and
+without such a comparison for both classes every score is 0.5.  The model that is broadcast holds the MAX_GRAMS most frequent expressions at
 most (about 100 MB by that bound); rarer ones back off to their shorter contexts.  Every document is scored in the scan's own
 partitions, over all of its words, each distinct word of a slice of texts once.  Nothing but the text enters a score.
 
@@ -41,6 +43,8 @@ CALIBRATION, MAX_GRAMS, DISCOUNT = 4000, 3_000_000, 0.75
 FEW_WORDS = 25
 #: Letters of an expression, and the first place in a marked word whose letter counts.
 ORDER, FIRST = 6, 3
+#: Folds that are counted; fold + toxic numbers the four cells that labelled documents are counted in.
+FOLDS, _CELLS = (0, 2), ("c0", "c1", "c2", "c3")
 
 #: Everything in ASCII but letters and digits stands between words; two of those bytes mark a word's ends.
 _BETWEEN = np.zeros(256, dtype=bool)
@@ -196,39 +200,47 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of all labelled documents of the fold that is counted; only that fold's texts are shuffled."""
-    counted = fold(F.col("doc_id")) == 0
-    return documents.where(counted).join(labels.where(counted), "doc_id").select("toxic", "text")
+    """(cell, text) of all labelled documents that aren't held out, with cell = toxic + fold; only their folds' texts are shuffled."""
+    counted = fold(F.col("doc_id")) != 1
+    return documents.where(counted).join(labels.where(counted), "doc_id").select((F.col("toxic") + fold(F.col("doc_id"))).cast("int").alias("cell"), "text")
 
 
 def _calibration(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of at most CALIBRATION labelled documents of each class of the other fold."""
+    """(cell, text) of at most CALIBRATION labelled documents of each class of each fold that is counted."""
     chosen = None
-    for toxic in (0, 1):
-        own = labels.where((F.col("toxic") == toxic) & (fold(F.col("doc_id")) == 2)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-        chosen = own if chosen is None else chosen.unionAll(own)
-    # at most 2 * CALIBRATION rows of two integers
-    return documents.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    for part in FOLDS:
+        for toxic in (0, 1):
+            own = labels.where((F.col("toxic") == toxic) & (fold(F.col("doc_id")) == part)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
+            own = own.select("doc_id", F.lit(part + toxic).alias("cell"))
+            chosen = own if chosen is None else chosen.unionAll(own)
+    # at most 4 * CALIBRATION rows of two integers
+    return documents.join(F.broadcast(chosen), "doc_id").select("cell", "text")
 
 
 def _count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, size, c0, c1) over (toxic, text): occurrences of the expressions that kneser_ney takes."""
+    """(gram, size, c0, c1, c2, c3) over (cell, text): occurrences by cell of the expressions that kneser_ney takes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 marked, bounds, codes, ranges = distinct_words(part.column(1))
-                toxic = np.repeat(part.column(0).to_numpy().astype(np.int64), np.diff(ranges))
+                cell = np.repeat(part.column(0).to_numpy().astype(np.int64), np.diff(ranges))
                 words = len(bounds) - 1
-                uses = [np.repeat(np.bincount(codes[toxic == c], minlength=words), np.diff(bounds)) for c in (0, 1)]
+                uses = [np.repeat(np.bincount(codes[cell == c], minlength=words), np.diff(bounds)) for c in range(4)]
                 gram, size = grams(marked, bounds)
                 at = np.flatnonzero(size > 1)
                 tagged, inverse = np.unique(gram[at] | size[at].astype(np.uint64) << np.uint64(56), return_inverse=True)
                 sums = [np.bincount(inverse, u[at], len(tagged)).astype(np.int64) for u in uses]
                 arrays = [_last(tagged, 7).view(np.int64), (tagged >> np.uint64(56)).astype(np.int64), *sums]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["gram", "size", "c0", "c1"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["gram", "size", *_CELLS])
 
-    return texts.mapInArrow(count, "gram long, size long, c0 long, c1 long").groupBy("gram", "size").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return texts.mapInArrow(count, "gram long, size long, " + ", ".join(f"{c} long" for c in _CELLS)).groupBy("gram", "size").agg(*(F.sum(c).alias(c) for c in _CELLS))
+
+
+def _model(gram: np.ndarray, size: np.ndarray, counts: np.ndarray) -> Model:
+    """kneser_ney of the expressions that occur; an empty model unless both classes have some."""
+    occurs = counts.sum(1) > 0
+    return kneser_ney(gram[occurs], size[occurs], counts[occurs]) if counts.sum(0).all() else Model()
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
@@ -237,26 +249,32 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counted = _count_grams(_labelled(documents, known))
-    kept = counted.orderBy(F.desc(F.expr("c0 + c1")), "gram", "size").limit(MAX_GRAMS).toArrow()
-    counts = np.stack([kept.column(c).to_numpy() for c in ("c0", "c1")], axis=1)
-    if not len(kept) or not counts.sum(0).all():
-        return Model()
-    model = kneser_ney(kept.column("gram").to_numpy().view(np.uint64), kept.column("size").to_numpy(), counts)
-    shared = small_batches(documents.sparkSession).sparkContext.broadcast(model)
+    kept = counted.orderBy(F.desc(F.expr("c0 + c1 + c2 + c3")), "gram", "size").limit(MAX_GRAMS).toArrow()
+    gram, size = kept.column("gram").to_numpy().view(np.uint64), kept.column("size").to_numpy()
+    cells = np.stack([kept.column(c).to_numpy() for c in _CELLS], axis=1)
+    model = _model(gram, size, cells[:, :2] + cells[:, 2:])
+    # each fold is compared by the counts of the other one
+    shared = documents.sparkSession.sparkContext.broadcast([_model(gram, size, cells[:, own : own + 2]) for own in reversed(FOLDS)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.differences(part.column(1)))], names=["toxic", "x"])
-
-    seen = _calibration(documents, known).mapInArrow(compare, "toxic int, x double").toArrow()
-    share = {r["toxic"]: r["count"] for r in known.where(fold(F.col("doc_id")) == 2).groupBy("toxic").count().collect()}
-    x, y = seen.column("x").to_numpy(), seen.column("toxic").to_numpy()
-    order = np.lexsort((x, y))  # so that sums don't depend on the order of rows
-    x, y = x[order], y[order]
-    if len(np.unique(y)) < 2:
+                cell = part.column(0).to_numpy()
+                for own, other in zip(FOLDS, shared.value):
+                    at = pa.array(np.flatnonzero(cell - cell % 2 == own))
+                    if len(at) and other.known:
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(other.differences(part.column(1).take(at)))], names=["cell", "x"])
+
+    seen = _calibration(documents, known).mapInArrow(compare, "cell int, x double").toArrow()
+    share = {r["cell"]: r["count"] for r in known.groupBy((F.col("toxic") + fold(F.col("doc_id"))).alias("cell"), fold(F.col("doc_id")).alias("part")).count().where("part <> 1").collect()}
+    x, cell = seen.column("x").to_numpy(), seen.column("cell").to_numpy()
+    order = np.lexsort((x, cell))  # so that sums don't depend on the order of rows
+    x, cell = x[order], cell[order]
+    y = cell % 2
+    if len(np.unique(y)) < 2 or not model.known:
         return Model()
-    weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
+    sampled = np.bincount(cell, minlength=4)
+    weight = np.array([share[c] / sampled[c] if sampled[c] else 0.0 for c in range(4)])[cell]
     model.slope, model.offset = fit_curve(x, y.astype(float), weight / weight.mean())
     return model
 

@@ -95,3 +95,15 @@ def test_odd_cases(spark, corpus):
     unlabelled = toxicity_scores(documents, fit(documents, known.where("toxic = 5"))).collect()
     assert {r.score for r in unlabelled} == {0.5}
     assert toxicity_scores(documents.limit(0), toxicity.Model()).count() == 0
+
+
+def test_both_folds_are_counted(spark, corpus):
+    rows, labels = corpus
+    fold = {i: zlib.crc32(str(i).encode()) % 3 for i, _ in labels}
+    # a word that the toxic texts of one fold alone hold
+    for only in (0, 2):
+        own = [(i, f"{t} {'zaxquib ' * 5 if y and fold[i] == only else ''}") for (i, t), (_, y) in zip(rows, labels)]
+        model = fit(spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        probe = "zaxquib$"[2:8]
+        ratio = model.letter_ratios(np.array([int.from_bytes(probe.encode(), "big")], dtype=np.uint64), np.array([ORDER]))
+        assert ratio[0] > 0 and int.from_bytes(probe.encode(), "big") in model.known[ORDER][0]
