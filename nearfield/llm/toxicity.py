@@ -15,8 +15,10 @@ Counts come from the whole texts of all labelled documents whose crc32(doc_id as
 that grows with the input; those with remainder 1 are held out.  The curve, two numbers, is cross-fitted: a bounded sample of each
 of the two folds, the CALIBRATION documents of each class with the smallest hash of their doc_id, is compared by the counts of the
 other fold alone.  Where one of these has no labels of both classes to count, only the other fold's counts compare, and
-without such a comparison for both classes every score is 0.5.  The model that is broadcast holds the MAX_GRAMS most frequent expressions at
-most (about 100 MB by that bound); rarer ones back off to their shorter contexts.  Every document is scored in the scan's own
+without such a comparison for both classes every score is 0.5.  A model of at most
+MAX_GRAMS expressions (about 100 MB by that bound) is broadcast whole.  A larger one is kept in Spark tables (letter_tables.py): its
+MAX_GRAMS most frequent expressions are broadcast, and the documents' other ones meet all the rest in joins; both ways score alike.
+With the whole model broadcast, every document is scored in the scan's own
 partitions, over all of its words, each distinct word of a slice of texts once.  Nothing but the text enters a score.
 
 Defined cases: a text without words, empty or null, gets the curve's value at no difference; labels with a null doc_id or a
@@ -36,7 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.shared_store import small_batches
+from nearfield.llm.letter_tables import TableModel, compared, table_model
+from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, word_hashes, word_spans
 
 CALIBRATION, MAX_GRAMS, DISCOUNT = 4000, 3_000_000, 0.75
@@ -237,24 +240,37 @@ def _count_grams(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "gram long, size long, " + ", ".join(f"{c} long" for c in _CELLS)).groupBy("gram", "size").agg(*(F.sum(c).alias(c) for c in _CELLS))
 
 
+def _counting(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What letter_tables.compared asks of texts."""
+    marked, bounds, codes, ranges = distinct_words(column)
+    gram, size = grams(marked, bounds)
+    at = np.flatnonzero(np.arange(len(marked)) - np.repeat(bounds[:-1], np.diff(bounds)) >= FIRST)
+    return bounds, codes, ranges, at, gram[at] | size[at].astype(np.uint64) << np.uint64(56)
+
+
+def _compared(documents: DataFrame, model: TableModel, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    return compared(documents, model, keep, _counting, ORDER, FEW_WORDS)
+
+
+def _table_model(counted: DataFrame, toxic: str, ordinary: str) -> Model | TableModel:
+    own = counted.selectExpr("gram", "size", f"{ordinary} AS c0", f"{toxic} AS c1")
+    sums = own.agg(F.sum("c0"), F.sum("c1")).first()
+    return table_model(own, ORDER, DISCOUNT, FIRST, MAX_GRAMS) if all(sums) else Model()
+
+
 def _model(gram: np.ndarray, size: np.ndarray, counts: np.ndarray) -> Model:
     """kneser_ney of the expressions that occur; an empty model unless both classes have some."""
     occurs = counts.sum(1) > 0
     return kneser_ney(gram[occurs], size[occurs], counts[occurs]) if counts.sum(0).all() else Model()
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """The model of (doc_id, text) documents with (doc_id, toxic) labels."""
-    small_batches(documents.sparkSession)
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    counted = _count_grams(_labelled(documents, known))
-    kept = counted.orderBy(F.desc(F.expr("c0 + c1 + c2 + c3")), "gram", "size").limit(MAX_GRAMS).toArrow()
+def _fit_whole(counted: DataFrame, calibration: DataFrame) -> tuple[Model, pa.Table]:
+    """The model without its curve, and (cell, x) of the calibration texts, each compared by the counts of the other fold."""
+    kept = counted.toArrow()
     gram, size = kept.column("gram").to_numpy().view(np.uint64), kept.column("size").to_numpy()
     cells = np.stack([kept.column(c).to_numpy() for c in _CELLS], axis=1)
     model = _model(gram, size, cells[:, :2] + cells[:, 2:])
-    # each fold is compared by the counts of the other one
-    shared = documents.sparkSession.sparkContext.broadcast([_model(gram, size, cells[:, own : own + 2]) for own in reversed(FOLDS)])
+    shared = calibration.sparkSession.sparkContext.broadcast([_model(gram, size, cells[:, own : own + 2]) for own in reversed(FOLDS)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,13 +281,33 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
                     if len(at) and other.known:
                         yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(other.differences(part.column(1).take(at)))], names=["cell", "x"])
 
-    seen = _calibration(documents, known).mapInArrow(compare, "cell int, x double").toArrow()
+    return model, calibration.mapInArrow(compare, "cell int, x double").toArrow()
+
+
+def _fit_tables(counted: DataFrame, calibration: DataFrame) -> tuple[Model | TableModel, pa.Table]:
+    """What _fit_whole gives, with models in tables."""
+    seen = [pa.table({"cell": pa.array([], pa.int32()), "x": pa.array([], pa.float64())})]
+    for own, other in zip(FOLDS, reversed(FOLDS)):
+        model = _table_model(counted, f"c{other + 1}", f"c{other}")
+        if isinstance(model, TableModel):
+            rows, x = _compared(calibration.where(F.col("cell").isin(own, own + 1)), model, ["cell"])
+            seen.append(rows.join(x, "__row").select("cell", "x").toArrow())
+    return _table_model(counted, "c1 + c3", "c0 + c2"), pa.concat_tables([t.cast(seen[0].schema) for t in seen])
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model | TableModel:
+    """The model of (doc_id, text) documents with (doc_id, toxic) labels."""
+    small_batches(documents.sparkSession)
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    counted = written(_count_grams(_labelled(documents, known)), "expressions")
+    model, seen = (_fit_whole if counted.count() <= MAX_GRAMS else _fit_tables)(counted, _calibration(documents, known))
     share = {r["cell"]: r["count"] for r in known.groupBy((F.col("toxic") + fold(F.col("doc_id"))).alias("cell"), fold(F.col("doc_id")).alias("part")).count().where("part <> 1").collect()}
     x, cell = seen.column("x").to_numpy(), seen.column("cell").to_numpy()
     order = np.lexsort((x, cell))  # so that sums don't depend on the order of rows
     x, cell = x[order], cell[order]
     y = cell % 2
-    if len(np.unique(y)) < 2 or not model.known:
+    if len(np.unique(y)) < 2 or not isinstance(model, TableModel) and not model.known:
         return Model()
     sampled = np.bincount(cell, minlength=4)
     weight = np.array([share[c] / sampled[c] if sampled[c] else 0.0 for c in range(4)])[cell]
@@ -279,8 +315,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def toxicity_scores(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def toxicity_scores(documents: DataFrame, model: Model | TableModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row."""
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if isinstance(model, TableModel):
+        rows, x = _compared(texts, model, ["doc_id"])
+        return _predicted(rows.join(x, "__row").select("doc_id", model.score(F.col("x")).alias("score")), id_col, threshold)
     shared = small_batches(documents.sparkSession).sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +328,19 @@ def toxicity_scores(documents: DataFrame, model: Model, id_col: str = "doc_id",
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(part.column(1)))], names=["doc_id", "score"])
 
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.mapInArrow(score, "doc_id long, score double")
+    return _predicted(texts.mapInArrow(score, "doc_id long, score double"), id_col, threshold)
+
+
+def _predicted(out: DataFrame, id_col: str, threshold: float) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return out.select(F.col("doc_id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below the threshold, in one pass without a shuffle."""
+def without_toxic(documents: DataFrame, model: Model | TableModel, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold; with the whole model broadcast, in one pass without a shuffle."""
+    if isinstance(model, TableModel):
+        rows, x = _compared(documents, model, documents.columns)
+        return rows.join(x.where(model.score(F.col("x")) >= threshold), "__row", "left_anti").select(documents.columns)
     shared = small_batches(documents.sparkSession).sparkContext.broadcast(model)
     at = documents.columns.index("text")
 

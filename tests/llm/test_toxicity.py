@@ -107,3 +107,19 @@ def test_both_folds_are_counted(spark, corpus):
         probe = "zaxquib$"[2:8]
         ratio = model.letter_ratios(np.array([int.from_bytes(probe.encode(), "big")], dtype=np.uint64), np.array([ORDER]))
         assert ratio[0] > 0 and int.from_bytes(probe.encode(), "big") in model.known[ORDER][0]
+
+
+def test_expressions_beyond_the_broadcast_count_too(spark, corpus, monkeypatch):
+    rows, labels = corpus
+    documents = spark.createDataFrame([*rows, (None, "an vexlotti zq"), (1, rows[1][1]), (9001, ""), (9002, None)], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = lambda model: np.array(sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity_scores(documents, model).collect()))
+    whole = fit(documents, known)
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 300)
+    model = fit(documents, known)
+    assert sum(len(keys) for keys, _ in whole.known.values()) > 600
+    want = scores(whole)
+    assert len(want) == len(rows) + 4
+    assert np.allclose(scores(model), want, atol=1e-6)
+    plain = lambda m: sorted(str(r) for r in without_toxic(documents, m).collect())
+    assert plain(model) == plain(whole)
