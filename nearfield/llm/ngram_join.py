@@ -13,8 +13,10 @@ used on two levels:
    sets share a prefix token.  Parts whose members' prefixes share a token are candidates; the smaller one's members are the queries,
    and each part's members are queries to the part itself.  A query whose overlap with a part's token union is under 80 % of
    the query is done with it; otherwise the part is opened, and the overlaps with all members are counted at once along the
-   union's lists of holders.  So pairs of documents exist only inside a task, and what is shuffled is each part's members once
-   for each candidate part.  A task returns a spanning forest of the links it found.
+   union's lists of holders.  A part's queries are dealt by hash into slices of about the size that a part may have, each of which
+   gets the part's members: so a task's work is bounded, however many parts share tokens.  Pairs of documents exist only inside a
+   task, and what is shuffled is each part's members once for each candidate part and slice.  A task returns a spanning forest
+   of the links it found.
 
 Defined cases: an empty or null text has no shingles and links with nothing; a row with a null doc_id gets its n_shingles and
 a null component_id, and links nothing; rows that share a doc_id are separate rows that may link; an empty table gives no
@@ -167,17 +169,27 @@ def search_part(queries: list[np.ndarray], members: list[np.ndarray]) -> Iterato
         yield i, np.flatnonzero(100 * common >= PERCENT * (len(query) + sizes - common))
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between sets, as many as keep their components."""
-    parts = sets.groupBy("part").agg(F.count("*").alias("members"))
+def _tasks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, slice, set, tokens) of the queries, and of the members that each slice of them is compared with."""
+    parts = sets.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
     matrix = sets.select("part", F.explode("prefix").alias("token")).distinct()
     pairs = matrix.join(matrix.withColumnRenamed("part", "other"), "token").where("part < other").select("part", "other").distinct()
-    pairs = pairs.join(parts, "part").join(parts.select(F.col("part").alias("other"), F.col("members").alias("others")), "other")
+    pairs = pairs.join(parts.select("part", "members"), "part").join(parts.select(F.col("part").alias("other"), F.col("members").alias("others")), "other")
     few = F.col("members") <= F.col("others")
     asked = pairs.select(F.when(few, F.col("part")).otherwise(F.col("other")).alias("from"), F.when(few, F.col("other")).otherwise(F.col("part")).alias("part"))
     asked = asked.unionAll(parts.where("members > 1").select(F.col("part").alias("from"), "part"))
-    queries = asked.join(sets.select(F.col("part").alias("from"), "set", "tokens"), "from").select("part", "set", "tokens")
-    opened = sets.join(asked.select("part").distinct(), "part", "left_semi").select("part", "set", "tokens")
+    slices_of = F.greatest(F.expr(f"ceil(sum(members) / {PART_SETS})"), F.expr(f"ceil(sum(size) / {PART_TOKENS})"))
+    load = asked.join(parts.withColumnRenamed("part", "from"), "from").groupBy("part").agg(slices_of.alias("slices"))
+    # another seed than that of _grouped, so that one part's sets go to all slices
+    own_slice = F.pmod(F.xxhash64("set", F.lit(1)), F.col("slices"))
+    queries = asked.join(load, "part").join(sets.select(F.col("part").alias("from"), "set", "tokens"), "from").select("part", own_slice.alias("slice"), "set", "tokens")
+    opened = sets.join(load, "part").select("part", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "set", "tokens")
+    return queries, opened
+
+
+def _links(sets: DataFrame) -> DataFrame:
+    """(a, b): links between sets, as many as keep their components."""
+    queries, opened = _tasks(sets)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names, owned = left.column("set").to_pylist(), right.column("set").to_pylist()
@@ -187,7 +199,7 @@ def _links(sets: DataFrame) -> DataFrame:
                 links += ((i, int(j)) for j in found)
         return _spanning(names, owned, links)
 
-    return queries.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(search, "a binary, b binary")
+    return queries.groupBy("part", "slice").cogroup(opened.groupBy("part", "slice")).applyInArrow(search, "a binary, b binary")
 
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

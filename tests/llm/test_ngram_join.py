@@ -94,3 +94,18 @@ def test_components(spark):
             want[a] = want[b] = low
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: r for n, r in want.items() if n in got} and all(n == r for n, r in want.items() if n not in got)
+
+
+def test_tasks_of_a_hot_group_are_bounded(spark, monkeypatch):
+    """Each slice gets few queries and the whole part, and no query is lost."""
+    monkeypatch.setattr(ngram_join, "PART_SETS", 8)
+    rows = [(bytes([i]), 4, [1, 2, 3, 10 + i], [1], (i // 8, 0)) for i in range(200)]
+    sets = spark.createDataFrame(rows, "set binary, n int, tokens array<long>, prefix array<long>, part struct<grp long, piece long>")
+    queries, opened = (f.select("part.grp", "slice", "set").collect() for f in ngram_join._tasks(sets))
+    assert max(Counter((r.grp, r.slice) for r in queries).values()) <= 3 * 8
+    assert max(Counter((r.grp, r.slice) for r in opened).values()) == 8
+    held = {(r.grp, r.slice): set() for r in queries}
+    for r in opened:
+        held.setdefault((r.grp, r.slice), set()).add(bytes(r.set))
+    met = {frozenset((bytes(r.set), m)) for r in queries for m in held[r.grp, r.slice] if bytes(r.set) != m}
+    assert len(met) == 200 * 199 // 2
