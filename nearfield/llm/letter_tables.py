@@ -55,6 +55,16 @@ def _letters(key: str) -> Column:
     return F.expr(f"shiftright({key}, 56) & 7")
 
 
+def _least_uses(counted: DataFrame, head: int) -> int:
+    """The least power of two of uses that at most head of the expressions reach."""
+    total, powers = 0, counted.groupBy(F.floor(F.log2("uses")).cast("int").alias("power")).count().collect()
+    for power, n in sorted(powers, reverse=True):
+        total += n
+        if total > head:
+            return 1 << power + 1
+    return 1
+
+
 def table_model(counts: DataFrame, order: int, discount: float, first: int, head: int) -> TableModel:
     """The model of (gram, size, c0, c1), each distinct (gram, size) once and with occurrences of both classes among them."""
     levels = {}
@@ -85,7 +95,7 @@ def table_model(counts: DataFrame, order: int, discount: float, first: int, head
         parts.append(lower.selectExpr(f"{_key('gram', k)} AS key", "ln(p1 / p0) AS value"))
     table = written(reduce(DataFrame.unionAll, parts), "letters")
     common = counts.where(F.col("size") > first).selectExpr("gram | shiftleft(size, 56) AS key", "c0 + c1 AS uses").where("uses > 0")
-    common = common.orderBy(F.desc("uses"), "key").limit(head).join(table, "key").select("key", "value").toArrow()
+    common = common.where(F.col("uses") >= _least_uses(common, head)).join(table, "key").select("key", "value").toArrow()
     keys = common.column("key").to_numpy().astype(np.uint64)
     at = np.argsort(keys)
     return TableModel(keys[at], common.column("value").to_numpy()[at], table, table.where(_letters("key") <= 2), unknown)

@@ -15,9 +15,11 @@ Counts come from the whole texts of all labelled documents whose crc32(doc_id as
 that grows with the input; those with remainder 1 are held out.  The curve, two numbers, is cross-fitted: a bounded sample of each
 of the two folds, the CALIBRATION documents of each class with the smallest hash of their doc_id, is compared by the counts of the
 other fold alone.  Where one of these has no labels of both classes to count, only the other fold's counts compare, and
-without such a comparison for both classes every score is 0.5.  A model of at most
+without such a comparison for both classes every score is 0.5.  Texts meet their labels where they lie: at most MAX_LABELS labels
+(72 MB) are broadcast, and only of more labels the two folds' texts are shuffled to a join.  A model of at most
 MAX_GRAMS expressions (about 100 MB by that bound) is broadcast whole.  A larger one is kept in Spark tables (letter_tables.py): its
-MAX_GRAMS most frequent expressions are broadcast, and the documents' other ones meet all the rest in joins; both ways score alike.
+most frequent expressions, MAX_GRAMS at most, are broadcast, and the documents' other ones meet all the rest in joins; both ways
+score alike.
 With the whole model broadcast, every document is scored in the scan's own
 partitions, over all of its words, each distinct word of a slice of texts once.  Nothing but the text enters a score.
 
@@ -42,7 +44,7 @@ from nearfield.llm.letter_tables import TableModel, compared, table_model
 from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, word_hashes, word_spans
 
-CALIBRATION, MAX_GRAMS, DISCOUNT = 4000, 3_000_000, 0.75
+CALIBRATION, MAX_GRAMS, MAX_LABELS, DISCOUNT = 4000, 3_000_000, 8_000_000, 0.75
 FEW_WORDS = 25
 #: Letters of an expression, and the first place in a marked word whose letter counts.
 ORDER, FIRST = 6, 3
@@ -203,9 +205,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cell, text) of all labelled documents that aren't held out, with cell = toxic + fold; only their folds' texts are shuffled."""
+    """(cell, text) of all labelled documents that aren't held out, with cell = toxic + fold."""
     counted = fold(F.col("doc_id")) != 1
-    return documents.where(counted).join(labels.where(counted), "doc_id").select((F.col("toxic") + fold(F.col("doc_id"))).cast("int").alias("cell"), "text")
+    cells = labels.where(counted).select("doc_id", (F.col("toxic") + fold(F.col("doc_id"))).cast("byte").alias("cell"))
+    if cells.count() > MAX_LABELS:
+        return documents.where(counted).join(cells, "doc_id").select(F.col("cell").cast("int").alias("cell"), "text")
+    known = cells.toArrow()
+    order = np.argsort(known.column("doc_id").to_numpy())
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(known.column(c).to_numpy()[order] for c in ("doc_id", "cell")))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = shared.value
+        for batch in batches:
+            at, hit = _find(ids, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(own[at[hit]].astype(np.int32)), batch.column(1).filter(pa.array(hit))], names=["cell", "text"])
+
+    return documents.where(counted).mapInArrow(choose, "cell int, text string")
 
 
 def _calibration(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -123,3 +123,74 @@ def test_expressions_beyond_the_broadcast_count_too(spark, corpus, monkeypatch):
     assert np.allclose(scores(model), want, atol=1e-6)
     plain = lambda m: sorted(str(r) for r in without_toxic(documents, m).collect())
     assert plain(model) == plain(whole)
+
+
+def brute_force(documents, labels):
+    """Every step of the query in plain Python: counts, both models, the cross-fitted comparison, and the curve's equations."""
+    text_words = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    cells = {}
+    for i, t in documents:
+        if i in labels and fold(i) != 1:
+            cell = cells.setdefault(labels[i] + fold(i), {})
+            for word in text_words(t):
+                marked = f"^{word}$"
+                for at in range(1, len(marked)):
+                    g = marked[max(0, at - ORDER + 1) : at + 1]
+                    cell[g] = cell.get(g, 0) + 1
+
+    def model(c0, c1):
+        full = []
+        for own in (c0, c1):
+            by_size = {k: {g: n for g, n in own.items() if len(g) == k} for k in range(1, ORDER + 1)}
+            for k in range(ORDER - 1, 0, -1):
+                for g in by_size[k + 1]:
+                    by_size[k][g[1:]] = by_size[k].get(g[1:], 0) + 1
+            after = {}
+            for own_size in by_size.values():
+                for g, n in own_size.items():
+                    total, kinds = after.get((len(g), g[:-1]), (0, 0))
+                    after[len(g), g[:-1]] = total + n, kinds + 1
+            full.append((by_size, after))
+        pooled = {x: sum(f[0][1].get(x, 0) for f in full) for x in {*full[0][0][1], *full[1][0][1]}}
+
+        def p(c, g):
+            by_size, after = full[c]
+            total, kinds = after.get((len(g), g[:-1]), (0, 0))
+            below = p(c, g[1:]) if len(g) > 1 else (pooled.get(g, 0) + 1) / (sum(pooled.values()) + len(pooled) + 1)
+            return max(by_size[len(g)].get(g, 0) - 0.75, 0) / total + 0.75 * kinds / total * below if total else below
+
+        return p
+
+    def difference(p, t):
+        words, total = text_words(t), 0.0
+        for word in words:
+            marked = f"^{word}$"
+            for at in range(toxicity.FIRST, len(marked)):
+                g = marked[max(0, at - ORDER + 1) : at + 1]
+                total += np.log(p(1, g) / p(0, g))
+        return total / (len(words) + toxicity.FEW_WORDS) if words else 0.0
+
+    add = lambda a, b: {g: a.get(g, 0) + b.get(g, 0) for g in {*a, *b}}
+    final = model(add(cells[0], cells[2]), add(cells[1], cells[3]))
+    other = {0: model(cells[2], cells[3]), 2: model(cells[0], cells[1])}
+    seen = [(difference(other[fold(i)], t), labels[i]) for i, t in documents if i in labels and fold(i) != 1]
+    return [(i, difference(final, t)) for i, t in documents], seen
+
+
+@pytest.mark.parametrize("max_labels", [toxicity.MAX_LABELS, 10])
+def test_whole_query_equals_brute_force(spark, corpus, monkeypatch, max_labels):
+    """With the labels broadcast, and with more of them than may be."""
+    monkeypatch.setattr(toxicity, "MAX_LABELS", max_labels)
+    rows, labels = corpus[0][:160], dict(corpus[1][:150])
+    rows = [*rows, (500, None), (501, ""), (502, "a x, -- b"), rows[3]]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    differences, seen = brute_force(rows, labels)
+    x, y = map(np.array, zip(*seen))
+    p = 1 / (1 + np.exp(-(model.slope * x + model.offset)))
+    scale = np.std(x)
+    # the curve of the weakly penalised likelihood: its gradient is zero
+    assert abs(((y - p) * x / scale).sum() - 1e-2 * model.slope * scale) < 1e-4 and abs((y - p).sum() - 1e-6 * model.offset) < 1e-4
+    got = sorted((r.doc_id, r.score) for r in toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    want = sorted((i, 1 / (1 + np.exp(-(model.slope * d + model.offset)))) for i, d in differences)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
