@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.llm.rows import all_columns, numbered
 from nearfield.llm.shared_store import new_path, small_batches
 
 BUCKET_BYTES, MAX_BUCKETS, SEED = 16 << 20, 1 << 20, 20240501
@@ -40,17 +41,18 @@ def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int =
     """Writes all rows and columns to folder/shard=<n>/ with size, text_crc32 and slot; returns the table as written."""
     spark = small_batches(documents.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    added = ("size", "text_crc32", "shard", "slot", "__bucket", "__first", "__place")
-    rows = documents.select([documents[c] for c in documents.columns if c not in added])
-    rows = rows.withColumn("size", F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1)
-    rows = rows.withColumn("text_crc32", F.coalesce(F.crc32(F.col(text_col)), F.lit(0).cast("long")))
+    kept = documents.select(all_columns(documents, ("size", "text_crc32", "shard", "slot")))
+    rows = numbered(kept)
+    own_id, text = (F.col(f"c{kept.columns.index(c)}") for c in (id_col, text_col))
+    rows = rows.withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
+    rows = rows.withColumn("text_crc32", F.coalesce(F.crc32(text), F.lit(0).cast("long")))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, buckets = total["n"], min(MAX_BUCKETS, 1 + (total["bytes"] or 0) // BUCKET_BYTES)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), own_id, text), F.lit(buckets)).cast("int"))
     # a window over one row for each bucket, at most MAX_BUCKETS
     before = F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = rows.groupBy("__bucket").count().select("__bucket", before.cast("long").alias("__first"))
-    scattered = rows.join(F.broadcast(firsts), "__bucket").repartition(min(partitions, buckets), "__bucket").sortWithinPartitions("__bucket", id_col, "size", "text_crc32")
+    scattered = rows.join(F.broadcast(firsts), "__bucket").repartition(min(partitions, buckets), "__bucket").sortWithinPartitions("__bucket", own_id, "size", "text_crc32")
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -71,7 +73,7 @@ def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int =
     # shard s holds the places from ceil(s * n / shards) on
     shard = F.expr(f"least({shards - 1}, __place * {shards} div {max(n, 1)})")
     slot = F.expr(f"__place - (shard * {n} + {shards - 1}) div {shards}")
-    out = placed.withColumn("shard", shard.cast("int")).withColumn("slot", slot).drop("__place")
+    out = placed.withColumn("shard", shard.cast("int")).withColumn("slot", slot).drop("__place").toDF(*kept.columns, "size", "text_crc32", "shard", "slot")
     out.write.partitionBy("shard").parquet(folder)
     return spark.read.schema(out.schema).parquet(folder) if n else out.limit(0)
 

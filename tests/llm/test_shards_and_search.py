@@ -8,7 +8,7 @@ import pytest
 from tests.llm.corpora import odd_documents
 
 from nearfield.llm import pivot_search, shuffle_shards
-from nearfield.llm.pivot_search import ORACLE, best_in_block, exact_top_k
+from nearfield.llm.pivot_search import ORACLE, exact_top_k
 from nearfield.llm.shared_store import new_path
 from nearfield.llm.shuffle_shards import write_shards
 
@@ -52,21 +52,45 @@ def test_top_k_equals_sql(spark, monkeypatch):
     want = sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ORACLE})").fetchall())
     assert sorted(tuple(r) for r in exact_top_k(table).collect()) == want
     monkeypatch.setattr(pivot_search, "BLOCK_VECTORS", 100)
+    monkeypatch.setattr(pivot_search, "GROUP_VECTORS", 100)
+    monkeypatch.setattr(pivot_search, "CHUNK_BLOCKS", 7)
     monkeypatch.setattr(pivot_search, "BLOCK_QUERIES", 5)
     assert sorted(tuple(r) for r in exact_top_k(table).collect()) == want
     twice = exact_top_k(table.unionAll(table))
     assert sorted(tuple(r) for r in twice.collect()) == want
 
 
-def test_bounds_skip_candidates():
-    """On vectors that lie in clusters, most candidates are never scored."""
+def test_pivots_eliminate(spark):
+    """Of vectors without clusters as of clustered ones, most are never scored, and blocks of other clusters are never opened."""
     rng = np.random.default_rng(0)
-    centers = rng.integers(-200, 200, (40, 4)).astype(float)
-    points = centers[rng.integers(0, 40, 4000)] + rng.integers(-3, 3, (4000, 4))
-    points *= 200 / np.sqrt((points**2).sum(1, keepdims=True))
-    points = np.floor(points)
-    found, scored = best_in_block(points[:20], np.arange(20), points, np.arange(4000), centers[:32], 5)
-    assert len(found) == 100 and scored < 0.5 * 20 * 4000
+    centers = rng.normal(size=(8, 64))
+    for rows, most in ((rng.normal(size=(3000, 64)), 0.25), (centers[np.arange(3000) % 8] + rng.normal(size=(3000, 64)) / 50, 0.1)):
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+        scored = spark.sparkContext.accumulator(0)
+        whole = np.floor(256 * rows.astype(np.float32).astype(float)).astype(np.int64)
+        want = []
+        for q in range(0, 3000, 50):
+            own = whole @ whole[q]
+            own[q] = -(1 << 40)
+            best = np.lexsort((np.arange(3000), -own))[:5]
+            want += [(q, r + 1, int(x), int(own[x])) for r, x in enumerate(best)]
+        assert sorted(tuple(r) for r in exact_top_k(table, scored=scored).collect()) == want
+        assert 0 < scored.value < most * 60 * 3000, scored.value
+
+
+def test_any_finite_component(spark):
+    """Scores beyond 2^53 are exact, and one beyond a long is the nearest long."""
+    chance = random.Random(3)
+    rows = [(i, [chance.choice([1e5, 3e8, -2e7, 1e-3, 7.0]) * chance.random() for _ in range(4)]) for i in range(120)] + [(500, [1e20, 0.0, 0.0, 1.0]), (501, [1e20, 1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in exact:
+        if q % 50 == 0:
+            scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(exact[q], v)))), i) for i, v in exact.items() if i != q]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])]
+    assert sorted(tuple(r) for r in exact_top_k(table).collect()) == sorted(want)
 
 
 def test_no_vectors(spark):
