@@ -2,16 +2,20 @@ r"""Operator 10: benchmark decontamination by spaced-seed hashing, in DataFrame
 
 Texts are lower-cased and split into words ``[^\x20\x09-\x0D]+``.  An item is found in a document when the two,
 aligned without gaps, agree in at least 80 % of SPAN consecutive item words (of all its words, if it has fewer).
-Items of fewer than MIN_WORDS words say nothing about contamination and are left out.
+An item of fewer than WHOLE words is found where all its words stand one after another.
 
 Each mask reads five words and ignores the positions between them.  MASKS is lossless for this rule: for every
 span of 8 to 20 words and every placing of the substitutions that the rule allows, one of the masks fits somewhere
 without touching a substituted word (the tests go through all of them).  The hash of the masked words of every
-document position is looked up among the benchmark's; around each hit the words of both are compared.  All masks
-start with two neighbouring words, so positions whose two words begin no seed are dropped first.
+document position is looked up among the benchmark's; around each hit the words of both are compared.  An item of fewer
+than WHOLE words is one seed, of all its words.  All seeds start with two neighbouring words, so positions whose two words begin no
+seed are dropped first; items of one word are looked up by it.
 
-The documents aren't shuffled: the lookups are broadcast joins, over one block of items at a time, each of at most
-BLOCK_SEEDS seeds (about 50 MB) however large the benchmark is.  Only the found pairs are shuffled, to drop repetitions.
+Items are cut into pieces of at most PIECE words, which overlap so that each span lies whole in one.  A benchmark of at most
+BROADCAST_WORDS words in pieces (about 60 MB of seeds) is broadcast, and the documents aren't shuffled: only the found pairs are, to
+drop repetitions.  A larger benchmark meets the documents' seeds in one shuffle by seed; the hits, as one row for each document,
+piece and shift, then fetch the words of both and are compared in the same way.  Either way the documents are read a fixed number of
+times.
 
 Defined cases: null and empty texts, on either side, match nothing; repeated rows give one pair; a null doc_id or
 item_id is a value like any other; an empty table gives no rows; other columns are ignored.
@@ -19,13 +23,14 @@ item_id is a value like any other; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.rows import column, fingerprint, without
+from nearfield.llm.shared_store import written
+
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
-SPAN, MIN_WORDS, BLOCK_SEEDS = 20, 8, 500_000
+SPAN, WHOLE, PIECE, BROADCAST_WORDS = 20, 8, 512, 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -40,49 +45,75 @@ def _seed(words: str, at: str, mask: tuple[int, ...]) -> Column:
     return F.when(F.expr(f"{at} + {mask[-1]} < size({words})"), F.expr(f"xxhash64({read})"))
 
 
-def _seeds(words: str, at: str) -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("mask"), _seed(words, at, m).alias("seed")) for i, m in enumerate(MASKS)))
+def _seeds(words: str, at: str, masks: dict[int, tuple[int, ...]]) -> Column:
+    return F.array(*(F.struct(F.lit(number).alias("mask"), _seed(words, at, mask).alias("seed")) for number, mask in masks.items()))
 
 
-def benchmark_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id): the distinct pairs of documents and the items found in them."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words")).where(F.size("item_words") >= MIN_WORDS)
-    total = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    blocks = 1 + total * len(MASKS) // BLOCK_SEEDS
-    texts = documents.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
-    found = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_words"), F.lit(blocks)) == block) if blocks > 1 else items
-        found.append(_block_matches(texts, own))
-    pairs = reduce(DataFrame.unionAll, found).distinct()
-    return pairs.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))
-
-
-def _block_matches(texts: DataFrame, items: DataFrame) -> DataFrame:
-    placed = items.select("item_id", "item_words", F.posexplode("item_words").alias("item_at", "item_word"))
-    begins = placed.where("item_at + 1 < size(item_words)").select(F.expr("xxhash64(item_words[item_at], item_words[item_at + 1])").alias("begin")).distinct()
-    seeds = placed.select("item_id", "item_at", F.explode(_seeds("item_words", "item_at")).alias("s")).select("item_id", "item_at", F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed")).where("seed IS NOT NULL")
+def _pieces(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(piece, item_id, m, span, need, item_words): the items' pieces, m being the words of the whole item."""
+    items = benchmark.select(column(benchmark, item_id).alias("item_id"), words_of(column(benchmark, item_text)).alias("words")).where(F.size("words") > 0)
+    cut = items.select("item_id", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {SPAN}, 0), {PIECE - SPAN + 1})")).alias("start"))
+    span = F.least(F.lit(SPAN), F.col("m"))
+    cut = cut.select("item_id", F.size("words").alias("m"), F.expr(f"slice(words, start + 1, {PIECE})").alias("item_words"))
+    cut = cut.withColumn("span", span).withColumn("need", F.expr(f"if(m < {WHOLE}, m, (4 * span + 4) div 5)"))
+    return written(cut.withColumn("piece", F.monotonically_increasing_id()), "benchmark-pieces")
+
+
+def _matches(texts: DataFrame, keys: list[str], benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(keys..., item_id): the distinct pairs of texts(keys..., words) and items found in them."""
+    pieces = _pieces(benchmark, item_id, item_text)
+    known = pieces.agg(F.sum(F.size("item_words")).alias("words"), F.collect_set(F.when(F.col("m") < WHOLE, F.col("m"))).alias("short")).first()
+    small = (known["words"] or 0) <= BROADCAST_WORDS
+    hint = F.broadcast if small else lambda frame: frame
+    masks = {**dict(enumerate(MASKS)), **{-m: tuple(range(m)) for m in sorted(known["short"]) if m > 1}}
+
+    placed = pieces.where("m > 1").select("piece", "m", "item_words", F.posexplode("item_words").alias("item_at", "item_word")).where(f"m >= {WHOLE} OR item_at = 0")
+    seeds = placed.select("piece", "m", "item_at", F.expr("xxhash64(item_words[item_at], get(item_words, item_at + 1))").alias("begin"), F.explode(_seeds("item_words", "item_at", masks)).alias("s"))
+    seeds = seeds.select("piece", "item_at", "begin", "s.*").where(f"seed IS NOT NULL AND if(m < {WHOLE}, mask = -m, mask >= 0)" if known["short"] else "seed IS NOT NULL")
     # the outer form keeps Spark from splitting every text a second time in a filter below it
-    positions = texts.select("doc_id", "words", F.posexplode_outer("words").alias("at", "word")).where("at + 1 < size(words)")
-    positions = positions.withColumn("begin", F.expr("xxhash64(word, words[at + 1])")).join(F.broadcast(begins), "begin", "left_semi")
-    hashed = positions.select("doc_id", "words", "at", F.explode(_seeds("words", "at")).alias("s")).select("doc_id", "words", "at", F.col("s.mask").alias("mask"), F.col("s.seed").alias("seed"))
-    hits = hashed.join(F.broadcast(seeds), ["mask", "seed"]).join(F.broadcast(items), "item_id")
-    # a span that holds the hit starts at most SPAN - 1 words before it; the words are compared in that surrounding
-    return (
-        hits.withColumn("span", F.least(F.lit(SPAN), F.size("item_words")))
-        .withColumn("first", F.expr("greatest(0, item_at - span + 1)"))
-        .withColumn("last", F.expr("least(size(item_words), item_at + span) - 1"))
-        .withColumn("same", F.expr("transform(sequence(first, last), i -> int(coalesce(get(words, at - item_at + i) = item_words[i], false)))"))
-        .withColumn("need", F.expr("(4 * span + 4) div 5"))
+    positions = texts.select(*keys, "words", F.posexplode_outer("words").alias("at", "word")).where("at + 1 < size(words)")
+    positions = positions.withColumn("begin", F.expr("xxhash64(word, words[at + 1])"))
+    if small:
+        positions = positions.join(F.broadcast(seeds.select("begin").distinct()), "begin", "left_semi")
+    carried = [*keys, "words", "at"] if small else [*keys, "at"]
+    hashed = positions.select(*carried, F.explode(_seeds("words", "at", masks)).alias("s")).select(*carried, "s.*").where("seed IS NOT NULL")
+    hits = hashed.join(hint(seeds.drop("begin")), ["mask", "seed"])
+    if small:
+        # a span that holds the hit starts at most SPAN - 1 words before it; the words are compared in that surrounding
+        hits = hits.join(F.broadcast(pieces), "piece")
+        hits = hits.withColumn("first", F.expr("greatest(0, item_at - span + 1)")).withColumn("last", F.expr("least(size(item_words), item_at + span) - 1"))
+        hits = hits.withColumn("shift", F.expr("at - item_at"))
+    else:
+        shifts = hits.select(*keys, "piece", F.expr("at - item_at").alias("shift")).distinct().join(pieces, "piece")
+        same = F.lit(True)
+        for key in keys:
+            same = same & F.col(key).eqNullSafe(F.col(f"own_{key}"))
+        hits = shifts.join(texts.select(*(F.col(key).alias(f"own_{key}") for key in keys), "words"), same)
+        hits = hits.withColumn("first", F.lit(0)).withColumn("last", F.expr("size(item_words) - 1"))
+    found = (
+        hits.withColumn("same", F.expr("transform(sequence(first, last), i -> int(coalesce(get(words, shift + i) = item_words[i], false)))"))
         .where("aggregate(same, 0, (n, x) -> n + x) >= need")
         .where("exists(sequence(0, size(same) - span), o -> aggregate(slice(same, o + 1, span), 0, (n, x) -> n + x) >= need)")
-        .select("doc_id", "item_id")
+        .select(*keys, "item_id")
     )
+    if 1 in known["short"]:
+        single = pieces.where("m = 1").select("item_id", F.expr("item_words[0]").alias("word"))
+        found = found.unionAll(texts.select(*keys, F.explode(F.array_distinct("words")).alias("word")).join(hint(single), "word").select(*keys, "item_id"))
+    return found.distinct()
+
+
+def benchmark_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id): the distinct pairs of documents and the items found in them."""
+    texts = documents.select(column(documents, doc_id).alias("doc_id"), words_of(column(documents, text)).alias("words"))
+    return _matches(texts, ["doc_id"], benchmark, item_id, item_text).select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item is found.  Documents without doc_id stay."""
-    return documents.join(benchmark_matches(documents, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows in whose text no item is found, judged one by one, whatever their doc_id."""
+    own = fingerprint(column(documents, text))
+    texts = documents.select(own[0].alias("k0"), own[1].alias("k1"), words_of(column(documents, text)).alias("words"))
+    gone = written(_matches(texts, ["k0", "k1"], benchmark, "item_id", "text").select("k0", "k1").distinct(), "contaminated")
+    return without(documents, own, gone)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +125,12 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p
            FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents)),
 i AS (SELECT item_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS q
-      FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) >= 8),
-e AS (SELECT doc_id, item_id, m, least(20, m) AS span, p - q AS diagonal, q FROM d JOIN i USING (word)),
+      FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark)),
+e AS (SELECT doc_id, item_id, CASE WHEN m < 8 THEN m ELSE (4 * least(20, m) + 4) // 5 END AS need, p - q AS diagonal, q FROM d JOIN i USING (word)),
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS n FROM e),
 r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS inside
-      FROM c WHERE n >= (4 * span + 4) // 5)
-SELECT DISTINCT doc_id, item_id FROM r WHERE inside >= (4 * span + 4) // 5
+      FROM c WHERE n >= need)
+SELECT DISTINCT doc_id, item_id FROM r WHERE inside >= need
 """
 
 QUERIES = {"op10_decontamination": op10_decontamination}

@@ -1,15 +1,18 @@
 import itertools
 import math
 import random
+import re
 
+import pytest
+from pyspark.sql import functions as F
 from tests.llm.corpora import odd_documents
 
 import nearfield.llm.seed_decontamination as module
-from nearfield.llm.seed_decontamination import MASKS, MIN_WORDS, SPAN, benchmark_matches, decontaminate
+from nearfield.llm.seed_decontamination import MASKS, SPAN, WHOLE, benchmark_matches, decontaminate
 
 
 def test_masks_lose_nothing():
-    for length in range(MIN_WORDS, SPAN + 1):
+    for length in range(WHOLE, SPAN + 1):
         for wrong in itertools.combinations(range(length), length - math.ceil(0.8 * length)):
             assert any(not any(o + i in wrong for i in mask) for mask in MASKS for o in range(length - mask[-1]))
 
@@ -21,11 +24,13 @@ def brute_force(documents, items):
         for item_id, item in items:
             own = (item or "").lower().split()
             span = min(SPAN, len(own))
-            if len(own) < MIN_WORDS:
+            need = len(own) if len(own) < WHOLE else math.ceil(0.8 * span)
+            if not own or not set(own) & set(words):
                 continue
             for shift in range(-len(own), len(words)):
-                same = [0 <= shift + i < len(words) and words[shift + i] == own[i] for i in range(len(own))]
-                if any(sum(same[o : o + span]) * 5 >= 4 * span for o in range(len(own) - span + 1)):
+                both = range(max(0, -shift), min(len(own), len(words) - shift))
+                same = {i for i in both if words[shift + i] == own[i]}
+                if len(same) >= need and any(len(same.intersection(range(o, o + span))) >= need for o in range(len(own) - span + 1)):
                     found.add((doc_id, item_id))
                     break
     return found
@@ -48,19 +53,45 @@ def cases():
     return documents, items
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def short_cases():
+    """Documents and items of any length, a null item_id, a long item, and rows that share a doc_id with different texts."""
     documents, items = cases()
-    docs = odd_documents(spark, [t for _, t in documents])
+    texts = [t for _, t in documents]
+    texts += ["x y seven words in a row stand z", "seven words in a row stand", "tail is lone", "lone", "two words here", "words two", " ".join(items[24][1].split() * 80)]
+    items = [*items, (93, "lone"), (94, "two words"), (95, "seven words in a row stand"), (None, items[3][1]), (96, " ".join(f"w{i}" for i in range(1500)))]
+    texts += [" ".join(f"w{i}" if i % 6 else "changed" for i in range(700, 730)), " ".join(f"w{i}" for i in range(490, 512))]
+    return texts, items
+
+
+@pytest.mark.parametrize("broadcast_words", [module.BROADCAST_WORDS, 0])
+def test_equals_brute_force(spark, monkeypatch, broadcast_words):
+    """With the benchmark broadcast, and with a larger one than may be."""
+    monkeypatch.setattr(module, "BROADCAST_WORDS", broadcast_words)
+    texts, items = short_cases()
+    docs = odd_documents(spark, texts).unionByName(odd_documents(spark, texts[:40]).selectExpr("doc_id + 3 AS doc_id", "* EXCEPT (doc_id)"))
     bench = spark.createDataFrame([(a, b, "w") for a, b in items], "item_id long, text string, words string")
-    want = brute_force([(r.doc_id, r.text) for r in docs.collect()], items)
-    assert 20 < len(want) < 119
-    assert {tuple(r) for r in benchmark_matches(docs, bench).collect()} == want
-    monkeypatch.setattr(module, "BLOCK_SEEDS", 300)  # many blocks of items
+    rows = docs.collect()
+    want = brute_force([(r.doc_id, r.text) for r in rows], items)
+    assert len(want) > 40 and {None, 93, 94, 95, 96} <= {i for _, i in want}
     got = [tuple(r) for r in benchmark_matches(docs, bench).collect()]
     assert set(got) == want and len(got) == len(want)
-    kept = decontaminate(docs, bench)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in docs.collect() if r.doc_id not in {d for d, _ in want})
+    # rows are judged by their own text, whatever other rows of the same doc_id hold
+    kept = decontaminate(docs.withColumn("a.b", F.lit(1)), bench)
+    assert kept.columns == [*docs.columns, "a.b"]
+    clean = [r for r in rows if not brute_force([(r.doc_id, r.text)], items)]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
+    assert sorted(map(key, kept.collect())) == sorted(map(key, clean))
+
+
+def test_documents_are_read_a_fixed_number_of_times(spark, monkeypatch, tmp_path):
+    texts, items = short_cases()
+    odd_documents(spark, texts).select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for limit, scans in ((module.BROADCAST_WORDS, 2), (300, 2)):  # one of them for items of one word; two for seeds and words
+        monkeypatch.setattr(module, "BROADCAST_WORDS", limit)
+        plan = benchmark_matches(docs, bench.where("length(text) > 6"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("doc_id#") and len(re.findall(r"Relation \[doc_id", plan)) <= scans
 
 
 def test_empty(spark):
