@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import count_min
 from nearfield.llm.components import connected_components
+from nearfield.llm.rows import MAX_BROADCAST_KEYS, all_columns, column, fingerprint, quoted, without
 from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, window_hashes, word_hashes, word_spans
 
@@ -86,7 +87,9 @@ def token_sketch(texts: DataFrame, text_bytes_total: int) -> count_min.Sketch:
 
 
 def _sets(texts: DataFrame, sketch) -> DataFrame:
-    """(doc_id, n, set, tokens, prefix, least); the last three are null for documents that can't link to another set."""
+    """(doc_id, k0, k1, n, set, tokens, prefix, least); the last three are null for documents that can't link to another set.
+
+    texts holds doc_id, text, and the text's fingerprint k0, k1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +114,10 @@ def _sets(texts: DataFrame, sketch) -> DataFrame:
                     tokens.append(own.tobytes())
                     prefixes.append(own[order][shared[mine][order]].view(np.int64))
                     least.append(own[:LEAST].view(np.int64))
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, least))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "set", "tokens", "prefix", "least"])
+                arrays = [part.column(0), part.column(2), part.column(3), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, least))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k0", "k1", "n", "set", "tokens", "prefix", "least"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, set binary, tokens binary, prefix array<long>, least array<long>")
+    return texts.mapInArrow(run, "doc_id long, k0 long, k1 long, n long, set binary, tokens binary, prefix array<long>, least array<long>")
 
 
 def _array(packed) -> np.ndarray:
@@ -202,10 +205,12 @@ def _links(sets: DataFrame) -> DataFrame:
     return queries.groupBy("part", "slice").cogroup(opened.groupBy("part", "slice")).applyInArrow(search, "a binary, b binary")
 
 
-def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row."""
+def _grouped_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k0, k1, n, first) for each row: first is the least (doc_id, k0, k1) of its component."""
     spark = small_batches(documents.sparkSession)
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = column(documents, text_col).cast("string")
+    hashes = fingerprint(column(documents, text_col))
+    texts = documents.select(column(documents, id_col).cast("long").alias("doc_id"), text.alias("text"), *(h.alias(f"k{i}") for i, h in enumerate(hashes)))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = written(_sets(texts, spark.sparkContext.broadcast(token_sketch(texts, total))), "sets")
     identified = rows.where("doc_id IS NOT NULL")
@@ -214,18 +219,43 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(_grouped(sets), "set-groups")
     roots = connected_components(_links(sets))
     groups = roots.select(F.col("node").alias("set"), F.col("root").alias("grp"))
-    firsts = identified.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first")).join(groups, "set", "left").withColumn("grp", F.coalesce("grp", "set"))
-    smallest = firsts.groupBy("grp").agg(F.min("first").alias("component_id"))
-    components = firsts.select("set", "grp").join(smallest, "grp").select("set", "component_id")
-    out = rows.select("doc_id", "n", "set").join(components, "set", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    firsts = identified.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "k0", "k1")).alias("first")).join(groups, "set", "left").withColumn("grp", F.coalesce("grp", "set"))
+    smallest = firsts.groupBy("grp").agg(F.min("first").alias("first"))
+    components = firsts.select("set", "grp").join(smallest, "grp").select("set", "first")
+    return rows.select("doc_id", "k0", "k1", "n", "set").join(components, "set", "left").drop("set")
+
+
+def similar_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row."""
+    rows = _grouped_rows(documents, id_col, text_col)
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
 def one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest doc_id of their component; rows without doc_id stay."""
-    others = similar_groups(documents, id_col, text_col).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return documents.join(others, id_col, "left_anti").select(documents.columns)
+    """The documents without the rows that another row of their component stands for.
+
+    Of a component one row stays, one with its smallest doc_id: where rows of that doc_id differ in their texts, the one whose text's
+    fingerprint is least, and where they don't, any one of these repeated rows.  Rows without doc_id or words stay.
+    """
+    linked = _grouped_rows(documents, id_col, text_col).where("n > 0 AND doc_id IS NOT NULL")
+    keys = linked.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("rows"), F.any_value("first").alias("first"))
+    chosen = F.expr("doc_id = first.doc_id AND k0 = first.k0 AND k1 = first.k1")
+    gone = written(keys.where(~chosen | (F.col("rows") > 1)).select("doc_id", "k0", "k1", chosen.alias("repeated")), "linked-rows")
+    own = [column(documents, id_col).cast("long"), *fingerprint(column(documents, text_col))]
+    kept = without(documents, own, gone.drop("repeated"))
+    repeated = gone.where("repeated").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "k0", "k1")))
+    n = repeated.count()
+    if not n:
+        return kept
+    if n <= MAX_BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    names = [repeated[c] for c in repeated.columns]
+    again = documents.join(repeated, (own[0] == names[0]) & (own[1] == names[1]) & (own[2] == names[2]))
+    again = again.select(*(c.alias(f"k{i}") for i, c in enumerate(names)), F.struct(*all_columns(documents)).alias("row"))
+    # each task sends one row of each key
+    one = again.groupBy("k0", "k1", "k2").agg(F.first("row").alias("row"))
+    return kept.unionAll(one.select(*(F.expr(f"row.{quoted(c)}").alias(c) for c in documents.columns)))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

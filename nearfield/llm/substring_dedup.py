@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nearfield.llm import count_min
+from nearfield.llm.rows import all_columns, numbered
 from nearfield.llm.shared_store import small_batches
 from nearfield.llm.text_kernels import slices, text_bytes, window_hashes, word_hashes, word_spans
 
@@ -158,22 +159,24 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents with n_words, n_removed and kept_text (the words left, joined by one space)."""
     spark = small_batches(documents.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    added = ("n_words", "n_removed", "kept_text", "__block")
-    rows = documents.select([documents[c] for c in documents.columns if c not in added])
-    texts = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = documents.select(all_columns(documents, ("n_words", "n_removed", "kept_text")))
+    doc_at, text_at = kept.columns.index(id_col), kept.columns.index(text_col)
+    rows = numbered(kept)
+    doc_name, text_name = rows.columns[doc_at], rows.columns[text_at]
+    texts = rows.select(F.col(doc_name).cast("long").alias("doc_id"), F.col(text_name).cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(partitions, 1 + total // BLOCK_BYTES)
     buckets = 2 * blocks
     sketch = spark.sparkContext.broadcast(key_sketch(texts, total))
-    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")).repartition(blocks, "__block")
-    text_at, doc_at, block_at = (blocked.columns.index(c) for c in (text_col, id_col, "__block"))
+    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(doc_name, text_name), F.lit(blocks)).cast("int")).repartition(blocks, "__block")
+    block_at = len(rows.columns)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = batch.column(block_at).to_numpy()
             for block in np.unique(of):
                 own = batch.filter(pa.array(of == block))
-                for part in slices(own, text_col):
+                for part in slices(own, text_name):
                     h1, h2, docs, _ = _Windows(part, text_at, doc_at).suspects(sketch.value)
                     order, first, _ = _smallest(h1, h2, docs)
                     once = order[first]
@@ -192,7 +195,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         held, found = [], []
         for batch in left.combine_chunks().to_batches():
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_name):
                 own = _Windows(part, text_at, doc_at)
                 held.append((part, own.ranges, len(own.starts)))
                 found.append(own.suspects(sketch.value))
@@ -220,7 +223,8 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     returned = blocked.mapInArrow(suspects, _ENTRIES).groupBy("bucket").applyInArrow(answers, "__block int, bucket int, h1 binary, h2 binary, docs binary")
-    return blocked.groupBy("__block").cogroup(returned.groupBy("__block")).applyInArrow(cut, schema)
+    out = blocked.groupBy("__block").cogroup(returned.groupBy("__block")).applyInArrow(cut, schema)
+    return out.toDF(*kept.columns, "n_words", "n_removed", "kept_text")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.letter_tables import TableModel, compared, table_model
+from nearfield.llm.rows import numbered
 from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, word_hashes, word_spans
 
@@ -353,18 +354,19 @@ def _predicted(out: DataFrame, id_col: str, threshold: float) -> DataFrame:
 
 def without_toxic(documents: DataFrame, model: Model | TableModel, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold; with the whole model broadcast, in one pass without a shuffle."""
+    own, at = numbered(documents), documents.columns.index("text")
     if isinstance(model, TableModel):
-        rows, x = _compared(documents, model, documents.columns)
-        return rows.join(x.where(model.score(F.col("x")) >= threshold), "__row", "left_anti").select(documents.columns)
+        rows, x = _compared(own.withColumn("text", F.col(f"c{at}")), model, own.columns)
+        kept = rows.join(x.where(model.score(F.col("x")) >= threshold), "__row", "left_anti").select(own.columns)
+        return kept.toDF(*documents.columns)
     shared = small_batches(documents.sparkSession).sparkContext.broadcast(model)
-    at = documents.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, f"c{at}"):
                 yield part.filter(pc.less(pa.array(shared.value.scores(part.column(at))), threshold))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return own.mapInArrow(keep, own.schema).toDF(*documents.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ def make_corpus(spark, folder):
             if i % 22 and len(words) > 20:
                 words[3] = "changed"
         texts.append(" ".join(words))
-        labels.append((i, int(chance.random() < 0.5), int(toxic)))
+        # copies of toxic texts are labelled as these are
+        labels.append((i, int(chance.random() < 0.5), int(any(w.startswith(("grumbo", "vexlot")) for w in words))))
     texts += ["", None, "  two  words ", texts[0], texts[1]]
     rows = [(i, t, "en", f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)] + [(None, texts[2], "en", None, 3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -63,6 +64,41 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in got)
 
 
+def test_stages_judge_rows(spark, tmp_path):
+    """Rows that share a doc_id with another text are judged by their own; repeated rows leave one; odd column names survive."""
+    folder = str(tmp_path)
+    item = make_corpus(spark, folder)
+    chance = random.Random(5)
+    text = lambda: " ".join("".join(chance.choices("abcdefgh", k=4)) for _ in range(60))
+    a, b, c, d, long = text(), text(), text(), text(), " ".join(text() for _ in range(17_000))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (4, d), (4, f"{d} {' '.join(item)}"), (5, ""), (5, ""), (6, None), (None, a), (None, f"{d} {' '.join(item)}"), (7, long), (8, long + " more"), (7, b + " tail")]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, `a.b` string, N_words int, Kept_Text int, k0 int")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, folder)
+    assert kept.columns == docs.columns
+    want = [(1, a), (2, b), (3, c), (4, d), (4, rows[7][1]), (5, ""), (5, ""), (6, None), (None, a), (None, rows[12][1]), (7, long)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    clean = stages["benchmark"](spark, docs, folder)
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted((r for r in rows if " ".join(item) not in (r[1] or "")), key=key)
+    cut = stages["repeated_passages"](spark, docs, folder)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    assert {(r["a.b"], r.N_words, r.Kept_Text, r.k0) for r in cut.collect()} == {("x", 1, 2, 3)}
+    assert sum(r.text == "" for r in cut.collect() if r.doc_id == 2) == 1
+    assert stages["toxicity"](spark, docs, folder).count() <= len(rows)
+    assert stages["tokens"](spark, docs, folder).count() == len(rows)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    make_corpus(spark, folder)
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     folder = str(tmp_path)
     make_corpus(spark, folder)
