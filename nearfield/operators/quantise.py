@@ -51,7 +51,7 @@ def balanced_groups(points: np.ndarray, groups: int, seed: int = 0, rounds: int
     groups = min(groups, len(points))
     centers, own = k_means(points, groups, seed), np.zeros(len(points), dtype=int)
     for _ in range(rounds):
-        distances = ((points[:, None, :] - centers[None]) ** 2).sum(2)
+        distances = (points**2).sum(1)[:, None] + (centers**2).sum(1)[None, :] - 2 * points @ centers.T
         room = np.full(groups, len(points) // groups)
         room[: len(points) % groups] += 1
         new, left = np.full(len(points), -1), len(points)
@@ -89,55 +89,64 @@ class ProductQuantiser:
     def tables(self, points: np.ndarray) -> np.ndarray:
         """(points, parts, codes): squared distances of each part to each of its centres."""
         parts = np.split(_padded(points, len(self.centers)), len(self.centers), axis=1)
-        return np.stack([((p[:, None, :] - c[None]) ** 2).sum(2) for p, c in zip(parts, self.centers)], axis=1)
+        squares = [(p**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * p @ c.T for p, c in zip(parts, self.centers)]
+        return np.maximum(np.stack(squares, axis=1), 0)
 
 
 def _padded(points: np.ndarray, parts: int) -> np.ndarray:
     return np.pad(points, ((0, 0), (0, -points.shape[1] % parts)))
 
 
-def _with_column(data: DataFrame, vector: str, name: str, kind: str, make) -> DataFrame:
-    """data with a column made from whole batches of vectors."""
-    at = data.columns.index(vector)
+def vector_batches(batches: Iterator[pa.RecordBatch], at: int, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Pieces of the batches, of so many rows that the working arrays stay small, with their vectors as a matrix."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            batch = whole.slice(start, rows)
+            yield batch, batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
+def _with_columns(data: DataFrame, vector: str, kinds: str, make) -> DataFrame:
+    """data with columns (as a schema string) that make gives for the vectors of a batch."""
+    at, added = data.columns.index(vector), T._parse_datatype_string(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                vectors = batch.column(at)
-                points = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, make(points)], names=[*batch.schema.names, name])
+        for batch, points in vector_batches(batches, at):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *make(points)], names=[*batch.schema.names, *added.names])
 
-    return data.mapInArrow(run, T.StructType([*data.schema, T.StructField(name, T._parse_datatype_string(kind))]))
+    return data.mapInArrow(run, T.StructType([*data.schema, *added]))
 
 
 def with_codes(data: DataFrame, quantiser: ProductQuantiser, vector: str = "vec") -> DataFrame:
-    """data with codes array<int>."""
+    """data with codes array<int> and err, the vector's distance from what the codes stand for."""
 
-    def make(points: np.ndarray) -> pa.Array:
+    def make(points: np.ndarray) -> list[pa.Array]:
         codes = quantiser.encode(points).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel()))
+        coded = np.concatenate([c[codes[:, i]] for i, c in enumerate(quantiser.centers)], axis=1)
+        err = np.linalg.norm(_padded(points, len(quantiser.centers)) - coded, axis=1)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel())), pa.array(err)]
 
-    return _with_column(data, vector, "codes", "array<int>", make)
+    return _with_columns(data, vector, "codes array<int>, err double", make)
 
 
 def with_tables(queries: DataFrame, quantiser: ProductQuantiser, vector: str = "qvec") -> DataFrame:
     """queries with lut array<array<double>>."""
 
-    def make(points: np.ndarray) -> pa.Array:
-        return pa.array(quantiser.tables(points).tolist(), pa.list_(pa.list_(pa.float64())))
+    def make(points: np.ndarray) -> list[pa.Array]:
+        return [pa.array(quantiser.tables(points).tolist(), pa.list_(pa.list_(pa.float64())))]
 
-    return _with_column(queries, vector, "lut", "array<array<double>>", make)
+    return _with_columns(queries, vector, "lut array<array<double>>", make)
 
 
-def with_nearest(data: DataFrame, centers: np.ndarray, name: str, vector: str = "vec", cosine: bool = False) -> DataFrame:
-    """data with the number of each vector's nearest centre."""
+def with_nearest(data: DataFrame, centers: np.ndarray, name: str, vector: str = "vec", cosine: bool = False, far: str | None = None) -> DataFrame:
+    """data with the number of each vector's nearest centre, and its distance from it if far names a column for that."""
 
-    def make(points: np.ndarray) -> pa.Array:
+    def make(points: np.ndarray) -> list[pa.Array]:
         if cosine:
             points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-        return pa.array(nearest(points, centers).astype(np.int32))
+        own = nearest(points, centers)
+        return [pa.array(own.astype(np.int32)), *([pa.array(np.linalg.norm(points - centers[own], axis=1))] if far else [])]
 
-    return _with_column(data, vector, name, "int", make)
+    return _with_columns(data, vector, f"{name} int" + (f", {far} double" if far else ""), make)
 
 
 def code_tables(queries: DataFrame, centers: DataFrame, parts: int, vector: str = "qvec") -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from nearfield.functions.filters import Divide, Interval, IntervalMap, Shift, inside, range_middle, with_bounds
 from nearfield.functions.grids import coordinate, flattened, morton_code, morton_coordinates, unflattened
 from nearfield.functions.vectors import cosine_distance, looked_up, squared_l2
-from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, expanded, intersecting, prefix_sums
+from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, intersecting, prefix_sums
 from nearfield.operators.metrics import recall
 from nearfield.operators.quantise import code_tables, part_of
 from nearfield.operators.range_join import label_extent, range_join
+from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
-from nearfield.plans.indexes import Params, exact, ranked, search
+from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, ranked, reach_of, refined, search, until_k_pass
+from nearfield.sources.lineage import new_folder
 
 K = 10
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,33 +129,41 @@ def soft_filter_topk(spark, sf_dir):
     return _rounded(ranked(pairs, K))
 
 
-# A codebook kept as data, so that SQL can check quantised distances: the parts of eight vectors are the centres.
-_PARTS, _CODES = 4, 8
+# A codebook kept as data, so that SQL can check quantised distances: the parts of the mean vectors of the label's values are the
+# centres, over all rows.
+_PARTS = 4
+
+
+def centroids(data: DataFrame) -> DataFrame:
+    """(code, center): the mean vector of each value of the first label."""
+    each = data.select(F.col("l0").cast("int").alias("code"), F.posexplode("vec").alias("at", "x")).groupBy("code", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return each.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda c: c["x"]).alias("center"))
 
 
 def codebook(data: DataFrame) -> DataFrame:
     """(part, code, center)."""
     parts = F.sequence(F.lit(0), F.lit(_PARTS - 1))
-    return data.where(F.col("id") < _CODES).select(F.col("id").cast("int").alias("code"), "vec", F.explode(parts).alias("part")).select("part", "code", part_of(F.col("vec"), F.col("part"), _PARTS).alias("center"))
+    return centroids(data).select("code", "center", F.explode(parts).alias("part")).select("part", "code", part_of(F.col("center"), F.col("part"), _PARTS).alias("center"))
 
 
 def coded(data: DataFrame, centers: DataFrame) -> DataFrame:
-    """(id, codes): the nearest centre of each part, the smaller code on ties."""
+    """(id, codes, err): the nearest centre of each part, the smaller code on ties, and the row's distance from what they stand for."""
     near = data.select("id", "vec").join(F.broadcast(centers)).select("id", "part", F.struct(squared_l2(part_of(F.col("vec"), F.col("part"), _PARTS), F.col("center")).alias("d"), "code").alias("c"))
-    near = near.groupBy("id", "part").agg(F.min("c").alias("c")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "c.code"))).alias("all"))
-    return near.select("id", F.col("all.code").alias("codes"))
+    near = near.groupBy("id", "part").agg(F.min("c").alias("c")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "c.code"))).alias("all"), F.sqrt(F.sum("c.d")).alias("err"))
+    return near.select("id", F.transform("all.code", lambda code: code).alias("codes"), "err")
 
 
 def adc_pairs(data: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, distance) of all queries and rows by codes."""
+    """(qid, id, distance, err) of all queries and rows by codes; the label's values must be 0, 1, 2..., which number the centres."""
     centers = codebook(data)
     rows = code_tables(queries, centers, _PARTS).groupBy("qid", "part").agg(F.sort_array(F.collect_list(F.struct("code", "distance"))).alias("row"))
     tables = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("part", F.col("row.distance").alias("row")))).alias("all")).select("qid", F.col("all.row").alias("lut"))
-    return range_join(coded(data, centers), tables, []).select("qid", "id", looked_up("lut", "codes").alias("distance"))
+    return range_join(coded(data, centers), tables, []).select("qid", "id", looked_up("lut", "codes").alias("distance"), "err")
 
 
 _PART = "vec[part * len(vec) // 4 + 1:(part + 1) * len(vec) // 4]"
-_CB = f"""c AS (SELECT id AS code, part, {_PART} AS center FROM d, range(4) r(part) WHERE id < 8),
+_CENTROIDS = """m AS (SELECT code, list(x ORDER BY place) AS vec FROM (SELECT l0::INTEGER AS code, place, avg(x::DOUBLE) AS x FROM (SELECT l0, unnest(vec) AS x, generate_subscripts(vec, 1) AS place FROM d) GROUP BY ALL) GROUP BY code)"""
+_CB = f"""{_CENTROIDS}, c AS (SELECT code, part, {_PART} AS center FROM m, range(4) r(part)),
 lut AS (SELECT qid, part, code, {_L2.format(a="own", b="center")} AS distance FROM (SELECT qid, part, qvec[part * len(qvec) // 4 + 1:(part + 1) * len(qvec) // 4] AS own FROM q, range(4) r(part)) JOIN c USING (part))"""
 _ADC = f"""{_CB},
 e AS (SELECT id, part, first(code ORDER BY dd, code) AS code FROM (SELECT v.id, part, code, {_L2.format(a="own", b="center")} AS dd
@@ -167,44 +177,37 @@ def pq_lut(spark, sf_dir):
     return _rounded(code_tables(asked(data), codebook(data), _PARTS))
 
 
-@_register("pq_adc_topk", f"WITH {_D}, {_ADC} SELECT qid, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INTEGER AS rank FROM a) WHERE rank <= {K}")
-def pq_adc_topk(spark, sf_dir):
+@_register("pq_adc_distances", f"WITH {_D}, {_ADC} SELECT qid, id, round(distance, 6) AS distance FROM a")
+def pq_adc_distances(spark, sf_dir):
     data = vectors(spark, sf_dir)
-    return _rounded(ranked(adc_pairs(data, asked(data)), K).drop("neighbor"))
-
+    return _rounded(adc_pairs(data, asked(data)).drop("err"))
 
-_ADC_BEST = "b AS (SELECT qid, id FROM a QUALIFY rank() OVER (PARTITION BY qid ORDER BY round(distance, 9)) <= 50)"
 
-
-@_register("refine_topk", f"WITH {_D}, {_ADC}, {_ADC_BEST} " + _ranked_sql(f"SELECT b.qid, b.id, {_DISTANCE} AS distance FROM b JOIN q USING (qid) JOIN d USING (id)"))
+@_register("refine_topk", _exact_sql("TRUE"))
 def refine_topk(spark, sf_dir):
-    """The best by codes (with all that tie with the last of them), ranked by their exact distances."""
-    from pyspark.sql import Window
-
+    """The best by codes give a reach; all rows that their codes can't put beyond it are ranked by their exact distances."""
     data = vectors(spark, sf_dir)
     queries = asked(data)
-    place = F.rank().over(Window.partitionBy("qid").orderBy(F.round("distance", 9)))
-    best = adc_pairs(data, queries).withColumn("place", place).where("place <= 50").select("qid", "id")
-    pairs = best.join(data, "id").join(queries, "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
-    return _rounded(ranked(pairs, K))
-
+    scored = adc_pairs(data, queries)
+    reach = reach_of(refined(top_k(scored, 5 * K), data, queries, K), queries, K)
+    return _rounded(refined(not_ruled_out(scored, reach), data, queries, K))
 
-_LISTS = f"""c AS (SELECT id AS list, vec AS center FROM d WHERE id < 8),
-e AS (SELECT d.id, first(list ORDER BY {_L2.format(a="d.vec", b="center")}, list) AS list FROM d, c GROUP BY d.id),
-p AS (SELECT qid, list FROM (SELECT qid, list, row_number() OVER (PARTITION BY qid ORDER BY {_L2.format(a="q.qvec", b="center")}, list) AS r FROM q, c) WHERE r <= 3)"""
 
-
-@_register("ivf_probe_topk", f"WITH {_D}, {_LISTS} " + _ranked_sql(f"SELECT q.qid, d.id, {_DISTANCE} AS distance FROM p JOIN e USING (list) JOIN q USING (qid) JOIN d USING (id)"))
+@_register("ivf_probe_topk", _exact_sql("TRUE"))
 def ivf_probe_topk(spark, sf_dir):
-    """Eight vectors are the lists' centres; a query reads its three nearest lists."""
+    """The label's mean vectors are the lists' centres; a query reads its three nearest lists, and then those within reach."""
     data = vectors(spark, sf_dir)
     queries = asked(data)
-    centers = F.broadcast(data.where("id < 8").select(F.col("id").alias("list"), F.col("vec").alias("center")))
-    own = data.join(centers).select("id", "vec", F.struct(squared_l2("vec", "center").alias("d"), "list").alias("c"))
-    lists = own.groupBy("id").agg(F.first("vec").alias("vec"), F.min("c.list").alias("any"), F.min("c").alias("c")).select("id", "vec", F.col("c.list").alias("list"))
-    near = queries.join(centers).select("qid", "qvec", F.col("list").alias("id"), squared_l2("qvec", "center").alias("distance"))
-    probes = top_k(near, 3).select("qid", "qvec", F.col("id").alias("list"))
-    return _rounded(ranked(lists.join(probes, "list").select("qid", "id", squared_l2("qvec", "vec").alias("distance")), K))
+    centers = F.broadcast(centroids(data).withColumnRenamed("code", "list"))  # one row for each value of a label
+    own = data.join(centers).select("id", F.struct(squared_l2("vec", "center").alias("d"), "list").alias("c")).groupBy("id").agg(F.min("c").alias("c"))
+    lists = data.select("id", "vec").join(own.select("id", F.col("c.list").alias("list"), F.sqrt("c.d").alias("far")), "id")
+    near = queries.join(centers).select("qid", F.col("list").alias("id"), squared_l2("qvec", "center").alias("distance"))
+    probes = top_k(near, 3).select("qid", F.col("id").alias("list"))
+    pairs = lists.drop("far").join(probes, "list").join(queries.select("qid", "qvec"), "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+    reach = reach_of(ranked(pairs, K), queries, K)
+    known = lists.groupBy("list").agg(F.max("far").alias("radius")).join(centers, "list")
+    rest = lists.drop("far").join(opened(queries.select("qid", "qvec"), known, [], reach), "list").join(queries.select("qid", "qvec"), "qid")
+    return _rounded(ranked(rest.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), K))
 
 
 @_register("cosine_topk", f"WITH {_D} " + _ranked_sql("SELECT q.qid, d.id, 1 - list_sum([x::DOUBLE * d.vec[i]::DOUBLE for x, i in q.qvec]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in q.qvec])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in d.vec]))) AS distance FROM q, d").replace("round(distance, 6)", "abs(round(distance, 6))"))
@@ -214,12 +217,28 @@ def cosine_topk(spark, sf_dir):
     return _rounded(ranked(range_join(data, asked(data), []).select("qid", "id", cosine_distance("qvec", "vec").alias("distance")), K)).withColumn("distance", F.abs("distance"))
 
 
-@_register("postfilter_topk", f"WITH {_D}, f AS ({_ranked_sql(f'SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q, d', 40).replace('id AS neighbor', 'id').replace('round(distance, 6) AS distance', 'distance')}) " + _ranked_sql(f"SELECT f.qid, f.id, f.distance FROM f JOIN q USING (qid) JOIN d USING (id) WHERE {_MULTI_SQL}"))
+@_register("postfilter_topk", _exact_sql(_MULTI_SQL))
 def postfilter_topk(spark, sf_dir):
-    """Four times k nearest rows first, filters after: may give fewer than k."""
+    """Four times k nearest rows first, filters after, and twice as many for queries of which too few passed."""
     data, queries, labels = _case(spark, sf_dir, "multi")
     pairs = range_join(data, queries, []).select("qid", "id", squared_l2("qvec", "vec").alias("distance"), F.coalesce(inside(labels), F.lit(False)).alias("fits"))
-    return _rounded(ranked(top_k(pairs, 4 * K).where("fits").drop("rank"), K))
+    return _rounded(until_k_pass(pairs, queries, K, 4 * K))
+
+
+@_register("farthest_topk", f"""WITH {_D} SELECT qid, rank, id AS neighbor, round(distance, 6) AS distance FROM
+(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance DESC, id)::INTEGER AS rank FROM (SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q, d)) WHERE rank <= {K}""")
+def farthest_topk(spark, sf_dir):
+    """The k largest."""
+    data = vectors(spark, sf_dir)
+    pairs = range_join(data, asked(data), []).select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+    return _rounded(top_k(pairs, K, largest=True).select("qid", "rank", F.col("id").alias("neighbor"), "distance"))
+
+
+@_register("sort_by_key", "SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS place, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
+def sort_by_key(spark, sf_dir):
+    """Each row's place in the order of a key, by ranges of the key: no task sees all rows."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return with_places(rows, rows.columns).drop("l_shipdate")
 
 
 @_register("partial_topk_merge", _exact_sql("TRUE"))
@@ -368,13 +387,21 @@ def zrange_candidates(spark, sf_dir):
     return pairs.groupBy("qid").agg(F.sum("cnt").alias("in_range"), F.coalesce(F.sum(F.when(F.expr(_IN_BOX), F.col("cnt"))), F.lit(0)).alias("in_box"))
 
 
+@_register("grid_compressed_sums", f"""WITH {_G}, {_DENSE}, p AS (SELECT x.c0, x.c1, x.c2, coalesce(sum(n.cnt), 0)::BIGINT AS cum FROM x LEFT JOIN n ON n.c0 <= x.c0 AND n.c1 <= x.c1 AND n.c2 <= x.c2 GROUP BY ALL)
+SELECT * FROM p QUALIFY lag(cum) OVER (PARTITION BY c0, c1 ORDER BY c2) IS DISTINCT FROM cum""")
+def grid_compressed_sums(spark, sf_dir):
+    """The prefix sums without cells that repeat the one below."""
+    return compressed(prefix_sums(cell_counts(placed(spark, sf_dir), _AXES), _AXES, _SHAPE), _AXES)
+
+
 @_register("sorted_bound_counts", "SELECT q.lo, count(*) FILTER (value < q.lo) AS first, count(*) FILTER (value <= q.lo + 50) AS last FROM (SELECT DISTINCT p_size * 7.0::DOUBLE AS lo FROM part) q, events GROUP BY q.lo")
 def sorted_bound_counts(spark, sf_dir):
     """Where an interval's ends fall in the sorted values, for an interval from each part size."""
     ends = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") * F.lit(7.0)).alias("lo")).distinct()
-    values = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("value").count()
-    pairs = values.join(F.broadcast(ends))
-    return pairs.groupBy("lo").agg(F.coalesce(F.sum(F.when(F.col("value") < F.col("lo"), F.col("count"))), F.lit(0)).alias("first"), F.coalesce(F.sum(F.when(F.col("value") <= F.col("lo") + 50, F.col("count"))), F.lit(0)).alias("last"))
+    values = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").cast("double").alias("value"))
+    both = ends.select("lo", F.explode(F.array(F.struct(F.col("lo").alias("end"), F.lit(False).alias("closed")), F.struct((F.col("lo") + 50).alias("end"), F.lit(True).alias("closed")))).alias("e")).select("lo", "e.*")
+    counted = ranks(values, "value", both, "end", "closed")
+    return counted.groupBy("lo").agg(F.max(F.when(~F.col("closed"), F.col("below"))).alias("first"), F.max(F.when(F.col("closed"), F.col("below"))).alias("last"))
 
 
 @_register("segment_expand", "SELECT o_orderkey, unnest(range(o_custkey, o_custkey + o_orderkey % 5)) AS position FROM orders")
@@ -383,9 +410,9 @@ def segment_expand(spark, sf_dir):
     return expanded(segments).select("o_orderkey", "position")
 
 
-# --- strategies, with settings at which each must give the exact result --------------------------------------------------
+# --- strategies, at usual settings: the second step of each makes its result exact ---------------------------------------
 
-_ALL = Params(k=K, codes=16, keep=1000, keep_soft=1000, label_clusters=4, label_probes=4, pass_ratio=0, max_cells=27, lists=4, probes=10_000, clusters=4, sub_clusters=2, cluster_probes=4, sub_probes=8, grids=64, beta=1000, refine=1)
+_USUAL = Params(k=K, codes=64, keep=10, keep_soft=10, label_clusters=8, label_probes=3, max_cells=64, lists=8, probes=8, clusters=8, sub_clusters=4, cluster_probes=4, sub_probes=8, beta=6, frontier=128, rounds=4)
 
 
 def _strategy(algorithm: str, params: Params) -> Query:
@@ -396,10 +423,14 @@ def _strategy(algorithm: str, params: Params) -> Query:
     return query
 
 
-for _algorithm in ("prefilter", "parafilter", "sorting", "ivf-ivf_pq", "grid-ivf_pq", "super-grid", "ivfpq-post"):
-    _register("algo_" + _algorithm.replace("-", "_"), _exact_sql(_MULTI_SQL))(_strategy(_algorithm, _ALL))
+for _algorithm in STRATEGIES:
+    _register("algo_" + _algorithm.replace("-", "_"), _exact_sql("TRUE" if _algorithm == "pq" else _MULTI_SQL))(_strategy(_algorithm, _USUAL))
 
-# approximate by nature: no SQL gives their rows; the tests measure recall
-_register("algo_pq")(_strategy("pq", Params(k=K, codes=64)))
-_register("algo_cagra_post")(_strategy("cagra-post", Params(k=K, beta=6, frontier=128, rounds=5)))
-_register("algo_super_grid_probing")(_strategy("super-grid", Params(k=K, codes=64, keep=10)))
+
+@_register("saved_index", _exact_sql(_MULTI_SQL))
+def saved_index(spark, sf_dir):
+    """super-grid built once, written in its layout, and queried as read again."""
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    strategy, path = STRATEGIES["super-grid"](labels, _USUAL), new_folder(spark, "index")
+    strategy.save(strategy.build(data), path, files=8)
+    return _rounded(strategy.query(Index.load(spark, path), queries))

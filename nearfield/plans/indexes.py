@@ -2,28 +2,41 @@
 
 ``build(data)`` takes (id, vec, labels...) and returns the index; ``query(index, queries)`` takes (qid, qvec, lo_i, hi_i...) and returns
 (qid, rank, neighbor, distance): the k nearest rows by squared L2 among those inside the query's intervals, nearest first, ties to
-the smaller id, and fewer rows where fewer fit.  Strategies differ in how they find candidates.  All but the post-filtering ones test
-the intervals exactly and rank exactly in the end, so that with all lists probed and enough candidates kept each gives the
-exact result.
+the smaller id, and fewer rows where fewer fit.
+
+Every strategy gives the exact result at any settings, in two steps.  The first looks where its settings say: at so many lists, at so
+many of the best candidates by code distance.  Its k-th distance t bounds the true one from above (and is infinite where fewer than k rows
+fit).  The second step measures whatever t can't rule out: lists whose centre lies within t plus the list's radius and whose label box
+meets the query's intervals, and in them rows whose code distance, less the row's own distance from its code, is at most t.  So
+the settings decide how much is read, and never which rows are found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.filters import inside, range_middle
 from nearfield.functions.grids import coordinate, morton_code
 from nearfield.functions.vectors import looked_up, squared_l2
-from nearfield.operators.grid_counts import box_counts, cell_counts, intersecting
-from nearfield.operators.quantise import ProductQuantiser, balanced_groups, k_means, nearest, sample_vectors, with_codes, with_nearest, with_tables
+from nearfield.operators.grid_counts import box_counts, cell_counts
+from nearfield.operators.quantise import ProductQuantiser, balanced_groups, k_means, nearest, sample_vectors, vector_batches, with_codes, with_nearest, with_tables
 from nearfield.operators.range_join import label_extent, range_join
 from nearfield.operators.topk import top_k
 from nearfield.sources.lineage import cut
+from nearfield.sources.matrices import write_clustered
+
+#: Rows of cell counts that are broadcast (some 50 MB); of more, sub-clusters are chosen by the box of their labels alone.
+MAX_CELL_ROWS = 1_000_000
+#: Against rounding: a bound may be off by this share.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -46,6 +59,7 @@ class Params:
     sub_clusters: int = 4
     cluster_probes: int = 8
     sub_probes: int = 16
+    widths: tuple[float, ...] = ()  # usual widths of the queries' intervals, by label
     grids: int = 4096
     label_mask: int = 0
     degree: int = 16
@@ -60,9 +74,29 @@ class Params:
 
 @dataclass
 class Index:
+    """data with a row for each vector, what the strategy needs to know (extra: numbers, arrays, lists), and tables of its own."""
+
     data: DataFrame
     quantiser: ProductQuantiser | None = None
     extra: dict = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def save(self, path: str, *order: str, files: int = 32) -> None:
+        """Writes the index to a folder; data in files by ranges of the order's columns, so that scans skip by them."""
+        spark = self.data.sparkSession
+        write_clustered(self.data, f"{path}/data", *(order or ("id",)), files=files)
+        for name, table in self.tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        arrays = lambda v: {"array": v.tolist()} if isinstance(v, np.ndarray) else v
+        about = {"tables": list(self.tables), "extra": {k: arrays(v) for k, v in self.extra.items()}, "quantiser": [c.tolist() for c in self.quantiser.centers] if self.quantiser else None}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
+        extra = {k: np.array(v["array"]) if isinstance(v, dict) and "array" in v else v for k, v in about["extra"].items()}
+        quantiser = ProductQuantiser([np.array(c) for c in about["quantiser"]]) if about["quantiser"] else None
+        return cls(spark.read.parquet(f"{path}/data"), quantiser, extra, {name: spark.read.parquet(f"{path}/tables/{name}") for name in about["tables"]})
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -81,7 +115,55 @@ def exact(data: DataFrame, queries: DataFrame, labels: Sequence[str], k: int) ->
     return ranked(pairs.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), k)
 
 
+def reach_of(first: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, t): the k-th distance (not squared) of (qid, rank, distance), a little widened; infinite for queries with fewer rows."""
+    found = first.where(F.col("rank") == k).select("qid", (F.sqrt("distance") * (1 + SLACK) + SLACK).alias("t"))
+    return cut(queries.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("t", F.lit(float("inf"))).alias("t")))
+
+
+def coded_distances(pairs: DataFrame, queries: DataFrame, quantiser: ProductQuantiser) -> DataFrame:
+    """(qid, id, distance, err) of (qid, id, codes, err): squared code distances."""
+    tables = with_tables(queries.select("qid", "qvec"), quantiser).select("qid", "lut")
+    return pairs.join(tables, "qid").select("qid", "id", looked_up("lut", "codes").alias("distance"), "err")
+
+
+def not_ruled_out(scored: DataFrame, reach: DataFrame) -> DataFrame:
+    """The pairs (qid, id) of scored whose distance may be within the query's reach."""
+    return scored.join(reach, "qid").where(F.sqrt("distance") - F.col("err") <= F.col("t")).select("qid", "id")
+
+
+def by_codes(pairs: DataFrame, data: DataFrame, queries: DataFrame, quantiser: ProductQuantiser, k: int, keep: int, reach: DataFrame | None = None) -> DataFrame:
+    """The exact k nearest of (qid, id, codes, err): the best keep by codes give a reach, unless one is known, and codes rule out the rest."""
+    scored = coded_distances(pairs, queries, quantiser)
+    if reach is None:
+        reach = reach_of(refined(top_k(scored, max(k, keep)), data, queries, k), queries, k)
+    return refined(not_ruled_out(scored, reach), data, queries, k)
+
+
+def listed(data: DataFrame, keys: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(keys..., center, radius, box_lo_i, box_hi_i) of the lists of data(keys..., far, center_of): one row for each list that has rows."""
+    boxes = [f(F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double"))).alias(f"box_{side}_{i}") for i, n in enumerate(labels) for side, f in (("lo", F.min), ("hi", F.max))]
+    return data.groupBy(*keys).agg(F.max("far").alias("radius"), *boxes)
+
+
+def meeting(labels: Sequence[str]) -> Column:
+    """Whether the box of a list meets a query's intervals."""
+    held = F.lit(True)
+    for i in range(len(labels)):
+        held = held & (F.col(f"hi_{i}") >= F.col(f"box_lo_{i}")) & (F.col(f"box_hi_{i}") >= F.col(f"lo_{i}"))
+    return held
+
+
+def opened(queries: DataFrame, lists: DataFrame, labels: Sequence[str], reach: DataFrame) -> DataFrame:
+    """queries beside the keys of each list(keys..., center, radius, box...) that may hold rows within reach; lists are parameters in number."""
+    near = queries.join(reach, "qid").join(F.broadcast(lists), meeting(labels))
+    return near.where(F.sqrt(squared_l2("qvec", "center")) - F.col("radius") * (1 + SLACK) <= F.col("t")).drop("qvec", "center", "radius", "t", *(f"box_{side}_{i}" for i in range(len(labels)) for side in ("lo", "hi")))
+
+
 class Strategy:
+    #: Columns by whose ranges a saved index's files are laid out.
+    order: tuple[str, ...] = ("id",)
+
     def __init__(self, labels: Sequence[str], params: Params | None = None):
         self.labels, self.params = list(labels), params or Params()
 
@@ -90,35 +172,39 @@ class Strategy:
         quantiser = ProductQuantiser.fit(data, p.parts, p.codes, seed=p.seed)
         return Index(with_codes(data, quantiser), quantiser)
 
+    def save(self, index: Index, path: str, files: int = 32) -> None:
+        index.save(path, *self.order, files=files)
+
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def _by_codes(self, index: Index, pairs: DataFrame, queries: DataFrame, keep: float) -> DataFrame:
-        """The best candidates of (qid, id, codes) by code distance, then ranked exactly."""
-        tables = with_tables(queries.select("qid", "qvec"), index.quantiser).select("qid", "lut")
-        scored = pairs.join(tables, "qid").select("qid", "id", looked_up("lut", "codes").alias("distance"))
-        return refined(top_k(scored, max(self.params.k, int(self.params.k * keep))), index.data, queries, self.params.k)
+    def _by_codes(self, index: Index, pairs: DataFrame, queries: DataFrame, keep: float, reach: DataFrame | None = None) -> DataFrame:
+        k = self.params.k
+        return by_codes(pairs.select("qid", "id", "codes", "err"), index.data, queries, index.quantiser, k, int(k * keep), reach)
+
+    def _first_reach(self, index: Index, pairs: DataFrame, queries: DataFrame, keep: float) -> DataFrame:
+        """The reach that the best of some pairs by codes give."""
+        scored = coded_distances(pairs.select("qid", "id", "codes", "err"), queries, index.quantiser)
+        k = self.params.k
+        return reach_of(refined(top_k(scored, max(k, int(k * keep))), index.data, queries, k), queries, k)
 
 
 class Quantised(Strategy):
-    """pq: code distances to all rows, no filter and no exact ranking."""
+    """pq: code distances to all rows, without a filter; exact distances of those that codes can't rule out."""
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        tables = with_tables(queries.select("qid", "qvec"), index.quantiser).select("qid", "lut")
-        pairs = range_join(index.data.select("id", "codes"), tables, [])
-        return ranked(pairs.select("qid", "id", looked_up("lut", "codes").alias("distance")), self.params.k)
+        return self._by_codes(index, range_join(index.data.select("id", "codes", "err"), queries.select("qid"), []), queries, self.params.keep)
 
 
 class PreFilter(Strategy):
-    """prefilter: interval join, code distances, exact ranking of the best."""
+    """prefilter: interval join, code distances, exact ranking."""
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        fits = range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels)
-        return self._by_codes(index, fits.select("qid", "id", "codes"), queries, self.params.keep)
+        return self._by_codes(index, range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels), queries, self.params.keep)
 
 
 class ParaFilter(Strategy):
-    """parafilter: code distance plus a penalty for failing the filters ranks all rows; then the filters, then exact ranking."""
+    """parafilter: code distance plus a penalty for failing the filters ranks all rows; the best that pass give the reach."""
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
@@ -128,50 +214,72 @@ class ParaFilter(Strategy):
         scored = pairs.select("qid", "id", fits.alias("fits"), looked_up("lut", "codes").alias("distance"))
         scored = scored.withColumn("soft", F.col("distance") + F.lit(p.penalty) * F.when(F.col("fits"), 0.0).otherwise(1e6))
         first = top_k(scored, max(p.k, int(p.k * p.keep)), score="soft").where("fits").drop("rank")
-        return refined(top_k(first, max(p.k, int(p.k * p.keep_soft))), index.data, queries, p.k)
+        reach = reach_of(refined(top_k(first, max(p.k, int(p.k * p.keep_soft))), index.data, queries, p.k), queries, p.k)
+        return self._by_codes(index, range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels), queries, p.keep, reach)
 
 
 class Sorted(Strategy):
     """sorting: each query reads one label's range, the one with the fewest rows, and tests the other labels on what it finds.
 
-    Rows per label value are an aggregate of the data; the number in a query's interval is a sum over it.
+    Rows in a range are counted by the label's QUANTILES quantiles, which are found once when the index is built.
     """
 
+    QUANTILES = 256
+
+    def build(self, data: DataFrame) -> Index:
+        index = super().build(data)
+        shares = [i / self.QUANTILES for i in range(self.QUANTILES + 1)]
+        clean = [F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in self.labels]
+        row = data.agg(*(F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(clean))).first() if self.labels else []
+        index.extra["quantiles"] = [list(q) if q is not None else [] for q in row]
+        return index
+
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        counts = None
-        for i, label in enumerate(self.labels):
-            values = index.data.groupBy(F.col(label).cast("double").alias("value")).count()
-            own = queries.select("qid", f"lo_{i}", f"hi_{i}").join(values, F.col("value").between(F.col(f"lo_{i}"), F.col(f"hi_{i}")), "left")
-            own = own.groupBy("qid").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).withColumn("label", F.lit(i))
-            counts = own if counts is None else counts.unionByName(own)
-        best = counts.groupBy("qid").agg(F.min(F.struct("rows", "label")).alias("b")).select("qid", F.col("b.label").alias("label"))
-        chosen, found = queries.join(best, "qid"), None
+        shares = []
+        for i, quantiles in enumerate(index.extra["quantiles"]):
+            held = F.filter(F.array(*map(F.lit, quantiles)) if quantiles else F.array().cast("array<double>"), _between(i))
+            shares.append(F.struct(F.size(held).alias("share"), F.lit(i).alias("label")))
+        chosen = queries.withColumn("label", F.array_min(F.array(*shares))["label"] if shares else F.lit(0))
+        found = None
         for i, label in enumerate(self.labels):
             own = chosen.where(F.col("label") == i).drop("label", "qvec")
-            rows = range_join(index.data.drop("vec"), own, [label], numbers=[i]).where(inside(self.labels)).select("qid", "id", "codes")
+            rows = range_join(index.data.drop("vec"), own, [label], numbers=[i]).where(inside(self.labels)).select("qid", "id", "codes", "err")
             found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            found = range_join(index.data.select("id", "codes", "err"), queries.select("qid"), [])
         return self._by_codes(index, found, queries, self.params.keep)
 
 
+def _between(i: int):
+    return lambda x: x.between(F.col(f"lo_{i}"), F.col(f"hi_{i}"))
+
+
 class TwoLevel(Strategy):
     """Rows belong to a label set and, in it, to the nearest of its vector lists; queries probe the nearest lists of the sets that
-    their intervals meet.  Subclasses say what the sets are."""
+    their intervals meet, and then all lists within reach.  Subclasses say what the sets are."""
+
+    order = ("set_id", "list_id")
 
     def sets(self, data: DataFrame) -> tuple[DataFrame, dict]:
         """data with the column set_id, and what choosing sets needs."""
         raise NotImplementedError
 
     def chosen(self, index: Index, queries: DataFrame) -> DataFrame:
-        """(qid, set_id) of the sets to probe."""
+        """(qid, set_id) of the sets to probe first."""
         raise NotImplementedError
 
     def build(self, data: DataFrame) -> Index:
         p = self.params
         index = super().build(data)
         placed, extra = self.sets(index.data)
-        # each set's lists are fitted on its rows with the smallest hashes
-        order = F.row_number().over(Window.partitionBy("set_id").orderBy(F.xxhash64("id"), "id"))
-        sample = placed.select("set_id", "id", F.col("vec").cast("array<double>").alias("vec")).withColumn("at", order).where(F.col("at") <= 64 * p.lists)
+        # each set's lists are fitted on a share of its rows that is small enough, chosen by hash
+        sizes = {r["set_id"]: r["count"] for r in placed.groupBy("set_id").count().collect()}
+        most = 64 * p.lists
+        share = F.lit(1.0)
+        for set_id, n in sizes.items():
+            if n > most:
+                share = F.when(F.col("set_id") == set_id, most / n).otherwise(share)
+        sample = placed.select("set_id", F.col("vec").cast("array<double>").alias("vec")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
 
         def fit(key, rows):
             import pandas as pd
@@ -179,27 +287,55 @@ class TwoLevel(Strategy):
             centers = k_means(np.stack(rows["vec"]), p.lists, p.seed)
             return pd.DataFrame({"set_id": key[0], "list_id": range(len(centers)), "center": list(centers)})
 
-        centers = sample.groupBy("set_id").applyInPandas(fit, "set_id bigint, list_id int, center array<double>").persist()
-        own = placed.join(F.broadcast(centers), "set_id").select("id", "set_id", "list_id", squared_l2("vec", "center").alias("d"))
-        own = own.groupBy("id", "set_id").agg(F.min(F.struct("d", "list_id")).alias("m")).select("id", "set_id", F.col("m.list_id").alias("list_id"))
-        index.data = placed.join(own, ["id", "set_id"])
-        index.extra = {**extra, "centers": centers}
+        # sets times lists rows: parameters
+        fitted = sample.groupBy("set_id").applyInPandas(fit, "set_id bigint, list_id int, center array<double>").collect()
+        centers: dict[int, np.ndarray] = {}
+        for r in sorted(fitted, key=lambda r: (r.set_id, r.list_id)):
+            centers.setdefault(r.set_id, []).append(r.center)
+        centers = {key: np.array(c) for key, c in centers.items()}
+        none = np.zeros((1, len(fitted[0].center) if fitted else 0))
+        assigned = _assigned(placed, centers, none)
+        table = data.sparkSession.createDataFrame([(s, i, [float(x) for x in c]) for s in sizes for i, c in enumerate(centers.get(s, none))], "set_id bigint, list_id int, center array<double>")
+        index.data = assigned.drop("far")
+        index.tables["lists"] = cut(listed(assigned, ["set_id", "list_id"], self.labels).join(F.broadcast(table), ["set_id", "list_id"]))
+        index.extra.update(extra)
         return index
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        near = self.chosen(index, queries).join(F.broadcast(index.extra["centers"]), "set_id").join(queries.select("qid", "qvec"), "qid")
-        near = near.select("qid", "set_id", "list_id", squared_l2("qvec", "center").alias("distance"), (F.col("set_id") * 1_000_000 + F.col("list_id")).alias("id"))
-        probed = top_k(near, self.params.probes).select("qid", "set_id", "list_id")
-        fits = index.data.drop("vec").join(probed, ["set_id", "list_id"]).join(queries.drop("qvec"), "qid").where(inside(self.labels))
-        return self._by_codes(index, fits.select("qid", "id", "codes"), queries, self.params.keep)
+        lists = index.tables["lists"]
+        near = self.chosen(index, queries).join(F.broadcast(lists.select("set_id", "list_id", "center")), "set_id").join(queries.select("qid", "qvec"), "qid")
+        near = near.select("qid", "set_id", "list_id", squared_l2("qvec", "center").alias("distance"), F.struct("set_id", "list_id").alias("id"))
+        probed = top_k(near, self.params.probes).select("qid", "set_id", "list_id").join(queries.drop("qvec"), "qid")
+        rows = index.data.drop("vec")
+        reach = self._first_reach(index, rows.join(probed, ["set_id", "list_id"]).where(inside(self.labels)), queries, self.params.keep)
+        fits = rows.join(opened(queries, lists, self.labels, reach), ["set_id", "list_id"]).where(inside(self.labels))
+        return self._by_codes(index, fits, queries, self.params.keep, reach)
+
+
+def _assigned(data: DataFrame, centers: dict[int, np.ndarray], none: np.ndarray) -> DataFrame:
+    """data with the nearest list of each row's set, and how far its centre is, in one pass; sets without a fit have one list."""
+    at, of = data.columns.index("vec"), data.columns.index("set_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, points in vector_batches(batches, at):
+            sets = batch.column(of).to_numpy()
+            own, far = np.zeros(len(points), np.int32), np.zeros(len(points))
+            for one in np.unique(sets):
+                rows, those = np.flatnonzero(sets == one), centers.get(int(one), none)
+                own[rows] = nearest(points[rows], those)
+                far[rows] = np.linalg.norm(points[rows] - those[own[rows]], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(far)], names=[*batch.schema.names, "list_id", "far"])
+
+    return data.mapInArrow(run, T.StructType([*data.schema, T.StructField("list_id", T.IntegerType()), T.StructField("far", T.DoubleType())]))
 
 
 class LabelClusters(TwoLevel):
-    """ivf-ivf_pq: sets are clusters of the labels by cosine; a query takes the nearest ones, as far as enough of their rows fit."""
+    """ivf-ivf_pq: sets are clusters of the labels by cosine; a query takes the nearest ones first, as far as enough of their rows fit."""
 
     def sets(self, data: DataFrame) -> tuple[DataFrame, dict]:
         least = [lo for lo, _ in label_extent(data, self.labels)]
-        moved = data.withColumn("__l", F.array(*(F.col(n).cast("double") - F.lit(lo) for n, lo in zip(self.labels, least))))
+        values = (F.col(n).cast("double") - F.lit(lo) for n, lo in zip(self.labels, least))
+        moved = data.withColumn("__l", F.array(*(F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v) for v in values)))
         centers = k_means(sample_vectors(moved, "__l"), self.params.label_clusters, self.params.seed, cosine=True)
         placed = with_nearest(moved, centers, "set_id", "__l", cosine=True).withColumn("set_id", F.col("set_id").cast("bigint"))
         return placed.drop("__l"), {"label_centers": centers, "least": least}
@@ -207,8 +343,7 @@ class LabelClusters(TwoLevel):
     def chosen(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
         middle = F.array(*(F.when(F.col(f"hi_{i}") == float("inf"), F.col(f"lo_{i}") - F.lit(lo)).otherwise(range_middle(i, lo)) for i, lo in enumerate(index.extra["least"])))
-        centers = [tuple(map(float, c)) for c in index.extra["label_centers"]]
-        table = queries.sparkSession.createDataFrame([(i, list(c)) for i, c in enumerate(centers)], "set_id bigint, center array<double>")
+        table = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.extra["label_centers"])], "set_id bigint, center array<double>")
         # both sides on the unit sphere: nearest by cosine is nearest by angle
         size = F.sqrt(F.greatest(F.aggregate(F.transform(middle, lambda x: x * x), F.lit(0.0), lambda a, x: a + x), F.lit(1e-24)))
         near = queries.select("qid", F.transform(middle, lambda x: x / size).alias("m")).join(F.broadcast(table))
@@ -221,33 +356,47 @@ class LabelClusters(TwoLevel):
 
 
 class GridCells(TwoLevel):
-    """grid-ivf_pq: sets are cells of a grid over the labels; a query takes the cells that its box meets."""
+    """grid-ivf_pq: sets are cells of a grid over the labels; a query takes the cells that its box meets first.
+
+    With widths, the usual widths of the queries' intervals, cells are as wide as these; the finest grid within max_cells that keeps the
+    labels' proportions is taken, and a label wider than its widths' share gets more cells.
+    """
 
     def sets(self, data: DataFrame) -> tuple[DataFrame, dict]:
         extent = label_extent(data, self.labels)
-        each = max(1, int(self.params.max_cells ** (1 / max(1, len(self.labels)))))
         spans = [max(hi - lo, 1e-9) for lo, hi in extent]
-        at = [coordinate(F.col(n), lo, span, each) for n, (lo, _), span in zip(self.labels, extent, spans)]
+        shape = self._shape(spans)
+        at = [coordinate(F.col(n), lo, span, each) for n, (lo, _), span, each in zip(self.labels, extent, spans, shape)]
         number = F.lit(0).cast("bigint")
-        for c in at:
-            number = number * each + c
-        # a cell's box is that of the rows in it
-        placed = data.withColumn("set_id", number)
-        corners = [f(F.col(n).cast("double")).alias(f"cell_{side}_{i}") for i, n in enumerate(self.labels) for side, f in (("lo", F.min), ("hi", F.max))]
-        return placed, {"cells": placed.groupBy("set_id").agg(*corners) if corners else placed.select("set_id").distinct()}
+        for c, each in zip(at, shape):
+            number = number * each + F.coalesce(c, F.lit(0).cast("bigint"))
+        return data.withColumn("set_id", number), {"shape": shape}
+
+    def _shape(self, spans: list[float]) -> list[int]:
+        cells = max(1, self.params.max_cells)
+        if not self.params.widths:
+            return [max(1, int(cells ** (1 / max(1, len(spans))) + 1e-9))] * len(spans)
+        shape = [max(1, round(span / max(width, 1e-9))) for span, width in zip(spans, self.params.widths)]
+        while np.prod(shape, dtype=float) > cells:
+            widest = int(np.argmax(shape))
+            shape[widest] = max(1, shape[widest] // 2)
+        return shape
 
     def chosen(self, index: Index, queries: DataFrame) -> DataFrame:
-        return intersecting(queries.drop("qvec"), F.broadcast(index.extra["cells"]), len(self.labels)).select("qid", "set_id")
+        boxes = index.tables["lists"].drop("center", "radius", "list_id")
+        return queries.drop("qvec").join(F.broadcast(boxes), meeting(self.labels)).select("qid", "set_id").distinct()
 
 
 class SuperGrid(Strategy):
     """super-grid: vector clusters and sub-clusters, each sub-cluster with counts by label cell and its rows in Morton order.
 
     A query's box is first counted in the cells: clusters and sub-clusters with no row in it are never probed, however near.  In the
-    nearest of the others its rows are found by sub-cluster, Morton range and cell, all of them columns that a file sorted by
-    (sub, zcode) can skip by; the exact intervals follow.
+    nearest of the others its rows are found by sub-cluster, Morton range and cell, all of them columns that a saved index is laid
+    out by and skips by; the exact intervals follow.  Sub-clusters beyond the probed ones are opened as far as they lie within reach.
     """
 
+    order = ("sub", "zcode")
+
     def build(self, data: DataFrame) -> Index:
         p = self.params
         index = super().build(data)
@@ -262,9 +411,14 @@ class SuperGrid(Strategy):
         shape = self._shape(spans)
         at = {f"c_{j}": coordinate(F.col(self.labels[i]), lefts[j], spans[j], shape[j]) for j, i in enumerate(active)}
         bits = max(1, int(np.ceil(np.log2(max(shape, default=1) + 1))))
-        placed = with_nearest(index.data, sub_centers, "sub").withColumns(at) if at else with_nearest(index.data, sub_centers, "sub")
-        index.data = placed.withColumn("zcode", morton_code([F.col(c) for c in at], bits) if at else F.lit(0).cast("bigint"))
-        index.extra = {"sub_centers": sub_centers, "of": of, "centers": centers, "active": active, "lefts": lefts, "spans": spans, "shape": shape, "bits": bits, "counts": cell_counts(placed, list(at), ["sub"])}
+        placed = with_nearest(index.data, sub_centers, "sub", far="far")
+        placed = placed.withColumns(at) if at else placed
+        placed = placed.withColumn("zcode", morton_code([F.col(c) for c in at], bits) if at else F.lit(0).cast("bigint"))
+        table = data.sparkSession.createDataFrame([(i, int(of[i]), [float(v) for v in c], [float(v) for v in centers[of[i]]]) for i, c in enumerate(sub_centers)], "sub int, cluster int, center array<double>, cluster_center array<double>")
+        index.data = placed.drop("far")
+        index.extra = {"active": active, "lefts": lefts, "spans": spans, "shape": shape, "bits": bits}
+        index.tables = {"counts": cut(cell_counts(placed, list(at), ["sub"])), "subs": cut(listed(placed, ["sub"], self.labels).join(F.broadcast(table), "sub"))}
+        index.extra["cells"] = index.tables["counts"].count()
         return index
 
     def _shape(self, spans: list[float]) -> list[int]:
@@ -292,85 +446,136 @@ class SuperGrid(Strategy):
                 boxes = boxes.withColumn(f"c_{j}_{side}", coordinate(F.col(f"{side}_{i}"), x["lefts"][j], x["spans"][j], x["shape"][j]))
         for side in ("lo", "hi"):
             boxes = boxes.withColumn(f"z_{side}", morton_code([F.col(f"{n}_{side}") for n in names], x["bits"]) if names else F.lit(0).cast("bigint"))
-        spark = queries.sparkSession
-        subs = spark.createDataFrame([(i, int(x["of"][i]), [float(v) for v in c], [float(v) for v in x["centers"][x["of"][i]]]) for i, c in enumerate(x["sub_centers"])], "sub int, cluster int, sub_center array<double>, center array<double>")
-        # at most grids * clusters * sub_clusters cells: parameters
-        held = box_counts(F.broadcast(x["counts"]), boxes, names, "qid", ["sub"]).where("cnt > 0")
-        held = held.join(F.broadcast(subs), "sub").join(queries.select("qid", "qvec"), "qid")
-        clusters = held.groupBy("qid", F.col("cluster").alias("id")).agg(F.min(squared_l2("qvec", "center")).alias("distance"))
+        subs = index.tables["subs"]
+        if x["cells"] <= MAX_CELL_ROWS:
+            held = box_counts(F.broadcast(index.tables["counts"]), boxes, names, "qid", ["sub"]).where("cnt > 0").select("qid", "sub")
+        else:
+            held = queries.join(F.broadcast(subs), meeting(self.labels)).select("qid", "sub")
+        held = cut(held.join(F.broadcast(subs.select("sub", "cluster", "center", "cluster_center", "radius")), "sub").join(queries.select("qid", "qvec"), "qid"))
+        clusters = held.groupBy("qid", F.col("cluster").alias("id")).agg(F.min(squared_l2("qvec", "cluster_center")).alias("distance"))
         probed = top_k(clusters, p.cluster_probes).select("qid", F.col("id").alias("cluster"))
-        near = held.join(probed, ["qid", "cluster"]).select("qid", F.col("sub").alias("id"), squared_l2("qvec", "sub_center").alias("distance"))
-        lists = top_k(near, p.sub_probes).select("qid", F.col("id").alias("sub")).join(boxes.drop("qvec"), "qid")
-        rows = index.data.drop("vec").join(lists, "sub").where(F.col("zcode").between(F.col("z_lo"), F.col("z_hi")))
-        for n in names:
-            rows = rows.where(F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")))
-        return self._by_codes(index, rows.where(inside(self.labels)).select("qid", "id", "codes"), queries, p.keep)
+        near = held.join(probed, ["qid", "cluster"]).select("qid", F.col("sub").alias("id"), squared_l2("qvec", "center").alias("distance"))
+        lists = top_k(near, p.sub_probes).select("qid", F.col("id").alias("sub"))
 
+        def rows(chosen: DataFrame) -> DataFrame:
+            found = index.data.drop("vec").join(chosen.join(boxes.drop("qvec"), "qid"), "sub").where(F.col("zcode").between(F.col("z_lo"), F.col("z_hi")))
+            for n in names:
+                found = found.where(F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")))
+            return found.where(inside(self.labels))
 
-def _filtered_after(found: DataFrame, index: Index, queries: DataFrame, labels: Sequence[str], k: int) -> DataFrame:
-    """The k best of (qid, id, distance) that are inside the intervals; fewer where the rest of what was found is outside."""
-    pairs = found.select("qid", "id", "distance").join(index.data.select("id", *labels), "id").join(queries.drop("qvec"), "qid")
-    return ranked(pairs.where(inside(labels)).select("qid", "id", "distance"), k)
+        reach = self._first_reach(index, rows(lists), queries, p.keep)
+        within = held.join(reach, "qid").where(F.sqrt(squared_l2("qvec", "center")) - F.col("radius") * (1 + SLACK) <= F.col("t")).select("qid", "sub")
+        return self._by_codes(index, rows(within), queries, p.keep, reach)
 
 
 class PostFilterLists(Strategy):
-    """ivfpq-post: nearest vector lists, code distances, exact distances of the best, and only then the filters."""
+    """ivfpq-post: nearest vector lists, code distances, exact distances of the best, and only then the filters; the lists within the
+    reach of what passed are read with the filters."""
+
+    order = ("list_id",)
 
     def build(self, data: DataFrame) -> Index:
         index = super().build(data)
         centers = k_means(sample_vectors(data), self.params.lists, self.params.seed)
-        index.data, index.extra = with_nearest(index.data, centers, "list_id"), {"centers": centers}
+        index.data, index.tables = _with_lists(index.data, centers, self.labels)
         return index
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
+    def first(self, index: Index, queries: DataFrame) -> DataFrame:
+        """(qid, id) in the order of distance: what is found before the filters."""
         p = self.params
-        centers = queries.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(index.extra["centers"])], "list_id int, center array<double>")
-        near = queries.join(F.broadcast(centers)).select("qid", F.col("list_id").alias("id"), squared_l2("qvec", "center").alias("distance"))
+        near = queries.join(F.broadcast(index.tables["lists"].select("list_id", "center"))).select("qid", F.col("list_id").alias("id"), squared_l2("qvec", "center").alias("distance"))
         probed = top_k(near, p.probes).select("qid", F.col("id").alias("list_id"))
-        tables = with_tables(queries.select("qid", "qvec"), index.quantiser).select("qid", "lut")
-        scored = index.data.select("id", "list_id", "codes").join(probed, "list_id").join(tables, "qid").select("qid", "id", looked_up("lut", "codes").alias("distance"))
+        scored = coded_distances(index.data.select("id", "list_id", "codes", "err").join(probed, "list_id"), queries, index.quantiser)
         best = top_k(scored, int(p.k * p.refine * p.beta))
-        close = refined(best, index.data, queries, int(p.k * p.beta)).withColumnRenamed("neighbor", "id")
-        return _filtered_after(close, index, queries, self.labels, p.k)
+        return refined(best, index.data, queries, int(p.k * p.beta)).select("qid", F.col("neighbor").alias("id"), "distance")
+
+    def query(self, index: Index, queries: DataFrame) -> DataFrame:
+        p = self.params
+        passed = self.first(index, queries).join(index.data.select("id", *self.labels), "id").join(queries.drop("qvec"), "qid").where(inside(self.labels))
+        reach = reach_of(top_k(passed.select("qid", "id", "distance"), p.k), queries, p.k)
+        fits = index.data.drop("vec").join(opened(queries, index.tables["lists"], self.labels, reach), "list_id").where(inside(self.labels))
+        return self._by_codes(index, fits, queries, p.keep, reach)
+
 
+def _with_lists(data: DataFrame, centers: np.ndarray, labels: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """data with list_id, and the table of the lists."""
+    placed = with_nearest(data, centers, "list_id", far="far")
+    table = data.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "list_id int, center array<double>")
+    return placed.drop("far"), {"lists": cut(listed(placed, ["list_id"], labels).join(F.broadcast(table), "list_id"))}
 
-class PostFilterGraph(Strategy):
+
+class PostFilterGraph(PostFilterLists):
     """cagra-post: a graph of near neighbours, walked for a fixed number of rounds, and only then the filters.
 
-    The graph joins each row with its nearest ones in its own vector list and the next nearest list, so no pair of rows outside the
-    lists is looked at.  A walk starts from spread-out entry rows and keeps the frontier's best by exact distance; each round is one
-    equi-join with the edges, and is written to a checkpoint so that plans stay short.
+    The graph joins each row with the nearest ones of its own cell and of the next nearest cell.  There is a cell for about
+    CELL_ROWS rows (centres are fitted on the sample, so MAX_CELLS at most, and larger cells are cut into pieces by hash), so that the
+    pairs looked at grow with the data and not with its square.  A walk starts from spread-out entry rows and keeps the frontier's
+    best by exact distance; each round is one equi-join with the edges, and is written to a checkpoint so that plans stay short.
     """
 
+    CELL_ROWS, MAX_CELLS = 512, 2048
+
     def build(self, data: DataFrame) -> Index:
         p = self.params
-        centers = k_means(sample_vectors(data), p.lists, p.seed)
-        first = with_nearest(data.select("id", "vec"), centers, "list_id")
-        table = data.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "other int, center array<double>")
-        near = first.join(F.broadcast(table)).select("id", "vec", "list_id", "other", squared_l2("vec", "center").alias("d"))
-        order = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
-        asked = near.withColumn("at", order).where("at <= 2").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.col("other").alias("list_id"))
-        pairs = asked.join(first, "list_id").where("qid <> id").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+        index = super().build(data)
+        n = data.count()
+        points = sample_vectors(data)
+        centers = k_means(points, int(min(self.MAX_CELLS, len(points), max(p.lists, 1 + n // self.CELL_ROWS))), p.seed)
+        cells = cut(_two_nearest(data.select("id", "vec"), centers))
+        pieces = cells.groupBy(F.col("near")[0].alias("cell")).agg(F.expr(f"int(ceil(count(*) / {4 * self.CELL_ROWS}))").alias("pieces"))
+        piece = F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece")
+        held = cells.select(F.col("near")[0].alias("cell"), "id", "vec").join(pieces, "cell").select("cell", piece, "id", "vec")
+        asked = cells.select(F.explode(F.array_distinct("near")).alias("cell"), F.col("id").alias("qid"), F.col("vec").alias("qvec")).join(pieces, "cell")
+        asked = asked.select("cell", F.pmod(F.xxhash64("qid"), F.col("pieces")).alias("piece"), "qid", "qvec")
+        pairs = asked.join(held, ["cell", "piece"]).where("qid <> id").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
         out = top_k(pairs, p.degree).select(F.col("qid").alias("a"), F.col("id").alias("b"))
-        edges = out.unionAll(out.select("b", "a")).distinct()
-        entries = data.orderBy(F.xxhash64("id"), "id").limit(p.entries).select("id")
-        return Index(data, None, {"edges": cut(edges), "entries": entries})
+        index.tables["edges"] = cut(out.unionAll(out.select("b", "a")).distinct())
+        index.tables["entries"] = cut(data.orderBy(F.xxhash64("id"), "id").limit(p.entries).select("id"))
+        return index
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
+    def first(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
         vectors, asked = index.data.select("id", "vec"), queries.select("qid", "qvec")
 
         def measured(pairs: DataFrame) -> DataFrame:
             return pairs.join(vectors, "id").join(asked, "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
 
-        seen = cut(measured(asked.select("qid").join(F.broadcast(index.extra["entries"]))))
+        seen = cut(measured(asked.select("qid").join(F.broadcast(index.tables["entries"]))))
         for _ in range(p.rounds):
             best = top_k(seen, p.frontier).drop("rank")
-            step = top_k(best, p.width * 4).select("qid", F.col("id").alias("a")).join(index.extra["edges"], "a").select("qid", F.col("b").alias("id")).distinct()
+            step = top_k(best, p.width * 4).select("qid", F.col("id").alias("a")).join(index.tables["edges"], "a").select("qid", F.col("b").alias("id")).distinct()
             fresh = measured(step.join(best, ["qid", "id"], "left_anti"))
             seen = cut(top_k(best.unionByName(fresh), p.frontier).drop("rank"))
-        close = top_k(seen, int(p.k * p.beta))
-        return _filtered_after(close, index, queries, self.labels, p.k)
+        return top_k(seen, int(p.k * p.beta)).select("qid", "id", "distance")
+
+
+def _two_nearest(data: DataFrame, centers: np.ndarray) -> DataFrame:
+    """data with near array<int>: the numbers of each vector's two nearest centres."""
+    at = data.columns.index("vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, points in vector_batches(batches, at):
+            far = (centers**2).sum(1)[None, :] - 2 * points @ centers.T
+            two = np.argsort(far, axis=1, kind="stable")[:, :2].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(two) + 1, dtype=np.int32) * two.shape[1]), pa.array(two.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
+
+    return data.mapInArrow(run, T.StructType([*data.schema, T.StructField("near", T.ArrayType(T.IntegerType()))]))
+
+
+def until_k_pass(pairs: DataFrame, queries: DataFrame, k: int, depth: int) -> DataFrame:
+    """The k nearest that pass of (qid, id, distance, fits), by filtering after the search: the depth nearest first, and twice as many
+    for the queries of which fewer than k passed, until none is left or all its rows are seen."""
+    found, left = None, queries.select("qid").distinct()
+    while True:
+        near = cut(top_k(pairs.join(F.broadcast(left), "qid"), depth))
+        per = near.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("fits")).alias("passed"))
+        open_ = per.where((F.col("passed") < k) & (F.col("seen") == depth)).select("qid")
+        done = top_k(near.where("fits").join(open_, "qid", "left_anti").select("qid", "id", "distance"), k)
+        found = done if found is None else found.unionByName(done)
+        left, depth = cut(open_), 2 * depth
+        if left.isEmpty():
+            return found.select("qid", "rank", F.col("id").alias("neighbor"), "distance")
 
 
 STRATEGIES = {

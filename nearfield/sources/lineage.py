@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Where none is set, one of this machine, which only a local master may have."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="nearfield-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """frame, checkpointed in the folder of spark.checkpoint.dir; a temporary one of this machine only where none is set, as in tests."""
-    context = frame.sparkSession.sparkContext
-    folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
+    """frame, checkpointed in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()

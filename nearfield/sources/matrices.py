@@ -25,6 +25,14 @@ DTYPES = {
 ROWS_PER_TASK_BYTES = 32 << 20
 
 
+def located(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI: a plain path belongs to the session's default file system."""
+    if "://" in folder:
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return f"{default.rstrip('/') if not default.startswith('file:') else 'file://'}{folder}"
+
+
 def matrix_size(folder: str, key: str) -> tuple[int, int]:
     store, path = fs.FileSystem.from_uri(f"{folder}/{key}_size")
     with store.open_input_stream(path) as file:
@@ -36,8 +44,7 @@ def read_matrix(spark: SparkSession, folder: str, key: str, dtype: str = "float3
     """(id, vec array<double>) of the rows start to stop - 1; id is the row's place in the file.  Rows beyond the end are none."""
     if dtype not in DTYPES:
         raise ValueError(f"unknown element type {dtype!r}")
-    if "://" not in folder:
-        folder = "file://" + folder
+    folder = located(spark, folder)
     rows, columns = matrix_size(folder, key)
     kind = np.dtype(DTYPES[dtype])
     stop = rows if stop is None else min(stop, rows)
@@ -59,8 +66,8 @@ def read_matrix(spark: SparkSession, folder: str, key: str, dtype: str = "float3
 
 def dataset(spark: SparkSession, folder: str, dtype: str = "float32") -> tuple[DataFrame, DataFrame]:
     """(id, vec, l0...) and (qid, qvec, x0...) of a raw dataset's train and test keys."""
-    columns = matrix_size(folder if "://" in folder else "file://" + folder, "train_label")[1]
-    anchors = matrix_size(folder if "://" in folder else "file://" + folder, "test_label")[1]
+    columns = matrix_size(located(spark, folder), "train_label")[1]
+    anchors = matrix_size(located(spark, folder), "test_label")[1]
     data = read_matrix(spark, folder, "train_vec", dtype).join(read_matrix(spark, folder, "train_label", dtype).select("id", *(F.col("vec")[i].alias(f"l{i}") for i in range(columns))), "id")
     tests = read_matrix(spark, folder, "test_vec", dtype).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     labels = read_matrix(spark, folder, "test_label", dtype).select(F.col("id").alias("qid"), *(F.col("vec")[i].alias(f"x{i}") for i in range(anchors)))

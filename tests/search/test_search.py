@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -6,11 +7,11 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Divide, IntervalMap, Shift, with_bounds
 from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, prefix_sums
-from nearfield.operators.metrics import recall
 from nearfield.operators.quantise import ProductQuantiser, balanced_groups
 from nearfield.operators.range_join import label_extent, range_join
+from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
-from nearfield.plans.indexes import STRATEGIES, Params, exact, search
+from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, opened, reach_of, search, until_k_pass
 from nearfield.sources.matrices import read_matrix, read_result, read_truth, write_clustered, write_result
 from nearfield.streaming.serving import serve
 
@@ -59,22 +60,75 @@ def test_cell_join_equals_broadcast_join(data, queries):
     assert pairs[0] == pairs[1] and pairs[0]
 
 
-@pytest.mark.parametrize("name", [n for n in STRATEGIES if n not in ("pq", "cagra-post")])
-def test_saturated_strategies_are_exact(rows, data, queries, name):
-    params = Params(k=7, codes=8, keep=1000, keep_soft=1000, label_clusters=3, label_probes=3, pass_ratio=0, lists=3, probes=10_000, clusters=3, sub_clusters=2, cluster_probes=3, sub_probes=6, grids=30, beta=1000, refine=1)
-    assert found(search(name, data, queries, LABELS, params)) == brute_force(rows, queries, 7)
+#: Settings at which the first step of each strategy alone would lose most neighbours.
+POOR = Params(k=7, codes=8, keep=1, keep_soft=1, label_clusters=3, label_probes=1, pass_ratio=0.9, max_cells=9, lists=3, probes=1, clusters=3, sub_clusters=2, cluster_probes=1, sub_probes=1, grids=30, beta=1, refine=1, frontier=8, rounds=1, entries=4)
 
 
-@pytest.mark.parametrize("name", ["prefilter", "super-grid", "grid-ivf_pq", "ivfpq-post", "cagra-post"])
-def test_recall_at_usual_settings(rows, data, queries, name):
-    params = Params(k=7, codes=32, keep=20, beta=20, refine=3, probes=12, sub_probes=12, frontier=256, width=12)
-    truth = exact(data, queries, LABELS, 7)
-    assert recall(search(name, data, queries, LABELS, params), truth).agg(F.avg("recall")).first()[0] >= 0.9
+@pytest.mark.parametrize("name", [n for n in STRATEGIES if n != "pq"])
+def test_strategies_are_exact_at_any_settings(rows, data, queries, name):
+    assert found(search(name, data, queries, LABELS, POOR)) == brute_force(rows, queries, 7)
 
 
 def test_code_distances_without_filter(data, queries):
-    got = search("pq", data, queries, LABELS, Params(k=9, codes=32))
-    assert got.groupBy("qid").count().where("count = 9").count() == 12
+    assert found(search("pq", data, queries, LABELS, POOR)) == found(exact(data, queries, [], 7))
+
+
+def test_grid_cells_follow_the_widths_of_intervals(rows, data, queries):
+    strategy = STRATEGIES["grid-ivf_pq"](LABELS, replace(POOR, max_cells=40, widths=(3.0, 2.5)))
+    index = strategy.build(data)
+    assert index.extra["shape"] == [2, 16]
+    assert found(strategy.query(index, queries)) == brute_force(rows, queries, 7)
+
+
+def test_reach_opens_few_lists(rows, data, queries):
+    strategy = STRATEGIES["ivfpq-post"](LABELS, replace(POOR, lists=12, codes=32))
+    index = strategy.build(data)
+    near = exact(data, queries, [], 7)
+    lists = index.tables["lists"]
+    read = opened(queries, lists, LABELS, reach_of(near, queries, 7)).count()
+    assert 0 < read < 0.6 * lists.count() * queries.count()
+    # queries with fewer rows than k look everywhere that their intervals meet
+    assert reach_of(near.where("rank < 3"), queries, 7).where("t = double('infinity')").count() == queries.count()
+
+
+@pytest.mark.parametrize("name", ["super-grid", "ivf-ivf_pq", "cagra-post", "sorting"])
+def test_saved_indexes(spark, tmp_path, rows, data, queries, name):
+    strategy = STRATEGIES[name](LABELS, POOR)
+    strategy.save(strategy.build(data), str(tmp_path / "index"), files=4)
+    again = Index.load(spark, str(tmp_path / "index"))
+    assert found(strategy.query(again, queries)) == brute_force(rows, queries, 7)
+    if name == "super-grid":
+        plan = again.data.where("sub = 1 AND zcode BETWEEN 2 AND 9")._jdf.queryExecution().toString()
+        assert "EqualTo(sub,1)" in plan and "GreaterThanOrEqual(zcode,2" in plan
+
+
+def test_filtering_after_continues_until_k_pass(spark, data, queries):
+    pairs = range_join(data, queries, []).select("qid", "id", F.expr("double(pmod(xxhash64(qid, id), 1000003))").alias("distance"), F.coalesce(F.expr("l0 = 3"), F.lit(False)).alias("fits"))
+    want = top_k(pairs.where("fits"), 9).select("qid", "rank", F.col("id").alias("neighbor"), "distance")
+    assert found(until_k_pass(pairs, queries, 9, 9)) == found(want)
+
+
+def test_places_and_ranks(spark):
+    chance = random.Random(8)
+    values = [chance.choice([chance.uniform(-5, 5), float(chance.randrange(9)), 2.0]) for _ in range(3000)] + [float("nan"), None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    ends = [(e, c) for e in [-9.0, 9.0, 2.0, 3.0, *(chance.uniform(-5, 9) for _ in range(40))] for c in (True, False)]
+    got = {(r.e, r.c): r.below for r in ranks(table, "v", spark.createDataFrame(ends, "e double, c boolean"), "e", "c").collect()}
+    known = [v for v in values if v is not None and v == v]
+    assert got == {(e, c): sum(v <= e if c else v < e for v in known) for e, c in ends}
+    few = ranks(table.limit(0), "v", spark.createDataFrame([(1.0, True)], "e double, c boolean"), "e", "c")
+    assert [r.below for r in few.collect()] == [0]
+    placed = {r.id: r.place for r in with_places(table.where("v > -100 AND NOT isnan(v)"), ["v", "id"]).collect()}
+    order = sorted((v, i) for i, v in enumerate(values) if v is not None and v == v)
+    assert placed == {i: n for n, (_, i) in enumerate(order)}
+
+
+def test_long_rankings_leave_the_session_alone(spark, data, queries):
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    pairs = range_join(data, queries, []).select("qid", "id", F.col("id").cast("double").alias("distance"))
+    assert top_k(pairs, 1500).count() == 12 * 602 and spark.conf.get(name) == before
+    assert top_k(pairs.unionAll(pairs), 1003).where("rank = 1003").count() == 12
 
 
 def test_results_keep_their_filters(data, queries):
