@@ -133,10 +133,15 @@ class MergeVocabulary:
 
 
 class Generations:
-    """A mapping that keeps about 2 * size of the entries used last."""
+    """A mapping that keeps the entries used last, 2 * size of them and keys of 2 * size * LONGEST / 4 bytes at most.
+
+    Keys beyond LONGEST bytes, which hardly come again, aren't kept.
+    """
+
+    LONGEST = 64
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.young, self.old, self.bytes = size, {}, {}, 0
 
     def get(self, key):
         found = self.young.get(key)
@@ -147,9 +152,12 @@ class Generations:
         return found
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        if len(key) > self.LONGEST:
+            return
+        if len(self.young) >= self.size or self.bytes > self.size * self.LONGEST // 4:
+            self.old, self.young, self.bytes = self.young, {}, 0
         self.young[key] = value
+        self.bytes += len(key)
 
 
 _LOADED: dict[str, MergeVocabulary] = {}

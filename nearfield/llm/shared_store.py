@@ -3,11 +3,9 @@ names, and small Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.sources.lineage import new_folder
 
 #: Bytes of rows after which an Arrow batch to a Python worker ends.
 BATCH_BYTES = 4 << 20
@@ -24,21 +22,8 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of this machine only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        folder = tempfile.mkdtemp(prefix="nearfield-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Pass 1 scatters the rows into buckets by a seeded hash of doc_id and text; there are so many buckets that each is
 about BUCKET_BYTES.  Pass 2 takes one bucket after another into memory, puts its rows into a defined order, permutes
 them by a Fisher-Yates shuffle seeded by the bucket, and writes them.  Buckets one after another are the shuffled
-corpus; the shards are equal runs of it, so that their row counts differ by at most one (law ``rows``).
+corpus; the shards are equal runs of it, so that their row counts differ by at most one (law ``rows``).  The number of tasks grows with that of buckets.
 
 The buckets' row counts give each bucket its place in the order before anything is written.  They are broadcast: at
 most MAX_BUCKETS rows (16 MB), for which buckets grow beyond BUCKET_BYTES at sizes above MAX_BUCKETS of them.
@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 from nearfield.llm.rows import all_columns, numbered
 from nearfield.llm.shared_store import new_path, small_batches
 
-BUCKET_BYTES, MAX_BUCKETS, SEED = 16 << 20, 1 << 20, 20240501
+BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS, SEED = 16 << 20, 64, 1 << 20, 20240501
+#: Buckets that one task shuffles, one after another, on average at most.
+TASK_BUCKETS = 4
 
 
 def _permuted(rows: list[pa.RecordBatch], seed: int, slot: int) -> pa.RecordBatch:
@@ -47,12 +49,12 @@ def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int =
     rows = rows.withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     rows = rows.withColumn("text_crc32", F.coalesce(F.crc32(text), F.lit(0).cast("long")))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    n, buckets = total["n"], min(MAX_BUCKETS, 1 + (total["bytes"] or 0) // BUCKET_BYTES)
+    n, buckets = total["n"], min(MAX_BUCKETS, max(MIN_BUCKETS, 1 + (total["bytes"] or 0) // BUCKET_BYTES))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), own_id, text), F.lit(buckets)).cast("int"))
     # a window over one row for each bucket, at most MAX_BUCKETS
     before = F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = rows.groupBy("__bucket").count().select("__bucket", before.cast("long").alias("__first"))
-    scattered = rows.join(F.broadcast(firsts), "__bucket").repartition(min(partitions, buckets), "__bucket").sortWithinPartitions("__bucket", own_id, "size", "text_crc32")
+    scattered = rows.join(F.broadcast(firsts), "__bucket").repartition(min(buckets, max(partitions, buckets // TASK_BUCKETS)), "__bucket").sortWithinPartitions("__bucket", own_id, "size", "text_crc32")
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

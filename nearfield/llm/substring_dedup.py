@@ -6,8 +6,8 @@ it also starts, word for word, in a document with a smaller doc_id.
 1. Prefilter.  A window's key is the smallest hash of the KEY_WORDS-word runs inside it, so equal windows have equal keys, and
    neighbouring windows mostly share one: a document has about one key for 20 windows.  Each task sketches the keys of its
    documents; the merged sketch overestimates how many documents hold a window's key, hence how many hold the window.
-2. Grouping.  Only windows whose key is estimated in two documents or more are grouped, exactly, by a 128-bit hash of their words.
-   Documents lie in blocks; a block sends each such window once, with its smallest doc_id, in one row for each hash bucket, and gets
+2. Grouping.  Only windows whose key is estimated in two documents or more are grouped, by two 64-bit hashes of their words that
+   share nothing: windows that agree in both are taken for equal.  Documents lie in blocks, repeated rows spread over all; a block sends each such window once, with its smallest doc_id, in one row for each hash bucket, and gets
    back the windows that a smaller doc_id elsewhere holds.  So a window that a third of all documents share sends one entry for
    each block, and the grouping of a bucket is a sort of bounded size.
 3. Each block joins what came back with its own windows and cuts the covered words.
@@ -60,6 +60,7 @@ class _Windows:
         self.data, self.offsets = text_bytes(part.column(text))
         self.starts, self.ends, self.ranges = word_spans(self.data, self.offsets)
         self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.other_hashes = None
         self.keys = window_keys(self.hashes)
         ids = part.column(doc)
         sizes = np.diff(self.ranges)
@@ -79,7 +80,9 @@ class _Windows:
         if not len(at):
             empty = np.zeros(0, np.uint64)
             return empty, empty, np.zeros(0, np.int64), at
-        return window_hashes(self.hashes, WINDOW, 1)[at], window_hashes(self.hashes, WINDOW, 2)[at], self.docs[self.row[kept]], at
+        if self.other_hashes is None:
+            self.other_hashes = word_hashes(self.data, self.starts, self.ends, seed=1)
+        return window_hashes(self.hashes, WINDOW, 1)[at], window_hashes(self.other_hashes, WINDOW, 2)[at], self.docs[self.row[kept]], at
 
 
 def _smallest(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +171,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     blocks = max(partitions, 1 + total // BLOCK_BYTES)
     buckets = 2 * blocks
     sketch = spark.sparkContext.broadcast(key_sketch(texts, total))
-    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(doc_name, text_name), F.lit(blocks)).cast("int")).repartition(blocks, "__block")
+    blocked = rows.withColumn("__block", F.pmod(F.xxhash64(doc_name, text_name, F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(blocks, "__block")
     block_at = len(rows.columns)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,8 @@ from nearfield.llm.text_kernels import mix, slices, word_hashes
 
 #: Documents looked at, and the pre-tokens taken from them, for the broadcast side of the join.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, HEAD_SIZE = 4000, 20_000, 1 << 17
+#: Text for which there is one task after a shuffle; a worker keeps the distinct pre-tokens of one of its four buckets.
+TASK_BYTES = 64 << 20
 
 _ENTRY = "bucket int, pretokens array<binary>, doc_ids array<long>, keys array<long>, freqs array<int>, sizes array<long>, tokens array<long>"
 
@@ -66,9 +68,10 @@ def common_pretokens(documents: DataFrame, path: str) -> dict[bytes, int]:
 def token_counts(documents: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each document."""
     spark = small_batches(documents.sparkSession)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // TASK_BYTES)
+    buckets = 4 * partitions
     head = spark.sparkContext.broadcast(common_pretokens(texts, path))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +112,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 4096, id_col: str
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "pretokens", "doc_ids", "keys", "freqs", "sizes", "tokens"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known: dict[bytes, int] = {}  # of the bucket that the last batch ended with: rows come bucket by bucket
         for batch in batches:
             flat = [batch.column(i).flatten() for i in range(1, 7)]
             coded = pc.dictionary_encode(flat[0])
@@ -117,6 +120,8 @@ def token_counts(documents: DataFrame, path: str, limit: int = 4096, id_col: str
             new = [p for p in names if p not in known]
             known.update(zip(new, piece_counts(path, new).tolist()))
             pieces = np.array([known[p] for p in names] + [0], dtype=np.int64)
+            last = batch.column(0)[len(batch) - 1].as_py() if len(batch) else -1
+            known = _of_bucket(known, last, buckets)
             codes = pc.fill_null(coded.indices, len(names)).to_numpy().astype(np.int64)
             tokens = flat[5].to_numpy() + pieces[codes] * flat[3].to_numpy()
             copies = np.asarray(flat[0].is_null().to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -141,7 +146,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 4096, id_col: str
             yield from _by_document(pa.concat_tables(held)).to_batches(max_chunksize=1 << 16)
 
     keyed = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    counts = keyed.mapInArrow(frequencies, _ENTRY).repartition(partitions, "bucket").mapInArrow(counted, _SUMS)
+    counts = keyed.mapInArrow(frequencies, _ENTRY).repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, _SUMS)
     by_document = counts.repartition(partitions, "bucket").mapInArrow(summed, ", ".join(f"{c} long" for c in _SUM_COLUMNS))
     each = by_document.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     n_tokens = F.expr("tokens div copies")
@@ -158,6 +163,12 @@ def _by_document(rows: pa.Table) -> pa.Table:
     return sums.select(["doc_id", "key", "copies_sum", "n_bytes_max", "tokens_sum"]).rename_columns(_SUM_COLUMNS)
 
 
+def _of_bucket(known: dict[bytes, int], bucket: int, buckets: int) -> dict[bytes, int]:
+    names = list(known)
+    own = np.flatnonzero(_pretoken_hashes(names) % np.uint64(buckets) == bucket) if names else []
+    return {names[i]: known[names[i]] for i in own}
+
+
 def _pretoken_hashes(pretokens: list[bytes]) -> np.ndarray:
     """A hash of each pre-token that is the same in all tasks."""
     sizes = np.array([len(p) for p in pretokens], dtype=np.int64)

@@ -15,15 +15,17 @@ lost task leaves at most an unnamed file behind.
 
 Encoding uses the tokenizers library; a worker asks it once for each distinct run of white space and letters
 that it meets, which gives the library's ids because its pattern never joins text across those cuts.  Texts that
-hold a special string or white space outside ASCII go to the library whole.
+hold a special string or white space outside ASCII go to the library whole, and so do all texts if the vocabulary normalises texts
+or splits them by another pattern than the plain byte-level one.
 
 Defined cases: a null or empty text is the end id alone; rows with a null doc_id come first; rows that share a
-doc_id follow each other in the order of their texts, one result row for each; an empty table gives no file and no rows;
+doc_id follow each other in the order of a hash of their texts, one result row for each; an empty table gives no file and no rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -43,7 +45,7 @@ from nearfield.llm.text_kernels import ragged_positions, slices, text_bytes
 
 SEQUENCE_LENGTH, SEQUENCES_PER_BATCH = 2048, 256
 #: Runs whose ids a worker keeps (twice as many at most), and bytes of text that it encodes at a time.
-STORE_SIZE, ENCODE_BYTES = 450_000, 8 << 20
+STORE_SIZE, ENCODE_BYTES, TASK_BYTES = 450_000, 8 << 20, 64 << 20
 
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,6 +64,10 @@ class _Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.store = Generations(STORE_SIZE)
+        form = json.loads(self.library.to_str())
+        splitter = form.get("pre_tokenizer") or {}
+        # the cuts are certain for the plain byte-level pattern alone; texts go to the library whole with any other
+        self.cuts = form.get("normalizer") is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
 
@@ -82,7 +88,7 @@ class _Encoder:
         whole = pc.match_substring_regex(column, _OTHER_SPACE)
         for special in self.special:
             whole = pc.or_(whole, pc.match_substring(column, special))
-        whole = np.asarray(whole.to_numpy(zero_copy_only=False), dtype=bool)
+        whole = np.asarray(whole.to_numpy(zero_copy_only=False), dtype=bool) | (not self.cuts)
         data, offsets = text_bytes(pc.if_else(pa.array(~whole), column, ""))
         table, order = [], np.zeros(0, np.int64)
         ranges = np.zeros(len(offsets), np.int64)
@@ -129,7 +135,8 @@ def _lists(values: np.ndarray, length: int) -> pa.FixedSizeListArray:
 
 def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int = 0, length: int = SEQUENCE_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files into folder; returns the manifest (part, tokens_file, documents_file, n_documents, n_tokens)."""
-    partitions = int(small_batches(documents.sparkSession).conf.get("spark.sql.shuffle.partitions"))
+    total = documents.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    partitions = max(int(small_batches(documents.sparkSession).conf.get("spark.sql.shuffle.partitions")), 1 + total // TASK_BYTES)
     filesystem, _ = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(fs.FileSystem.from_uri(folder)[1])
 
@@ -165,7 +172,8 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "tokens_file": names[:1], "documents_file": names[1:], "n_documents": [n_documents], "n_tokens": [n_tokens]})
 
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = texts.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, or have none, are dealt by their texts too
+    ranged = texts.withColumn("key", F.xxhash64("text")).repartitionByRange(partitions, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text").drop("key")
     manifest = ranged.mapInArrow(write, "part int, tokens_file string, documents_file string, n_documents long, n_tokens long")
     return written(manifest, "token-manifest")
 
