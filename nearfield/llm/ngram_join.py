@@ -8,15 +8,23 @@ used on two levels:
 
 1. G is the whole corpus.  A merged count-min sketch (bounded size, see count_min) says which tokens occur in two documents or
    more, never missing one.  A document of which fewer than 80 % of the tokens do can link to nothing, and is done.
-2. The remaining documents, one for each different set, are partitioned into groups of similar ones (_grouped), held in parts of
-   bounded size.  A set's prefix is the first n - ceil(0.8 n) + 1 of its tokens in an order that puts rare ones first; linked
-   sets share a prefix token.  Parts whose members' prefixes share a token are candidates; the smaller one's members are the queries,
-   and each part's members are queries to the part itself.  A query whose overlap with a part's token union is under 80 % of
-   the query is done with it; otherwise the part is opened, and the overlaps with all members are counted at once along the
-   union's lists of holders.  A part's queries are dealt by hash into slices of about the size that a part may have, each of which
-   gets the part's members: so a task's work is bounded, however many parts share tokens.  Pairs of documents exist only inside a
-   task, and what is shuffled is each part's members once for each candidate part and slice.  A task returns a spanning forest
-   of the links it found.
+2. The remaining documents, one for each different set, are partitioned into groups of similar ones (_similar), held in parts of
+   bounded size.
+   a. A part's members are compared with each other, and in a group of several parts with HUBS sets of the whole group too.  What links
+      here is one group from now on, cut into parts again; sets that linked with nothing keep their group.
+   b. The matrix: each part's token union is stored.  A set's prefix is the first n - ceil(0.8 n) + 1 of its tokens in an order that puts
+      rare ones first; linked sets share a prefix token.  A query asks the parts of other groups that share one with it and whose sets'
+      sizes allow a link, one of two groups asking the other; sets of one group are known to be connected and never ask each other.
+   c. The bound: a query whose overlap with a part's union is under 80 % of the query is done with it.  The union of a part of one
+      set is that set, so its overlap decides the link.
+   d. Only parts that qualify for some query are opened: their members are sent to the queries that qualified, and the overlaps with all
+      members are counted at once along the union's lists of holders.
+
+   A part's queries are dealt by hash into slices of about the size that a part may have, so that a task's work is bounded however many
+   queries a part has.  Pairs of documents exist only inside a task, which returns a spanning forest of the links it found.  In a group of
+   near copies nearly all sets connect in step a, with work in proportion to the group.
+
+Sets are compared by 64-bit hashes of their shingles, and are one by a 128-bit hash; these aren't verified word for word.
 
 Defined cases: an empty or null text has no shingles and links with nothing; a row with a null doc_id gets its n_shingles and
 a null component_id, and links nothing; rows that share a doc_id are separate rows that may link; an empty table gives no
@@ -30,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import count_min
@@ -39,7 +47,7 @@ from nearfield.llm.rows import MAX_BROADCAST_KEYS, all_columns, column, fingerpr
 from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, window_hashes, word_hashes, word_spans
 
-SHINGLE, PERCENT, COMMON, LEAST = 5, 80, 32, 4
+SHINGLE, PERCENT, COMMON, LEAST, HUBS = 5, 80, 32, 4, 16
 #: Sets and tokens in a part of a group, at most (a larger set is alone in its part).
 PART_SETS, PART_TOKENS = 1024, 500_000
 
@@ -124,18 +132,22 @@ def _array(packed) -> np.ndarray:
     return np.frombuffer(packed.as_buffer(), dtype=np.uint64)
 
 
-def _grouped(sets: DataFrame) -> DataFrame:
-    """sets with part, a bounded piece of a group of similar sets.
+def _similar(sets: DataFrame) -> DataFrame:
+    """(set, grp): the group of each set.
 
     Of a set's LEAST smallest tokens, the one that most sets have among theirs names its group; sets that share most of their
     tokens mostly choose alike.
     """
-    least = sets.select("set", "n", F.explode("least").alias("token"))
+    least = sets.select("set", F.explode("least").alias("token"))
     popular = least.groupBy("token").agg(F.count("*").alias("holders"))
-    chosen = least.join(popular, "token").groupBy("set", "n").agg(F.max(F.struct("holders", "token")).alias("c")).select("set", "n", F.col("c.token").alias("grp"))
-    pieces = chosen.groupBy("grp").agg(F.greatest(F.expr(f"ceil(count(*) / {PART_SETS})"), F.expr(f"ceil(sum(n) / {PART_TOKENS})")).alias("pieces"))
-    part = F.struct("grp", F.pmod(F.xxhash64("set"), F.col("pieces")).alias("piece"))
-    return sets.join(chosen.join(pieces, "grp").select("set", part.alias("part")), "set")
+    chosen = least.join(popular, "token").groupBy("set").agg(F.max(F.struct("holders", "token")).alias("c"))
+    return chosen.select("set", F.encode(F.concat(F.lit("token "), F.col("c.token").cast("string")), "utf-8").alias("grp"))
+
+
+def _in_parts(sets: DataFrame) -> DataFrame:
+    """sets(set, n, grp...) with part, a bounded piece of its group, and the number of pieces of the group."""
+    pieces = sets.groupBy("grp").agg(F.greatest(F.expr(f"ceil(count(*) / {PART_SETS})"), F.expr(f"ceil(sum(n) / {PART_TOKENS})")).alias("pieces"))
+    return sets.join(pieces, "grp").withColumn("part", F.struct("grp", F.pmod(F.xxhash64("set"), F.col("pieces")).alias("piece")))
 
 
 def _spanning(left: list[bytes], right: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
@@ -172,37 +184,111 @@ def search_part(queries: list[np.ndarray], members: list[np.ndarray]) -> Iterato
         yield i, np.flatnonzero(100 * common >= PERCENT * (len(query) + sizes - common))
 
 
-def _tasks(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(part, slice, set, tokens) of the queries, and of the members that each slice of them is compared with."""
-    parts = sets.groupBy("part").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
-    matrix = sets.select("part", F.explode("prefix").alias("token")).distinct()
-    pairs = matrix.join(matrix.withColumnRenamed("part", "other"), "token").where("part < other").select("part", "other").distinct()
-    pairs = pairs.join(parts.select("part", "members"), "part").join(parts.select(F.col("part").alias("other"), F.col("members").alias("others")), "other")
-    few = F.col("members") <= F.col("others")
-    asked = pairs.select(F.when(few, F.col("part")).otherwise(F.col("other")).alias("from"), F.when(few, F.col("other")).otherwise(F.col("part")).alias("part"))
-    asked = asked.unionAll(parts.where("members > 1").select(F.col("part").alias("from"), "part"))
-    slices_of = F.greatest(F.expr(f"ceil(sum(members) / {PART_SETS})"), F.expr(f"ceil(sum(size) / {PART_TOKENS})"))
-    load = asked.join(parts.withColumnRenamed("part", "from"), "from").groupBy("part").agg(slices_of.alias("slices"))
-    # another seed than that of _grouped, so that one part's sets go to all slices
-    own_slice = F.pmod(F.xxhash64("set", F.lit(1)), F.col("slices"))
-    queries = asked.join(load, "part").join(sets.select(F.col("part").alias("from"), "set", "tokens"), "from").select("part", own_slice.alias("slice"), "set", "tokens")
-    opened = sets.join(load, "part").select("part", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "set", "tokens")
-    return queries, opened
+def _links_in_parts(sets: DataFrame) -> DataFrame:
+    """(a, b): links between sets of one part, and between them and their group's hubs."""
+    counts = sets.groupBy("part").agg(F.count("*").alias("members"))
+    members = sets.join(counts, "part").where("members > 1 OR pieces > 1").select("part", "set", "tokens")
+    cut = sets.where("pieces > 1")
+    first = F.row_number().over(Window.partitionBy("grp").orderBy("set"))
+    hubs = cut.withColumn("at", first).where(F.col("at") <= HUBS).select("grp", "set", "tokens")
+    sent = cut.select("part", "grp").distinct().join(hubs, "grp").select("part", "set", "tokens")
+
+    def link(table: pa.Table) -> pa.Table:
+        names, held = table.column("set").to_pylist(), [_array(x) for x in table.column("tokens")]
+        return _spanning(names, names, [(i, int(j)) for i, found in search_part(held, held) for j in found])
+
+    return members.unionAll(sent).groupBy("part").applyInArrow(link, "a binary, b binary")
+
+
+def _matrix(light: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, members, least, most): the parts; and (part, union, one) with each part's token union, and its only set if it has one."""
+    parts = written(light.groupBy("part").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most")), "parts")
+
+    def union(table: pa.Table) -> pa.Table:
+        every = np.unique(np.concatenate([_array(x) for x in table.column("tokens")]))
+        return pa.table({"part": table.column("part").slice(0, 1), "union": pa.array([every.tobytes()], pa.binary()), "one": pa.array([None], pa.binary())})
+
+    held = light.select("part", "set").join(parts.select("part", "members"), "part").join(tokens, "set")
+    stored = held.where("members > 1").select("part", "tokens").groupBy("part").applyInArrow(union, f"part {_PART}, union binary, one binary")
+    single = held.where("members = 1").select("part", F.col("tokens").alias("union"), F.col("set").alias("one"))
+    return parts, written(stored, "token-groups").unionAll(single)
+
 
+_PART = "struct<grp:binary,piece:bigint>"
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between sets, as many as keep their components."""
-    queries, opened = _tasks(sets)
+
+def _candidates(light: DataFrame, parts: DataFrame) -> DataFrame:
+    """(set, n, part): the parts that each query asks."""
+    groups = light.groupBy("grp").agg(F.count("*").alias("size"))
+    held = light.select("grp", "part", F.explode("prefix").alias("token")).distinct()
+    tokens = held.select("grp", "token").distinct().join(groups, "grp")
+    asking = light.join(groups, "grp").select("set", "n", F.col("grp").alias("own"), F.col("size").alias("own_size"), F.col("part.piece").alias("own_piece"), "alone", "before", F.explode("prefix").alias("token"))
+    # of two groups the smaller one asks; sets that are alone ask the other pieces of their group too
+    pairs = asking.join(tokens, "token").where("struct(own_size, own) < struct(size, grp) OR (own = grp AND alone AND before > 1)").select("set", "n", "own", "own_piece", "grp", "token")
+    asked = pairs.join(held, ["grp", "token"]).where("own <> grp OR own_piece <= part.piece").select("set", "n", "part").distinct()
+    return asked.join(parts, "part").where(f"100 * most >= {PERCENT} * n AND 100 * n >= {PERCENT} * least").select("set", "n", "part")
+
+
+def _links_across(light: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(a, b): links between sets of different groups, or of different pieces of a group, as many as keep their components."""
+    parts, unions = _matrix(light, tokens)
+    asked = written(_candidates(light, parts), "asked-parts")
+    slices_of = F.greatest(F.expr(f"ceil(count(*) / {PART_SETS})"), F.expr(f"ceil(sum(n) / {PART_TOKENS})"))
+    load = asked.groupBy("part").agg(slices_of.alias("slices"))
+    # another seed than that of _in_parts, so that one part's sets go to all slices
+    own_slice = F.pmod(F.xxhash64("set", F.lit(1)), F.col("slices"))
+    queries = asked.join(load, "part").select("part", own_slice.alias("slice"), "set").join(tokens, "set").select("part", "slice", "set", "tokens")
+    bounds = unions.join(load, "part").select("part", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "union", "one")
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, links = [], []
+        if len(left) and len(right):
+            union, one = _array(right.column("union")[0]), right.column("one")[0].as_py()
+            for i, query in enumerate(_array(x) for x in left.column("tokens")):
+                common = _overlap(union, query)
+                if common >= least_overlap(len(query)) and (one is None or 100 * common >= PERCENT * (len(query) + len(union) - common)):
+                    at.append(i)
+                    links.append(one)
+        chosen = left.select(["part", "slice", "set"]).take(pa.array(at, pa.int64()))
+        return chosen.append_column("link", pa.array(links, pa.binary()))
+
+    qualified = written(queries.groupBy("part", "slice").cogroup(bounds.groupBy("part", "slice")).applyInArrow(bound, f"part {_PART}, slice bigint, set binary, link binary"), "qualified")
+    direct = qualified.where("link IS NOT NULL").select(F.col("set").alias("a"), F.col("link").alias("b"))
+    opening = qualified.where("link IS NULL").select("part", "slice", "set")
+    opened = light.select("part", "set").join(opening.select("part", "slice").distinct(), "part").join(tokens, "set")
+    # columns of their own: both sides come from the same tables
+    opened = opened.select(*(F.col(c).alias(f"{c}_in") for c in ("part", "slice", "set", "tokens")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, owned = left.column("set").to_pylist(), right.column("set").to_pylist()
+        names, owned = left.column("set").to_pylist(), right.column("set_in").to_pylist()
         links = []
         if names and owned:
-            for i, found in search_part([_array(x) for x in left.column("tokens")], [_array(x) for x in right.column("tokens")]):
+            for i, found in search_part([_array(x) for x in left.column("tokens")], [_array(x) for x in right.column("tokens_in")]):
                 links += ((i, int(j)) for j in found)
         return _spanning(names, owned, links)
 
-    return queries.groupBy("part", "slice").cogroup(opened.groupBy("part", "slice")).applyInArrow(search, "a binary, b binary")
+    return direct.unionAll(opening.join(tokens, "set").select("part", "slice", "set", "tokens").groupBy("part", "slice").cogroup(opened.groupBy("part_in", "slice_in")).applyInArrow(search, "a binary, b binary"))
+
+
+def _overlap(union: np.ndarray, query: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(union, query), len(union) - 1)
+    return int(np.count_nonzero(union[at] == query))
+
+
+def _regrouped(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """(set, n, prefix, before, alone, grp, part, pieces): one group for what near links, and the old ones of before pieces for the rest."""
+    roots = connected_components(near).select(F.col("node").alias("set"), "root")
+    light = sets.select("set", "n", "prefix", "grp", F.col("pieces").alias("before")).join(roots, "set", "left")
+    return _in_parts(light.select("set", "n", "prefix", "before", F.col("root").isNull().alias("alone"), F.coalesce("root", "grp").alias("grp")))
+
+
+def _components(sets: DataFrame) -> DataFrame:
+    """(node, root) of all sets that link with another one."""
+    sets = written(_in_parts(sets.join(_similar(sets), "set")).drop("least"), "set-groups")
+    tokens = sets.select("set", "tokens")
+    near = written(_links_in_parts(sets), "links-in-parts")
+    light = written(_regrouped(sets, near), "set-parts")
+    return connected_components(near.unionAll(_links_across(light, tokens)))
 
 
 def _grouped_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,8 +302,7 @@ def _grouped_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame
     identified = rows.where("doc_id IS NOT NULL")
     one = [F.first(c).alias(c) for c in ("n", "tokens", "prefix", "least")]
     sets = identified.where("size(prefix) > 0").groupBy("set").agg(*one)
-    sets = written(_grouped(sets), "set-groups")
-    roots = connected_components(_links(sets))
+    roots = _components(sets)
     groups = roots.select(F.col("node").alias("set"), F.col("root").alias("grp"))
     firsts = identified.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "k0", "k1")).alias("first")).join(groups, "set", "left").withColumn("grp", F.coalesce("grp", "set"))
     smallest = firsts.groupBy("grp").agg(F.min("first").alias("first"))

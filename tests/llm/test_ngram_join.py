@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from tests.llm.corpora import odd_documents
 
@@ -66,6 +67,7 @@ def test_parts_and_full_sketch_lose_nothing(spark, monkeypatch):
     """Tiny parts and a sketch that knows nothing give the same result."""
     monkeypatch.setattr(count_min, "width_for", lambda *_, **__: 64)
     monkeypatch.setattr(ngram_join, "PART_SETS", 3)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
     documents = odd_documents(spark, corpus(3))
     assert Counter(tuple(r) for r in similar_groups(documents).collect()) == brute_force(documents.collect())
     kept = one_of_each_group(documents)
@@ -96,16 +98,44 @@ def test_components(spark):
     assert got == {n: r for n, r in want.items() if n in got} and all(n == r for n, r in want.items() if n not in got)
 
 
-def test_tasks_of_a_hot_group_are_bounded(spark, monkeypatch):
-    """Each slice gets few queries and the whole part, and no query is lost."""
+def packed(tokens):
+    return np.unique(np.array(tokens, dtype=np.uint64)).tobytes()
+
+
+def make_sets(spark, rows):
+    """A table of sets of (group, tokens), each token in the prefix, in parts."""
+    out = [(i.to_bytes(16, "big"), len(set(t)), packed(t), [int(x) for x in sorted(set(t))], str(g).encode()) for i, (g, t) in enumerate(rows)]
+    return ngram_join._in_parts(spark.createDataFrame(out, "set binary, n long, tokens binary, prefix array<long>, grp binary"))
+
+
+def test_near_copies_connect_without_pairs_of_parts(spark, monkeypatch):
+    """A group of many parts whose sets are near copies: what is compared grows with the group, and no set asks its own group."""
     monkeypatch.setattr(ngram_join, "PART_SETS", 8)
-    rows = [(bytes([i]), 4, [1, 2, 3, 10 + i], [1], (i // 8, 0)) for i in range(200)]
-    sets = spark.createDataFrame(rows, "set binary, n int, tokens array<long>, prefix array<long>, part struct<grp long, piece long>")
-    queries, opened = (f.select("part.grp", "slice", "set").collect() for f in ngram_join._tasks(sets))
-    assert max(Counter((r.grp, r.slice) for r in queries).values()) <= 3 * 8
-    assert max(Counter((r.grp, r.slice) for r in opened).values()) == 8
-    held = {(r.grp, r.slice): set() for r in queries}
-    for r in opened:
-        held.setdefault((r.grp, r.slice), set()).add(bytes(r.set))
-    met = {frozenset((bytes(r.set), m)) for r in queries for m in held[r.grp, r.slice] if bytes(r.set) != m}
-    assert len(met) == 200 * 199 // 2
+    sets = make_sets(spark, [("hot", [*range(50), 1000 + i]) for i in range(200)] + [(f"g{i}", [*range(10), *range(5000 + 100 * i, 5040 + 100 * i)]) for i in range(30)])
+    near = ngram_join._links_in_parts(sets)
+    light = ngram_join._regrouped(sets, near)
+    hot = light.where("NOT alone")
+    assert hot.count() == 200 and hot.select("grp").distinct().count() == 1
+    parts, unions = ngram_join._matrix(light, sets.select("set", "tokens"))
+    asked = ngram_join._candidates(light, parts).join(light.select("set", "grp"), "set")
+    assert asked.where("grp = part.grp").count() == 0
+    assert unions.where("one IS NULL").count() == parts.where("members > 1").count() > 20
+
+
+def test_bound_is_asked_before_parts_are_opened(spark, monkeypatch):
+    """Of the parts that queries ask, only those whose union holds enough of a query are opened."""
+    chance = random.Random(2)
+    groups = [[chance.randrange(1 << 40) for _ in range(60)] for _ in range(12)]
+    rows = [(g, [*own[: 56 + i % 4], 7]) for g, own in enumerate(groups) for i in range(4)]  # token 7 is in all
+    rows += [(f"q{g}", [*own[:30], *(chance.randrange(1 << 40) for _ in range(40)), 7]) for g, own in enumerate(groups)]
+    rows += [(f"r{g}", [*own[:55], 7, 8]) for g, own in enumerate(groups[:3])]
+    sets = make_sets(spark, rows)
+    seen = {}
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda frame, name: seen.setdefault(name, real(frame, name)))
+    light = ngram_join._regrouped(sets, ngram_join._links_in_parts(sets))
+    links = {(bytes(r.a), bytes(r.b)) for r in ngram_join._links_across(light, sets.select("set", "tokens")).collect()}
+    linked = {int.from_bytes(a, "big") for pair in links for a in pair}
+    assert {60, 61, 62} <= linked and not linked & set(range(48, 60))
+    asked, opened = seen["asked-parts"].count(), seen["qualified"].where("link IS NULL").count()
+    assert asked > 100 and opened == 3
