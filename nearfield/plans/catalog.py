@@ -20,6 +20,7 @@ from nearfield.operators.quantise import code_tables, part_of
 from nearfield.operators.range_join import label_extent, range_join
 from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
+from nearfield.operators.zorder import z_intervals
 from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, ranked, reach_of, refined, search, until_k_pass
 from nearfield.sources.lineage import new_folder
 
@@ -387,6 +388,15 @@ def zrange_candidates(spark, sf_dir):
     return pairs.groupBy("qid").agg(F.sum("cnt").alias("in_range"), F.coalesce(F.sum(F.when(F.expr(_IN_BOX), F.col("cnt"))), F.lit(0)).alias("in_box"))
 
 
+@_register("z_intervals", f"""WITH {_G}, c AS (SELECT qid, {_z_sql(_AXES)} AS z FROM (SELECT qid, c0, c1, unnest(range(c2_lo, c2_hi + 1)) AS c2 FROM (SELECT qid, c0, unnest(range(c1_lo, c1_hi + 1)) AS c1, c2_lo, c2_hi
+  FROM (SELECT qid, unnest(range(c0_lo, c0_hi + 1)) AS c0, c1_lo, c1_hi, c2_lo, c2_hi FROM b)))),
+r AS (SELECT qid, z, z - row_number() OVER (PARTITION BY qid ORDER BY z) AS run FROM c)
+SELECT qid, min(z)::BIGINT AS z_lo, max(z)::BIGINT AS z_hi FROM r GROUP BY qid, run""")
+def z_intervals_of_boxes(spark, sf_dir):
+    """Each box as the fewest intervals of Morton codes."""
+    return z_intervals(boxes(spark, sf_dir), _AXES, 4)
+
+
 @_register("grid_compressed_sums", f"""WITH {_G}, {_DENSE}, p AS (SELECT x.c0, x.c1, x.c2, coalesce(sum(n.cnt), 0)::BIGINT AS cum FROM x LEFT JOIN n ON n.c0 <= x.c0 AND n.c1 <= x.c1 AND n.c2 <= x.c2 GROUP BY ALL)
 SELECT * FROM p QUALIFY lag(cum) OVER (PARTITION BY c0, c1 ORDER BY c2) IS DISTINCT FROM cum""")
 def grid_compressed_sums(spark, sf_dir):

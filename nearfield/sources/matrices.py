@@ -46,31 +46,52 @@ def read_matrix(spark: SparkSession, folder: str, key: str, dtype: str = "float3
         raise ValueError(f"unknown element type {dtype!r}")
     folder = located(spark, folder)
     rows, columns = matrix_size(folder, key)
-    kind = np.dtype(DTYPES[dtype])
-    stop = rows if stop is None else min(stop, rows)
+    return _rows(spark, f"{folder}/{key}", columns, np.dtype(DTYPES[dtype]), start, rows if stop is None else min(stop, rows))
+
+
+def _rows(spark: SparkSession, file: str, columns: int, kind: np.dtype, start: int, stop: int) -> DataFrame:
+    """(id, vec) of the rows start to stop - 1 of a headerless file."""
     step = max(1, ROWS_PER_TASK_BYTES // max(1, columns * kind.itemsize))
     ranges = spark.range(start, max(start, stop), step, numPartitions=max(1, -(-(stop - start) // step)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(f"{folder}/{key}")
+        store, path = fs.FileSystem.from_uri(file)
         for batch in batches:
             for first in batch.column(0).to_pylist():
                 count = min(step, stop - first)
-                with store.open_input_file(path) as file:
-                    values = np.frombuffer(file.read_at(count * columns * kind.itemsize, first * columns * kind.itemsize), dtype=kind).astype(float)
+                with store.open_input_file(path) as source:
+                    values = np.frombuffer(source.read_at(count * columns * kind.itemsize, first * columns * kind.itemsize), dtype=kind).astype(float)
                 offsets = pa.array(np.arange(count + 1, dtype=np.int32) * columns)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + count)), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["id", "vec"])
 
     return ranges.mapInArrow(read, "id long, vec array<double>")
 
 
+def _lines(folder: str, name: str) -> list[str]:
+    store, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return []
+    with store.open_input_stream(path) as file:
+        return [line.strip() for line in file.read().decode().splitlines() if line.strip()]
+
+
+def key_types(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The element type of each key of a raw dataset: line by line those of its files keys and dtypes; none without such files."""
+    keys, kinds = (_lines(located(spark, folder), name) for name in ("keys", "dtypes"))
+    if len(kinds) < len(keys):
+        raise ValueError(f"{len(keys)} keys with {len(kinds)} element types")
+    return dict(zip(keys, kinds))
+
+
 def dataset(spark: SparkSession, folder: str, dtype: str = "float32") -> tuple[DataFrame, DataFrame]:
     """(id, vec, l0...) and (qid, qvec, x0...) of a raw dataset's train and test keys."""
+    kinds = key_types(spark, folder)
+    read = lambda key: read_matrix(spark, folder, key, kinds.get(key, dtype))
     columns = matrix_size(located(spark, folder), "train_label")[1]
     anchors = matrix_size(located(spark, folder), "test_label")[1]
-    data = read_matrix(spark, folder, "train_vec", dtype).join(read_matrix(spark, folder, "train_label", dtype).select("id", *(F.col("vec")[i].alias(f"l{i}") for i in range(columns))), "id")
-    tests = read_matrix(spark, folder, "test_vec", dtype).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    labels = read_matrix(spark, folder, "test_label", dtype).select(F.col("id").alias("qid"), *(F.col("vec")[i].alias(f"x{i}") for i in range(anchors)))
+    data = read("train_vec").join(read("train_label").select("id", *(F.col("vec")[i].alias(f"l{i}") for i in range(columns))), "id")
+    tests = read("test_vec").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    labels = read("test_label").select(F.col("id").alias("qid"), *(F.col("vec")[i].alias(f"x{i}") for i in range(anchors)))
     return data, tests.join(labels, "qid")
 
 
@@ -89,6 +110,26 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_raw_results(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """(qid, rank, neighbor, distance) of a folder of raw results: neighbors* (uint64) and distances* (float32) with k entries a query, the
+    files of each kind one after another in the order of their names."""
+    folder = located(spark, folder)
+    store, path = fs.FileSystem.from_uri(folder)
+    out = []
+    for kind, dtype in (("neighbors", np.uint64), ("distances", np.float32)):
+        files = sorted((f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name.startswith(kind))
+        whole, before = None, 0
+        for name, size in files:
+            n = size // (k * np.dtype(dtype).itemsize)
+            rows = _rows(spark, f"{folder}/{name}", k, np.dtype(dtype), 0, n).select((F.col("id") + before).alias("qid"), F.posexplode("vec").alias("rank", kind))
+            whole, before = rows if whole is None else whole.unionAll(rows), before + n
+        if whole is None:
+            raise ValueError(f"no {kind} files in {folder}")
+        out.append(whole)
+    both = out[0].join(out[1], ["qid", "rank"])
+    return both.select("qid", (F.col("rank") + 1).alias("rank"), F.col("neighbors").cast("bigint").alias("neighbor"), F.col("distances").alias("distance"))
+
+
 def write_clustered(data: DataFrame, path: str, *columns: str, files: int = 32) -> None:
     """Rows in files by ranges of the columns and sorted by them, so that scans skip by the columns' statistics."""
     data.repartitionByRange(files, *columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)

@@ -11,8 +11,9 @@ from nearfield.operators.quantise import ProductQuantiser, balanced_groups
 from nearfield.operators.range_join import label_extent, range_join
 from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
+from nearfield.operators.zorder import z_intervals
 from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, opened, reach_of, search, until_k_pass
-from nearfield.sources.matrices import read_matrix, read_result, read_truth, write_clustered, write_result
+from nearfield.sources.matrices import dataset, key_types, read_matrix, read_raw_results, read_result, read_truth, write_clustered, write_result
 from nearfield.streaming.serving import serve
 
 LABELS = ["l0", "l1"]
@@ -210,6 +211,40 @@ def test_raw_files_and_results(spark, tmp_path, data, queries):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(l1,3" in plan
 
 
+def test_raw_datasets_and_result_folders(spark, tmp_path):
+    for key, values in (("train_vec", np.arange(6, dtype=np.float64).reshape(3, 2)), ("train_label", np.array([[1], [2], [3]], dtype=np.int32)), ("test_vec", np.ones((1, 2), dtype=np.float64)), ("test_label", np.array([[2]], dtype=np.int32))):
+        values.tofile(tmp_path / key)
+        np.array(values.shape, dtype=np.int32).tofile(tmp_path / f"{key}_size")
+    (tmp_path / "keys").write_text("train_vec\ntrain_label\ntest_vec\ntest_label\n")
+    (tmp_path / "dtypes").write_text("float64\nint32\nfloat64\nint32\n")
+    data, tests = dataset(spark, str(tmp_path))
+    assert sorted((r.id, r.vec, r.l0) for r in data.collect()) == [(0, [0, 1], 1), (1, [2, 3], 2), (2, [4, 5], 3)] and tests.first().x0 == 2
+    (tmp_path / "dtypes").write_text("float64\n")
+    with pytest.raises(ValueError):
+        key_types(spark, str(tmp_path))
+    out = tmp_path / "res"
+    out.mkdir()
+    for part, n in (("1", [[1, 2]]), ("0", [[3, 4], [5, 6]])):
+        np.array(n, dtype=np.uint64).tofile(out / f"neighbors_{part}")
+        (np.array(n, dtype=np.float32) / 2).tofile(out / f"distances_{part}")
+    got = sorted(tuple(r) for r in read_raw_results(spark, str(out), 2).collect())
+    assert got == [(0, 1, 3, 1.5), (0, 2, 4, 2.0), (1, 1, 5, 2.5), (1, 2, 6, 3.0), (2, 1, 1, 0.5), (2, 2, 2, 1.0)]
+
+
+def test_few_levels_of_z_intervals_lose_no_cell(spark):
+    chance = random.Random(4)
+    rows = [(q, *(x for _ in range(2) for x in sorted(chance.randrange(16) for _ in range(2)))) for q in range(30)]
+    asked = spark.createDataFrame(rows, "qid int, a_lo int, a_hi int, b_lo int, b_hi int")
+    code = lambda a, b: sum((a >> i & 1) << 2 * i + 1 | (b >> i & 1) << 2 * i for i in range(4))
+    for levels in (0, 2, 4):
+        held = {q: set() for q in range(30)}
+        for r in z_intervals(asked, ("a", "b"), 4, levels).collect():
+            held[r.qid] |= set(range(r.z_lo, r.z_hi + 1))
+        for q, a0, a1, b0, b1 in rows:
+            box = {code(a, b) for a in range(a0, a1 + 1) for b in range(b0, b1 + 1)}
+            assert box <= held[q] and (levels < 4 or box == held[q])
+
+
 def test_streamed_queries(spark, tmp_path, data, queries):
     queries.write.parquet(str(tmp_path / "in"))
     strategy = STRATEGIES["prefilter"](LABELS, Params(k=5, codes=8))
