@@ -1,8 +1,9 @@
 """Join of queries with the rows whose labels lie in the queries' intervals.
 
-A few queries are broadcast and tested against each row in one pass over the data.  Beyond MAX_BROADCAST queries, both sides
-meet by grid cell instead: a row has one cell, a query one for each cell that its box meets, so the join is an equi-join,
-and the exact test follows.  The grid is coarsened until a query's box has MAX_CELLS cells at most.
+A few queries are broadcast and tested against each row in one pass over the data: at most MAX_BROADCAST of them, of BROADCAST_BYTES at most.
+Beyond that both sides meet by grid cell instead: a row has one cell, a query one for each cell that its box meets, so the join is an
+equi-join, and the exact test follows.  The grid is coarsened until a query's box has MAX_CELLS cells at most.  Without labels, where
+every row meets every query, the queries come in blocks of that size, each broadcast and held against the data.
 
 Either way, the least and greatest bound over all queries are put on the scan as constants, where they reach Parquet's statistics.
 """
@@ -11,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions.filters import inside
 from nearfield.functions.grids import coordinate
 
-MAX_BROADCAST, MAX_CELLS, CELLS = 5_000, 4_096, 64
+MAX_BROADCAST, BROADCAST_BYTES, MAX_CELLS, CELLS = 5_000, 128 << 20, 4_096, 64
 
 
 def label_extent(data: DataFrame, labels: Sequence[str]) -> list[tuple[float, float]]:
@@ -29,15 +31,25 @@ def label_extent(data: DataFrame, labels: Sequence[str]) -> list[tuple[float, fl
     return [(row[f"lo_{i}"] if row[f"lo_{i}"] is not None else 0.0, row[f"hi_{i}"] if row[f"hi_{i}"] is not None else 0.0) for i in range(len(labels))]
 
 
-def _bounded(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> tuple[DataFrame, int]:
-    """data within the union of all intervals, label by label, and the number of queries."""
-    row = queries.agg(F.count("*").alias("n"), *(f(f"{kind}_{i}").alias(f"{kind}_{i}") for i in numbers for kind, f in (("lo", F.min), ("hi", F.max)))).first()
+def _bytes(queries: DataFrame) -> Column:
+    """About how many bytes a query takes: 8 for each number, twice that for each column."""
+    total = F.lit(16 * len(queries.columns)).cast("long")
+    for field in queries.schema:
+        if isinstance(field.dataType, T.ArrayType):
+            inner = F.coalesce(F.size(F.get(field.name, F.lit(0))), F.lit(1)) if isinstance(field.dataType.elementType, T.ArrayType) else F.lit(1)
+            total = total + 8 * F.greatest(F.size(field.name), F.lit(0)) * inner
+    return total
+
+
+def _bounded(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> tuple[DataFrame, int, int]:
+    """data within the union of all intervals, label by label, and the number of queries and their bytes."""
+    row = queries.agg(F.count("*").alias("n"), F.sum(_bytes(queries)).alias("bytes"), *(f(f"{kind}_{i}").alias(f"{kind}_{i}") for i in numbers for kind, f in (("lo", F.min), ("hi", F.max)))).first()
     for i, name in zip(numbers, labels):
         if row[f"lo_{i}"] is not None:
             data = data.where(F.col(name) >= F.lit(row[f"lo_{i}"]))
         if row[f"hi_{i}"] is not None and row[f"hi_{i}"] != float("inf"):
             data = data.where(F.col(name) <= F.lit(row[f"hi_{i}"]))
-    return data, row["n"]
+    return data, row["n"], row["bytes"] or 0
 
 
 def range_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], max_broadcast: int = MAX_BROADCAST, numbers: Sequence[int] | None = None) -> DataFrame:
@@ -46,11 +58,16 @@ def range_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], max_b
     Label j is held against interval numbers[j], by default j.
     """
     numbers = list(range(len(labels)) if numbers is None else numbers)
-    data, n = _bounded(data, queries, labels, numbers)
-    if n <= max_broadcast or not labels:
-        # without labels every row meets every query: a stated query set against all rows
-        return data.join(F.broadcast(queries) if n <= max_broadcast else queries, inside(labels, numbers))
-    return cell_join(data, queries, labels, numbers)
+    data, n, size = _bounded(data, queries, labels, numbers)
+    if n <= max_broadcast and size <= BROADCAST_BYTES:
+        return data.join(F.broadcast(queries), inside(labels, numbers))
+    if labels:
+        return cell_join(data, queries, labels, numbers)
+    blocks, out = 1 + max(size // BROADCAST_BYTES, n // max(1, max_broadcast)), None
+    for block in range(blocks):
+        own = data.join(F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)), F.lit(True))
+        out = own if out is None else out.unionAll(own)
+    return out
 
 
 def cell_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int], cells: int = CELLS) -> DataFrame:

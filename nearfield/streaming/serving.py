@@ -11,7 +11,8 @@ from nearfield.plans.indexes import Index, Strategy
 def serve(strategy: Strategy, index: Index, queries: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Writes each micro-batch's results to out/batch=<n>; a batch that is run again after a failure replaces its own folder.
 
-    queries is a streaming DataFrame of (qid, qvec, lo_i, hi_i...).
+    queries is a streaming DataFrame of (qid, qvec, lo_i, hi_i...).  index is best one that was saved and loaded: of one that was only
+    built, each batch assigns and encodes the data again.
     """
 
     def answer(batch: DataFrame, number: int) -> None:

@@ -65,6 +65,13 @@ def test_cell_join_equals_broadcast_join(data, queries):
 POOR = Params(k=7, codes=8, keep=1, keep_soft=1, label_clusters=3, label_probes=1, pass_ratio=0.9, max_cells=9, lists=3, probes=1, clusters=3, sub_clusters=2, cluster_probes=1, sub_probes=1, grids=30, beta=1, refine=1, frontier=8, rounds=1, entries=4)
 
 
+def test_many_queries_come_in_blocks(data, queries):
+    pairs = range_join(data, queries, [], max_broadcast=5)
+    assert pairs.select("qid", "id").distinct().count() == pairs.count() == 12 * 602
+    plan = pairs._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") >= 3
+
+
 @pytest.mark.parametrize("name", [n for n in STRATEGIES if n != "pq"])
 def test_strategies_are_exact_at_any_settings(rows, data, queries, name):
     assert found(search(name, data, queries, LABELS, POOR)) == brute_force(rows, queries, 7)
