@@ -49,7 +49,7 @@ from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_byt
 
 SHINGLE, PERCENT, COMMON, LEAST, HUBS = 5, 80, 32, 4, 16
 #: Sets and tokens in a part of a group, at most (a larger set is alone in its part).
-PART_SETS, PART_TOKENS = 1024, 500_000
+PART_SETS, PART_TOKENS = 1024, 250_000
 
 
 def least_overlap(n):

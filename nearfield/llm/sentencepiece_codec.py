@@ -27,7 +27,7 @@ from nearfield.llm.shared_store import small_batches
 from nearfield.llm.text_kernels import ragged_positions, slices
 
 #: Encoded pre-tokens that a worker keeps (twice as many at most, and none of more than 64 bytes).
-STORE_SIZE = 250_000
+STORE_SIZE = 150_000
 
 _STORES: dict[str, tuple[Generations, object]] = {}
 

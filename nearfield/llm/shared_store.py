@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nearfield.sources.lineage import new_folder
 
 #: Bytes of rows after which an Arrow batch to a Python worker ends.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

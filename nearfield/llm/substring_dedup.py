@@ -36,7 +36,7 @@ from nearfield.llm.rows import all_columns, numbered
 from nearfield.llm.shared_store import small_batches
 from nearfield.llm.text_kernels import slices, text_bytes, window_hashes, word_hashes, word_spans
 
-WINDOW, KEY_WORDS, DEPTH, BLOCK_BYTES = 50, 9, 2, 16 << 20
+WINDOW, KEY_WORDS, DEPTH, BLOCK_BYTES = 50, 9, 2, 8 << 20
 
 _NO_DOC = np.iinfo(np.int64).max
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that the kernels take at a time: their working arrays are a few times this size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The bytes that separate words: 0x20 and 0x09 to 0x0D.  They never occur inside a UTF-8 character.
 SEPARATOR = np.zeros(256, dtype=bool)
