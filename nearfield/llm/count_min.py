@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfield.llm.text_kernels import mix, pack_sorted, unpack_sorted
+from nearfield.llm.text_kernels import mix, pack_sorted, release, unpack_sorted
 
 BLOCK, MIN_WIDTH, MAX_WIDTH = 1 << 20, 1 << 20, 1 << 30
 
@@ -63,6 +63,7 @@ def merged(partials: DataFrame, width: int, depth: int, thresholds: tuple[int, .
     """Adds the tasks' sketches up, block by block on the executors."""
 
     def add(table: pa.Table) -> pa.Table:
+        release(table.nbytes)
         hit = np.concatenate([unpack_sorted(packed.as_py()) for packed in table.column("cells")])
         counts = np.bincount(hit, minlength=min(BLOCK, width))
         bits = [np.packbits(counts >= t).tobytes() for t in thresholds]

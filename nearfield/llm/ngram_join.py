@@ -45,7 +45,7 @@ from nearfield.llm import count_min
 from nearfield.llm.components import connected_components
 from nearfield.llm.rows import MAX_BROADCAST_KEYS, all_columns, column, fingerprint, quoted, without
 from nearfield.llm.shared_store import small_batches, written
-from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, window_hashes, word_hashes, word_spans
+from nearfield.llm.text_kernels import LOWER, ragged_positions, release, slices, text_bytes, window_hashes, word_hashes, word_spans
 
 SHINGLE, PERCENT, COMMON, LEAST, HUBS = 5, 80, 32, 4, 16
 #: Sets and tokens in a part of a group, at most (a larger set is alone in its part).
@@ -194,6 +194,7 @@ def _links_in_parts(sets: DataFrame) -> DataFrame:
     sent = cut.select("part", "grp").distinct().join(hubs, "grp").select("part", "set", "tokens")
 
     def link(table: pa.Table) -> pa.Table:
+        release(table.nbytes)
         names, held = table.column("set").to_pylist(), [_array(x) for x in table.column("tokens")]
         return _spanning(names, names, [(i, int(j)) for i, found in search_part(held, held) for j in found])
 
@@ -205,6 +206,7 @@ def _matrix(light: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = written(light.groupBy("part").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most")), "parts")
 
     def union(table: pa.Table) -> pa.Table:
+        release(table.nbytes)
         every = np.unique(np.concatenate([_array(x) for x in table.column("tokens")]))
         return pa.table({"part": table.column("part").slice(0, 1), "union": pa.array([every.tobytes()], pa.binary()), "one": pa.array([None], pa.binary())})
 
@@ -241,6 +243,7 @@ def _links_across(light: DataFrame, tokens: DataFrame) -> DataFrame:
     bounds = unions.join(load, "part").select("part", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "union", "one")
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        release(left.nbytes + right.nbytes)
         at, links = [], []
         if len(left) and len(right):
             union, one = _array(right.column("union")[0]), right.column("one")[0].as_py()
@@ -260,6 +263,7 @@ def _links_across(light: DataFrame, tokens: DataFrame) -> DataFrame:
     opened = opened.select(*(F.col(c).alias(f"{c}_in") for c in ("part", "slice", "set", "tokens")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        release(left.nbytes + right.nbytes)
         names, owned = left.column("set").to_pylist(), right.column("set_in").to_pylist()
         links = []
         if names and owned:

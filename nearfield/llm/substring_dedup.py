@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from nearfield.llm import count_min
 from nearfield.llm.rows import all_columns, numbered
 from nearfield.llm.shared_store import small_batches
-from nearfield.llm.text_kernels import slices, text_bytes, window_hashes, word_hashes, word_spans
+from nearfield.llm.text_kernels import release, slices, text_bytes, window_hashes, word_hashes, word_spans
 
 WINDOW, KEY_WORDS, DEPTH, BLOCK_BYTES = 50, 9, 2, 8 << 20
 
@@ -187,6 +187,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
                     yield _entry_rows(["bucket", "__block", "h1", "h2", "docs"], (h1 % np.uint64(buckets)).astype(np.int64), int(block), h1, h2, docs)
 
     def answers(table: pa.Table) -> pa.Table:
+        release(table.nbytes)
         h1, h2, docs = _entries(table)
         counts = np.array([len(x) // 8 for x in table.column("docs").to_pylist()])
         block = np.repeat(table.column("__block").to_numpy(), counts)

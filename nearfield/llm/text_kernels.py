@@ -6,6 +6,7 @@ keeps state between batches.  Nulls count as empty texts throughout.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ import pyarrow.compute as pc
 #: Bytes of text that the kernels take at a time: their working arrays are a few times this size.
 SLICE_BYTES = 2 << 20
 
+RELEASE_BYTES = 4 << 20
+#: glibc's own way of doing so, where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: The bytes that separate words: 0x20 and 0x09 to 0x0D.  They never occur inside a UTF-8 character.
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -25,6 +30,21 @@ LOWER[65:91] += 32
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+_done = 0
+
+
+def release(size: int) -> None:
+    """Gives freed memory back to the machine, each time that size bytes of input add up to RELEASE_BYTES: a worker that waits for its
+    next task should hold little."""
+    global _done
+    _done += size
+    if _done >= RELEASE_BYTES:
+        _done = 0
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive runs of whole rows with about max_bytes of text each; a longer row comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -35,6 +55,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release(batch.nbytes)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
