@@ -239,7 +239,8 @@ class Sorted(Strategy):
         for i, quantiles in enumerate(index.extra["quantiles"]):
             held = F.filter(F.array(*map(F.lit, quantiles)) if quantiles else F.array().cast("array<double>"), _between(i))
             shares.append(F.struct(F.size(held).alias("share"), F.lit(i).alias("label")))
-        chosen = queries.withColumn("label", F.array_min(F.array(*shares))["label"] if shares else F.lit(0))
+        # written, as Spark can't carry what it knows of the bounds' expressions through the union below
+        chosen = cut(queries.withColumn("label", F.array_min(F.array(*shares))["label"] if shares else F.lit(0)))
         found = None
         for i, label in enumerate(self.labels):
             own = chosen.where(F.col("label") == i).drop("label", "qvec")
@@ -251,7 +252,7 @@ class Sorted(Strategy):
 
 
 def _between(i: int):
-    return lambda x: x.between(F.col(f"lo_{i}"), F.col(f"hi_{i}"))
+    return lambda x: (x >= F.col(f"lo_{i}")) & (x <= F.col(f"hi_{i}"))
 
 
 class TwoLevel(Strategy):
