@@ -37,6 +37,30 @@ def compressed(sums: DataFrame, coordinates: Sequence[str], by: Sequence[str] =
     return sums.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__before") != F.col("cum"))).drop("__before", "cnt")
 
 
+def changes(sums: DataFrame, coordinates: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The compressed prefix sums as runs: each holds from its last coordinate up to the cell before until, and none is zero."""
+    last = coordinates[-1]
+    after = F.lead(last).over(Window.partitionBy(*by, *coordinates[:-1]).orderBy(last))
+    return compressed(sums, coordinates, by).withColumn("until", F.coalesce(after, F.lit((1 << 62)))).where("cum > 0")
+
+
+def box_counts_from_changes(runs: DataFrame, boxes: DataFrame, coordinates: Sequence[str], key: str = "qid", by: Sequence[str] = ()) -> DataFrame:
+    """(key, by..., cnt) of boxes(key, by..., c_lo, c_hi for each coordinate c), each counted in the group that by names, from changes().
+
+    Each of the 2^n corners of a box is the sum of one run: the one that holds its last coordinate among those with its others.
+    """
+    corners = []
+    for low in product((False, True), repeat=len(coordinates)):
+        at = [((F.col(f"{c}_lo") - 1) if one else F.col(f"{c}_hi")).cast("bigint").alias(c) for c, one in zip(coordinates, low)]
+        corners.append(F.struct(*at, F.lit((-1) ** sum(low)).alias("sign")))
+    asked = boxes.select(key, *by, F.explode(F.array(*corners)).alias("corner")).select(key, *by, "corner.*")
+    last = coordinates[-1]
+    asked = asked.where(" AND ".join(f"{c} >= 0" for c in coordinates)).withColumnRenamed(last, "__at")
+    found = asked.join(runs, [*by, *coordinates[:-1]]) if by or len(coordinates) > 1 else asked.join(F.broadcast(runs))
+    found = found.where((F.col("__at") >= F.col(last)) & (F.col("__at") < F.col("until")))
+    return found.groupBy(key, *by).agg(F.sum(F.col("cum") * F.col("sign")).alias("cnt"))
+
+
 def box_counts(counts: DataFrame, boxes: DataFrame, coordinates: Sequence[str], key: str = "qid", by: Sequence[str] = ()) -> DataFrame:
     """(key, by..., cnt): rows in each box (c_lo, c_hi for each coordinate c), straight from the cells; empty boxes drop out."""
     held = F.lit(True)

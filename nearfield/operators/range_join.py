@@ -63,13 +63,27 @@ def range_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], max_b
         return data.join(F.broadcast(queries), inside(labels, numbers))
     if labels:
         return cell_join(data, queries, labels, numbers)
+    return _in_blocks(data, queries, F.lit(True), n, size, max_broadcast)
+
+
+def _in_blocks(rows: DataFrame, queries: DataFrame, condition: Column, n: int, size: int, max_broadcast: int) -> DataFrame:
     blocks, out = 1 + max(size // BROADCAST_BYTES, n // max(1, max_broadcast)), None
     for block in range(blocks):
-        own = data.join(F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)), F.lit(True))
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        own = rows.join(F.broadcast(own), condition)
         out = own if out is None else out.unionAll(own)
     return out
 
 
+def against(rows: DataFrame, queries: DataFrame, condition: Column, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """rows beside all queries for which the condition holds; queries come in blocks that can be broadcast, and are held against all rows.
+
+    For rows that are few for each query: lists, parts, sub-clusters.
+    """
+    n, size = queries.agg(F.count("*"), F.sum(_bytes(queries))).first()
+    return _in_blocks(rows, queries, condition, n, size or 0, max_broadcast)
+
+
 def cell_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int], cells: int = CELLS) -> DataFrame:
     """The same by an equi-join on grid cells."""
     extent = label_extent(data, labels)

@@ -441,6 +441,7 @@ for _algorithm in STRATEGIES:
 def saved_index(spark, sf_dir):
     """super-grid built once, written in its layout, and queried as read again."""
     data, queries, labels = _case(spark, sf_dir, "multi")
-    strategy, path = STRATEGIES["super-grid"](labels, _USUAL), new_folder(spark, "index")
-    strategy.save(strategy.build(data), path, files=8)
+    path = new_folder(spark, "index")
+    strategy = STRATEGIES["super-grid"](labels, _USUAL)
+    strategy.build(data, path)
     return _rounded(strategy.query(Index.load(spark, path), queries))

@@ -1,6 +1,6 @@
 """Strategies of filtered nearest-neighbour search over one contract.
 
-``build(data)`` takes (id, vec, labels...) and returns the index; ``query(index, queries)`` takes (qid, qvec, lo_i, hi_i...) and returns
+``build(data)`` takes (id, vec, labels...) and writes the index; ``query(index, queries)`` takes (qid, qvec, lo_i, hi_i...) and returns
 (qid, rank, neighbor, distance): the k nearest rows by squared L2 among those inside the query's intervals, nearest first, ties to
 the smaller id, and fewer rows where fewer fit.
 
@@ -9,32 +9,48 @@ many of the best candidates by code distance.  Its k-th distance t bounds the tr
 fit).  The second step measures whatever t can't rule out: lists whose centre lies within t plus the list's radius and whose label box
 meets the query's intervals, and in them rows whose code distance, less the row's own distance from its code, is at most t.  So
 the settings decide how much is read, and never which rows are found.
+
+An index is laid out in parts (sources/layout): what a step needs is looked up in its manifest, and only those parts are read.
+
+Vectors that are null or empty, hold a null, NaN or infinite component, or have another length than most of the table's finite ones, are
+no results, and queries with such a vector have none; ``exact`` and all strategies alike.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.filters import inside, range_middle
 from nearfield.functions.grids import coordinate, morton_code
 from nearfield.functions.vectors import looked_up, squared_l2
-from nearfield.operators.grid_counts import box_counts, cell_counts
-from nearfield.operators.quantise import ProductQuantiser, balanced_groups, k_means, nearest, sample_vectors, vector_batches, with_codes, with_nearest, with_tables
-from nearfield.operators.range_join import label_extent, range_join
+from nearfield.operators.grid_counts import box_counts_from_changes, cell_counts, changes, prefix_sums
+from nearfield.operators.quantise import (
+    ProductQuantiser,
+    balanced_groups,
+    fit_centres,
+    k_means,
+    nearest,
+    usable,
+    usual_length,
+    vector_batches,
+    with_codes,
+    with_nearest,
+    with_tables,
+)
+from nearfield.operators.range_join import against, label_extent, range_join
 from nearfield.operators.topk import top_k
-from nearfield.sources.lineage import cut
-from nearfield.sources.matrices import write_clustered
+from nearfield.operators.zorder import z_intervals
+from nearfield.sources.layout import LEAST_PARTS, ROWS_A_PART, Layout, manifest, numbers, only, read_parts, write_parts
+from nearfield.sources.lineage import cut, new_folder
 
-#: Rows of cell counts that are broadcast (some 50 MB); of more, sub-clusters are chosen by the box of their labels alone.
-MAX_CELL_ROWS = 1_000_000
 #: Against rounding: a bound may be off by this share.
 SLACK = 1e-9
 
@@ -55,14 +71,17 @@ class Params:
     max_cells: int = 64
     lists: int = 16
     probes: int = 8
+    expected: float = 2  # lists are probed until so many times k rows are expected to fit
     clusters: int = 16
     sub_clusters: int = 4
     cluster_probes: int = 8
     sub_probes: int = 16
     widths: tuple[float, ...] = ()  # usual widths of the queries' intervals, by label
     grids: int = 4096
+    levels: int = 4  # halvings of the grid's cube when boxes become Morton intervals
     label_mask: int = 0
     degree: int = 16
+    i_degree: int = 24
     entries: int = 32
     frontier: int = 64
     width: int = 8
@@ -70,33 +89,63 @@ class Params:
     beta: float = 4
     refine: float = 2
     seed: int = 0
+    files: int = 0  # parts of the index; 0: by its rows
 
 
-@dataclass
 class Index:
-    """data with a row for each vector, what the strategy needs to know (extra: numbers, arrays, lists), and tables of its own."""
-
-    data: DataFrame
-    quantiser: ProductQuantiser | None = None
-    extra: dict = field(default_factory=dict)
-    tables: dict[str, DataFrame] = field(default_factory=dict)
-
-    def save(self, path: str, *order: str, files: int = 32) -> None:
-        """Writes the index to a folder; data in files by ranges of the order's columns, so that scans skip by them."""
-        spark = self.data.sparkSession
-        write_clustered(self.data, f"{path}/data", *(order or ("id",)), files=files)
-        for name, table in self.tables.items():
-            table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+    """A folder with laid out tables (data, with a row for each vector, is one), tables of its own, their manifests among them, and what the
+    strategy needs to know (extra: numbers, arrays, lists)."""
+
+    def __init__(self, spark: SparkSession, path: str, files: int = LEAST_PARTS):
+        self.spark, self.path, self.files = spark, path, files
+        self.laid: dict[str, DataFrame] = {}
+        self.tables: dict[str, DataFrame] = {}
+        self.quantiser: ProductQuantiser | None = None
+        self.extra: dict = {}
+
+    @property
+    def data(self) -> DataFrame:
+        return self.laid["data"]
+
+    def lay(self, name: str, rows: DataFrame, layout: Layout) -> DataFrame:
+        """Writes a table in parts, with its manifest, and reads it again."""
+        write_parts(rows, f"{self.path}/laid/{name}", layout, self.files)
+        self.laid[name] = read_parts(self.spark, f"{self.path}/laid/{name}", rows.schema)
+        self.keep(f"{name}_parts", manifest(self.laid[name], layout))
+        return self.laid[name]
+
+    def keep(self, name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{self.path}/tables/{name}")
+        self.tables[name] = self.spark.read.schema(table.schema).parquet(f"{self.path}/tables/{name}")
+        return self.tables[name]
+
+    def close(self) -> Index:
+        """Writes what load has to know."""
         arrays = lambda v: {"array": v.tolist()} if isinstance(v, np.ndarray) else v
-        about = {"tables": list(self.tables), "extra": {k: arrays(v) for k, v in self.extra.items()}, "quantiser": [c.tolist() for c in self.quantiser.centers] if self.quantiser else None}
-        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        schemas = lambda tables: {name: table.schema.jsonValue() for name, table in tables.items()}
+        about = {
+            "files": self.files,
+            "laid": schemas(self.laid),
+            "tables": schemas(self.tables),
+            "extra": {k: arrays(v) for k, v in self.extra.items()},
+            "quantiser": [c.tolist() for c in self.quantiser.centers] if self.quantiser else None,
+        }
+        self.spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/about")
+        return self
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
-        extra = {k: np.array(v["array"]) if isinstance(v, dict) and "array" in v else v for k, v in about["extra"].items()}
-        quantiser = ProductQuantiser([np.array(c) for c in about["quantiser"]]) if about["quantiser"] else None
-        return cls(spark.read.parquet(f"{path}/data"), quantiser, extra, {name: spark.read.parquet(f"{path}/tables/{name}") for name in about["tables"]})
+        index = cls(spark, path, about["files"])
+        index.extra = {k: np.array(v["array"]) if isinstance(v, dict) and "array" in v else v for k, v in about["extra"].items()}
+        index.quantiser = ProductQuantiser([np.array(c) for c in about["quantiser"]]) if about["quantiser"] else None
+        index.laid = {name: read_parts(spark, f"{path}/laid/{name}", T.StructType.fromJson(schema)) for name, schema in about["laid"].items()}
+        index.tables = {name: spark.read.schema(T.StructType.fromJson(schema)).parquet(f"{path}/tables/{name}") for name, schema in about["tables"].items()}
+        return index
+
+    def of(self, wanted: DataFrame, name: str = "data") -> DataFrame:
+        """The rows of the parts that wanted names."""
+        return only(self.laid[name], numbers(wanted))
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -104,14 +153,15 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def refined(candidates: DataFrame, data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact ranking of candidate pairs (qid, id): vectors are fetched for the candidates alone."""
-    pairs = candidates.select("qid", "id").distinct().join(data.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
-    return ranked(pairs.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), k)
+    """Exact ranking of candidate pairs (qid, id): vectors are fetched for the candidates alone; repeated pairs and rows count once."""
+    pairs = candidates.select("qid", "id").join(data.select("id", "vec"), "id").join(queries.select("qid", "qvec"), "qid")
+    return ranked(pairs.select("qid", "id", squared_l2("qvec", "vec").alias("distance")).distinct(), k)
 
 
 def exact(data: DataFrame, queries: DataFrame, labels: Sequence[str], k: int) -> DataFrame:
     """The result itself: interval join, distance, ranking."""
-    pairs = range_join(data, queries, labels)
+    length = usual_length(data)
+    pairs = range_join(usable(data, length), usable(queries, length, "qvec"), labels)
     return ranked(pairs.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), k)
 
 
@@ -122,28 +172,20 @@ def reach_of(first: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def coded_distances(pairs: DataFrame, queries: DataFrame, quantiser: ProductQuantiser) -> DataFrame:
-    """(qid, id, distance, err) of (qid, id, codes, err): squared code distances."""
+    """pairs without codes, with the squared code distance, of (qid, codes, ...)."""
     tables = with_tables(queries.select("qid", "qvec"), quantiser).select("qid", "lut")
-    return pairs.join(tables, "qid").select("qid", "id", looked_up("lut", "codes").alias("distance"), "err")
+    return pairs.join(tables, "qid").select(*(c for c in pairs.columns if c != "codes"), looked_up("lut", "codes").alias("distance"))
 
 
 def not_ruled_out(scored: DataFrame, reach: DataFrame) -> DataFrame:
-    """The pairs (qid, id) of scored whose distance may be within the query's reach."""
-    return scored.join(reach, "qid").where(F.sqrt("distance") - F.col("err") <= F.col("t")).select("qid", "id")
-
-
-def by_codes(pairs: DataFrame, data: DataFrame, queries: DataFrame, quantiser: ProductQuantiser, k: int, keep: int, reach: DataFrame | None = None) -> DataFrame:
-    """The exact k nearest of (qid, id, codes, err): the best keep by codes give a reach, unless one is known, and codes rule out the rest."""
-    scored = coded_distances(pairs, queries, quantiser)
-    if reach is None:
-        reach = reach_of(refined(top_k(scored, max(k, keep)), data, queries, k), queries, k)
-    return refined(not_ruled_out(scored, reach), data, queries, k)
+    """The pairs of scored(qid, id, distance, err) whose distance may be within the query's reach."""
+    return scored.join(reach, "qid").where(F.sqrt("distance") - F.col("err") <= F.col("t")).select("qid", "id", *(c for c in scored.columns if c == "part"))
 
 
 def listed(data: DataFrame, keys: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """(keys..., center, radius, box_lo_i, box_hi_i) of the lists of data(keys..., far, center_of): one row for each list that has rows."""
+    """(keys..., rows, radius, box_lo_i, box_hi_i) of the lists of data(keys..., far): one row for each list that has rows."""
     boxes = [f(F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double"))).alias(f"box_{side}_{i}") for i, n in enumerate(labels) for side, f in (("lo", F.min), ("hi", F.max))]
-    return data.groupBy(*keys).agg(F.max("far").alias("radius"), *boxes)
+    return data.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("far").alias("radius"), *boxes)
 
 
 def meeting(labels: Sequence[str]) -> Column:
@@ -154,200 +196,267 @@ def meeting(labels: Sequence[str]) -> Column:
     return held
 
 
+def within(distance: Column) -> Column:
+    """Whether a list at this squared distance may hold rows within the query's reach."""
+    return F.sqrt(distance) - F.col("radius") * (1 + SLACK) <= F.col("t")
+
+
 def opened(queries: DataFrame, lists: DataFrame, labels: Sequence[str], reach: DataFrame) -> DataFrame:
-    """queries beside the keys of each list(keys..., center, radius, box...) that may hold rows within reach; lists are parameters in number."""
-    near = queries.join(reach, "qid").join(F.broadcast(lists), meeting(labels))
-    return near.where(F.sqrt(squared_l2("qvec", "center")) - F.col("radius") * (1 + SLACK) <= F.col("t")).drop("qvec", "center", "radius", "t", *(f"box_{side}_{i}" for i in range(len(labels)) for side in ("lo", "hi")))
+    """queries beside the keys of each list(keys..., center, radius, box...) that may hold rows within reach."""
+    near = against(lists, queries.join(reach, "qid"), meeting(labels)).where(within(squared_l2("qvec", "center")))
+    return near.drop("qvec", "center", "radius", "rows", "t", *(f"box_{side}_{i}" for i in range(len(labels)) for side in ("lo", "hi")))
 
 
 class Strategy:
-    #: Columns by whose ranges a saved index's files are laid out.
-    order: tuple[str, ...] = ("id",)
+    layout = Layout()
 
     def __init__(self, labels: Sequence[str], params: Params | None = None):
         self.labels, self.params = list(labels), params or Params()
 
-    def build(self, data: DataFrame) -> Index:
+    def build(self, data: DataFrame, path: str | None = None) -> Index:
+        """The index, in a folder of its own: by default a new one of the session's shared folder.  ``Index.load`` reads it again."""
+        spark, length = data.sparkSession, usual_length(data)
+        data = usable(data, length)
+        files = self.params.files or max(LEAST_PARTS, data.count() // ROWS_A_PART)
+        index = Index(spark, path or new_folder(spark, "index"), files)
+        index.extra["length"] = length
+        self.made(index, data)
+        return index.close()
+
+    def made(self, index: Index, data: DataFrame) -> None:
+        """Lays out the usable rows."""
+        index.lay("data", self._coded(index, data), self.layout)
+
+    def _coded(self, index: Index, data: DataFrame) -> DataFrame:
         p = self.params
-        quantiser = ProductQuantiser.fit(data, p.parts, p.codes, seed=p.seed)
-        return Index(with_codes(data, quantiser), quantiser)
-
-    def save(self, index: Index, path: str, files: int = 32) -> None:
-        index.save(path, *self.order, files=files)
+        index.quantiser = ProductQuantiser.fit(data, p.parts, p.codes, seed=p.seed)
+        return with_codes(data, index.quantiser)
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
+        return self.found(index, usable(queries, index.extra["length"], "qvec"))
+
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def _by_codes(self, index: Index, pairs: DataFrame, queries: DataFrame, keep: float, reach: DataFrame | None = None) -> DataFrame:
-        k = self.params.k
-        return by_codes(pairs.select("qid", "id", "codes", "err"), index.data, queries, index.quantiser, k, int(k * keep), reach)
+    def _scored(self, index: Index, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(qid, id, part, err, distance) of (qid, id, part, codes, err), written: both steps read it."""
+        return cut(coded_distances(pairs.select("qid", "id", "part", "codes", "err"), queries, index.quantiser))
 
-    def _first_reach(self, index: Index, pairs: DataFrame, queries: DataFrame, keep: float) -> DataFrame:
-        """The reach that the best of some pairs by codes give."""
-        scored = coded_distances(pairs.select("qid", "id", "codes", "err"), queries, index.quantiser)
+    def _first_reach(self, index: Index, scored: DataFrame, queries: DataFrame, keep: float) -> DataFrame:
+        """The reach that the best of some scored pairs give."""
         k = self.params.k
-        return reach_of(refined(top_k(scored, max(k, int(k * keep))), index.data, queries, k), queries, k)
+        best = cut(top_k(scored, max(k, int(k * keep))))
+        return reach_of(refined(best, index.of(best), queries, k), queries, k)
+
+    def _measured(self, index: Index, scored: DataFrame, queries: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+        """The exact k nearest of scored pairs: the best by codes give a reach, unless one is known, and codes rule out the rest."""
+        if reach is None:
+            reach = self._first_reach(index, scored, queries, self.params.keep)
+        left = cut(not_ruled_out(scored, reach))
+        return refined(left, index.of(left), queries, self.params.k)
 
 
 class Quantised(Strategy):
     """pq: code distances to all rows, without a filter; exact distances of those that codes can't rule out."""
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        return self._by_codes(index, range_join(index.data.select("id", "codes", "err"), queries.select("qid"), []), queries, self.params.keep)
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
+        return self._measured(index, self._scored(index, range_join(index.data.drop("vec"), queries.select("qid"), []), queries), queries)
 
 
 class PreFilter(Strategy):
     """prefilter: interval join, code distances, exact ranking."""
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        return self._by_codes(index, range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels), queries, self.params.keep)
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
+        return self._measured(index, self._scored(index, range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels), queries), queries)
 
 
 class ParaFilter(Strategy):
     """parafilter: code distance plus a penalty for failing the filters ranks all rows; the best that pass give the reach."""
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
         tables = with_tables(queries, index.quantiser).drop("qvec")
-        pairs = range_join(index.data.drop("vec"), tables, [])
         fits = F.coalesce(inside(self.labels), F.lit(False))
-        scored = pairs.select("qid", "id", fits.alias("fits"), looked_up("lut", "codes").alias("distance"))
-        scored = scored.withColumn("soft", F.col("distance") + F.lit(p.penalty) * F.when(F.col("fits"), 0.0).otherwise(1e6))
-        first = top_k(scored, max(p.k, int(p.k * p.keep)), score="soft").where("fits").drop("rank")
-        reach = reach_of(refined(top_k(first, max(p.k, int(p.k * p.keep_soft))), index.data, queries, p.k), queries, p.k)
-        return self._by_codes(index, range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels), queries, p.keep, reach)
+        pairs = range_join(index.data.drop("vec"), tables, [])
+        scored = pairs.select("qid", "id", "part", fits.alias("fits"), "err", looked_up("lut", "codes").alias("distance"))
+        soft = scored.withColumn("soft", F.col("distance") + F.lit(p.penalty) * F.when(F.col("fits"), 0.0).otherwise(1e6))
+        first = top_k(soft, max(p.k, int(p.k * p.keep)), score="soft").where("fits").drop("rank")
+        reach = self._first_reach(index, first, queries, p.keep_soft)
+        return self._measured(index, cut(scored.where("fits").drop("fits")), queries, reach)
 
 
 class Sorted(Strategy):
-    """sorting: each query reads one label's range, the one with the fewest rows, and tests the other labels on what it finds.
+    """sorting: a copy for each label, in its order, without vectors.
 
-    Rows in a range are counted by the label's QUANTILES quantiles, which are found once when the index is built.
+    A query's interval of each label falls into a run of the copy's parts, which the manifest bounds and counts; the label with the fewest
+    rows in its run is chosen, for each query by itself, and only that run is read.  The other labels are tested on what it holds, and vectors come
+    from those parts of the data that hold what is left.
     """
 
-    QUANTILES = 256
-
-    def build(self, data: DataFrame) -> Index:
-        index = super().build(data)
-        shares = [i / self.QUANTILES for i in range(self.QUANTILES + 1)]
-        clean = [F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in self.labels]
-        row = data.agg(*(F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(clean))).first() if self.labels else []
-        index.extra["quantiles"] = [list(q) if q is not None else [] for q in row]
-        return index
-
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        shares = []
-        for i, quantiles in enumerate(index.extra["quantiles"]):
-            held = F.filter(F.array(*map(F.lit, quantiles)) if quantiles else F.array().cast("array<double>"), _between(i))
-            shares.append(F.struct(F.size(held).alias("share"), F.lit(i).alias("label")))
-        # written, as Spark can't carry what it knows of the bounds' expressions through the union below
-        chosen = cut(queries.withColumn("label", F.array_min(F.array(*shares))["label"] if shares else F.lit(0)))
-        found = None
-        for i, label in enumerate(self.labels):
-            own = chosen.where(F.col("label") == i).drop("label", "qvec")
-            rows = range_join(index.data.drop("vec"), own, [label], numbers=[i]).where(inside(self.labels)).select("qid", "id", "codes", "err")
+    def made(self, index: Index, data: DataFrame) -> None:
+        super().made(index, data)
+        for i, name in enumerate(self.labels):
+            own = F.col(name).cast("double")
+            rows = index.data.where(own.isNotNull() & ~F.isnan(own)).select("id", "codes", "err", *self.labels, F.col("part").alias("home"))
+            index.lay(f"by_{i}", rows, Layout((name,), (), name))
+
+    def runs(self, index: Index, queries: DataFrame) -> DataFrame:
+        """(qid, label, part): the parts of the chosen label's copy that a query's interval meets."""
+        met = None
+        for i in range(len(self.labels)):
+            parts = index.tables[f"by_{i}_parts"].select("part", "low", "high", "rows")
+            own = against(parts, queries.select("qid", F.col(f"lo_{i}").alias("lo"), F.col(f"hi_{i}").alias("hi")), F.expr("lo <= high AND hi >= low"))
+            own = own.select("qid", F.lit(i).alias("label"), "part", "rows")
+            met = own if met is None else met.unionAll(own)
+        met = cut(met)
+        sizes = queries.select("qid").join(F.broadcast(queries.sparkSession.range(len(self.labels)).select(F.col("id").cast("int").alias("label"))))
+        sizes = sizes.join(met.groupBy("qid", "label").agg(F.sum("rows").alias("rows")), ["qid", "label"], "left")
+        chosen = sizes.groupBy("qid").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "label")).alias("c")).select("qid", F.col("c.label").alias("label"))
+        return cut(met.join(chosen, ["qid", "label"]).select("qid", "label", "part"))
+
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
+        if not self.labels:
+            return self._measured(index, self._scored(index, range_join(index.data.drop("vec"), queries.select("qid"), []), queries), queries)
+        runs, found = self.runs(index, queries), None
+        for i in range(len(self.labels)):
+            own = runs.where(F.col("label") == i).select("qid", "part")
+            rows = index.of(own, f"by_{i}").join(own.join(queries.drop("qvec"), "qid"), "part").where(inside(self.labels))
+            rows = rows.select("qid", "id", F.col("home").alias("part"), "codes", "err")
             found = rows if found is None else found.unionByName(rows)
-        if found is None:
-            found = range_join(index.data.select("id", "codes", "err"), queries.select("qid"), [])
-        return self._by_codes(index, found, queries, self.params.keep)
-
-
-def _between(i: int):
-    return lambda x: (x >= F.col(f"lo_{i}")) & (x <= F.col(f"hi_{i}"))
+        return self._measured(index, self._scored(index, found, queries), queries)
 
 
 class TwoLevel(Strategy):
-    """Rows belong to a label set and, in it, to the nearest of its vector lists; queries probe the nearest lists of the sets that
-    their intervals meet, and then all lists within reach.  Subclasses say what the sets are."""
+    """Rows belong to label sets and, in each, to the nearest of its vector lists; queries probe the nearest lists of the sets that their
+    intervals meet, and then all lists within reach.  Subclasses say what the sets are.
+
+    How many lists a query probes first follows from how many of their rows are expected to fit: each set keeps the quantiles of its labels,
+    and the share of these inside a query's intervals is taken for the share of rows.
+    """
 
-    order = ("set_id", "list_id")
+    layout = Layout(("set_id", "list_id"), ("set_id", "list_id"), "id")
+    QUANTILES = 32
+    #: Rows of a set that one task assigns to its lists, and rows of a set that its lists are fitted on for each of them.
+    PIECE, FIT = 50_000, 64
 
-    def sets(self, data: DataFrame) -> tuple[DataFrame, dict]:
-        """data with the column set_id, and what choosing sets needs."""
+    def sets(self, index: Index, data: DataFrame) -> DataFrame:
+        """data with the column set_id: as many rows for each of its own as there are sets that it belongs to."""
         raise NotImplementedError
 
     def chosen(self, index: Index, queries: DataFrame) -> DataFrame:
         """(qid, set_id) of the sets to probe first."""
         raise NotImplementedError
 
-    def build(self, data: DataFrame) -> Index:
+    def covering(self, index: Index, queries: DataFrame) -> DataFrame | None:
+        """(qid, set_id) of sets that hold all rows that a query may find; none where any set may."""
+        return None
+
+    def made(self, index: Index, data: DataFrame) -> None:
         p = self.params
-        index = super().build(data)
-        placed, extra = self.sets(index.data)
-        # each set's lists are fitted on a share of its rows that is small enough, chosen by hash
-        sizes = {r["set_id"]: r["count"] for r in placed.groupBy("set_id").count().collect()}
-        most = 64 * p.lists
-        share = F.lit(1.0)
-        for set_id, n in sizes.items():
-            if n > most:
-                share = F.when(F.col("set_id") == set_id, most / n).otherwise(share)
-        sample = placed.select("set_id", F.col("vec").cast("array<double>").alias("vec")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+        placed = cut(self.sets(index, self._coded(index, data)))
+        sizes = placed.groupBy("set_id").count().select("set_id", (F.col("count") / F.lit(self.PIECE)).cast("int").alias("more"), (F.lit(float(self.FIT * p.lists)) / F.col("count")).alias("share"))
+        pieced = placed.join(sizes, "set_id").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("more") + 1)).drop("more")
+        sample = pieced.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("set_id", F.col("vec").cast("array<double>").alias("vec"))
 
         def fit(key, rows):
             import pandas as pd
 
-            centers = k_means(np.stack(rows["vec"]), p.lists, p.seed)
-            return pd.DataFrame({"set_id": key[0], "list_id": range(len(centers)), "center": list(centers)})
-
-        # sets times lists rows: parameters
-        fitted = sample.groupBy("set_id").applyInPandas(fit, "set_id bigint, list_id int, center array<double>").collect()
-        centers: dict[int, np.ndarray] = {}
-        for r in sorted(fitted, key=lambda r: (r.set_id, r.list_id)):
-            centers.setdefault(r.set_id, []).append(r.center)
-        centers = {key: np.array(c) for key, c in centers.items()}
-        none = np.zeros((1, len(fitted[0].center) if fitted else 0))
-        assigned = _assigned(placed, centers, none)
-        table = data.sparkSession.createDataFrame([(s, i, [float(x) for x in c]) for s in sizes for i, c in enumerate(centers.get(s, none))], "set_id bigint, list_id int, center array<double>")
-        index.data = assigned.drop("far")
-        index.tables["lists"] = cut(listed(assigned, ["set_id", "list_id"], self.labels).join(F.broadcast(table), ["set_id", "list_id"]))
-        index.extra.update(extra)
-        return index
+            centres = k_means(np.stack(rows["vec"]), p.lists, p.seed)
+            return pd.DataFrame({"set_id": key[0], "list_id": range(len(centres)), "center": list(centres)})
+
+        # a set that the sample missed has one list, around its first row
+        fitted = cut(sample.groupBy("set_id").applyInPandas(fit, "set_id bigint, list_id int, center array<double>"))
+        alone = placed.join(fitted.select("set_id").distinct(), "set_id", "left_anti").groupBy("set_id").agg(F.min_by("vec", "id").cast("array<double>").alias("center"))
+        centres = cut(fitted.unionByName(alone.withColumn("list_id", F.lit(0))))
+        assigned = _assigned(pieced.drop("share"), centres)
+        assigned = cut(assigned)
+        index.lay("data", assigned.drop("far"), self.layout)
+        index.keep("lists", listed(assigned, ["set_id", "list_id"], self.labels).join(centres, ["set_id", "list_id"]))
+        shares = [i / self.QUANTILES for i in range(self.QUANTILES + 1)]
+        clean = [F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in self.labels]
+        index.keep("quantiles", assigned.groupBy("set_id").agg(F.count("*").alias("rows"), *(F.percentile_approx(c, shares, 1000).alias(f"q_{i}") for i, c in enumerate(clean))))
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        lists = index.tables["lists"]
-        near = self.chosen(index, queries).join(F.broadcast(lists.select("set_id", "list_id", "center")), "set_id").join(queries.select("qid", "qvec"), "qid")
-        near = near.select("qid", "set_id", "list_id", squared_l2("qvec", "center").alias("distance"), F.struct("set_id", "list_id").alias("id"))
-        probed = top_k(near, self.params.probes).select("qid", "set_id", "list_id").join(queries.drop("qvec"), "qid")
-        rows = index.data.drop("vec")
-        reach = self._first_reach(index, rows.join(probed, ["set_id", "list_id"]).where(inside(self.labels)), queries, self.params.keep)
-        fits = rows.join(opened(queries, lists, self.labels, reach), ["set_id", "list_id"]).where(inside(self.labels))
-        return self._by_codes(index, fits, queries, self.params.keep, reach)
+    def probed(self, index: Index, queries: DataFrame) -> DataFrame:
+        """(qid, set_id, list_id) of the nearest lists, as many as are expected to hold enough rows that fit, probes at most."""
+        p, lists = self.params, index.tables["lists"]
+        sets = self.chosen(index, queries).join(index.tables["quantiles"].drop("rows"), "set_id").join(queries, "qid")
+        share = F.lit(1.0)
+        for i in range(len(self.labels)):
+            held = F.size(F.filter(f"q_{i}", _between(i)))
+            share = share * F.least(F.lit(1.0), (F.greatest(held, F.lit(0)) + 0.25) / (self.QUANTILES + 1))
+        near = sets.select("qid", "qvec", "set_id", share.alias("share")).join(lists.select("set_id", "list_id", "center", "rows"), "set_id")
+        near = near.select("qid", "set_id", "list_id", squared_l2("qvec", "center").alias("distance"), (F.col("rows") * F.col("share")).alias("expected"), F.struct("set_id", "list_id").alias("id"))
+        near = top_k(near, p.probes)
+        before = F.sum("expected").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        return near.withColumn("before", F.coalesce(before, F.lit(0.0))).where(F.col("before") < p.expected * p.k).select("qid", "set_id", "list_id")
+
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
+        lists, keys = index.tables["lists"], ["set_id", "list_id"]
+
+        def rows(wanted: DataFrame) -> DataFrame:
+            """Fitting rows of (qid, set_id, list_id); a row of several sets comes once for each query."""
+            parts = index.tables["data_parts"].join(wanted.select(*keys).distinct(), keys)
+            pairs = index.of(parts).drop("vec").join(wanted.join(queries.drop("qvec"), "qid"), keys).where(inside(self.labels))
+            return self._once(pairs.select("qid", "id", "part", "codes", "err"))
+
+        first = cut(self.probed(index, queries))
+        reach = self._first_reach(index, self._scored(index, rows(first), queries), queries, self.params.keep)
+        cover = self.covering(index, queries)
+        if cover is None:
+            near = opened(queries, lists, self.labels, reach).select("qid", *keys)
+        else:
+            near = cover.join(lists, "set_id").join(queries, "qid").where(meeting(self.labels)).join(reach, "qid").where(within(squared_l2("qvec", "center"))).select("qid", *keys)
+        return self._measured(index, self._scored(index, rows(cut(near)), queries), queries, reach)
 
+    def _once(self, pairs: DataFrame) -> DataFrame:
+        return pairs
 
-def _assigned(data: DataFrame, centers: dict[int, np.ndarray], none: np.ndarray) -> DataFrame:
-    """data with the nearest list of each row's set, and how far its centre is, in one pass; sets without a fit have one list."""
-    at, of = data.columns.index("vec"), data.columns.index("set_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, points in vector_batches(batches, at):
-            sets = batch.column(of).to_numpy()
-            own, far = np.zeros(len(points), np.int32), np.zeros(len(points))
-            for one in np.unique(sets):
-                rows, those = np.flatnonzero(sets == one), centers.get(int(one), none)
-                own[rows] = nearest(points[rows], those)
-                far[rows] = np.linalg.norm(points[rows] - those[own[rows]], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(far)], names=[*batch.schema.names, "list_id", "far"])
+def _between(i: int):
+    return lambda x: (x >= F.col(f"lo_{i}")) & (x <= F.col(f"hi_{i}"))
+
+
+def _assigned(data: DataFrame, centres: DataFrame) -> DataFrame:
+    """data(set_id, piece, vec, ...) without piece, with the nearest list of each row's set and how far its centre is; a task has a piece of
+    a set and the set's centres at a time."""
+    schema = T.StructType([*(f for f in data.schema if f.name != "piece"), T.StructField("list_id", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def assign(rows: pa.Table, own: pa.Table) -> pa.Table:
+        rows = rows.drop_columns(["piece"])
+        if not len(rows):
+            return rows.append_column("list_id", pa.array([], pa.int32())).append_column("far", pa.array([], pa.float64()))
+        own = own.sort_by("list_id")
+        points = np.stack(own.column("center").to_pylist())
+        at, far = [], []
+        for batch in rows.to_batches():
+            for _, vectors in vector_batches([batch], batch.schema.get_field_index("vec")):
+                near = nearest(vectors, points)
+                at.append(near.astype(np.int32))
+                far.append(np.linalg.norm(vectors - points[near], axis=1))
+        return rows.append_column("list_id", pa.array(np.concatenate(at))).append_column("far", pa.array(np.concatenate(far)))
 
-    return data.mapInArrow(run, T.StructType([*data.schema, T.StructField("list_id", T.IntegerType()), T.StructField("far", T.DoubleType())]))
+    pieces = data.select("set_id", "piece").distinct().join(centres, "set_id").select(F.col("set_id").alias("of"), F.col("piece").alias("number"), "list_id", "center")
+    return data.groupBy("set_id", "piece").cogroup(pieces.groupBy("of", "number")).applyInArrow(assign, schema)
 
 
 class LabelClusters(TwoLevel):
     """ivf-ivf_pq: sets are clusters of the labels by cosine; a query takes the nearest ones first, as far as enough of their rows fit."""
 
-    def sets(self, data: DataFrame) -> tuple[DataFrame, dict]:
+    def sets(self, index: Index, data: DataFrame) -> DataFrame:
         least = [lo for lo, _ in label_extent(data, self.labels)]
         values = (F.col(n).cast("double") - F.lit(lo) for n, lo in zip(self.labels, least))
         moved = data.withColumn("__l", F.array(*(F.when(v.isNull() | F.isnan(v), 0.0).otherwise(v) for v in values)))
-        centers = k_means(sample_vectors(moved, "__l"), self.params.label_clusters, self.params.seed, cosine=True)
-        placed = with_nearest(moved, centers, "set_id", "__l", cosine=True).withColumn("set_id", F.col("set_id").cast("bigint"))
-        return placed.drop("__l"), {"label_centers": centers, "least": least}
+        (centres,) = fit_centres(moved, self.params.label_clusters, 1, "__l", seed=self.params.seed, cosine=True)
+        index.extra.update(label_centers=centres, least=least)
+        return with_nearest(moved, centres, "set_id", "__l", cosine=True).withColumn("set_id", F.col("set_id").cast("bigint")).drop("__l")
 
     def chosen(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
         middle = F.array(*(F.when(F.col(f"hi_{i}") == float("inf"), F.col(f"lo_{i}") - F.lit(lo)).otherwise(range_middle(i, lo)) for i, lo in enumerate(index.extra["least"])))
-        table = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.extra["label_centers"])], "set_id bigint, center array<double>")
+        table = index.spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.extra["label_centers"])], "set_id bigint, center array<double>")
         # both sides on the unit sphere: nearest by cosine is nearest by angle
         size = F.sqrt(F.greatest(F.aggregate(F.transform(middle, lambda x: x * x), F.lit(0.0), lambda a, x: a + x), F.lit(1e-24)))
-        near = queries.select("qid", F.transform(middle, lambda x: x / size).alias("m")).join(F.broadcast(table))
+        near = queries.select("qid", F.transform(middle, lambda x: x / size).alias("m")).join(F.broadcast(table))  # label_clusters rows
         near = top_k(near.select("qid", F.col("set_id").alias("id"), squared_l2("m", "center").alias("distance")), p.label_probes).select("qid", F.col("id").alias("set_id"))
         if p.pass_ratio <= 0:
             return near
@@ -357,54 +466,76 @@ class LabelClusters(TwoLevel):
 
 
 class GridCells(TwoLevel):
-    """grid-ivf_pq: sets are cells of a grid over the labels; a query takes the cells that its box meets first.
+    """grid-ivf_pq: sets are overlapping cells of a grid over the labels, which a row is in two of along each label.
 
-    With widths, the usual widths of the queries' intervals, cells are as wide as these; the finest grid within max_cells that keeps the
-    labels' proportions is taken, and a label wider than its widths' share gets more cells.
+    Cell c of a label holds two strides from the c-th on, so a query whose intervals are a stride wide at most lies in one cell, and needs no
+    other; a wider one takes every second cell, which hold each of its rows once.  With widths, the usual widths of the queries' intervals,
+    strides are as wide as these.  The grid has at most max_cells cells: the labels get theirs one after another, the widest
+    (in strides) last and as many as are left of the budget.
     """
 
-    def sets(self, data: DataFrame) -> tuple[DataFrame, dict]:
+    def sets(self, index: Index, data: DataFrame) -> DataFrame:
         extent = label_extent(data, self.labels)
         spans = [max(hi - lo, 1e-9) for lo, hi in extent]
         shape = self._shape(spans)
-        at = [coordinate(F.col(n), lo, span, each) for n, (lo, _), span, each in zip(self.labels, extent, spans, shape)]
-        number = F.lit(0).cast("bigint")
-        for c, each in zip(at, shape):
-            number = number * each + F.coalesce(c, F.lit(0).cast("bigint"))
-        return data.withColumn("set_id", number), {"shape": shape}
+        index.extra.update(shape=shape, lefts=[lo for lo, _ in extent], spans=spans)
+        out = data.withColumn("set_id", F.lit(0).cast("bigint"))
+        for name, (lo, _), span, each in zip(self.labels, extent, spans, shape):
+            at = F.coalesce(coordinate(F.col(name), lo, span, each), F.lit(0).cast("bigint"))
+            # the cell that begins with the row's stride, and the one before
+            out = out.withColumn("__c", F.explode(F.array_distinct(F.array(at, F.greatest(at - 1, F.lit(0).cast("bigint")))))).withColumn("set_id", F.col("set_id") * each + F.col("__c")).drop("__c")
+        return out
 
     def _shape(self, spans: list[float]) -> list[int]:
-        cells = max(1, self.params.max_cells)
+        """Strides by label."""
+        budget = max(1, self.params.max_cells)
         if not self.params.widths:
-            return [max(1, int(cells ** (1 / max(1, len(spans))) + 1e-9))] * len(spans)
-        shape = [max(1, round(span / max(width, 1e-9))) for span, width in zip(spans, self.params.widths)]
-        while np.prod(shape, dtype=float) > cells:
-            widest = int(np.argmax(shape))
-            shape[widest] = max(1, shape[widest] // 2)
+            return [max(1, int(budget ** (1 / max(1, len(spans))) + 1e-9))] * len(spans)
+        wanted = [max(1, int(span / max(width, 1e-9))) for span, width in zip(spans, self.params.widths)]
+        shape, left = [1] * len(spans), budget
+        order = sorted(range(len(spans)), key=lambda i: wanted[i])
+        for place, i in enumerate(order):
+            fair = int(left ** (1 / (len(order) - place)) + 1e-9)
+            shape[i] = max(1, min(wanted[i], fair))
+            left = max(1, left // shape[i])
         return shape
 
     def chosen(self, index: Index, queries: DataFrame) -> DataFrame:
-        boxes = index.tables["lists"].drop("center", "radius", "list_id")
-        return queries.drop("qvec").join(F.broadcast(boxes), meeting(self.labels)).select("qid", "set_id").distinct()
+        x = index.extra
+        out = queries.select("qid", F.lit(0).cast("bigint").alias("set_id"), *(f"{side}_{i}" for i in range(len(self.labels)) for side in ("lo", "hi")))
+        for i, (left, span, each) in enumerate(zip(x["lefts"], x["spans"], x["shape"])):
+            lo, hi = (coordinate(F.col(f"{side}_{i}"), left, span, each) for side in ("lo", "hi"))
+            steps = F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi - 1), F.lit(2).cast("bigint")))
+            # the last of every second cell may end a stride before the interval does
+            steps = F.when(F.element_at(steps, -1) + 1 < hi, F.concat(steps, F.array(hi))).otherwise(steps)
+            out = out.withColumn("__c", F.explode(steps)).withColumn("set_id", F.col("set_id") * each + F.col("__c")).drop("__c")
+        return out.select("qid", "set_id")
+
+    def covering(self, index: Index, queries: DataFrame) -> DataFrame | None:
+        return self.chosen(index, queries)
+
+    def _once(self, pairs: DataFrame) -> DataFrame:
+        return pairs.dropDuplicates(["qid", "id"])
 
 
 class SuperGrid(Strategy):
     """super-grid: vector clusters and sub-clusters, each sub-cluster with counts by label cell and its rows in Morton order.
 
-    A query's box is first counted in the cells: clusters and sub-clusters with no row in it are never probed, however near.  In the
-    nearest of the others its rows are found by sub-cluster, Morton range and cell, all of them columns that a saved index is laid
-    out by and skips by; the exact intervals follow.  Sub-clusters beyond the probed ones are opened as far as they lie within reach.
+    Counts are kept as prefix sums by cell, of which only those are stored that differ from their neighbour's below.  A query's box is counted in
+    each sub-cluster from its corners: clusters and sub-clusters with no row in it are never probed, however near, and of the nearest
+    others as many are probed first as hold enough rows.  Rows are laid out by sub-cluster and Morton code: the box as Morton intervals
+    meets some parts of the probed sub-clusters, and only these are read.  Sub-clusters beyond the probed ones follow as far as they lie within
+    reach.
     """
 
-    order = ("sub", "zcode")
+    layout = Layout(("sub", "zcode"), ("sub",), "zcode")
 
-    def build(self, data: DataFrame) -> Index:
+    def made(self, index: Index, data: DataFrame) -> None:
         p = self.params
-        index = super().build(data)
-        points = sample_vectors(data)
-        sub_centers = k_means(points, p.clusters * p.sub_clusters, p.seed)
+        coded = self._coded(index, data)
+        (sub_centers,) = fit_centres(data, p.clusters * p.sub_clusters, seed=p.seed)
         of = balanced_groups(sub_centers, p.clusters, p.seed)
-        centers = np.stack([sub_centers[of == g].mean(0) for g in range(of.max() + 1)])
+        centers = [sub_centers[of == g].mean(0) for g in range(of.max() + 1 if len(of) else 0)]
         active = [i for i in range(len(self.labels)) if not p.label_mask >> i & 1]
         extent = label_extent(data, [self.labels[i] for i in active])
         lefts = [float(np.floor(lo)) for lo, _ in extent]
@@ -412,15 +543,17 @@ class SuperGrid(Strategy):
         shape = self._shape(spans)
         at = {f"c_{j}": coordinate(F.col(self.labels[i]), lefts[j], spans[j], shape[j]) for j, i in enumerate(active)}
         bits = max(1, int(np.ceil(np.log2(max(shape, default=1) + 1))))
-        placed = with_nearest(index.data, sub_centers, "sub", far="far")
+        placed = with_nearest(coded, sub_centers, "sub", far="far")
         placed = placed.withColumns(at) if at else placed
-        placed = placed.withColumn("zcode", morton_code([F.col(c) for c in at], bits) if at else F.lit(0).cast("bigint"))
-        table = data.sparkSession.createDataFrame([(i, int(of[i]), [float(v) for v in c], [float(v) for v in centers[of[i]]]) for i, c in enumerate(sub_centers)], "sub int, cluster int, center array<double>, cluster_center array<double>")
-        index.data = placed.drop("far")
-        index.extra = {"active": active, "lefts": lefts, "spans": spans, "shape": shape, "bits": bits}
-        index.tables = {"counts": cut(cell_counts(placed, list(at), ["sub"])), "subs": cut(listed(placed, ["sub"], self.labels).join(F.broadcast(table), "sub"))}
-        index.extra["cells"] = index.tables["counts"].count()
-        return index
+        placed = cut(placed.withColumn("zcode", F.coalesce(morton_code([F.col(c) for c in at], bits), F.lit(0).cast("bigint")) if at else F.lit(0).cast("bigint")))
+        index.extra.update(active=active, lefts=lefts, spans=spans, shape=shape, bits=bits)
+        index.lay("data", placed.drop("far"), self.layout)
+        table = index.spark.createDataFrame([(i, int(of[i]), [float(v) for v in c], [float(v) for v in centers[of[i]]]) for i, c in enumerate(sub_centers)], "sub int, cluster int, center array<double>, cluster_center array<double>")
+        index.keep("subs", listed(placed, ["sub"], self.labels).join(table, "sub"))
+        if at:
+            # rows without a value of a label are in no cell, as they are in no interval
+            counts = cell_counts(placed.where(" AND ".join(f"{c} IS NOT NULL" for c in at)), list(at), ["sub"])
+            index.keep("sums", changes(prefix_sums(counts, list(at), shape, ["sub"]), list(at), ["sub"]))
 
     def _shape(self, spans: list[float]) -> list[int]:
         """Cells by label: the widest gets the root of the budget, the others share what is left."""
@@ -438,116 +571,188 @@ class SuperGrid(Strategy):
         shape[widest] = main
         return shape
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
-        p, x = self.params, index.extra
-        boxes = queries
-        names = [f"c_{j}" for j in range(len(x["active"]))]
+    def boxes(self, index: Index, queries: DataFrame) -> DataFrame:
+        """queries with the corners of their boxes of cells."""
+        x = index.extra
         for j, i in enumerate(x["active"]):
             for side in ("lo", "hi"):
-                boxes = boxes.withColumn(f"c_{j}_{side}", coordinate(F.col(f"{side}_{i}"), x["lefts"][j], x["spans"][j], x["shape"][j]))
-        for side in ("lo", "hi"):
-            boxes = boxes.withColumn(f"z_{side}", morton_code([F.col(f"{n}_{side}") for n in names], x["bits"]) if names else F.lit(0).cast("bigint"))
+                queries = queries.withColumn(f"c_{j}_{side}", coordinate(F.col(f"{side}_{i}"), x["lefts"][j], x["spans"][j], x["shape"][j]))
+        return queries
+
+    def held(self, index: Index, boxes: DataFrame) -> DataFrame:
+        """(qid, sub, cluster, center, cluster_center, radius, cnt): sub-clusters with rows in a query's box, and how many."""
+        names = [f"c_{j}" for j in range(len(index.extra["active"]))]
         subs = index.tables["subs"]
-        if x["cells"] <= MAX_CELL_ROWS:
-            held = box_counts(F.broadcast(index.tables["counts"]), boxes, names, "qid", ["sub"]).where("cnt > 0").select("qid", "sub")
+        near = against(subs.drop("cluster", "center", "cluster_center", "radius"), boxes.drop("qvec"), meeting(self.labels))
+        if names:
+            corners = [f"{n}_{side}" for n in names for side in ("lo", "hi")]
+            found = box_counts_from_changes(index.tables["sums"], near.select("qid", "sub", *corners), names, "qid", ["sub"]).where("cnt > 0")
         else:
-            held = queries.join(F.broadcast(subs), meeting(self.labels)).select("qid", "sub")
-        held = cut(held.join(F.broadcast(subs.select("sub", "cluster", "center", "cluster_center", "radius")), "sub").join(queries.select("qid", "qvec"), "qid"))
-        clusters = held.groupBy("qid", F.col("cluster").alias("id")).agg(F.min(squared_l2("qvec", "cluster_center")).alias("distance"))
-        probed = top_k(clusters, p.cluster_probes).select("qid", F.col("id").alias("cluster"))
-        near = held.join(probed, ["qid", "cluster"]).select("qid", F.col("sub").alias("id"), squared_l2("qvec", "center").alias("distance"))
-        lists = top_k(near, p.sub_probes).select("qid", F.col("id").alias("sub"))
+            found = near.select("qid", "sub", F.col("rows").alias("cnt"))
+        return found.join(subs.select("sub", "cluster", "center", "cluster_center", "radius"), "sub")
 
-        def rows(chosen: DataFrame) -> DataFrame:
-            found = index.data.drop("vec").join(chosen.join(boxes.drop("qvec"), "qid"), "sub").where(F.col("zcode").between(F.col("z_lo"), F.col("z_hi")))
+    def parts(self, index: Index, boxes: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(qid, sub, part): the parts of the wanted (qid, sub) that the Morton intervals of a query's box meet."""
+        x = index.extra
+        names = [f"c_{j}" for j in range(len(x["active"]))]
+        parts = index.tables["data_parts"]
+        if not names:
+            return wanted.join(parts.select("sub", "part"), "sub")
+        intervals = z_intervals(boxes, names, x["bits"], self.params.levels)
+        met = wanted.join(intervals, "qid").join(parts, "sub").where(F.expr("z_lo <= high AND z_hi >= low"))
+        return met.select("qid", "sub", "part").distinct()
+
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
+        p = self.params
+        boxes = cut(self.boxes(index, queries))
+        held = cut(self.held(index, boxes).join(queries.select("qid", "qvec"), "qid").withColumn("distance", squared_l2("qvec", "center")).withColumn("of_cluster", squared_l2("qvec", "cluster_center")).drop("qvec", "center", "cluster_center"))
+        clusters = held.groupBy("qid", F.col("cluster").alias("id")).agg(F.min("of_cluster").alias("distance"))
+        probed = top_k(clusters, p.cluster_probes).select("qid", F.col("id").alias("cluster"))
+        near = top_k(held.join(probed, ["qid", "cluster"]).select("qid", F.col("sub").alias("id"), "distance", "cnt"), p.sub_probes)
+        before = F.sum("cnt").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        lists = near.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < p.expected * p.k).select("qid", F.col("id").alias("sub"))
+        names = [f"c_{j}" for j in range(len(index.extra["active"]))]
+
+        def rows(wanted: DataFrame) -> DataFrame:
+            parts = cut(self.parts(index, boxes, wanted))
+            found = index.of(parts).drop("vec").join(parts.join(boxes.drop("qvec"), "qid"), ["sub", "part"])
             for n in names:
                 found = found.where(F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")))
-            return found.where(inside(self.labels))
+            return found.where(inside(self.labels)).select("qid", "id", "part", "codes", "err")
 
-        reach = self._first_reach(index, rows(lists), queries, p.keep)
-        within = held.join(reach, "qid").where(F.sqrt(squared_l2("qvec", "center")) - F.col("radius") * (1 + SLACK) <= F.col("t")).select("qid", "sub")
-        return self._by_codes(index, rows(within), queries, p.keep, reach)
+        reach = self._first_reach(index, self._scored(index, rows(lists), queries), queries, p.keep)
+        rest = held.join(reach, "qid").where(within(F.col("distance"))).select("qid", "sub")
+        return self._measured(index, self._scored(index, rows(rest), queries), queries, reach)
 
 
 class PostFilterLists(Strategy):
     """ivfpq-post: nearest vector lists, code distances, exact distances of the best, and only then the filters; the lists within the
-    reach of what passed are read with the filters."""
+    reach of what passed are read with the filters.
+
+    Codes are of what is left of a vector without its list's centre, so a query has a table of distances for each list that it reads.
+    """
 
-    order = ("list_id",)
+    layout = Layout(("list_id",), ("list_id",), "id")
 
-    def build(self, data: DataFrame) -> Index:
-        index = super().build(data)
-        centers = k_means(sample_vectors(data), self.params.lists, self.params.seed)
-        index.data, index.tables = _with_lists(index.data, centers, self.labels)
-        return index
+    def made(self, index: Index, data: DataFrame) -> None:
+        p = self.params
+        (centres,) = fit_centres(data, p.lists, seed=p.seed)
+        placed = cut(with_nearest(data, centres, "list_id", far="far", rest="rest"))
+        index.quantiser = ProductQuantiser.fit(placed, p.parts, p.codes, vector="rest", seed=p.seed)
+        coded = with_codes(placed, index.quantiser, "rest").drop("rest")
+        index.lay("data", coded.drop("far"), self.layout)
+        table = index.spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "list_id int, center array<double>")
+        index.keep("lists", listed(placed, ["list_id"], self.labels).join(table, "list_id"))
+
+    def _of_lists(self, index: Index, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(qid, id, part, err, distance) of (qid, list_id, id, part, codes, err), written; a table for each query and list that it reads."""
+        wanted = pairs.select("qid", "list_id").distinct()
+        left = wanted.join(index.tables["lists"].select("list_id", "center"), "list_id").join(queries.select("qid", "qvec"), "qid")
+        left = left.select("qid", "list_id", F.zip_with("qvec", "center", lambda x, c: x.cast("double") - c).alias("rest"))
+        tables = with_tables(left, index.quantiser, "rest").drop("rest")
+        return cut(pairs.join(tables, ["qid", "list_id"]).select("qid", "id", "part", "err", looked_up("lut", "codes").alias("distance")))
+
+    def _rows(self, index: Index, wanted: DataFrame) -> DataFrame:
+        """Rows of the wanted lists beside wanted's columns."""
+        parts = index.tables["data_parts"].join(wanted.select("list_id").distinct(), "list_id")
+        return index.of(parts).drop("vec").join(wanted, "list_id")
 
     def first(self, index: Index, queries: DataFrame) -> DataFrame:
         """(qid, id) in the order of distance: what is found before the filters."""
         p = self.params
-        near = queries.join(F.broadcast(index.tables["lists"].select("list_id", "center"))).select("qid", F.col("list_id").alias("id"), squared_l2("qvec", "center").alias("distance"))
-        probed = top_k(near, p.probes).select("qid", F.col("id").alias("list_id"))
-        scored = coded_distances(index.data.select("id", "list_id", "codes", "err").join(probed, "list_id"), queries, index.quantiser)
-        best = top_k(scored, int(p.k * p.refine * p.beta))
-        return refined(best, index.data, queries, int(p.k * p.beta)).select("qid", F.col("neighbor").alias("id"), "distance")
+        near = against(index.tables["lists"].select("list_id", "center"), queries, F.lit(True)).select("qid", F.col("list_id").alias("id"), squared_l2("qvec", "center").alias("distance"))
+        probed = cut(top_k(near, p.probes).select("qid", F.col("id").alias("list_id")))
+        scored = self._of_lists(index, self._rows(index, probed), queries)
+        best = cut(top_k(scored, int(p.k * p.refine * p.beta)))
+        return refined(best, index.of(best), queries, int(p.k * p.beta)).select("qid", F.col("neighbor").alias("id"), "distance")
 
-    def query(self, index: Index, queries: DataFrame) -> DataFrame:
+    def found(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
         passed = self.first(index, queries).join(index.data.select("id", *self.labels), "id").join(queries.drop("qvec"), "qid").where(inside(self.labels))
         reach = reach_of(top_k(passed.select("qid", "id", "distance"), p.k), queries, p.k)
-        fits = index.data.drop("vec").join(opened(queries, index.tables["lists"], self.labels, reach), "list_id").where(inside(self.labels))
-        return self._by_codes(index, fits, queries, p.keep, reach)
-
-
-def _with_lists(data: DataFrame, centers: np.ndarray, labels: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """data with list_id, and the table of the lists."""
-    placed = with_nearest(data, centers, "list_id", far="far")
-    table = data.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "list_id int, center array<double>")
-    return placed.drop("far"), {"lists": cut(listed(placed, ["list_id"], labels).join(F.broadcast(table), "list_id"))}
+        wanted = cut(opened(queries, index.tables["lists"], self.labels, reach))
+        fits = self._rows(index, wanted).where(inside(self.labels))
+        return self._measured(index, self._of_lists(index, fits, queries), queries, reach)
 
 
 class PostFilterGraph(PostFilterLists):
-    """cagra-post: a graph of near neighbours, walked for a fixed number of rounds, and only then the filters.
-
-    The graph joins each row with the nearest ones of its own cell and of the next nearest cell.  There is a cell for about
-    CELL_ROWS rows (centres are fitted on the sample, so MAX_CELLS at most, and larger cells are cut into pieces by hash), so that the
-    pairs looked at grow with the data and not with its square.  A walk starts from spread-out entry rows and keeps the frontier's
-    best by exact distance; each round is one equi-join with the edges, and is written to a checkpoint so that plans stay short.
+    """cagra-post: a graph of near neighbours, walked until no frontier changes, and only then the filters.
+
+    The graph starts with each row's nearest ones of its own cell and of the next nearest cell (a cell has about CELL_ROWS rows; larger ones are
+    cut into pieces by hash, so that the pairs looked at grow with the data and not with its square).  Rounds of descent follow: neighbours of a row's
+    nearest neighbours, in either direction, take the place of farther ones, until each row has i_degree.  Of these, edges stay that the fewest
+    detours replace (two nearer edges that lead to the same row), half of degree for each row, and their reverses fill it up.
+    A walk starts from spread-out entry rows and keeps the frontier's best by exact distance; each round is one equi-join with the
+    edges, which name the part that the other row's vector is in.
     """
 
-    CELL_ROWS, MAX_CELLS = 512, 2048
+    CELL_ROWS, DESCENTS, JOINED = 512, 2, 8
 
-    def build(self, data: DataFrame) -> Index:
+    def made(self, index: Index, data: DataFrame) -> None:
         p = self.params
-        index = super().build(data)
-        n = data.count()
-        points = sample_vectors(data)
-        centers = k_means(points, int(min(self.MAX_CELLS, len(points), max(p.lists, 1 + n // self.CELL_ROWS))), p.seed)
-        cells = cut(_two_nearest(data.select("id", "vec"), centers))
+        super().made(index, data)
+        points = index.data.select("id", "vec")
+        n = points.count()
+        (centres,) = fit_centres(data, max(p.lists, 1 + n // self.CELL_ROWS), seed=p.seed)
+        cells = cut(_two_nearest(points, centres))
         pieces = cells.groupBy(F.col("near")[0].alias("cell")).agg(F.expr(f"int(ceil(count(*) / {4 * self.CELL_ROWS}))").alias("pieces"))
         piece = F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece")
         held = cells.select(F.col("near")[0].alias("cell"), "id", "vec").join(pieces, "cell").select("cell", piece, "id", "vec")
         asked = cells.select(F.explode(F.array_distinct("near")).alias("cell"), F.col("id").alias("qid"), F.col("vec").alias("qvec")).join(pieces, "cell")
         asked = asked.select("cell", F.pmod(F.xxhash64("qid"), F.col("pieces")).alias("piece"), "qid", "qvec")
         pairs = asked.join(held, ["cell", "piece"]).where("qid <> id").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
-        out = top_k(pairs, p.degree).select(F.col("qid").alias("a"), F.col("id").alias("b"))
-        index.tables["edges"] = cut(out.unionAll(out.select("b", "a")).distinct())
-        index.tables["entries"] = cut(data.orderBy(F.xxhash64("id"), "id").limit(p.entries).select("id"))
-        return index
+        edges = cut(top_k(pairs, p.i_degree))
+        for _ in range(self.DESCENTS):
+            edges = cut(self._descended(edges, points))
+        edges = cut(self._pruned(edges).join(index.data.select(F.col("id").alias("b"), F.col("part").alias("b_part")), "b"))
+        index.keep("edges", edges)
+        index.keep("entries", index.data.select("id", "part").orderBy(F.xxhash64("id"), "id").limit(p.entries))
+
+    def _descended(self, edges: DataFrame, points: DataFrame) -> DataFrame:
+        """(qid, id, distance, rank): the nearest of a row's neighbours and of theirs."""
+        near = edges.where(F.col("rank") <= self.JOINED).select("qid", "id")
+        back = edges.where(F.col("rank") <= self.JOINED).select(F.col("id").alias("qid"), F.col("qid").alias("id"))
+        # a row that many hold as a neighbour sends some of them on: those chosen by hash, as the reverse edges of hubs grow with the data
+        back = top_k(back.withColumn("distance", F.xxhash64("qid", "id")), self.JOINED).select("qid", "id")
+        both = near.unionAll(back).distinct()
+        seconds = both.join(both.select(F.col("qid").alias("id"), F.col("id").alias("other")), "id").where("qid <> other").select("qid", F.col("other").alias("id")).distinct()
+        fresh = seconds.join(edges, ["qid", "id"], "left_anti")
+        fresh = fresh.join(points, "id").join(points.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+        return top_k(edges.drop("rank").unionByName(fresh), self.params.i_degree)
+
+    def _pruned(self, edges: DataFrame) -> DataFrame:
+        """(a, b): edges with the fewest detours, and reverses up to the degree."""
+        half = max(1, self.params.degree // 2)
+        one = edges.select("qid", F.col("id").alias("via"), F.col("rank").alias("r1"))
+        two = edges.select(F.col("qid").alias("via"), "id", F.col("rank").alias("r2"))
+        detours = one.join(two, "via").join(edges.select("qid", "id", "rank"), ["qid", "id"]).where("greatest(r1, r2) < rank").groupBy("qid", "id").agg(F.count("*").alias("detours"))
+        scored = edges.join(detours, ["qid", "id"], "left").select("qid", "id", (F.coalesce("detours", F.lit(0)) * 1000 + F.col("rank")).cast("double").alias("distance"))
+        out = cut(top_k(scored, half).select("qid", "id", "rank"))
+        back = top_k(out.select(F.col("id").alias("qid"), F.col("qid").alias("id"), F.col("rank").alias("distance")), half)
+        return out.select("qid", "id").unionAll(back.select("qid", "id")).distinct().toDF("a", "b")
 
     def first(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
-        vectors, asked = index.data.select("id", "vec"), queries.select("qid", "qvec")
+        asked = queries.select("qid", "qvec")
 
         def measured(pairs: DataFrame) -> DataFrame:
-            return pairs.join(vectors, "id").join(asked, "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+            """(qid, id, distance) of written (qid, id, part): vectors come from those parts."""
+            own = pairs.select("qid", "id").join(index.of(pairs).select("id", "vec"), "id").join(asked, "qid")
+            return own.select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
 
-        seen = cut(measured(asked.select("qid").join(F.broadcast(index.tables["entries"]))))
+        entries = index.tables["entries"]
+        seen = cut(measured(cut(asked.select("qid").join(F.broadcast(entries)))).withColumn("rank", F.lit(0)))  # entries are a parameter
+        seen = cut(top_k(seen.drop("rank"), p.frontier).withColumn("walked", F.lit(False)))
         for _ in range(p.rounds):
-            best = top_k(seen, p.frontier).drop("rank")
-            step = top_k(best, p.width * 4).select("qid", F.col("id").alias("a")).join(index.tables["edges"], "a").select("qid", F.col("b").alias("id")).distinct()
-            fresh = measured(step.join(best, ["qid", "id"], "left_anti"))
-            seen = cut(top_k(best.unionByName(fresh), p.frontier).drop("rank"))
-        return top_k(seen, int(p.k * p.beta)).select("qid", "id", "distance")
+            # the nearest rows of the frontier whose edges weren't followed yet
+            step = cut(top_k(seen.where(~F.col("walked")).select("qid", "id", "distance"), p.width).select("qid", F.col("id").alias("a")))
+            if step.isEmpty():
+                break
+            seen = seen.join(step.select("qid", F.col("a").alias("id"), F.lit(True).alias("now")), ["qid", "id"], "left").withColumn("walked", F.coalesce("now", "walked")).drop("now", "rank")
+            reached = step.join(index.tables["edges"], "a").select("qid", F.col("b").alias("id"), F.col("b_part").alias("part")).distinct()
+            fresh = measured(cut(reached.join(seen, ["qid", "id"], "left_anti"))).withColumn("walked", F.lit(False))
+            seen = cut(top_k(seen.unionByName(fresh), p.frontier))
+        return top_k(seen.select("qid", "id", "distance"), int(p.k * p.beta)).select("qid", "id", "distance")
 
 
 def _two_nearest(data: DataFrame, centers: np.ndarray) -> DataFrame:
