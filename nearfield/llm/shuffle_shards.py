@@ -1,7 +1,8 @@
 """Operator 9: shards of a uniformly shuffled corpus, by a two-pass external shuffle.
 
 Pass 1 scatters the rows into buckets by a seeded hash of doc_id and text; there are so many buckets that each is
-about BUCKET_BYTES.  Pass 2 takes one bucket after another into memory, puts its rows into a defined order, permutes
+about BUCKET_BYTES.  Rows that repeat so often that they would fill a bucket by themselves are counted instead, as they can't be told
+apart, and made again with a number each that goes into the hash: so they spread over all buckets too.  Pass 2 takes one bucket after another into memory, puts its rows into a defined order, permutes
 them by a Fisher-Yates shuffle seeded by the bucket, and writes them.  Buckets one after another are the shuffled
 corpus; the shards are equal runs of it, so that their row counts differ by at most one (law ``rows``).  The number of tasks grows with that of buckets.
 
@@ -9,7 +10,8 @@ The buckets' row counts give each bucket its place in the order before anything
 most MAX_BUCKETS rows (16 MB), for which buckets grow beyond BUCKET_BYTES at sizes above MAX_BUCKETS of them.
 
 Defined cases: a null text has size 1 and the checksum of an empty text; a null doc_id is a value like any other;
-repeated rows get slots of their own; an empty table gives no rows; input columns named like an added one are replaced by it.
+repeated rows get slots of their own, spread over all
+shards however many they are; texts of any length are taken whole (a bucket holds one longer than BUCKET_BYTES beside its others); an empty table gives no rows; input columns named like an added one are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.llm.rows import all_columns, numbered
-from nearfield.llm.shared_store import new_path, small_batches
+from nearfield.llm.shared_store import new_path, small_batches, written
 
+#: Bytes of equal rows beyond which each gets a number; numbers that are dealt out at a time.
+HEAVY_BYTES, DEALT = 4 << 20, 10_000
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS, SEED = 16 << 20, 64, 1 << 20, 20240501
 #: Buckets that one task shuffles, one after another, on average at most.
 TASK_BUCKETS = 4
@@ -39,6 +43,26 @@ def _permuted(rows: list[pa.RecordBatch], seed: int, slot: int) -> pa.RecordBatc
     return table.drop_columns(["__bucket", "__first"]).append_column(slot, places).to_batches(max_chunksize=len(table))[0]
 
 
+def _spread(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows with __hash and __bucket, where rows that repeat too often for one bucket are dealt out by a number.
+
+    Only buckets far larger than they should be are looked into; equal rows in them are found by their hash, and are at most as many
+    different ones as there are HEAVY_BYTES of text.
+    """
+    rows = rows.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
+    full = rows.groupBy("__bucket").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * HEAVY_BYTES).select("__bucket")  # at most MAX_BUCKETS
+    heavy = rows.join(F.broadcast(full), "__bucket", "left_semi").groupBy("__hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > HEAVY_BYTES) & (F.col("n") > 1)).select("__hash")
+    heavy = written(heavy, "heavy")
+    if heavy.isEmpty():
+        return rows
+    names = rows.columns
+    same = rows.join(F.broadcast(heavy), "__hash", "left_semi").groupBy(*names).agg(F.count("*").alias("__n"))
+    dealt = same.withColumn("__from", F.explode(F.expr(f"sequence(0, __n - 1, {DEALT})"))).repartition("__hash", "__from")
+    numbered_rows = dealt.withColumn("__number", F.explode(F.expr(f"sequence(__from, least(__from + {DEALT - 1}, __n - 1))")))
+    numbered_rows = numbered_rows.withColumn("__bucket", F.pmod(F.xxhash64("__hash", "__number"), F.lit(buckets)).cast("int"))
+    return rows.join(F.broadcast(heavy), "__hash", "left_anti").select(*names).unionByName(numbered_rows.select(*names))
+
+
 def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all rows and columns to folder/shard=<n>/ with size, text_crc32 and slot; returns the table as written."""
     spark = small_batches(documents.sparkSession)
@@ -50,7 +74,7 @@ def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int =
     rows = rows.withColumn("text_crc32", F.coalesce(F.crc32(text), F.lit(0).cast("long")))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, buckets = total["n"], min(MAX_BUCKETS, max(MIN_BUCKETS, 1 + (total["bytes"] or 0) // BUCKET_BYTES))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), own_id, text), F.lit(buckets)).cast("int"))
+    rows = _spread(rows.withColumn("__hash", F.xxhash64(F.lit(seed), own_id, text)), buckets).drop("__hash")
     # a window over one row for each bucket, at most MAX_BUCKETS
     before = F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = rows.groupBy("__bucket").count().select("__bucket", before.cast("long").alias("__first"))

@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from tests.llm.corpora import odd_documents
 
 from nearfield.llm import pivot_search, shuffle_shards
@@ -31,6 +32,65 @@ def test_shards(spark, monkeypatch, bucket_bytes):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.5
 
 
+def plain_shards(rows, bucket_bytes, heavy_bytes, seed=shuffle_shards.SEED, shards=8):
+    """{row: [(shard, slot)]} of (doc_id, text) rows, by the method's steps in plain Python."""
+    size = lambda t: len((t or "").encode()) + 1
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def hashed(*parts):  # of ints with their widths, and texts
+        h = 42
+        for part, width in parts:
+            if part is not None:
+                h = xxhash.xxh64_intdigest(part.encode() if isinstance(part, str) else part.to_bytes(width, "little", signed=True), seed=h)
+        return signed(h)
+
+    buckets = max(shuffle_shards.MIN_BUCKETS, 1 + sum(size(t) for _, t in rows) // bucket_bytes)
+    own = [hashed((seed, 4), (i, 8), (t, 0)) for i, t in rows]
+    in_bucket, per_hash = Counter(), Counter()
+    for h, (_, t) in zip(own, rows):
+        in_bucket[h % buckets] += size(t)
+        per_hash[h] += size(t)
+    copies, placed = Counter(), {}
+    for h, row in zip(own, rows):
+        bucket = h % buckets
+        if in_bucket[bucket] > 2 * heavy_bytes and per_hash[h] > heavy_bytes and own.count(h) > 1:
+            bucket = hashed((h, 8), (copies[row], 8)) % buckets
+            copies[row] += 1
+        placed.setdefault(bucket, []).append(row)
+    order = []
+    for bucket in sorted(placed):
+        held = sorted(placed[bucket], key=lambda r: (r[0] is not None, r[0] or 0, size(r[1]), zlib.crc32((r[1] or "").encode())))
+        order += [held[i] for i in np.random.Generator(np.random.PCG64([seed, bucket])).permutation(len(held))]
+    out = {}
+    for place, row in enumerate(order):
+        shard = min(shards - 1, place * shards // len(order))
+        out.setdefault(row, []).append((shard, place - -(-shard * len(order) // shards)))
+    return {row: sorted(at) for row, at in out.items()}
+
+
+@pytest.mark.parametrize("bucket_bytes, heavy_bytes", [(400, 200), (2000, 500), (16 << 20, 4 << 20)])
+def test_shards_equal_plain_python(spark, monkeypatch, bucket_bytes, heavy_bytes):
+    """The whole query, with one row in half of all rows."""
+    monkeypatch.setattr(shuffle_shards, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(shuffle_shards, "HEAVY_BYTES", heavy_bytes)
+    monkeypatch.setattr(shuffle_shards, "DEALT", 7)
+    rows = [(i, f"text {i} " + "w " * (i % 9)) for i in range(150)] + [(7, "one and the same")] * 150 + [(8, None)] * 3 + [(None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {}
+    for r in write_shards(table, new_path(spark, "shards")).collect():
+        got.setdefault((r.doc_id, r.text), []).append((r.shard, r.slot))
+    assert {row: sorted(at) for row, at in got.items()} == plain_shards(rows, bucket_bytes, heavy_bytes)
+
+
+def test_repeated_rows_fill_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(shuffle_shards, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(shuffle_shards, "HEAVY_BYTES", 1000)
+    rows = spark.range(3000).selectExpr("if(id < 1500, 7, id) AS doc_id", "if(id < 1500, 'the same text', concat('text ', id)) AS text", "octet_length(if(id < 1500, 'the same text', concat('text ', id))) + 1L AS size")
+    spread = shuffle_shards._spread(rows.selectExpr("*", "xxhash64(doc_id, text) AS __hash"), 64)
+    sizes = sorted(r["count"] for r in spread.groupBy("__bucket").count().collect())
+    assert sum(sizes) == 3000 and len(sizes) == 64 and sizes[-1] < 3 * sizes[32]
+
+
 def test_no_shards_of_nothing(spark):
     assert write_shards(spark.createDataFrame([], "doc_id long, text string"), new_path(spark, "shards")).count() == 0
 
