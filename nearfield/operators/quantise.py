@@ -134,7 +134,9 @@ def _started(rows: DataFrame, clusters: int, parts: int, seed: int, cosine: bool
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), i, np.int32)), lists], names=["part", "vec"])
 
         found = rows.mapInArrow(pick, "part int, vec array<double>").collect()  # about 2 * clusters a part
-        taken = [np.concatenate([t, *([[r.vec for r in found if r.part == i]] if any(r.part == i for r in found) else [])]) for i, t in enumerate(taken)]
+        for i in range(len(taken)):
+            own = sorted(r.vec for r in found if r.part == i)  # whatever the order of rows
+            taken[i] = np.concatenate([taken[i], np.array(own).reshape(-1, taken[i].shape[1])])
     _, counts, _ = _summed(rows, taken, cosine)
     return [k_means(t, clusters, seed + i, weights=c) for i, (t, c) in enumerate(zip(taken, counts))]
 

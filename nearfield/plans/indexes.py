@@ -591,14 +591,16 @@ class SuperGrid(Strategy):
             found = near.select("qid", "sub", F.col("rows").alias("cnt"))
         return found.join(subs.select("sub", "cluster", "center", "cluster_center", "radius"), "sub")
 
-    def parts(self, index: Index, boxes: DataFrame, wanted: DataFrame) -> DataFrame:
+    def intervals(self, index: Index, boxes: DataFrame) -> DataFrame | None:
+        """(qid, z_lo, z_hi): each box as Morton intervals."""
+        names = [f"c_{j}" for j in range(len(index.extra["active"]))]
+        return cut(z_intervals(boxes, names, index.extra["bits"], self.params.levels)) if names else None
+
+    def parts(self, index: Index, boxes: DataFrame, wanted: DataFrame, intervals: DataFrame | None) -> DataFrame:
         """(qid, sub, part): the parts of the wanted (qid, sub) that the Morton intervals of a query's box meet."""
-        x = index.extra
-        names = [f"c_{j}" for j in range(len(x["active"]))]
         parts = index.tables["data_parts"]
-        if not names:
+        if intervals is None:
             return wanted.join(parts.select("sub", "part"), "sub")
-        intervals = z_intervals(boxes, names, x["bits"], self.params.levels)
         met = wanted.join(intervals, "qid").join(parts, "sub").where(F.expr("z_lo <= high AND z_hi >= low"))
         return met.select("qid", "sub", "part").distinct()
 
@@ -611,10 +613,10 @@ class SuperGrid(Strategy):
         near = top_k(held.join(probed, ["qid", "cluster"]).select("qid", F.col("sub").alias("id"), "distance", "cnt"), p.sub_probes)
         before = F.sum("cnt").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
         lists = near.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < p.expected * p.k).select("qid", F.col("id").alias("sub"))
-        names = [f"c_{j}" for j in range(len(index.extra["active"]))]
+        names, intervals = [f"c_{j}" for j in range(len(index.extra["active"]))], self.intervals(index, boxes)
 
         def rows(wanted: DataFrame) -> DataFrame:
-            parts = cut(self.parts(index, boxes, wanted))
+            parts = cut(self.parts(index, boxes, wanted, intervals))
             found = index.of(parts).drop("vec").join(parts.join(boxes.drop("qvec"), "qid"), ["sub", "part"])
             for n in names:
                 found = found.where(F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")))
@@ -682,7 +684,7 @@ class PostFilterGraph(PostFilterLists):
     cut into pieces by hash, so that the pairs looked at grow with the data and not with its square).  Rounds of descent follow: neighbours of a row's
     nearest neighbours, in either direction, take the place of farther ones, until each row has i_degree.  Of these, edges stay that the fewest
     detours replace (two nearer edges that lead to the same row), half of degree for each row, and their reverses fill it up.
-    A walk starts from spread-out entry rows and keeps the frontier's best by exact distance; each round is one equi-join with the
+    A walk starts from the rows nearest to a few centres of all and keeps the frontier's best by exact distance; each round is one equi-join with the
     edges, which name the part that the other row's vector is in.
     """
 
@@ -706,7 +708,9 @@ class PostFilterGraph(PostFilterLists):
             edges = cut(self._descended(edges, points))
         edges = cut(self._pruned(edges).join(index.data.select(F.col("id").alias("b"), F.col("part").alias("b_part")), "b"))
         index.keep("edges", edges)
-        index.keep("entries", index.data.select("id", "part").orderBy(F.xxhash64("id"), "id").limit(p.entries))
+        (spread,) = fit_centres(points, p.entries, seed=p.seed + 1)
+        near = with_nearest(index.data.select("id", "part", "vec"), spread, "entry", far="far")
+        index.keep("entries", near.groupBy("entry").agg(F.min(F.struct("far", "id", "part")).alias("e")).select("e.id", "e.part"))
 
     def _descended(self, edges: DataFrame, points: DataFrame) -> DataFrame:
         """(qid, id, distance, rank): the nearest of a row's neighbours and of theirs."""

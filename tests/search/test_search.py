@@ -26,7 +26,14 @@ def rows(spark):
     points = centers[rng.integers(0, 12, 600)] + 0.4 * rng.normal(size=(600, 16))
     data = [(i, [float(x) for x in p], float(rng.integers(0, 6)), float(rng.integers(0, 40))) for i, p in enumerate(points)]
     data += [(900, data[0][1], float("nan"), 3.0), (901, data[0][1], None, 3.0)]
-    return data
+    # vectors that can't be compared, with labels that fit
+    nan, inf = float("nan"), float("inf")
+    bad = [None, [], [nan] * 16, [0.0] * 15 + [nan], [inf] + [0.0] * 15, [0.0] * 15 + [None], [0.0] * 8]
+    return data + [(910 + i, v, data[0][2], data[0][3]) for i, v in enumerate(bad)]
+
+
+def comparable(v):
+    return v is not None and len(v) == 16 and all(x is not None and abs(x) < float("inf") for x in v)
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +50,7 @@ def queries(spark, rows):
 def brute_force(rows, queries, k):
     out = {}
     for q in queries.collect():
-        own = sorted((sum((float(np.float32(a)) - float(np.float32(b))) ** 2 for a, b in zip(q.qvec, v)), i) for i, v, a, b in rows if a is not None and q.lo_0 <= a <= q.hi_0 and q.lo_1 <= b <= q.hi_1)
+        own = sorted((sum((float(np.float32(a)) - float(np.float32(b))) ** 2 for a, b in zip(q.qvec, v)), i) for i, v, a, b in rows if comparable(v) and a is not None and q.lo_0 <= a <= q.hi_0 and q.lo_1 <= b <= q.hi_1)
         out.update({(q.qid, r + 1): i for r, (_, i) in enumerate(own[:k])})
     return out
 
@@ -67,7 +74,7 @@ POOR = Params(k=7, codes=8, keep=1, keep_soft=1, label_clusters=3, label_probes=
 
 def test_many_queries_come_in_blocks(data, queries):
     pairs = range_join(data, queries, [], max_broadcast=5)
-    assert pairs.select("qid", "id").distinct().count() == pairs.count() == 12 * 602
+    assert pairs.select("qid", "id").distinct().count() == pairs.count() == 12 * 609
     plan = pairs._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and plan.count("BroadcastNestedLoopJoin") >= 3
 
@@ -132,7 +139,7 @@ def test_long_rankings_leave_the_session_alone(spark, data, queries):
     name = "spark.sql.optimizer.windowGroupLimitThreshold"
     before = spark.conf.get(name)
     pairs = range_join(data, queries, []).select("qid", "id", F.col("id").cast("double").alias("distance"))
-    assert top_k(pairs, 1500).count() == 12 * 602 and spark.conf.get(name) == before
+    assert top_k(pairs, 1500).count() == 12 * 609 and spark.conf.get(name) == before
     assert top_k(pairs.unionAll(pairs), 1003).where("rank = 1003").count() == 12
 
 
@@ -141,6 +148,15 @@ def test_results_keep_their_filters(data, queries):
     assert got.where("NOT (l0 BETWEEN lo_0 AND hi_0 AND l1 BETWEEN lo_1 AND hi_1)").count() == 0
 
 
+@pytest.mark.parametrize("name", ["prefilter", "ivfpq-post"])
+def test_queries_that_cannot_be_compared_find_nothing(spark, data, queries, name):
+    nan = float("nan")
+    bad = spark.createDataFrame([(i, v, 0.0, 9.0, 0.0, 99.0) for i, v in enumerate([None, [], [nan] * 16, [1.0] * 9, [None] * 16])], queries.schema)
+    both = queries.unionAll(bad.withColumn("qid", F.col("qid") + 5000))
+    assert found(search(name, data, both, LABELS, POOR)) == found(exact(data, both, LABELS, 7)) == found(exact(data, queries, LABELS, 7))
+    assert search(name, data.where("id >= 910"), queries, LABELS, POOR).count() == 0
+
+
 def test_empty(spark, data, queries):
     assert exact(data.limit(0), queries, LABELS, 3).count() == 0
     assert exact(data, queries.limit(0), LABELS, 3).count() == 0
