@@ -30,13 +30,27 @@ LOWER[65:91] += 32
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-_done = 0
+_done, _settled = 0, False
+#: glibc's number for the size from which an allocation is a mapping of its own, and that size: such memory goes back when it is freed.
+_MMAP_THRESHOLD, MAPPED_BYTES = -3, 1 << 20
+
+
+def settle() -> None:
+    """Makes this worker give back large arrays as soon as they are freed: it stays for the tasks of later stages, beside others."""
+    global _settled
+    if not _settled:
+        _settled = True
+        adjust = getattr(ctypes.CDLL(None), "mallopt", None)
+        if adjust is not None:
+            adjust(_MMAP_THRESHOLD, MAPPED_BYTES)
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 def release(size: int) -> None:
     """Gives freed memory back to the machine, each time that size bytes of input add up to RELEASE_BYTES: a worker that waits for its
     next task should hold little."""
     global _done
+    settle()
     _done += size
     if _done >= RELEASE_BYTES:
         _done = 0
@@ -47,6 +61,7 @@ def release(size: int) -> None:
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive runs of whole rows with about max_bytes of text each; a longer row comes alone."""
+    settle()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
