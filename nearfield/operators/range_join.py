@@ -2,8 +2,8 @@
 
 A few queries are broadcast and tested against each row in one pass over the data: at most MAX_BROADCAST of them, of BROADCAST_BYTES at most.
 Beyond that both sides meet by grid cell instead: a row has one cell, a query one for each cell that its box meets, so the join is an
-equi-join, and the exact test follows.  The grid is coarsened until a query's box has MAX_CELLS cells at most.  Without labels, where
-every row meets every query, the queries come in blocks of that size, each broadcast and held against the data.
+equi-join, and the exact test follows.  Wide queries have coarser cells of their own, and full cells are cut into pieces (dealt_cells).
+Without labels, where every row meets every query, the queries come in blocks of that size, each broadcast and held against the data.
 
 Either way, the least and greatest bound over all queries are put on the scan as constants, where they reach Parquet's statistics.
 """
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions.filters import inside
-from nearfield.functions.grids import coordinate
+from nearfield.sources.lineage import cut
 
-MAX_BROADCAST, BROADCAST_BYTES, MAX_CELLS, CELLS = 5_000, 128 << 20, 4_096, 64
+MAX_BROADCAST, BROADCAST_BYTES = 5_000, 128 << 20
+#: Cells along a label at the finest level and a query's most cells; levels, the finest first; rows of a cell that stay together.
+CELLS, MAX_CELLS, LEVELS, PIECE = 64, 256, (6, 4, 2, 0), 100_000
 
 
 def label_extent(data: DataFrame, labels: Sequence[str]) -> list[tuple[float, float]]:
@@ -84,25 +86,55 @@ def against(rows: DataFrame, queries: DataFrame, condition: Column, max_broadcas
     return _in_blocks(rows, queries, condition, n, size or 0, max_broadcast)
 
 
-def cell_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int], cells: int = CELLS) -> DataFrame:
+def _quantiles(data: DataFrame, labels: Sequence[str]) -> list[list[float]]:
+    """For each label, the values that cut its rows into CELLS about equal shares, each value once."""
+    shares = [i / CELLS for i in range(1, CELLS)]
+    clean = [F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in labels]
+    row = data.agg(*(F.percentile_approx(c, shares, 10_000).alias(f"q{i}") for i, c in enumerate(clean))).first()
+    return [sorted(set(q or [])) for q in row]
+
+
+def _cell(x: Column, bounds: Sequence[float]) -> Column:
+    """How many bounds aren't greater than x."""
+    out = F.lit(0)
+    for b in bounds:
+        out = out + (x.cast("double") >= F.lit(b)).cast("int")
+    return out
+
+
+def dealt_cells(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """data's and queries' rows beside the cells where they meet, and the key columns.
+
+    Cells are bounded by quantiles, so that they hold about as many rows each as far as labels differ.  Each query has a level of its own: the finest of
+    LEVELS (halvings of the grid along each label) at which its box has MAX_CELLS cells at most; a row has a cell for each level in use.  A cell with
+    more than PIECE rows is cut into pieces by the rows' hash, and its queries go to each piece.
+    """
+    bounds = _quantiles(data, labels)
+    corners = {f"__{side}{j}": _cell(F.col(f"{side}_{n}"), bounds[j]) for j, n in enumerate(numbers) for side in ("lo", "hi")}
+    fits, most = F.lit(LEVELS[-1]), (CELLS - 1).bit_length()
+    for level in reversed(LEVELS[:-1]):
+        size = F.lit(1).cast("bigint")
+        for j in range(len(labels)):
+            size = size * (F.shiftright(F.col(f"__hi{j}"), most - level) - F.shiftright(F.col(f"__lo{j}"), most - level) + 1)
+        fits = F.when(size <= MAX_CELLS, level).otherwise(fits)
+    boxes = queries.withColumns(corners).where(" AND ".join(f"__lo{j} <= __hi{j}" for j in range(len(labels)))).withColumn("__level", fits)
+    used = [r[0] for r in boxes.select("__level").distinct().collect()]  # of LEVELS
+    for j in range(len(labels)):
+        boxes = boxes.withColumn(f"__c{j}", F.explode(F.expr(f"sequence(shiftright(__lo{j}, {most} - __level), shiftright(__hi{j}, {most} - __level))")))
+    boxes = boxes.drop(*corners)
+    placed = data.withColumns({f"__a{j}": _cell(F.col(n), bounds[j]) for j, n in enumerate(labels)}).withColumn("__level", F.explode(F.array(*map(F.lit, used))) if used else F.lit(0))
+    placed = placed.withColumns({f"__c{j}": F.expr(f"shiftright(__a{j}, {most} - __level)") for j in range(len(labels))}).drop(*(f"__a{j}" for j in range(len(labels))))
+    keys = ["__level", *(f"__c{j}" for j in range(len(labels)))]
+    pieces = F.ceil(F.col("count") / F.lit(PIECE)).cast("int").alias("__pieces")
+    large = cut(placed.groupBy(*keys).count().where(F.col("count") > PIECE).select(*keys, pieces))
+    large = F.broadcast(large) if large.count() <= MAX_BROADCAST else large
+    own = F.xxhash64(*(F.col(f.name) for f in data.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))))
+    placed = placed.join(large, keys, "left").withColumn("__piece", F.pmod(own, F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    boxes = boxes.join(large, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    return placed, boxes, [*keys, "__piece"]
+
+
+def cell_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> DataFrame:
     """The same by an equi-join on grid cells."""
-    extent = label_extent(data, labels)
-    spans = [max(hi - lo, 1e-9) for lo, hi in extent]
-    shape = [cells] * len(labels)
-
-    def corner(side: str):
-        return [coordinate(F.col(f"{side}_{n}"), extent[i][0], spans[i], shape[i]) for i, n in enumerate(numbers)]
-
-    while True:
-        sizes = F.lit(1).cast("bigint")
-        for lo, hi in zip(corner("lo"), corner("hi")):
-            sizes = sizes * (hi - lo + 1)
-        if (queries.agg(F.max(sizes)).first()[0] or 0) <= MAX_CELLS:
-            break
-        shape = [max(1, s // 2) for s in shape]
-    boxes = queries
-    for i, (lo, hi) in enumerate(zip(corner("lo"), corner("hi"))):
-        boxes = boxes.withColumn(f"__c{i}", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
-    placed = data.withColumns({f"__c{i}": coordinate(F.col(n), extent[i][0], spans[i], shape[i]) for i, n in enumerate(labels)})
-    keys = [f"__c{i}" for i in range(len(labels))]
+    placed, boxes, keys = dealt_cells(data, queries, labels, numbers)
     return placed.join(boxes, keys).where(inside(labels, numbers)).drop(*keys)

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from nearfield.sources.lineage import cut
 
-#: Ranges of values between whose bounds ends are looked up.
-RANGES = 256
-
-
 def with_places(rows: DataFrame, key: Sequence[str], name: str = "place") -> DataFrame:
     """rows with their place, from 0, in the order of the key's columns; rows with equal keys follow each other in any order."""
     dealt = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__at", F.monotonically_increasing_id()))
@@ -27,22 +23,22 @@ def with_places(rows: DataFrame, key: Sequence[str], name: str = "place") -> Dat
 
 
 def ranks(values: DataFrame, value: str, ends: DataFrame, end: str, closed: str) -> DataFrame:
-    """ends with below: how many values are less than the end or, where closed holds, not greater.  Null and NaN values count nowhere.
+    """ends with below: how many values are less than the end or, where closed holds, not greater.  Null and NaN values count nowhere; a null
+    end has none below it, and a NaN end all.
 
-    A value's range is the number of bounds not greater than it; an end counts all lower ranges from their counts, and looks
-    into its own range alone, whose values come as one row for each different one.
+    One pass over both in their common order: equal values are one row with their number, an open end comes before the values equal to it and a
+    closed one after them, and a running sum of the numbers is what is below.  Rows are dealt by ranges of that order, so each task adds up its own
+    range, and only the ranges' sums are brought together.
     """
-    clean = values.select(F.col(value).cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
-    found = clean.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(found)))) if found else F.array().cast("array<double>")
-    range_of = lambda x: F.size(F.filter(bounds, lambda b: b <= x))
-    kinds = clean.groupBy("value").count().withColumn("__range", range_of(F.col("value")))
-    kinds = cut(kinds)
-    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    lower = kinds.groupBy("__range").agg(F.sum("count").alias("count")).join(F.broadcast(ends.sparkSession.range(len(set(found)) + 1).select(F.col("id").cast("int").alias("__range"))), "__range", "right")
-    lower = lower.select("__range", F.coalesce(before, F.lit(0)).alias("__lower"))  # RANGES rows
-    asked = ends.withColumn("__end", F.col(end).cast("double")).withColumn("__range", range_of(F.col("__end")))
-    inside = F.when(F.col(closed), F.col("value") <= F.col("__end")).otherwise(F.col("value") < F.col("__end"))
-    own = asked.select("__range", "__end", closed).distinct().join(kinds, "__range").where(inside).groupBy("__end", closed).agg(F.sum("count").alias("__own"))
-    out = asked.join(F.broadcast(lower), "__range").join(own, ["__end", closed], "left")
-    return out.withColumn("below", F.col("__lower") + F.coalesce("__own", F.lit(0))).select(*ends.columns, "below")
+    x = lambda frame, name: (frame[name].cast("double") + F.lit(0.0)).alias("x")  # noqa: E731  zeros without a sign
+    counted = values.select(x(values, value)).where("x IS NOT NULL AND NOT isnan(x)").groupBy("x").agg(F.count("*").alias("n")).select("x", F.lit(1).alias("kind"), "n")
+    asked = ends.select(x(ends, end), F.when(F.col(closed), 2).otherwise(0).alias("kind")).distinct().withColumn("n", F.lit(0).cast("long"))
+    dealt = cut(counted.unionAll(asked).repartitionByRange("x", "kind").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sums.select("part", before.alias("first"))  # one row for each range
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.withColumn("within", within).where("kind <> 1").join(F.broadcast(first), "part")
+    found = found.select(F.col("x").alias("__x"), F.col("kind").alias("__kind"), (F.col("first") + F.col("within")).alias("below"))
+    same = (ends[end].cast("double") + F.lit(0.0)).eqNullSafe(found["__x"]) & (F.when(ends[closed], 2).otherwise(0) == found["__kind"])
+    return ends.join(found, same).select(*(ends[c] for c in ends.columns), "below")

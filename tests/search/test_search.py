@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.filters import Divide, IntervalMap, Shift, with_bounds
 from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, prefix_sums
 from nearfield.operators.quantise import ProductQuantiser, balanced_groups
+from nearfield.operators import range_join as range_join_module
 from nearfield.operators.range_join import label_extent, range_join
 from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
@@ -68,6 +69,23 @@ def test_cell_join_equals_broadcast_join(data, queries):
     assert pairs[0] == pairs[1] and pairs[0]
 
 
+def test_hot_cells_and_wide_queries_are_split(spark, monkeypatch):
+    """Nine rows of ten in one cell, and one query without bounds among narrow ones."""
+    monkeypatch.setattr(range_join_module, "PIECE", 200)
+    rng = random.Random(1)
+    rows = [(i, 5.0, 5.0) if i % 10 else (i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(5000)] + [(6000, None, 5.0), (6001, float("nan"), 5.0)]
+    asked = [(q, 5.0 - q % 3, 5.0 + q % 5, 4.0, 5.0 + q % 7) for q in range(40)] + [(40, -1e9, float("inf"), -1e9, float("inf")), (41, 7.0, 3.0, 0.0, 9.0), (42, None, 9.0, 0.0, 9.0)]
+    table = spark.createDataFrame(rows, "id long, a double, b double").repartition(4)
+    queries = spark.createDataFrame(asked, "qid long, lo_0 double, hi_0 double, lo_1 double, hi_1 double")
+    placed, boxes, keys = range_join_module.dealt_cells(table, queries, ["a", "b"], [0, 1])
+    assert {r[0] for r in boxes.where("qid <> 40").select("__level").distinct().collect()} == {6}  # a wide one coarsens nothing
+    assert placed.groupBy(*keys).count().agg(F.max("count")).first()[0] < 300
+    assert boxes.groupBy("qid").count().agg(F.max("count")).first()[0] <= 256 * 24
+    got = {(r.qid, r.id) for r in range_join(table, queries, ["a", "b"], max_broadcast=0).select("qid", "id").collect()}
+    ok = lambda x, lo, hi: x is not None and x == x and lo is not None and lo <= x <= hi
+    assert got == {(q, i) for i, a, b in rows for q, l0, h0, l1, h1 in asked if ok(a, l0, h0) and ok(b, l1, h1)}
+
+
 #: Settings at which the first step of each strategy alone would lose most neighbours.
 POOR = Params(k=7, codes=8, keep=1, keep_soft=1, label_clusters=3, label_probes=1, pass_ratio=0.9, max_cells=9, lists=3, probes=1, clusters=3, sub_clusters=2, cluster_probes=1, sub_probes=1, grids=30, beta=1, refine=1, frontier=8, rounds=1, entries=4)
 
@@ -128,6 +146,9 @@ def test_places_and_ranks(spark):
     got = {(r.e, r.c): r.below for r in ranks(table, "v", spark.createDataFrame(ends, "e double, c boolean"), "e", "c").collect()}
     known = [v for v in values if v is not None and v == v]
     assert got == {(e, c): sum(v <= e if c else v < e for v in known) for e, c in ends}
+    many = spark.createDataFrame([(float(i % 500), True) for i in range(3000)] + [(None, False), (float("nan"), True), (-0.0, False)], "e double, c boolean")
+    got = [(r.e, r.below) for r in ranks(table, "v", many, "e", "c").collect()]
+    assert len(got) == 3003 and all(b == (0 if e is None else len(known) if e != e else sum(v < 0 for v in known) if str(e) == "-0.0" else sum(v <= e for v in known)) for e, b in got[:40] + got[-40:])
     few = ranks(table.limit(0), "v", spark.createDataFrame([(1.0, True)], "e double, c boolean"), "e", "c")
     assert [r.below for r in few.collect()] == [0]
     placed = {r.id: r.place for r in with_places(table.where("v > -100 AND NOT isnan(v)"), ["v", "id"]).collect()}
