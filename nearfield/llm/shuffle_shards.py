@@ -43,14 +43,17 @@ def _permuted(rows: list[pa.RecordBatch], seed: int, slot: int) -> pa.RecordBatc
     return table.drop_columns(["__bucket", "__first"]).append_column(slot, places).to_batches(max_chunksize=len(table))[0]
 
 
-def _spread(rows: DataFrame, buckets: int) -> DataFrame:
+def _spread(rows: DataFrame, buckets: int, usual: int) -> DataFrame:
     """rows with __hash and __bucket, where rows that repeat too often for one bucket are dealt out by a number.
 
-    Only buckets far larger than they should be are looked into; equal rows in them are found by their hash, and are at most as many
+    Only buckets of twice the usual bytes are looked into; equal rows in them are found by their hash, and are at most as many
     different ones as there are HEAVY_BYTES of text.
     """
     rows = rows.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
-    full = rows.groupBy("__bucket").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * HEAVY_BYTES).select("__bucket")  # at most MAX_BUCKETS
+    full = rows.groupBy("__bucket").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 2 * usual).select("__bucket")  # at most MAX_BUCKETS
+    full = written(full, "full")
+    if full.isEmpty():
+        return rows
     heavy = rows.join(F.broadcast(full), "__bucket", "left_semi").groupBy("__hash").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > HEAVY_BYTES) & (F.col("n") > 1)).select("__hash")
     heavy = written(heavy, "heavy")
     if heavy.isEmpty():
@@ -74,7 +77,7 @@ def write_shards(documents: DataFrame, folder: str, shards: int = 8, seed: int =
     rows = rows.withColumn("text_crc32", F.coalesce(F.crc32(text), F.lit(0).cast("long")))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     n, buckets = total["n"], min(MAX_BUCKETS, max(MIN_BUCKETS, 1 + (total["bytes"] or 0) // BUCKET_BYTES))
-    rows = _spread(rows.withColumn("__hash", F.xxhash64(F.lit(seed), own_id, text)), buckets).drop("__hash")
+    rows = _spread(rows.withColumn("__hash", F.xxhash64(F.lit(seed), own_id, text)), buckets, max(BUCKET_BYTES, (total["bytes"] or 0) // buckets)).drop("__hash")
     # a window over one row for each bucket, at most MAX_BUCKETS
     before = F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = rows.groupBy("__bucket").count().select("__bucket", before.cast("long").alias("__first"))

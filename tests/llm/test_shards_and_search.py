@@ -53,7 +53,7 @@ def plain_shards(rows, bucket_bytes, heavy_bytes, seed=shuffle_shards.SEED, shar
     copies, placed = Counter(), {}
     for h, row in zip(own, rows):
         bucket = h % buckets
-        if in_bucket[bucket] > 2 * heavy_bytes and per_hash[h] > heavy_bytes and own.count(h) > 1:
+        if in_bucket[bucket] > 2 * max(bucket_bytes, sum(size(t) for _, t in rows) // buckets) and per_hash[h] > heavy_bytes and own.count(h) > 1:
             bucket = hashed((h, 8), (copies[row], 8)) % buckets
             copies[row] += 1
         placed.setdefault(bucket, []).append(row)
@@ -86,7 +86,7 @@ def test_repeated_rows_fill_no_bucket(spark, monkeypatch):
     monkeypatch.setattr(shuffle_shards, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(shuffle_shards, "HEAVY_BYTES", 1000)
     rows = spark.range(3000).selectExpr("if(id < 1500, 7, id) AS doc_id", "if(id < 1500, 'the same text', concat('text ', id)) AS text", "octet_length(if(id < 1500, 'the same text', concat('text ', id))) + 1L AS size")
-    spread = shuffle_shards._spread(rows.selectExpr("*", "xxhash64(doc_id, text) AS __hash"), 64)
+    spread = shuffle_shards._spread(rows.selectExpr("*", "xxhash64(doc_id, text) AS __hash"), 64, 1000)
     sizes = sorted(r["count"] for r in spread.groupBy("__bucket").count().collect())
     assert sum(sizes) == 3000 and len(sizes) == 64 and sizes[-1] < 3 * sizes[32]
 
