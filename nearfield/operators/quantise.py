@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 SAMPLE, ROWS_A_CENTRE = 10_000, 256
 #: Rounds of k-means|| and of Lloyd's steps over rows that stay on the executors.
-START_ROUNDS, ROUNDS = 3, 8
+START_ROUNDS, ROUNDS = 3, 12
 
 
 def finite(vector: str | Column) -> Column:
@@ -48,18 +48,18 @@ def sample_vectors(data: DataFrame, vector: str = "vec", key: str = "id", rows:
     return np.array(taken.column("v").to_pylist(), dtype=float).reshape(len(taken), -1)
 
 
-def fit_centres(data: DataFrame, clusters: int, parts: int = 1, vector: str = "vec", key: str = "id", seed: int = 0, cosine: bool = False, rows_a_centre: int = ROWS_A_CENTRE, local: int = SAMPLE) -> list[np.ndarray]:
+def fit_centres(data: DataFrame, clusters: int, parts: int = 1, vector: str = "vec", key: str = "id", seed: int = 0, cosine: bool = False, rows_a_centre: int = ROWS_A_CENTRE, local: int = SAMPLE, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Centres of each of a vector's equal parts (the last one filled up with zeros): clusters of them, or one for each row of fewer."""
     n = data.count()
     wanted = clusters * rows_a_centre
     if min(n, wanted) <= local:
         points = sample_vectors(data, vector, key, max(local, 1))
-        return [k_means(p, clusters, seed + i, cosine=cosine) for i, p in enumerate(np.split(_padded(points, parts), parts, axis=1))]
+        return [k_means(p, clusters, seed + i, rounds, cosine) for i, p in enumerate(np.split(_padded(points, parts), parts, axis=1))]
     rows = data.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     if n > wanted:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
     centres = _started(rows, clusters, parts, seed, cosine)
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         sums, counts, _ = _summed(rows, centres, cosine)
         new = [np.where(c[:, None] > 0, s / np.maximum(c, 1)[:, None], old) for s, c, old in zip(sums, counts, centres)]
         done = all(np.allclose(a, b) for a, b in zip(new, centres))
@@ -212,8 +212,8 @@ class ProductQuantiser:
         return self.centers[0].shape[1]
 
     @classmethod
-    def fit(cls, data: DataFrame, parts: int, codes: int, vector: str = "vec", seed: int = 0) -> ProductQuantiser:
-        return cls(fit_centres(data, codes, parts, vector, seed=seed))
+    def fit(cls, data: DataFrame, parts: int, codes: int, vector: str = "vec", seed: int = 0, rounds: int = ROUNDS) -> ProductQuantiser:
+        return cls(fit_centres(data, codes, parts, vector, seed=seed, rounds=rounds))
 
     def encode(self, points: np.ndarray) -> np.ndarray:
         return np.stack([nearest(p, c) for p, c in zip(np.split(_padded(points, len(self.centers)), len(self.centers), axis=1), self.centers)], axis=1)

@@ -95,11 +95,13 @@ def _quantiles(data: DataFrame, labels: Sequence[str]) -> list[list[float]]:
 
 
 def _cell(x: Column, bounds: Sequence[float]) -> Column:
-    """How many bounds aren't greater than x."""
-    out = F.lit(0)
-    for b in bounds:
-        out = out + (x.cast("double") >= F.lit(b)).cast("int")
-    return out
+    """How many of the ascending bounds aren't greater than x, by halving; null for null."""
+    if not bounds:
+        return F.when(x.isNotNull(), F.lit(0))
+    x, held = x.cast("double"), F.array(*map(F.lit, bounds))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda c, s: F.when((c + s <= len(bounds)) & (F.get(held, c + s - 1) <= x), c + s).otherwise(c))
+    return F.when(x.isNotNull(), found)
 
 
 def dealt_cells(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> tuple[DataFrame, DataFrame, list[str]]:

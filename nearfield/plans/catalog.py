@@ -22,7 +22,10 @@ from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
 from nearfield.operators.zorder import z_intervals
 from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, ranked, reach_of, refined, search, until_k_pass
+from nearfield.sources.config import parse_filters, parse_settings
 from nearfield.sources.lineage import new_folder
+from nearfield.sources.matrices import read_raw_results, write_raw_results
+from nearfield.streaming.serving import serve
 
 K = 10
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,3 +448,58 @@ def saved_index(spark, sf_dir):
     strategy = STRATEGIES["super-grid"](labels, _USUAL)
     strategy.build(data, path)
     return _rounded(strategy.query(Index.load(spark, path), queries))
+
+
+# --- sources and serving over the given tables ---------------------------------------------------------------------------
+
+_SETTINGS = """
+topk = 10
+pq_dim = 8
+n_clusters = 32
+clusters0 = 6
+clusters1 = 6
+n_list = 5
+exps0 = 8
+label_dim = 3
+"""
+_FILTERS = """
+# one block for each label
+l = 2
+filter0:
+    type = 0
+    shift_val = [15, 10]
+
+filter1:
+    type = 2
+    div_value = [4]
+"""
+_SETTINGS_SQL = "d.l1 BETWEEN q.l1 - 15 AND q.l1 + 10 AND d.l2 >= trunc(q.l2)::BIGINT // 4"
+
+
+@_register("settings_files_topk", _exact_sql(_SETTINGS_SQL))
+def settings_files_topk(spark, sf_dir):
+    """A search as its settings and filter files say."""
+    data = vectors(spark, sf_dir)
+    queries = with_bounds(asked(data), parse_filters(_FILTERS), ["x1", "x2"])
+    return _rounded(search("ivf-ivf_pq", data, queries, ["l1", "l2"], parse_settings(_SETTINGS, "ivf-ivf_pq").params))
+
+
+@_register("raw_results_topk", f"""WITH {_D} SELECT dense_rank() OVER (ORDER BY qid) - 1 AS qid, rank, neighbor, round(distance, 4) AS distance FROM ({_ranked_sql(f"SELECT q.qid, d.id, {_DISTANCE} AS distance FROM q, d")})""")
+def raw_results_topk(spark, sf_dir):
+    """Results written to a folder of raw matrices and read again; there a query's number is its place, and distances are single."""
+    data, folder = vectors(spark, sf_dir), new_folder(spark, "results")
+    write_raw_results(exact(data, asked(data), (), K), folder, K)
+    out = read_raw_results(spark, folder, K)
+    return out.select("qid", F.col("rank").cast("int").alias("rank"), "neighbor", F.round(F.col("distance").cast("double"), 4).alias("distance"))
+
+
+@_register("served_topk", _exact_sql(_MULTI_SQL))
+def served_topk(spark, sf_dir):
+    """The queries as a stream, in batches of one file each, over an index that stays."""
+    data, queries, labels = _case(spark, sf_dir, "multi")
+    strategy, folder = STRATEGIES["prefilter"](labels, _USUAL), new_folder(spark, "served")
+    index = strategy.build(data)
+    queries.repartition(2, "qid").write.parquet(f"{folder}/queries")
+    stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/queries")
+    serve(strategy, index, stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _rounded(spark.read.parquet(f"{folder}/out").drop("batch"))

@@ -88,6 +88,7 @@ class Params:
     rounds: int = 6
     beta: float = 4
     refine: float = 2
+    iterations: int = 12  # rounds of k-means
     seed: int = 0
     files: int = 0  # parts of the index; 0: by its rows
 
@@ -229,7 +230,7 @@ class Strategy:
 
     def _coded(self, index: Index, data: DataFrame) -> DataFrame:
         p = self.params
-        index.quantiser = ProductQuantiser.fit(data, p.parts, p.codes, seed=p.seed)
+        index.quantiser = ProductQuantiser.fit(data, p.parts, p.codes, seed=p.seed, rounds=p.iterations)
         return with_codes(data, index.quantiser)
 
     def query(self, index: Index, queries: DataFrame) -> DataFrame:
@@ -533,7 +534,7 @@ class SuperGrid(Strategy):
     def made(self, index: Index, data: DataFrame) -> None:
         p = self.params
         coded = self._coded(index, data)
-        (sub_centers,) = fit_centres(data, p.clusters * p.sub_clusters, seed=p.seed)
+        (sub_centers,) = fit_centres(data, p.clusters * p.sub_clusters, seed=p.seed, rounds=p.iterations)
         of = balanced_groups(sub_centers, p.clusters, p.seed)
         centers = [sub_centers[of == g].mean(0) for g in range(of.max() + 1 if len(of) else 0)]
         active = [i for i in range(len(self.labels)) if not p.label_mask >> i & 1]
@@ -638,9 +639,9 @@ class PostFilterLists(Strategy):
 
     def made(self, index: Index, data: DataFrame) -> None:
         p = self.params
-        (centres,) = fit_centres(data, p.lists, seed=p.seed)
+        (centres,) = fit_centres(data, p.lists, seed=p.seed, rounds=p.iterations)
         placed = cut(with_nearest(data, centres, "list_id", far="far", rest="rest"))
-        index.quantiser = ProductQuantiser.fit(placed, p.parts, p.codes, vector="rest", seed=p.seed)
+        index.quantiser = ProductQuantiser.fit(placed, p.parts, p.codes, vector="rest", seed=p.seed, rounds=p.iterations)
         coded = with_codes(placed, index.quantiser, "rest").drop("rest")
         index.lay("data", coded.drop("far"), self.layout)
         table = index.spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "list_id int, center array<double>")

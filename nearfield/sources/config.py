@@ -16,8 +16,10 @@ _PARAMS = {
     "topk": "k", "pq_dim": "parts", "n_clusters": "codes", "exps0": "keep", "exps1": "keep_soft", "merge_rate": "penalty",
     "clusters0": "label_clusters", "clusters1": "lists", "max_grids_cnt": "max_cells", "max_grids": "grids", "n_list": "probes",
     "clusters": "clusters", "sub_clusters": "sub_clusters", "sub_lists": "sub_probes", "label_mask": "label_mask", "degree": "degree",
-    "i_degree": "entries", "itopk_size": "frontier", "search_width": "width", "beta": "beta", "refine": "refine", "n_probes": "probes",
+    "i_degree": "i_degree", "itopk_size": "frontier", "search_width": "width", "beta": "beta", "refine": "refine", "n_probes": "probes",
 }
+#: Names that mean something else to one strategy.
+_OWN = {"ivfpq-post": {"n_list": "lists", "pq_bits": "codes", "kmeans_n_iters": "iterations"}}
 
 
 @dataclass(frozen=True)
@@ -27,23 +29,27 @@ class Settings:
     params: Params = Params()
 
 
-def parse_settings(text: str) -> Settings:
-    """Names are case-insensitive; unknown ones are logged and skipped.  n_list is also the number of clusters probed."""
+def parse_settings(text: str, algorithm: str = "") -> Settings:
+    """Names are case-insensitive; unknown ones are logged and skipped.  n_list is the number of lists probed, and of clusters too, but for
+    ivfpq-post, where it is how many lists there are; its pq_bits is the logarithm of the number of codes."""
     values, path, filter_dim = {}, "", 1
+    own = _OWN.get(algorithm, {})
+    kinds = {f.name: f.type for f in fields(Params)}
     for line in text.splitlines():
         name, equals, value = (part.strip() for part in line.partition("="))
         if not equals or name.startswith("#"):
             continue
         name = name.lower()
+        param = own.get(name) or _PARAMS.get(name)
         if name == "path":
             path = value.strip("\"'")
         elif name == "filter_dim":
             filter_dim = int(value)
-        elif name in _PARAMS:
-            kind = {f.name: f.type for f in fields(Params)}[_PARAMS[name]]
-            values[_PARAMS[name]] = float(value) if kind == "float" else int(value)
-            if name == "n_list":
-                values["cluster_probes"] = int(value)
+        elif param:
+            number = float(value) if kinds[param] == "float" else int(value)
+            values[param] = 1 << number if name == "pq_bits" else number
+            if name == "n_list" and name not in own:
+                values["cluster_probes"] = number
         else:
             log.warning("unknown setting %s is skipped", name)
     return Settings(path, filter_dim, replace(Params(), **values))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +131,32 @@ def read_raw_results(spark: SparkSession, folder: str, k: int) -> DataFrame:
     return both.select("qid", (F.col("rank") + 1).alias("rank"), F.col("neighbors").cast("bigint").alias("neighbor"), F.col("distances").alias("distance"))
 
 
+def write_raw_results(result: DataFrame, folder: str, k: int, files: int = 4) -> None:
+    """Writes (qid, rank, neighbor, distance) as read_raw_results reads it: k entries a query in the order of qid, each task its own pair of
+    files.  Queries with fewer results end in the largest number and an infinite distance, which read_raw_results leaves as they are."""
+    spark = result.sparkSession
+    folder = located(spark, folder)
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path)
+    rows = result.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor", "distance"))).alias("found"))  # k entries a query
+    rows = rows.select("qid", F.col("found.neighbor").alias("neighbor"), F.col("found.distance").alias("distance")).repartitionByRange(files, "qid").sortWithinPartitions("qid")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        found = [(n, d) for batch in batches for n, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        if found:
+            neighbors, distances = np.full((len(found), k), np.iinfo(np.uint64).max, np.uint64), np.full((len(found), k), np.inf, np.float32)
+            for i, (n, d) in enumerate(found):
+                neighbors[i, : len(n)], distances[i, : len(d)] = n, d
+            own, at = fs.FileSystem.from_uri(folder)
+            for kind, values in (("neighbors", neighbors), ("distances", distances)):
+                with own.open_output_stream(f"{at}/{kind}_{number:06d}") as file:
+                    file.write(values.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], names=["n"])
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def write_clustered(data: DataFrame, path: str, *columns: str, files: int = 32) -> None:
     """Rows in files by ranges of the columns and sorted by them, so that scans skip by the columns' statistics."""
     data.repartitionByRange(files, *columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
