@@ -38,9 +38,12 @@ class TableModel:
     unknown: float
     slope: float = 0.0
     offset: float = 0.0
+    bend: float = 0.0
+    knee: float = 0.0
 
     def score(self, x: Column) -> Column:
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.lit(self.slope) * x + F.lit(self.offset)))))
+        y = F.lit(self.slope) * x + F.lit(self.bend) * F.greatest(x - F.lit(self.knee), F.lit(0.0)) + F.lit(self.offset)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), y))))
 
 
 def _last(gram: str, k: int) -> str:

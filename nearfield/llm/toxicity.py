@@ -9,10 +9,10 @@ letters before it in its word is
 where shorter contexts count the different letters before an expression instead of its occurrences.  The shortest one falls
 back to counts shared by both classes: so an expression that is rare, or known to neither class, says little either way.
 A word's letters count from the third on, given the first two: these mostly tell the language, which isn't the question.
-A logistic curve on the difference, fitted on labelled texts that the counts haven't seen, gives the score.
+A logistic curve on the difference, with a steeper slope beyond a knee, fitted on labelled texts that the counts haven't seen, gives the score.
 
 Counts come from the whole texts of all labelled documents whose crc32(doc_id as text) mod 3 is 0 or 2, by a Spark aggregation
-that grows with the input; those with remainder 1 are held out.  The curve, two numbers, is cross-fitted: a bounded sample of each
+that grows with the input; those with remainder 1 are held out.  The curve, four numbers, is cross-fitted: a bounded sample of each
 of the two folds, the CALIBRATION documents of each class with the smallest hash of their doc_id, is compared by the counts of the
 other fold alone.  Where one of these has no labels of both classes to count, only the other fold's counts compare, and
 without such a comparison for both classes every score is 0.5.  Texts meet their labels where they lie: at most MAX_LABELS labels
@@ -46,7 +46,7 @@ from nearfield.llm.shared_store import small_batches, written
 from nearfield.llm.text_kernels import LOWER, ragged_positions, slices, text_bytes, word_hashes, word_spans
 
 CALIBRATION, MAX_GRAMS, MAX_LABELS, DISCOUNT = 4000, 3_000_000, 8_000_000, 0.75
-FEW_WORDS = 25
+FEW_WORDS, KNEE = 25, 0.8
 #: Letters of an expression, and the first place in a marked word whose letter counts.
 ORDER, FIRST = 6, 3
 #: Folds that are counted; fold + toxic numbers the four cells that labelled documents are counted in.
@@ -115,6 +115,8 @@ class Model:
     unknown: float = 0.0
     slope: float = 0.0
     offset: float = 0.0
+    bend: float = 0.0
+    knee: float = 0.0
 
     def letter_ratios(self, gram: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = np.zeros(len(gram))
@@ -152,7 +154,8 @@ class Model:
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(column) + self.offset, -40, 40)))
+        x = self.differences(column)
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.bend * np.maximum(x - self.knee, 0) + self.offset, -40, 40)))
 
 
 def kneser_ney(gram: np.ndarray, size: np.ndarray, counts: np.ndarray) -> Model:
@@ -191,18 +194,29 @@ def kneser_ney(gram: np.ndarray, size: np.ndarray, counts: np.ndarray) -> Model:
     return model
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression, by Newton's steps with a weak penalty on the slope."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float, float]:
+    """Slope, offset, bend and knee of a rising logistic curve, by Newton's steps with a weak penalty on the slopes.
+
+    Most differences lie close together, whatever the class, and few beyond them tell it: so the slope may rise at the knee, the KNEE quantile of x.
+    """
     scale = float(np.std(x)) or 1.0
-    points = np.stack([x / scale, np.ones(len(x))], axis=1)
-    theta, penalty = np.zeros(2), np.diag([1e-2, 1e-6])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(points @ theta, -40, 40)))
-        step = np.linalg.solve((points * (weight * p * (1 - p))[:, None]).T @ points + penalty, points.T @ (weight * (y - p)) - penalty @ theta)
-        theta += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-9:
+    order = np.argsort(x, kind="stable")
+    knee = float(x[order][min(len(x) - 1, np.searchsorted(np.cumsum(weight[order]), KNEE * weight.sum()))])
+    columns = [x / scale, np.maximum(x - knee, 0) / scale, np.ones(len(x))]
+    for used in ((0, 1, 2), (1, 2), (0, 2)):  # a curve that falls anywhere is fitted with one slope
+        points, theta = np.stack([columns[i] for i in used], axis=1), np.zeros(len(used))
+        penalty = np.diag([*[1e-2] * (len(used) - 1), 1e-6])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(points @ theta, -40, 40)))
+            step = np.linalg.solve((points * (weight * p * (1 - p))[:, None]).T @ points + penalty, points.T @ (weight * (y - p)) - penalty @ theta)
+            theta += np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-9:
+                break
+        by = dict(zip(used, theta))
+        slope, bend = by.get(0, 0.0) / scale, by.get(1, 0.0) / scale
+        if slope >= 0 and slope + bend >= 0:
             break
-    return float(theta[0] / scale), float(theta[1])
+    return float(slope), float(by[2]), float(bend), knee
 
 
 def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -327,7 +341,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | TableModel:
         return Model()
     sampled = np.bincount(cell, minlength=4)
     weight = np.array([share[c] / sampled[c] if sampled[c] else 0.0 for c in range(4)])[cell]
-    model.slope, model.offset = fit_curve(x, y.astype(float), weight / weight.mean())
+    model.slope, model.offset, model.bend, model.knee = fit_curve(x, y.astype(float), weight / weight.mean())
     return model
 
 

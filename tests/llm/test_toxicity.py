@@ -187,10 +187,24 @@ def test_whole_query_equals_brute_force(spark, corpus, monkeypatch, max_labels):
     model = fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
     differences, seen = brute_force(rows, labels)
     x, y = map(np.array, zip(*seen))
-    p = 1 / (1 + np.exp(-(model.slope * x + model.offset)))
-    scale = np.std(x)
-    # the curve of the weakly penalised likelihood: its gradient is zero
-    assert abs(((y - p) * x / scale).sum() - 1e-2 * model.slope * scale) < 1e-4 and abs((y - p).sum() - 1e-6 * model.offset) < 1e-4
+    curve = lambda x: 1 / (1 + np.exp(-(model.slope * x + model.bend * np.maximum(x - model.knee, 0) + model.offset)))
+    assert model.slope >= 0 and model.slope + model.bend >= 0
+    p, scale = curve(x), np.std(x)
+    # the curve of the weakly penalised likelihood: its gradient is zero for what it uses
+    for value, by in ((model.slope, x), (model.bend, np.maximum(x - model.knee, 0))):
+        assert value == 0 or abs(((y - p) * by / scale).sum() - 1e-2 * value * scale) < 1e-4
+    assert abs((y - p).sum() - 1e-6 * model.offset) < 1e-4
     got = sorted((r.doc_id, r.score) for r in toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
-    want = sorted((i, 1 / (1 + np.exp(-(model.slope * d + model.offset)))) for i, d in differences)
+    want = sorted((i, curve(d)) for i, d in differences)
     assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+
+
+def test_curve_rises_and_bends():
+    """Most of one class lies among the other, and few beyond: those are told, and the curve never falls."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, 4000), rng.normal(0, 1, 250), rng.normal(8, 1, 250)])
+    y = np.concatenate([np.zeros(4000), np.ones(500)])
+    slope, offset, bend, knee = toxicity.fit_curve(x, y, np.ones(len(x)))
+    p = 1 / (1 + np.exp(-(slope * x + bend * np.maximum(x - knee, 0) + offset)))
+    assert slope >= 0 and slope + bend >= 0 and (p[-250:] >= 0.7).mean() > 0.95 and (p[:4000] >= 0.7).mean() < 0.01
+    assert toxicity.fit_curve(-x, y, np.ones(len(x)))[0] >= 0 or toxicity.fit_curve(-x, y, np.ones(len(x)))[2] == 0
