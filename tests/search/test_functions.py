@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.filters import Divide, Interval, IntervalMap, Shift, inside, with_bounds
 from nearfield.functions.grids import coordinate, flattened, morton_code, morton_coordinates, unflattened
 from nearfield.functions.vectors import looked_up, squared_l2
+from nearfield.plans.indexes import Params
 from nearfield.sources.config import parse_filters, parse_settings
 
 
@@ -71,6 +72,14 @@ def test_grid_numbers(spark):
     assert [r.c for r in ends.collect()][:5] == [0, 0, 4, 4, 4]
 
 
+def test_settings_of_one_strategy():
+    text = "n_list = 64\npq_bits = 5\nkmeans_n_iters = 9\nn_probes = 3\n"
+    own, other = parse_settings(text, "ivfpq-post").params, parse_settings(text).params
+    assert (own.lists, own.codes, own.iterations, own.probes) == (64, 32, 9, 3) and own.cluster_probes == Params().cluster_probes
+    assert (other.lists, other.codes, other.probes, other.cluster_probes) == (Params().lists, Params().codes, 3, 64)
+    assert parse_settings("i_degree = 48\ndegree = 12", "cagra-post").params.i_degree == 48
+
+
 def test_settings():
     got = parse_settings('PQ_dim = 8\nlabel_dim = 1\n# no\ntopk = 100\npath = "a/b"\nexps0 = 30\nn_list = 64\nfilter_dim = 2\n')
     assert (got.params.parts, got.params.k, got.params.keep, got.params.cluster_probes, got.path, got.filter_dim) == (8, 100, 30.0, 64, "a/b", 2)

@@ -53,7 +53,7 @@ def test_super_grid_reads_few_parts(spark, tmp_path, data):
     parts = strategy.parts(index, boxes, held.select("qid", "sub"), strategy.intervals(index, boxes))
     read = index.of(parts)
     plan = read._jdf.queryExecution().toString()
-    assert "PartitionFilters: [part" in plan.replace("isnotnull(part#", "part#") or "part#" in plan.split("PartitionFilters")[1][:200]
+    assert "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert len(folders(read)) == len(numbers(parts)) < 0.35 * len(folders(index.data))
     met = data.join(queries, F.expr("l0 BETWEEN lo_0 AND hi_0 AND l1 BETWEEN lo_1 AND hi_1")).select("id")
     assert met.join(read.select("id"), "id", "left_anti").count() == 0
@@ -103,9 +103,9 @@ def test_centres_of_all_rows(spark):
     (spread,) = fit_centres(table, 40, local=0)
     sample = k_means(sample_vectors(table, rows=300), 40)
     assert spread.shape == (40, 6) and inertia(spread) < 1.1 * inertia(k_means(points, 40)) and inertia(spread) < inertia(sample)
-    parts = fit_centres(table, 300, 2, local=100, rows_a_centre=8)
+    parts = fit_centres(table, 300, 2, local=100, rows_a_centre=8, rounds=2)
     assert [p.shape for p in parts] == [(300, 3), (300, 3)]
-    again = fit_centres(table.repartition(3), 300, 2, local=100, rows_a_centre=8)
+    again = fit_centres(table.repartition(3), 300, 2, local=100, rows_a_centre=8, rounds=2)
     assert all(np.allclose(a, b) for a, b in zip(parts, again))
 
 
@@ -115,8 +115,8 @@ def test_residual_codes_are_nearer(data):
     index = strategy.build(data)
     whole = with_codes(data, ProductQuantiser.fit(data, 4, 16)).agg(F.avg("err")).first()[0]
     assert index.data.agg(F.avg("err")).first()[0] < 0.7 * whole
-    off = index.data.join(index.tables["lists"], "list_id").select(F.max(F.abs(F.sqrt(squared_l2("vec", "center")) - F.col("radius")))).first()[0]
-    assert off is not None
+    far = index.data.join(index.tables["lists"], "list_id").groupBy("list_id").agg(F.max(F.sqrt(squared_l2("vec", "center"))).alias("far"), F.max("radius").alias("radius"))
+    assert far.where("abs(far - radius) > 1e-6").count() == 0
     queries = asked(data, "id % 400 = 0", 20, 200)
     assert found(strategy.query(index, queries)) == found(exact(data, queries, LABELS, 5))
 

@@ -124,7 +124,7 @@ def test_reach_opens_few_lists(rows, data, queries):
     assert reach_of(near.where("rank < 3"), queries, 7).where("t = double('infinity')").count() == queries.count()
 
 
-@pytest.mark.parametrize("name", ["super-grid", "ivf-ivf_pq", "cagra-post", "sorting"])
+@pytest.mark.parametrize("name", ["super-grid", "sorting"])
 def test_saved_indexes(spark, tmp_path, rows, data, queries, name):
     strategy = STRATEGIES[name](LABELS, POOR)
     strategy.build(data, str(tmp_path / "index"))
