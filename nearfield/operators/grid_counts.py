@@ -91,3 +91,11 @@ def intersecting(queries: DataFrame, cells: DataFrame, dimensions: int, left: st
 def expanded(segments: DataFrame, start: str = "start", length: str = "length", name: str = "position") -> DataFrame:
     """A row for each position of each segment; empty segments give none."""
     return segments.where(F.col(length) > 0).withColumn(name, F.explode(F.sequence(F.col(start), F.col(start) + F.col(length) - 1)))
+
+
+def gathered(segments: DataFrame, rows: DataFrame, place: str, start: str = "start", length: str = "length") -> DataFrame:
+    """segments' columns beside the rows whose place lies in the segment: an equi-join on places, a row for each.
+
+    A segment of any length is dealt out by the places that it holds, so no task has to take one whole.
+    """
+    return expanded(segments, start, length, "__place").join(rows, F.col("__place") == rows[place]).drop("__place", start, length)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.filters import Divide, Interval, IntervalMap, Shift, inside, range_middle, with_bounds
 from nearfield.functions.grids import coordinate, flattened, morton_code, morton_coordinates, unflattened
 from nearfield.functions.vectors import cosine_distance, looked_up, squared_l2
-from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, intersecting, prefix_sums
+from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, gathered, intersecting, prefix_sums
 from nearfield.operators.metrics import recall
 from nearfield.operators.quantise import code_tables, part_of
 from nearfield.operators.range_join import label_extent, range_join
@@ -24,7 +24,7 @@ from nearfield.operators.zorder import z_intervals
 from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, ranked, reach_of, refined, search, until_k_pass
 from nearfield.sources.config import parse_filters, parse_settings
 from nearfield.sources.lineage import new_folder
-from nearfield.sources.matrices import read_raw_results, write_raw_results
+from nearfield.sources.matrices import read_id_set, read_raw_results, write_raw_results
 from nearfield.streaming.serving import serve
 
 K = 10
@@ -423,6 +423,13 @@ def segment_expand(spark, sf_dir):
     return expanded(segments).select("o_orderkey", "position")
 
 
+@_register("segment_gather", "SELECT o_orderkey, c_custkey, c_acctbal FROM orders JOIN customer ON c_custkey >= o_custkey AND c_custkey < o_custkey + o_orderkey % 5")
+def segment_gather(spark, sf_dir):
+    """The customers of each order's segment of customer numbers."""
+    segments = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("start"), F.expr("o_orderkey % 5").alias("length"))
+    return gathered(segments, spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal"), "c_custkey")
+
+
 # --- strategies, at usual settings: the second step of each makes its result exact ---------------------------------------
 
 _USUAL = Params(k=K, codes=64, keep=10, keep_soft=10, label_clusters=8, label_probes=3, max_cells=64, lists=8, probes=8, clusters=8, sub_clusters=4, cluster_probes=4, sub_probes=8, beta=6, frontier=128, rounds=4)
@@ -493,6 +500,15 @@ def raw_results_topk(spark, sf_dir):
     return out.select("qid", F.col("rank").cast("int").alias("rank"), "neighbor", F.round(F.col("distance").cast("double"), 4).alias("distance"))
 
 
+@_register("id_set_counts", f"WITH {_G} SELECT c1, count(*) AS cnt FROM g WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20) GROUP BY c1")
+def id_set_counts(spark, sf_dir):
+    """Rows of a set of ids, which is kept as a text file."""
+    path = new_folder(spark, "ids")
+    spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 20").select(F.col("p_partkey").cast("string")).write.text(path)
+    rows = placed(spark, sf_dir)
+    return rows.join(read_id_set(spark, path), rows["l_partkey"] == F.col("id"), "left_semi").groupBy("c1").agg(F.count("*").alias("cnt"))
+
+
 @_register("served_topk", _exact_sql(_MULTI_SQL))
 def served_topk(spark, sf_dir):
     """The queries as a stream, in batches of one file each, over an index that stays."""

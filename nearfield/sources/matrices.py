@@ -102,6 +102,12 @@ def read_truth(spark: SparkSession, folder: str, key: str = "neighbors") -> Data
     return rows.select("qid", (F.col("rank") + 1).alias("rank"), F.col("neighbor").cast("bigint").alias("neighbor")).where("neighbor >= 0")
 
 
+def read_id_set(spark: SparkSession, path: str) -> DataFrame:
+    """(id) of text files of whole numbers with white space between them, each once; what isn't one is left out."""
+    words = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("word"))
+    return words.select(F.expr("try_cast(word AS bigint)").alias("id")).where("id IS NOT NULL").distinct()
+
+
 def write_result(result: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One table of (qid, rank, neighbor, distance)."""
     result.write.mode(mode).parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Divide, IntervalMap, Shift, with_bounds
-from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, prefix_sums
+from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, gathered, prefix_sums
 from nearfield.operators.quantise import ProductQuantiser, balanced_groups
 from nearfield.operators import range_join as range_join_module
 from nearfield.operators.range_join import label_extent, range_join
@@ -14,7 +14,7 @@ from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
 from nearfield.operators.zorder import z_intervals
 from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, opened, reach_of, search, until_k_pass
-from nearfield.sources.matrices import dataset, key_types, read_matrix, read_raw_results, read_result, read_truth, write_clustered, write_result
+from nearfield.sources.matrices import dataset, key_types, read_id_set, read_matrix, read_raw_results, read_result, read_truth, write_clustered, write_result
 from nearfield.streaming.serving import serve
 
 LABELS = ["l0", "l1"]
@@ -217,6 +217,15 @@ def test_segments(spark):
     assert [(r.s, r.position) for r in expanded(rows).collect()] == [(0, 5), (0, 6), (0, 7)]
 
 
+def test_segments_gather_and_id_sets(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(8)] + [(5, "again"), (None, "none")], "at long, name string")
+    segments = spark.createDataFrame([(0, 5, 3), (1, 9, 2), (2, 0, 0), (3, 4, 2)], "s int, start long, length long")
+    got = sorted((r.s, r.name) for r in gathered(segments, rows, "at").collect())
+    assert got == [(0, "again"), (0, "r5"), (0, "r6"), (0, "r7"), (3, "again"), (3, "r4"), (3, "r5")]
+    (tmp_path / "ids").write_text("3 4\t3\n\n 99 x 12.5\n18446744073709551615 7")
+    assert sorted(r.id for r in read_id_set(spark, str(tmp_path / "ids")).collect()) == [3, 4, 7, 99]
+
+
 def test_extent(spark):
     chance = random.Random(0)
     values = [chance.uniform(0, 114514) for _ in range(2639)]
