@@ -219,12 +219,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(slope), float(by[2]), float(bend), knee
 
 
-def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cell, text) of all labelled documents that aren't held out, with cell = toxic + fold."""
+def _labelled(documents: DataFrame, labels: DataFrame):
+    """Rows of all labelled documents that aren't held out, and what makes batches of them (cell, text), with cell = toxic + fold: a worker
+    does both that and the counting, so that a task needs one worker only."""
     counted = fold(F.col("doc_id")) != 1
     cells = labels.where(counted).select("doc_id", (F.col("toxic") + fold(F.col("doc_id"))).cast("byte").alias("cell"))
     if cells.count() > MAX_LABELS:
-        return documents.where(counted).join(cells, "doc_id").select(F.col("cell").cast("int").alias("cell"), "text")
+        return documents.where(counted).join(cells, "doc_id").select(F.col("cell").cast("int").alias("cell"), "text"), iter
     known = cells.toArrow()
     order = np.argsort(known.column("doc_id").to_numpy())
     shared = documents.sparkSession.sparkContext.broadcast(tuple(known.column(c).to_numpy()[order] for c in ("doc_id", "cell")))
@@ -235,7 +236,7 @@ def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
             at, hit = _find(ids, batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(own[at[hit]].astype(np.int32)), batch.column(1).filter(pa.array(hit))], names=["cell", "text"])
 
-    return documents.where(counted).mapInArrow(choose, "cell int, text string")
+    return documents.where(counted).select("doc_id", "text"), choose
 
 
 def _calibration(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,11 +251,12 @@ def _calibration(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(chosen), "doc_id").select("cell", "text")
 
 
-def _count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, size, c0, c1, c2, c3) over (cell, text): occurrences by cell of the expressions that kneser_ney takes."""
+def _count_grams(rows: DataFrame, chosen) -> DataFrame:
+    """(gram, size, c0, c1, c2, c3) over the (cell, text) that chosen makes of rows: occurrences by cell of the expressions that kneser_ney
+    takes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chosen(batches):
             for part in slices(batch, "text"):
                 marked, bounds, codes, ranges = distinct_words(part.column(1))
                 cell = np.repeat(part.column(0).to_numpy().astype(np.int64), np.diff(ranges))
@@ -267,7 +269,7 @@ def _count_grams(texts: DataFrame) -> DataFrame:
                 arrays = [_last(tagged, 7).view(np.int64), (tagged >> np.uint64(56)).astype(np.int64), *sums]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["gram", "size", *_CELLS])
 
-    return texts.mapInArrow(count, "gram long, size long, " + ", ".join(f"{c} long" for c in _CELLS)).groupBy("gram", "size").agg(*(F.sum(c).alias(c) for c in _CELLS))
+    return rows.mapInArrow(count, "gram long, size long, " + ", ".join(f"{c} long" for c in _CELLS)).groupBy("gram", "size").agg(*(F.sum(c).alias(c) for c in _CELLS))
 
 
 def _counting(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -330,7 +332,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | TableModel:
     small_batches(documents.sparkSession)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    counted = written(_count_grams(_labelled(documents, known)), "expressions")
+    counted = written(_count_grams(*_labelled(documents, known)), "expressions")
     model, seen = (_fit_whole if counted.count() <= MAX_GRAMS else _fit_tables)(counted, _calibration(documents, known))
     share = {r["cell"]: r["count"] for r in known.groupBy((F.col("toxic") + fold(F.col("doc_id"))).alias("cell"), fold(F.col("doc_id")).alias("part")).count().where("part <> 1").collect()}
     x, cell = seen.column("x").to_numpy(), seen.column("cell").to_numpy()
