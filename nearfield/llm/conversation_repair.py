@@ -172,7 +172,7 @@ def _whole(rows: DataFrame, partitions: int) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            release(batch.nbytes)
+            release(batch.nbytes, settled=False)
             for conv, *turn in zip(*(c.to_pylist() for c in batch.columns)):
                 if begun and conv != now:
                     ids.append(now)
@@ -333,7 +333,7 @@ class Repaired:
             id_type = None
             for batch in batches:
                 id_type = batch.schema.field(0).type
-                release(batch.nbytes)
+                release(batch.nbytes, settled=False)
                 for conv, done, piece in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                     if (conv,) != now:
                         if sha is not None:

@@ -64,7 +64,7 @@ def term_counts(documents: DataFrame, text: Column, lang: Column, source: Column
                 cnt.update(own)
                 docs.update(own.keys())
                 entries += len(docs) - before
-            release(batch.nbytes)
+            release(batch.nbytes, settled=False)
             if entries > HELD_ENTRIES:
                 yield from send(held)
                 held.clear()

@@ -46,11 +46,12 @@ def settle() -> None:
         pa.set_memory_pool(pa.system_memory_pool())
 
 
-def release(size: int) -> None:
+def release(size: int, settled: bool = True) -> None:
     """Gives freed memory back to the machine, each time that size bytes of input add up to RELEASE_BYTES: a worker that waits for its
     next task should hold little."""
     global _done
-    settle()
+    if settled:
+        settle()
     _done += size
     if _done >= RELEASE_BYTES:
         _done = 0
@@ -59,9 +60,11 @@ def release(size: int) -> None:
             _TRIM(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive runs of whole rows with about max_bytes of text each; a longer row comes alone."""
-    settle()
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, settled: bool = True) -> Iterator[pa.RecordBatch]:
+    """Consecutive runs of whole rows with about max_bytes of text each; a longer row comes alone.  The worker is settled, unless its many
+    short-lived arrays would make that dear."""
+    if settled:
+        settle()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
@@ -70,7 +73,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
-    release(batch.nbytes)
+    release(batch.nbytes, settled)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
