@@ -43,7 +43,7 @@ def _bytes(queries: DataFrame) -> Column:
     return total
 
 
-def _bounded(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> tuple[DataFrame, int, int]:
+def bounded(data: DataFrame, queries: DataFrame, labels: Sequence[str], numbers: Sequence[int]) -> tuple[DataFrame, int, int]:
     """data within the union of all intervals, label by label, and the number of queries and their bytes."""
     row = queries.agg(F.count("*").alias("n"), F.sum(_bytes(queries)).alias("bytes"), *(f(f"{kind}_{i}").alias(f"{kind}_{i}") for i in numbers for kind, f in (("lo", F.min), ("hi", F.max)))).first()
     for i, name in zip(numbers, labels):
@@ -60,7 +60,7 @@ def range_join(data: DataFrame, queries: DataFrame, labels: Sequence[str], max_b
     Label j is held against interval numbers[j], by default j.
     """
     numbers = list(range(len(labels)) if numbers is None else numbers)
-    data, n, size = _bounded(data, queries, labels, numbers)
+    data, n, size = bounded(data, queries, labels, numbers)
     if n <= max_broadcast and size <= BROADCAST_BYTES:
         return data.join(F.broadcast(queries), inside(labels, numbers))
     if labels:

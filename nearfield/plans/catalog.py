@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.filters import Divide, Interval, IntervalMap, Shift, inside, range_middle, with_bounds
 from nearfield.functions.grids import coordinate, flattened, morton_code, morton_coordinates, unflattened
 from nearfield.functions.vectors import cosine_distance, looked_up, squared_l2
+from nearfield.operators.block_scan import Scan
 from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, gathered, intersecting, prefix_sums
 from nearfield.operators.metrics import recall
 from nearfield.operators.quantise import code_tables, part_of
@@ -21,7 +22,7 @@ from nearfield.operators.range_join import label_extent, range_join
 from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
 from nearfield.operators.zorder import z_intervals
-from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, ranked, reach_of, refined, search, until_k_pass
+from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, post_filtered, ranked, reach_of, refined, scanned, search
 from nearfield.sources.config import parse_filters, parse_settings
 from nearfield.sources.lineage import new_folder
 from nearfield.sources.matrices import read_id_set, read_raw_results, write_raw_results
@@ -129,8 +130,8 @@ def range_filter_counts(spark, sf_dir):
 def soft_filter_topk(spark, sf_dir):
     data, queries, labels = _case(spark, sf_dir, "multi")
     fits = F.coalesce(inside(labels), F.lit(False))
-    pairs = range_join(data, queries, []).select("qid", "id", (squared_l2("qvec", "vec") + 0.5 * F.when(fits, 0.0).otherwise(1e6)).alias("distance"))
-    return _rounded(ranked(pairs, K))
+    scan = Scan(K, labels=labels, numbers=tuple(range(len(labels))), filters="penalty", penalty=0.5 * 1e6)
+    return _rounded(ranked(scanned(data, queries, scan, squared_l2("qvec", "vec") + 0.5 * F.when(fits, 0.0).otherwise(1e6)), K))
 
 
 # A codebook kept as data, so that SQL can check quantised distances: the parts of the mean vectors of the label's values are the
@@ -218,15 +219,14 @@ def ivf_probe_topk(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     data = vectors(spark, sf_dir)
     # abs: a zero has no sign
-    return _rounded(ranked(range_join(data, asked(data), []).select("qid", "id", cosine_distance("qvec", "vec").alias("distance")), K)).withColumn("distance", F.abs("distance"))
+    return _rounded(ranked(scanned(data, asked(data), Scan(K, by="cosine"), cosine_distance("qvec", "vec")), K)).withColumn("distance", F.abs("distance"))
 
 
 @_register("postfilter_topk", _exact_sql(_MULTI_SQL))
 def postfilter_topk(spark, sf_dir):
-    """Four times k nearest rows first, filters after, and twice as many for queries of which too few passed."""
+    """Four times k nearest rows first, filters after, and a deeper search for queries of which too few passed."""
     data, queries, labels = _case(spark, sf_dir, "multi")
-    pairs = range_join(data, queries, []).select("qid", "id", squared_l2("qvec", "vec").alias("distance"), F.coalesce(inside(labels), F.lit(False)).alias("fits"))
-    return _rounded(until_k_pass(pairs, queries, K, 4 * K))
+    return _rounded(post_filtered(data, queries, labels, K, 4 * K))
 
 
 @_register("farthest_topk", f"""WITH {_D} SELECT qid, rank, id AS neighbor, round(distance, 6) AS distance FROM
@@ -234,7 +234,7 @@ def postfilter_topk(spark, sf_dir):
 def farthest_topk(spark, sf_dir):
     """The k largest."""
     data = vectors(spark, sf_dir)
-    pairs = range_join(data, asked(data), []).select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
+    pairs = scanned(data, asked(data), Scan(K, largest=True), squared_l2("qvec", "vec"))
     return _rounded(top_k(pairs, K, largest=True).select("qid", "rank", F.col("id").alias("neighbor"), "distance"))
 
 

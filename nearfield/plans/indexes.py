@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 from nearfield.functions.filters import inside, range_middle
 from nearfield.functions.grids import coordinate, morton_code
 from nearfield.functions.vectors import looked_up, squared_l2
+from nearfield.operators.block_scan import Scan, best
 from nearfield.operators.grid_counts import box_counts_from_changes, cell_counts, changes, prefix_sums
 from nearfield.operators.quantise import (
     ProductQuantiser,
     balanced_groups,
+    finite,
     fit_centres,
     k_means,
     nearest,
@@ -45,7 +47,7 @@ from nearfield.operators.quantise import (
     with_nearest,
     with_tables,
 )
-from nearfield.operators.range_join import against, label_extent, range_join
+from nearfield.operators.range_join import against, bounded, label_extent, range_join
 from nearfield.operators.topk import top_k
 from nearfield.operators.zorder import z_intervals
 from nearfield.sources.layout import LEAST_PARTS, ROWS_A_PART, Layout, manifest, numbers, only, read_parts, write_parts
@@ -160,10 +162,43 @@ def refined(candidates: DataFrame, data: DataFrame, queries: DataFrame, k: int)
 
 
 def exact(data: DataFrame, queries: DataFrame, labels: Sequence[str], k: int) -> DataFrame:
-    """The result itself: interval join, distance, ranking."""
+    """The result itself: all pairs block by block, those inside the intervals ranked."""
     length = usual_length(data)
-    pairs = range_join(usable(data, length), usable(queries, length, "qvec"), labels)
-    return ranked(pairs.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), k)
+    rows, asked, numbers = usable(data, length), usable(queries, length, "qvec"), tuple(range(len(labels)))
+    rows, _, _ = bounded(rows, asked, labels, numbers)
+    return ranked(best(rows, asked, Scan(k, labels=tuple(labels), numbers=numbers)), k)
+
+
+def scanned(data: DataFrame, queries: DataFrame, scan: Scan, score: Column, length: int | None = None) -> DataFrame:
+    """(qid, id, distance, fits where it is noted) of all pairs' best rows, for vectors of any kind: score, which says the same as scan, measures those
+    that aren't usable."""
+    length = usual_length(data) if length is None else length
+    is_usable = lambda v: F.coalesce(finite(v) & (F.size(v) == length), F.lit(False))
+    fits = F.coalesce(inside(scan.labels, scan.numbers), F.lit(False))
+    names = ["qid", "id", "distance", *(["fits"] if scan.filters != "only" else [])]
+    out = best(data.where(is_usable("vec")), queries.where(is_usable("qvec")), scan).select(*names)
+    odd_rows, odd_queries = data.where(~is_usable("vec")), queries.where(~is_usable("qvec"))
+    for rows, asked in ((odd_rows, queries), (data.where(is_usable("vec")), odd_queries)):
+        if not (odd_rows if rows is odd_rows else odd_queries).isEmpty():
+            pairs = range_join(rows, asked, []).select("qid", "id", score.alias("distance"), fits.alias("fits"))
+            out = out.unionByName(pairs.select(*names))
+    return out
+
+
+def post_filtered(data: DataFrame, queries: DataFrame, labels: Sequence[str], k: int, depth: int) -> DataFrame:
+    """The k nearest by filtering after the search: the depth nearest first; queries of which fewer than k passed go on, to whatever depth it
+    takes, by a search that tests rows as it meets them."""
+    labels, numbers = tuple(labels), tuple(range(len(labels)))
+    fits = F.coalesce(inside(labels), F.lit(False))
+    near = cut(top_k(scanned(data, queries, Scan(depth, labels=labels, numbers=numbers, filters="noted"), squared_l2("qvec", "vec")), depth))
+    per = near.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("fits")).alias("passed"))
+    left = cut(per.where((F.col("passed") < k) & (F.col("seen") == depth)).select("qid"))
+    done = near.where("fits").join(left, "qid", "left_anti").select("qid", "id", "distance")
+    if left.isEmpty():
+        return ranked(done, k)
+    # the odd vectors' pairs are tested by the same condition
+    rest = scanned(data, queries.join(left, "qid", "left_semi"), Scan(k, labels=labels, numbers=numbers), F.when(fits, squared_l2("qvec", "vec")))
+    return ranked(done.unionByName(rest), k)
 
 
 def reach_of(first: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -243,6 +278,24 @@ class Strategy:
         """(qid, id, part, err, distance) of (qid, id, part, codes, err), written: both steps read it."""
         return cut(coded_distances(pairs.select("qid", "id", "part", "codes", "err"), queries, index.quantiser))
 
+    def _asked(self, labels: Sequence[str], **more) -> dict:
+        return {"labels": tuple(labels), "numbers": tuple(range(len(labels))), "once": True, **more}
+
+    def _nearest_by_codes(self, index: Index, rows: DataFrame, queries: DataFrame, n: int, **asked) -> DataFrame:
+        """(qid, id, distance, exact, fits, rank): the n best rows of each query by code distance, written."""
+        return cut(top_k(best(rows, queries, Scan(n, "codes", quantiser=index.quantiser, **asked)).distinct(), n))
+
+    def _reach(self, index: Index, rows: DataFrame, queries: DataFrame, keep: float, **asked) -> DataFrame:
+        """The reach that the best rows by code distance give."""
+        k = self.params.k
+        near = self._nearest_by_codes(index, rows, queries, max(k, int(k * keep)), **asked)
+        return reach_of(top_k(near.select("qid", "id", F.col("exact").alias("distance")), k), queries, k)
+
+    def _nearest(self, index: Index, rows: DataFrame, queries: DataFrame, reach: DataFrame, **asked) -> DataFrame:
+        """The k nearest of the rows that codes can't put beyond the reach."""
+        found = best(rows, queries.join(reach, "qid"), Scan(self.params.k, quantiser=index.quantiser, **asked))
+        return ranked(found.distinct(), self.params.k)
+
     def _first_reach(self, index: Index, scored: DataFrame, queries: DataFrame, keep: float) -> DataFrame:
         """The reach that the best of some scored pairs give."""
         k = self.params.k
@@ -261,14 +314,17 @@ class Quantised(Strategy):
     """pq: code distances to all rows, without a filter; exact distances of those that codes can't rule out."""
 
     def found(self, index: Index, queries: DataFrame) -> DataFrame:
-        return self._measured(index, self._scored(index, range_join(index.data.drop("vec"), queries.select("qid"), []), queries), queries)
+        asked = self._asked([])
+        return self._nearest(index, index.data, queries, self._reach(index, index.data, queries, self.params.keep, **asked), **asked)
 
 
 class PreFilter(Strategy):
-    """prefilter: interval join, code distances, exact ranking."""
+    """prefilter: intervals, code distances of what lies inside, exact ranking."""
 
     def found(self, index: Index, queries: DataFrame) -> DataFrame:
-        return self._measured(index, self._scored(index, range_join(index.data.drop("vec"), queries.drop("qvec"), self.labels), queries), queries)
+        asked = self._asked(self.labels)
+        rows, _, _ = bounded(index.data, queries, self.labels, range(len(self.labels)))
+        return self._nearest(index, rows, queries, self._reach(index, rows, queries, self.params.keep, **asked), **asked)
 
 
 class ParaFilter(Strategy):
@@ -276,14 +332,10 @@ class ParaFilter(Strategy):
 
     def found(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
-        tables = with_tables(queries, index.quantiser).drop("qvec")
-        fits = F.coalesce(inside(self.labels), F.lit(False))
-        pairs = range_join(index.data.drop("vec"), tables, [])
-        scored = pairs.select("qid", "id", "part", fits.alias("fits"), "err", looked_up("lut", "codes").alias("distance"))
-        soft = scored.withColumn("soft", F.col("distance") + F.lit(p.penalty) * F.when(F.col("fits"), 0.0).otherwise(1e6))
-        first = top_k(soft, max(p.k, int(p.k * p.keep)), score="soft").where("fits").drop("rank")
-        reach = self._first_reach(index, first, queries, p.keep_soft)
-        return self._measured(index, cut(scored.where("fits").drop("fits")), queries, reach)
+        soft = self._asked(self.labels, filters="penalty", penalty=p.penalty * 1e6)
+        first = self._nearest_by_codes(index, index.data, queries, max(p.k, int(p.k * p.keep)), **soft).where("fits").drop("rank")
+        kept = top_k(first, max(p.k, int(p.k * p.keep_soft))).select("qid", "id", F.col("exact").alias("distance"))
+        return self._nearest(index, index.data, queries, reach_of(top_k(kept, p.k), queries, p.k), **self._asked(self.labels))
 
 
 class Sorted(Strategy):
@@ -394,23 +446,31 @@ class TwoLevel(Strategy):
     def found(self, index: Index, queries: DataFrame) -> DataFrame:
         lists, keys = index.tables["lists"], ["set_id", "list_id"]
 
-        def rows(wanted: DataFrame) -> DataFrame:
-            """Fitting rows of (qid, set_id, list_id); a row of several sets comes once for each query."""
+        def rows(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """The rows of the parts that (qid, set_id, list_id) names, and the queries with the lists that each reads."""
             parts = index.tables["data_parts"].join(wanted.select(*keys).distinct(), keys)
-            pairs = index.of(parts).drop("vec").join(wanted.join(queries.drop("qvec"), "qid"), keys).where(inside(self.labels))
-            return self._once(pairs.select("qid", "id", "part", "codes", "err"))
+            return index.of(parts).withColumn("list", _number()), wanting(queries, wanted.select("qid", _number().alias("list")))
 
-        first = cut(self.probed(index, queries))
-        reach = self._first_reach(index, self._scored(index, rows(first), queries), queries, self.params.keep)
+        # a row of several sets counts once for each query
+        asked = self._asked(self.labels)
+        reach = self._reach(index, *rows(cut(self.probed(index, queries))), self.params.keep, **asked)
+        reach = queries.select("qid").distinct().join(reach, "qid", "left").select("qid", F.coalesce("t", F.lit(float("inf"))).alias("t"))
         cover = self.covering(index, queries)
         if cover is None:
             near = opened(queries, lists, self.labels, reach).select("qid", *keys)
         else:
             near = cover.join(lists, "set_id").join(queries, "qid").where(meeting(self.labels)).join(reach, "qid").where(within(squared_l2("qvec", "center"))).select("qid", *keys)
-        return self._measured(index, self._scored(index, rows(cut(near)), queries), queries, reach)
+        return self._nearest(index, *rows(cut(near)), reach, **asked)
+
 
-    def _once(self, pairs: DataFrame) -> DataFrame:
-        return pairs
+def _number() -> Column:
+    """One number for a set and a list."""
+    return F.shiftleft(F.col("set_id").cast("bigint"), 24) + F.col("list_id")
+
+
+def wanting(queries: DataFrame, lists: DataFrame) -> DataFrame:
+    """queries with wanted, the lists of (qid, list) that each reads; those without any drop out."""
+    return queries.join(lists.groupBy("qid").agg(F.collect_set(F.col("list").cast("bigint")).alias("wanted")), "qid")
 
 
 def _between(i: int):
@@ -515,9 +575,6 @@ class GridCells(TwoLevel):
     def covering(self, index: Index, queries: DataFrame) -> DataFrame | None:
         return self.chosen(index, queries)
 
-    def _once(self, pairs: DataFrame) -> DataFrame:
-        return pairs.dropDuplicates(["qid", "id"])
-
 
 class SuperGrid(Strategy):
     """super-grid: vector clusters and sub-clusters, each sub-cluster with counts by label cell and its rows in Morton order.
@@ -614,18 +671,17 @@ class SuperGrid(Strategy):
         near = top_k(held.join(probed, ["qid", "cluster"]).select("qid", F.col("sub").alias("id"), "distance", "cnt"), p.sub_probes)
         before = F.sum("cnt").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
         lists = near.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < p.expected * p.k).select("qid", F.col("id").alias("sub"))
-        names, intervals = [f"c_{j}" for j in range(len(index.extra["active"]))], self.intervals(index, boxes)
+        intervals = self.intervals(index, boxes)
 
-        def rows(wanted: DataFrame) -> DataFrame:
+        def rows(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
             parts = cut(self.parts(index, boxes, wanted, intervals))
-            found = index.of(parts).drop("vec").join(parts.join(boxes.drop("qvec"), "qid"), ["sub", "part"])
-            for n in names:
-                found = found.where(F.col(n).between(F.col(f"{n}_lo"), F.col(f"{n}_hi")))
-            return found.where(inside(self.labels)).select("qid", "id", "part", "codes", "err")
+            return index.of(parts).withColumn("list", F.col("sub").cast("bigint")), wanting(queries, parts.select("qid", F.col("sub").alias("list")))
 
-        reach = self._first_reach(index, self._scored(index, rows(lists), queries), queries, p.keep)
+        asked = self._asked(self.labels)
+        reach = self._reach(index, *rows(lists), p.keep, **asked)
+        reach = queries.select("qid").distinct().join(reach, "qid", "left").select("qid", F.coalesce("t", F.lit(float("inf"))).alias("t"))
         rest = held.join(reach, "qid").where(within(F.col("distance"))).select("qid", "sub")
-        return self._measured(index, self._scored(index, rows(rest), queries), queries, reach)
+        return self._nearest(index, *rows(rest), reach, **asked)
 
 
 class PostFilterLists(Strategy):
@@ -647,35 +703,29 @@ class PostFilterLists(Strategy):
         table = index.spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "list_id int, center array<double>")
         index.keep("lists", listed(placed, ["list_id"], self.labels).join(table, "list_id"))
 
-    def _of_lists(self, index: Index, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """(qid, id, part, err, distance) of (qid, list_id, id, part, codes, err), written; a table for each query and list that it reads."""
-        wanted = pairs.select("qid", "list_id").distinct()
-        left = wanted.join(index.tables["lists"].select("list_id", "center"), "list_id").join(queries.select("qid", "qvec"), "qid")
-        left = left.select("qid", "list_id", F.zip_with("qvec", "center", lambda x, c: x.cast("double") - c).alias("rest"))
-        tables = with_tables(left, index.quantiser, "rest").drop("rest")
-        return cut(pairs.join(tables, ["qid", "list_id"]).select("qid", "id", "part", "err", looked_up("lut", "codes").alias("distance")))
+    def _centers(self, index: Index) -> dict[int, np.ndarray]:
+        """By list, of which there are as many as a parameter says."""
+        return {r.list_id: np.array(r.center) for r in index.tables["lists"].select("list_id", "center").collect()}
 
-    def _rows(self, index: Index, wanted: DataFrame) -> DataFrame:
-        """Rows of the wanted lists beside wanted's columns."""
+    def _rows(self, index: Index, wanted: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of the parts that hold the lists of wanted(qid, list_id), and the queries with the lists that each reads."""
         parts = index.tables["data_parts"].join(wanted.select("list_id").distinct(), "list_id")
-        return index.of(parts).drop("vec").join(wanted, "list_id")
+        return index.of(parts).withColumn("list", F.col("list_id").cast("bigint")), wanting(queries, wanted.select("qid", F.col("list_id").alias("list")))
 
-    def first(self, index: Index, queries: DataFrame) -> DataFrame:
-        """(qid, id) in the order of distance: what is found before the filters."""
+    def passed(self, index: Index, queries: DataFrame) -> DataFrame:
+        """(qid, id, distance) of what is found before the filters and passes them."""
         p = self.params
         near = against(index.tables["lists"].select("list_id", "center"), queries, F.lit(True)).select("qid", F.col("list_id").alias("id"), squared_l2("qvec", "center").alias("distance"))
         probed = cut(top_k(near, p.probes).select("qid", F.col("id").alias("list_id")))
-        scored = self._of_lists(index, self._rows(index, probed), queries)
-        best = cut(top_k(scored, int(p.k * p.refine * p.beta)))
-        return refined(best, index.of(best), queries, int(p.k * p.beta)).select("qid", F.col("neighbor").alias("id"), "distance")
+        noted = self._asked(self.labels, filters="noted", centers=self._centers(index))
+        best_ = self._nearest_by_codes(index, *self._rows(index, probed, queries), int(p.k * p.refine * p.beta), **noted)
+        return top_k(best_.select("qid", "id", F.col("exact").alias("distance"), "fits"), int(p.k * p.beta)).where("fits").select("qid", "id", "distance")
 
     def found(self, index: Index, queries: DataFrame) -> DataFrame:
         p = self.params
-        passed = self.first(index, queries).join(index.data.select("id", *self.labels), "id").join(queries.drop("qvec"), "qid").where(inside(self.labels))
-        reach = reach_of(top_k(passed.select("qid", "id", "distance"), p.k), queries, p.k)
-        wanted = cut(opened(queries, index.tables["lists"], self.labels, reach))
-        fits = self._rows(index, wanted).where(inside(self.labels))
-        return self._measured(index, self._of_lists(index, fits, queries), queries, reach)
+        reach = reach_of(top_k(self.passed(index, queries), p.k), queries, p.k)
+        wanted = cut(opened(queries, index.tables["lists"], self.labels, reach).select("qid", "list_id"))
+        return self._nearest(index, *self._rows(index, wanted, queries), reach, **self._asked(self.labels, centers=self._centers(index)))
 
 
 class PostFilterGraph(PostFilterLists):
@@ -736,7 +786,12 @@ class PostFilterGraph(PostFilterLists):
         back = top_k(out.select(F.col("id").alias("qid"), F.col("qid").alias("id"), F.col("rank").alias("distance")), half)
         return out.select("qid", "id").unionAll(back.select("qid", "id")).distinct().toDF("a", "b")
 
+    def passed(self, index: Index, queries: DataFrame) -> DataFrame:
+        walked = self.first(index, queries).join(index.data.select("id", *self.labels), "id").join(queries.drop("qvec"), "qid")
+        return walked.where(inside(self.labels)).select("qid", "id", "distance")
+
     def first(self, index: Index, queries: DataFrame) -> DataFrame:
+        """(qid, id, distance): what the walk finds before the filters."""
         p = self.params
         asked = queries.select("qid", "qvec")
 
@@ -775,18 +830,14 @@ def _two_nearest(data: DataFrame, centers: np.ndarray) -> DataFrame:
 
 
 def until_k_pass(pairs: DataFrame, queries: DataFrame, k: int, depth: int) -> DataFrame:
-    """The k nearest that pass of (qid, id, distance, fits), by filtering after the search: the depth nearest first, and twice as many
-    for the queries of which fewer than k passed, until none is left or all its rows are seen."""
-    found, left = None, queries.select("qid").distinct()
-    while True:
-        near = cut(top_k(pairs.join(F.broadcast(left), "qid"), depth))
-        per = near.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("fits")).alias("passed"))
-        open_ = per.where((F.col("passed") < k) & (F.col("seen") == depth)).select("qid")
-        done = top_k(near.where("fits").join(open_, "qid", "left_anti").select("qid", "id", "distance"), k)
-        found = done if found is None else found.unionByName(done)
-        left, depth = cut(open_), 2 * depth
-        if left.isEmpty():
-            return found.select("qid", "rank", F.col("id").alias("neighbor"), "distance")
+    """The k nearest that pass of (qid, id, distance, fits), by filtering after the search: the depth nearest first, and all rows that pass
+    for the queries of which fewer than k of these did."""
+    near = cut(top_k(pairs.join(queries.select("qid").distinct(), "qid", "left_semi"), depth))
+    per = near.groupBy("qid").agg(F.count("*").alias("seen"), F.count_if(F.col("fits")).alias("passed"))
+    left = cut(per.where((F.col("passed") < k) & (F.col("seen") == depth)).select("qid"))
+    done = near.where("fits").join(left, "qid", "left_anti").select("qid", "id", "distance")
+    rest = pairs.where("fits").join(left, "qid", "left_semi").select("qid", "id", "distance")
+    return ranked(done.unionByName(rest), k)
 
 
 STRATEGIES = {
