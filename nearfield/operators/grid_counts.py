@@ -56,7 +56,7 @@ def box_counts_from_changes(runs: DataFrame, boxes: DataFrame, coordinates: Sequ
     asked = boxes.select(key, *by, F.explode(F.array(*corners)).alias("corner")).select(key, *by, "corner.*")
     last = coordinates[-1]
     asked = asked.where(" AND ".join(f"{c} >= 0" for c in coordinates)).withColumnRenamed(last, "__at")
-    found = asked.join(runs, [*by, *coordinates[:-1]]) if by or len(coordinates) > 1 else asked.join(F.broadcast(runs))
+    found = asked.join(runs.hint("merge"), [*by, *coordinates[:-1]]) if by or len(coordinates) > 1 else asked.join(F.broadcast(runs))
     found = found.where((F.col("__at") >= F.col(last)) & (F.col("__at") < F.col("until")))
     return found.groupBy(key, *by).agg(F.sum(F.col("cum") * F.col("sign")).alias("cnt"))
 
@@ -70,13 +70,17 @@ def box_counts(counts: DataFrame, boxes: DataFrame, coordinates: Sequence[str],
 
 
 def box_counts_from_sums(sums: DataFrame, boxes: DataFrame, coordinates: Sequence[str], key: str = "qid", by: Sequence[str] = ()) -> DataFrame:
-    """The same by inclusion and exclusion: an equi-join for the 2^n corners of each box."""
+    """The same by inclusion and exclusion: an equi-join for the 2^n corners of each box.
+
+    The sums are broadcast where they are as few as a parameter says (F.broadcast); the corners, 2^n for each box, never are.
+    """
     corners = []
     for low in product((False, True), repeat=len(coordinates)):
         at = [((F.col(f"{c}_lo") - 1) if one else F.col(f"{c}_hi")).cast("bigint").alias(c) for c, one in zip(coordinates, low)]
         corners.append(F.struct(*at, F.lit((-1) ** sum(low)).alias("sign")))
     asked = boxes.select(key, F.explode(F.array(*corners)).alias("corner")).select(key, "corner.*")
-    found = asked.join(sums.select(*by, *coordinates, "cum"), list(coordinates))
+    # the planner takes the exploded corners for as few bytes as the boxes, and would broadcast them: a merge where sums aren't broadcast
+    found = asked.hint("merge").join(sums.select(*by, *coordinates, "cum"), list(coordinates))
     return found.groupBy(key, *by).agg(F.sum(F.col("cum") * F.col("sign")).alias("cnt"))
 
 

@@ -340,7 +340,8 @@ def grid_prefix_sum(spark, sf_dir):
 def grid_box_counts(spark, sf_dir):
     """By the corners of prefix sums; the SQL counts cells."""
     sums = prefix_sums(cell_counts(placed(spark, sf_dir), _AXES), _AXES, _SHAPE)
-    return box_counts_from_sums(sums, boxes(spark, sf_dir), _AXES).where("cnt > 0")
+    # at most as many cells as _SHAPE has
+    return box_counts_from_sums(F.broadcast(sums), boxes(spark, sf_dir), _AXES).where("cnt > 0")
 
 
 @_register("nonempty_cells", f"WITH {_G}, n AS (SELECT l_returnflag, c0, c1, c2, count(*) AS cnt FROM g GROUP BY ALL) SELECT qid, l_returnflag, sum(n.cnt)::BIGINT AS cnt FROM b JOIN n ON {_IN_BOX} GROUP BY ALL")

@@ -86,3 +86,22 @@ def test_strategies_write_no_pairs(data, queries, monkeypatch, name):  # noqa: F
     monkeypatch.setattr(indexes, "cut", counted)
     strategy.query(index, queries).collect()
     assert max(written) <= 12 * max(12, POOR.k * 2)
+
+
+def test_corners_of_boxes_are_not_broadcast(spark, tmp_path):
+    """They are 2^n for each box, and the planner takes them for few bytes."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, prefix_sums
+
+    schema = StructType([StructField(n, LongType()) for n in ("qid", "a_lo", "a_hi", "b_lo", "b_hi")])
+    spark.createDataFrame([(i, i % 3, i % 3 + i % 2, i % 4, 4) for i in range(500)], schema).write.parquet(f"{tmp_path}/boxes")
+    boxes = spark.read.parquet(f"{tmp_path}/boxes")
+    counts = cell_counts(spark.range(3000).selectExpr("id % 4 AS a", "id % 5 AS b"), ["a", "b"])
+    sums = prefix_sums(counts, ["a", "b"], (4, 5))
+    want = sorted(box_counts(counts, boxes, ["a", "b"]).collect())
+    for given, broadcasts in ((F.broadcast(sums), "BuildRight"), (sums, None)):
+        got = box_counts_from_sums(given, boxes, ["a", "b"])
+        assert sorted(got.where("cnt > 0").collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and (broadcasts is None or broadcasts in plan)
