@@ -54,7 +54,7 @@ def fit_centres(data: DataFrame, clusters: int, parts: int = 1, vector: str = "v
     wanted = clusters * rows_a_centre
     if min(n, wanted) <= local:
         points = sample_vectors(data, vector, key, max(local, 1))
-        return [k_means(p, clusters, seed + i, rounds, cosine) for i, p in enumerate(np.split(_padded(points, parts), parts, axis=1))]
+        return [k_means(p, clusters, seed + i, rounds, cosine) for i, p in enumerate(np.split(pad_parts(points, parts), parts, axis=1))]
     rows = data.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     if n > wanted:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
@@ -72,7 +72,7 @@ def fit_centres(data: DataFrame, clusters: int, parts: int = 1, vector: str = "v
 def _split(points: np.ndarray, parts: int, cosine: bool) -> list[np.ndarray]:
     if cosine:
         points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-    return np.split(_padded(points, parts), parts, axis=1)
+    return np.split(pad_parts(points, parts), parts, axis=1)
 
 
 def _summed(rows: DataFrame, centres: list[np.ndarray], cosine: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
@@ -216,16 +216,16 @@ class ProductQuantiser:
         return cls(fit_centres(data, codes, parts, vector, seed=seed, rounds=rounds))
 
     def encode(self, points: np.ndarray) -> np.ndarray:
-        return np.stack([nearest(p, c) for p, c in zip(np.split(_padded(points, len(self.centers)), len(self.centers), axis=1), self.centers)], axis=1)
+        return np.stack([nearest(p, c) for p, c in zip(np.split(pad_parts(points, len(self.centers)), len(self.centers), axis=1), self.centers)], axis=1)
 
     def tables(self, points: np.ndarray) -> np.ndarray:
         """(points, parts, codes): squared distances of each part to each of its centres."""
-        parts = np.split(_padded(points, len(self.centers)), len(self.centers), axis=1)
+        parts = np.split(pad_parts(points, len(self.centers)), len(self.centers), axis=1)
         squares = [(p**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * p @ c.T for p, c in zip(parts, self.centers)]
         return np.maximum(np.stack(squares, axis=1), 0)
 
 
-def _padded(points: np.ndarray, parts: int) -> np.ndarray:
+def pad_parts(points: np.ndarray, parts: int) -> np.ndarray:
     return np.pad(points, ((0, 0), (0, -points.shape[1] % parts)))
 
 
@@ -254,7 +254,7 @@ def with_codes(data: DataFrame, quantiser: ProductQuantiser, vector: str = "vec"
     def make(points: np.ndarray) -> list[pa.Array]:
         codes = quantiser.encode(points).astype(np.int32)
         coded = np.concatenate([c[codes[:, i]] for i, c in enumerate(quantiser.centers)], axis=1)
-        err = np.linalg.norm(_padded(points, len(quantiser.centers)) - coded, axis=1)
+        err = np.linalg.norm(pad_parts(points, len(quantiser.centers)) - coded, axis=1)
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1]), pa.array(codes.ravel())), pa.array(err)]
 
     return _with_columns(data, vector, "codes array<int>, err double", make)

@@ -8,23 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.filters import Divide, Interval, IntervalMap, Shift, inside, range_middle, with_bounds
 from nearfield.functions.grids import coordinate, flattened, morton_code, morton_coordinates, unflattened
 from nearfield.functions.vectors import cosine_distance, looked_up, squared_l2
-from nearfield.operators.block_scan import Scan
+from nearfield.operators.block_scan import Scan, best
 from nearfield.operators.grid_counts import box_counts, box_counts_from_sums, cell_counts, compressed, expanded, gathered, intersecting, prefix_sums
 from nearfield.operators.metrics import recall
-from nearfield.operators.quantise import code_tables, part_of
+from nearfield.operators.quantise import ProductQuantiser, code_tables, pad_parts, part_of, usable, usual_length, with_codes
 from nearfield.operators.range_join import label_extent, range_join
 from nearfield.operators.sorted_places import ranks, with_places
 from nearfield.operators.topk import merged_top_k, top_k
 from nearfield.operators.zorder import z_intervals
-from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, not_ruled_out, opened, post_filtered, ranked, reach_of, refined, scanned, search
+from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, opened, post_filtered, ranked, reach_of, scanned, search, wanting
 from nearfield.sources.config import parse_filters, parse_settings
-from nearfield.sources.lineage import new_folder
+from nearfield.sources.lineage import cut, new_folder
 from nearfield.sources.matrices import read_id_set, read_raw_results, write_raw_results
 from nearfield.streaming.serving import serve
 
@@ -192,10 +193,16 @@ def pq_adc_distances(spark, sf_dir):
 def refine_topk(spark, sf_dir):
     """The best by codes give a reach; all rows that their codes can't put beyond it are ranked by their exact distances."""
     data = vectors(spark, sf_dir)
-    queries = asked(data)
-    scored = adc_pairs(data, queries)
-    reach = reach_of(refined(top_k(scored, 5 * K), data, queries, K), queries, K)
-    return _rounded(refined(not_ruled_out(scored, reach), data, queries, K))
+    length = usual_length(data)
+    data, queries = usable(data, length), usable(asked(data), length, "qvec")
+    means = [r.center for r in centroids(data).orderBy("code").collect()]  # one row for each value of a label
+    if not means:
+        return _rounded(exact(data, queries, (), K))
+    quantiser = ProductQuantiser(np.split(pad_parts(np.array(means), _PARTS), _PARTS, axis=1))
+    rows = with_codes(data, quantiser)
+    near = cut(top_k(best(rows, queries, Scan(5 * K, "codes", quantiser=quantiser)), 5 * K))
+    reach = reach_of(top_k(near.select("qid", "id", F.col("exact").alias("distance")), K), queries, K)
+    return _rounded(ranked(best(rows, queries.join(reach, "qid"), Scan(K, quantiser=quantiser)), K))
 
 
 @_register("ivf_probe_topk", _exact_sql("TRUE"))
@@ -203,16 +210,18 @@ def ivf_probe_topk(spark, sf_dir):
     """The label's mean vectors are the lists' centres; a query reads its three nearest lists, and then those within reach."""
     data = vectors(spark, sf_dir)
     queries = asked(data)
-    centers = F.broadcast(centroids(data).withColumnRenamed("code", "list"))  # one row for each value of a label
-    own = data.join(centers).select("id", F.struct(squared_l2("vec", "center").alias("d"), "list").alias("c")).groupBy("id").agg(F.min("c").alias("c"))
-    lists = data.select("id", "vec").join(own.select("id", F.col("c.list").alias("list"), F.sqrt("c.d").alias("far")), "id")
-    near = queries.join(centers).select("qid", F.col("list").alias("id"), squared_l2("qvec", "center").alias("distance"))
+    length = usual_length(data)
+    data, queries = usable(data, length), usable(queries, length, "qvec")
+    centers = cut(centroids(data).select(F.coalesce("code", F.lit(-1)).alias("list"), "center"))  # one row for each value of a label
+    every = centers.agg(F.collect_list(F.struct("list", "center")).alias("centers"))
+    own = F.array_min(F.transform("centers", lambda c: F.struct(squared_l2("vec", c["center"]).alias("d"), c["list"].cast("bigint").alias("list"))))
+    lists = cut(data.crossJoin(F.broadcast(every)).withColumn("own", own).select("id", "vec", F.col("own.list").alias("list"), F.sqrt("own.d").alias("far")))
+    near = queries.join(F.broadcast(centers)).select("qid", F.col("list").alias("id"), squared_l2("qvec", "center").alias("distance"))
     probes = top_k(near, 3).select("qid", F.col("id").alias("list"))
-    pairs = lists.drop("far").join(probes, "list").join(queries.select("qid", "qvec"), "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
-    reach = reach_of(ranked(pairs, K), queries, K)
-    known = lists.groupBy("list").agg(F.max("far").alias("radius")).join(centers, "list")
-    rest = lists.drop("far").join(opened(queries.select("qid", "qvec"), known, [], reach), "list").join(queries.select("qid", "qvec"), "qid")
-    return _rounded(ranked(rest.select("qid", "id", squared_l2("qvec", "vec").alias("distance")), K))
+    reach = reach_of(ranked(best(lists, wanting(queries, probes), Scan(K)), K), queries, K)
+    known = lists.groupBy("list").agg(F.max("far").alias("radius")).join(F.broadcast(centers), "list")
+    rest = opened(queries.select("qid", "qvec"), known, [], reach).select("qid", "list")
+    return _rounded(ranked(best(lists, wanting(queries, rest), Scan(K)), K))
 
 
 @_register("cosine_topk", f"WITH {_D} " + _ranked_sql("SELECT q.qid, d.id, 1 - list_sum([x::DOUBLE * d.vec[i]::DOUBLE for x, i in q.qvec]) / (sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in q.qvec])) * sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in d.vec]))) AS distance FROM q, d").replace("round(distance, 6)", "abs(round(distance, 6))"))

@@ -105,3 +105,18 @@ def test_corners_of_boxes_are_not_broadcast(spark, tmp_path):
         assert sorted(got.where("cnt > 0").collect()) == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in plan and (broadcasts is None or broadcasts in plan)
+
+
+def test_rows_without_a_label_are_searched(spark, tmp_path):
+    """Lists and codebooks made of a label's values; rows without one have a list too, and a NaN spoils no centre."""
+    from nearfield.plans.catalog import QUERIES
+
+    chance = np.random.default_rng(4)
+    table = [(i, [float(x) for x in np.float32(v)], None if i % 7 == 0 else i % 3) for i, v in enumerate(chance.normal(size=(400, 8)))]
+    spark.createDataFrame(table + [(401, [float("nan")] * 8, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for q in range(0, 400, 100):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(table[q][1], v)), i) for i, v, _ in table)
+        want.update({(q, r + 1): i for r, (_, i) in enumerate(near[:10])})
+    for name in ("ivf_probe_topk", "refine_topk"):
+        assert found(QUERIES[name](spark, str(tmp_path))) == want
