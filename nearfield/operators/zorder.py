@@ -14,8 +14,17 @@ def z_intervals(boxes: DataFrame, coordinates: Sequence[str], bits: int, levels:
 
     The cube of all cells is halved in each direction, levels times (by default until single cells); parts within the box
     are done, parts beside it drop out.  With fewer levels the last parts count whole, so the intervals hold some cells outside the box
-    too, and none is lost.  Intervals that follow each other are one.
+    too, and none is lost.  Intervals that follow each other are one.  Boxes that are alike are halved once: the work is that of the different ones.
     """
+    sides = [f"{c}_{side}" for c in coordinates for side in ("lo", "hi")]
+    own = boxes.select(key, *(F.col(s).cast("bigint").alias(s) for s in sides))
+    each = _halved(own.select(*sides).distinct().withColumn("__box", F.struct(*sides)), coordinates, bits, levels, "__box")
+    each = each.groupBy("__box").agg(F.collect_list(F.struct("z_lo", "z_hi")).alias("__all")).select(*(F.col("__box")[s].alias(s) for s in sides), "__all")
+    return own.join(each, sides).select(key, F.inline("__all"))
+
+
+def _halved(boxes: DataFrame, coordinates: Sequence[str], bits: int, levels: int | None, key: str) -> DataFrame:
+    """The same, box by box."""
     n, levels = len(coordinates), bits if levels is None else min(levels, bits)
     now = boxes.select(key, *(F.col(f"{c}_{side}").cast("bigint").alias(f"{side}{i}") for i, c in enumerate(coordinates) for side in ("lo", "hi")))
     meets = " AND ".join(f"lo{i} <= hi{i} AND lo{i} < {1 << bits} AND hi{i} >= 0" for i in range(n))

@@ -120,3 +120,16 @@ def test_rows_without_a_label_are_searched(spark, tmp_path):
         want.update({(q, r + 1): i for r, (_, i) in enumerate(near[:10])})
     for name in ("ivf_probe_topk", "refine_topk"):
         assert found(QUERIES[name](spark, str(tmp_path))) == want
+
+
+def test_boxes_that_are_alike_are_halved_once(spark, monkeypatch):
+    from nearfield.operators import zorder
+
+    halved, seen = zorder._halved, []
+    monkeypatch.setattr(zorder, "_halved", lambda boxes, *more: seen.append(boxes.count()) or halved(boxes, *more))
+    boxes = spark.range(600).selectExpr("id AS qid", "id % 3 AS a_lo", "id % 3 + 2 AS a_hi", "id % 2 AS b_lo", "3L AS b_hi")
+    got = zorder.z_intervals(boxes, ["a", "b"], 3)
+    one = {r.qid: 0 for r in boxes.collect()}
+    for r in got.collect():
+        one[r.qid] += r.z_hi - r.z_lo + 1
+    assert seen == [6] and all(n == 3 * (4 - q % 2) for q, n in one.items())
