@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -753,8 +754,7 @@ class PostFilterGraph(PostFilterLists):
         held = cells.select(F.col("near")[0].alias("cell"), "id", "vec").join(pieces, "cell").select("cell", piece, "id", "vec")
         asked = cells.select(F.explode(F.array_distinct("near")).alias("cell"), F.col("id").alias("qid"), F.col("vec").alias("qvec")).join(pieces, "cell")
         asked = asked.select("cell", F.pmod(F.xxhash64("qid"), F.col("pieces")).alias("piece"), "qid", "qvec")
-        pairs = asked.join(held, ["cell", "piece"]).where("qid <> id").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
-        edges = cut(top_k(pairs, p.i_degree))
+        edges = cut(top_k(_nearest_of_cells(asked, held, p.i_degree), p.i_degree))
         for _ in range(self.DESCENTS):
             edges = cut(self._descended(edges, points))
         edges = cut(self._pruned(edges).join(index.data.select(F.col("id").alias("b"), F.col("part").alias("b_part")), "b"))
@@ -770,17 +770,23 @@ class PostFilterGraph(PostFilterLists):
         # a row that many hold as a neighbour sends some of them on: those chosen by hash, as the reverse edges of hubs grow with the data
         back = top_k(back.withColumn("distance", F.xxhash64("qid", "id")), self.JOINED).select("qid", "id")
         both = near.unionAll(back).distinct()
-        seconds = both.join(both.select(F.col("qid").alias("id"), F.col("id").alias("other")), "id").where("qid <> other").select("qid", F.col("other").alias("id")).distinct()
-        fresh = seconds.join(edges, ["qid", "id"], "left_anti")
-        fresh = fresh.join(points, "id").join(points.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid").select("qid", "id", squared_l2("qvec", "vec").alias("distance"))
-        return top_k(edges.drop("rank").unionByName(fresh), self.params.i_degree)
+        # a row's vector goes to the rows that hold it, and no vector to a pair; far is what a row's new neighbour has to undercut
+        far = edges.groupBy(F.col("qid").alias("id")).agg(F.when(F.count("*") >= self.params.i_degree, F.max("distance")).otherwise(float("inf")).alias("far"))
+        held = both.join(points.join(far, "id", "left").select("id", "vec", F.coalesce("far", F.lit(float("inf"))).alias("far")), "id")
+        fresh = _near_each_other(held.groupBy("qid").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs"), F.collect_list("far").alias("fars")), edges.schema["id"].dataType)
+        # one shuffle for both: pairs that are met more than once count once
+        met = edges.select("qid", "id", "distance").unionByName(fresh).repartition("qid").groupBy("qid", "id").agg(F.min("distance").alias("distance"))
+        return top_k(met, self.params.i_degree)
 
     def _pruned(self, edges: DataFrame) -> DataFrame:
         """(a, b): edges with the fewest detours, and reverses up to the degree."""
         half = max(1, self.params.degree // 2)
-        one = edges.select("qid", F.col("id").alias("via"), F.col("rank").alias("r1"))
-        two = edges.select(F.col("qid").alias("via"), "id", F.col("rank").alias("r2"))
-        detours = one.join(two, "via").join(edges.select("qid", "id", "rank"), ["qid", "id"]).where("greatest(r1, r2) < rank").groupBy("qid", "id").agg(F.count("*").alias("detours"))
+        # a row's neighbours, nearest first, go to each of them as one array; only detours come back
+        lists = cut(edges.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("all")).select("qid", F.col("all.id").alias("ids")))
+        one = lists.select("qid", F.col("ids").alias("mine"), F.posexplode("ids").alias("first", "via"))
+        two = lists.select(F.col("qid").alias("via"), F.col("ids").alias("theirs"))
+        over = "filter(transform(mine, (x, i) -> struct(x AS id, i AS place, array_position(theirs, x) AS second)), c -> c.place > first AND c.second > 0 AND c.second - 1 < c.place)"
+        detours = one.join(two, "via").select("qid", F.inline(F.expr(over))).groupBy("qid", "id").agg(F.count("*").alias("detours"))
         scored = edges.join(detours, ["qid", "id"], "left").select("qid", "id", (F.coalesce("detours", F.lit(0)) * 1000 + F.col("rank")).cast("double").alias("distance"))
         out = cut(top_k(scored, half).select("qid", "id", "rank"))
         back = top_k(out.select(F.col("id").alias("qid"), F.col("qid").alias("id"), F.col("rank").alias("distance")), half)
@@ -815,6 +821,61 @@ class PostFilterGraph(PostFilterLists):
         return top_k(seen.select("qid", "id", "distance"), int(p.k * p.beta)).select("qid", "id", "distance")
 
 
+def _nearest_of_cells(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """(qid, id, distance): of each asked(cell, piece, qid, qvec) the k nearest of held(cell, piece, id, vec) there, itself left out; a task has one piece
+    of a cell at a time."""
+    schema = T.StructType([T.StructField("qid", asked.schema["qid"].dataType), T.StructField("id", held.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    matrix = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [pa.table({"qid": left.column("qid").slice(0, 0), "id": right.column("id").slice(0, 0), "distance": pa.array([], pa.float64())})]
+        if len(left) and len(right):
+            points, ids = matrix(right.column("vec")), right.column("id").combine_chunks()
+            for start in range(0, len(left), 512):
+                part = left.slice(start, 512)
+                far = _squares(matrix(part.column("qvec")), points)
+                near = np.argpartition(far, k, axis=1)[:, : k + 1] if far.shape[1] > k + 1 else np.tile(np.arange(far.shape[1]), (len(part), 1))
+                own = np.repeat(np.arange(len(part)), near.shape[1])
+                pairs = pa.table({"qid": part.column("qid").combine_chunks().take(pa.array(own)), "id": ids.take(pa.array(near.ravel())), "distance": pa.array(far[own, near.ravel()])})
+                found.append(pairs.filter(pc.not_equal(pairs.column("qid"), pairs.column("id"))))
+        return pa.concat_tables(found)
+
+    return asked.groupBy("cell", "piece").cogroup(held.groupBy("cell", "piece")).applyInArrow(find, schema)
+
+
+def _squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of left (..., n, d) and right (..., m, d)."""
+    out = -2 * left @ np.swapaxes(right, -1, -2)
+    out += (left**2).sum(-1)[..., :, None]
+    out += (right**2).sum(-1)[..., None, :]
+    return np.maximum(out, 0)
+
+
+def _near_each_other(groups: DataFrame, kind: T.DataType) -> DataFrame:
+    """(qid, id, distance) of the pairs among each group's rows (ids, vecs, fars) that are nearer than the first one's far."""
+    schema = T.StructType([T.StructField("qid", kind), T.StructField("id", kind), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                sizes = pc.list_value_length(batch.column("ids")).to_numpy()
+                ids, fars = batch.column("ids").flatten(), batch.column("fars").flatten().to_numpy()
+                flat = batch.column("vecs").flatten()
+                points = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+                first = np.cumsum(sizes) - sizes
+                # groups of one size are measured together
+                for size in np.unique(sizes[sizes > 1]):
+                    at = first[sizes == size][:, None] + np.arange(size)
+                    far = _squares(points[at], points[at])
+                    g, a, b = np.nonzero(far < fars[at][:, :, None])
+                    own = a != b
+                    g, a, b = g[own], a[own], b[own]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[g, a])), ids.take(pa.array(at[g, b])), pa.array(far[g, a, b])], names=["qid", "id", "distance"])
+
+    return groups.select("ids", "vecs", "fars").mapInArrow(run, schema)
+
+
 def _two_nearest(data: DataFrame, centers: np.ndarray) -> DataFrame:
     """data with near array<int>: the numbers of each vector's two nearest centres."""
     at = data.columns.index("vec")

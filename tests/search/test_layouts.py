@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.vectors import squared_l2
 from nearfield.operators.grid_counts import box_counts, box_counts_from_changes, cell_counts, changes, prefix_sums
 from nearfield.operators.quantise import ProductQuantiser, fit_centres, k_means, nearest, sample_vectors, with_codes
+from nearfield.operators.topk import top_k
 from nearfield.plans.indexes import STRATEGIES, Index, Params, exact, refined
 from nearfield.sources.layout import numbers
 
@@ -133,6 +134,24 @@ def test_the_walk_alone_finds_most(data):
     assert len(walked & want) >= 0.9 * len(want)
 
 
+def test_descent_sends_a_vector_to_rows_and_not_to_pairs(spark, data, tmp_path):
+    """The rounds of descent read the vectors once, and give nearly all of a row's nearest ones."""
+    data.select("id", "vec").write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    strategy = STRATEGIES["cagra-post"]([], Params(k=10, i_degree=16))
+    few = points.where("id < 600")
+    pairs = few.crossJoin(few.toDF("qid", "qvec")).where("qid <> id").select("qid", "id", squared_l2("qvec", "vec").alias("distance")).localCheckpoint()
+    chance = top_k(pairs.select("qid", "id", F.xxhash64("qid", "id").alias("distance")), 16).drop("distance")
+    edges = top_k(chance.drop("rank").join(pairs, ["qid", "id"]), 16).localCheckpoint()
+    once = strategy._descended(edges, points)
+    assert once._jdf.queryExecution().analyzed().toString().count("parquet") == 1
+    for _ in range(4):
+        edges = strategy._descended(edges, points).localCheckpoint()
+    both = edges.where("rank <= 8").join(top_k(pairs, 8).select("qid", "id", F.col("distance").alias("own")), ["qid", "id"])
+    assert edges.groupBy("qid", "id").count().where("count > 1").count() == 0 and edges.where("qid = id").count() == 0
+    assert both.count() > 0.8 * 600 * 8 and both.where("abs(distance - own) > 1e-6").count() == 0
+
+
 def test_probes_follow_what_is_expected_to_fit(data):
     """Wide queries probe fewer lists than narrow ones, and for most the lists hold enough rows."""
     strategy = STRATEGIES["ivf-ivf_pq"](LABELS, replace(USUAL, label_clusters=4, label_probes=4, pass_ratio=0, probes=30))
