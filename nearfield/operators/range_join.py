@@ -20,6 +20,8 @@ from nearfield.functions.filters import inside
 from nearfield.sources.lineage import cut
 
 MAX_BROADCAST, BROADCAST_BYTES = 5_000, 128 << 20
+#: Queries for which few rows are dealt over one more task.
+QUERIES_A_TASK = 256
 #: Cells along a label at the finest level and a query's most cells; levels, the finest first; rows of a cell that stay together.
 CELLS, MAX_CELLS, LEVELS, PIECE = 64, 256, (6, 4, 2, 0), 100_000
 
@@ -80,10 +82,11 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, condition: Column, n: int, s
 def against(rows: DataFrame, queries: DataFrame, condition: Column, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """rows beside all queries for which the condition holds; queries come in blocks that can be broadcast, and are held against all rows.
 
-    For rows that are few for each query: lists, parts, sub-clusters.
+    For rows that are few for each query: lists, parts, sub-clusters.  As they may lie in one file, they are dealt over more tasks where queries are many.
     """
     n, size = queries.agg(F.count("*"), F.sum(_bytes(queries))).first()
-    return _in_blocks(rows, queries, condition, n, size or 0, max_broadcast)
+    tasks = min(2 * rows.sparkSession.sparkContext.defaultParallelism, 1 + n // QUERIES_A_TASK)
+    return _in_blocks(rows.repartition(tasks) if tasks > 1 else rows, queries, condition, n, size or 0, max_broadcast)
 
 
 def _quantiles(data: DataFrame, labels: Sequence[str]) -> list[list[float]]:

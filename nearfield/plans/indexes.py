@@ -430,15 +430,21 @@ class TwoLevel(Strategy):
         clean = [F.when(~F.isnan(F.col(n).cast("double")), F.col(n).cast("double")) for n in self.labels]
         index.keep("quantiles", assigned.groupBy("set_id").agg(F.count("*").alias("rows"), *(F.percentile_approx(c, shares, 1000).alias(f"q_{i}") for i, c in enumerate(clean))))
 
-    def probed(self, index: Index, queries: DataFrame) -> DataFrame:
-        """(qid, set_id, list_id) of the nearest lists, as many as are expected to hold enough rows that fit, probes at most."""
-        p, lists = self.params, index.tables["lists"]
-        sets = self.chosen(index, queries).join(index.tables["quantiles"].drop("rows"), "set_id").join(queries, "qid")
+    def _share(self) -> Column:
+        """The share of a set's rows that is expected inside a query's intervals, by the set's quantiles."""
         share = F.lit(1.0)
         for i in range(len(self.labels)):
             held = F.size(F.filter(f"q_{i}", _between(i)))
             share = share * F.least(F.lit(1.0), (F.greatest(held, F.lit(0)) + 0.25) / (self.QUANTILES + 1))
-        near = sets.select("qid", "qvec", "set_id", share.alias("share")).join(lists.select("set_id", "list_id", "center", "rows"), "set_id")
+        return share
+
+    def probed(self, index: Index, queries: DataFrame) -> DataFrame:
+        """(qid, set_id, list_id) of the nearest lists, as many as are expected to hold enough rows that fit, probes at most."""
+        p, lists = self.params, index.tables["lists"]
+        sets = self.chosen(index, queries).join(index.tables["quantiles"].drop("rows"), "set_id").join(queries, "qid")
+        # each row meets all lists of a set: few bytes, which would be one task's, are much work
+        sets = sets.select("qid", "qvec", "set_id", self._share().alias("share")).repartition(2 * index.spark.sparkContext.defaultParallelism, "qid")
+        near = sets.join(lists.select("set_id", "list_id", "center", "rows"), "set_id")
         near = near.select("qid", "set_id", "list_id", squared_l2("qvec", "center").alias("distance"), (F.col("rows") * F.col("share")).alias("expected"), F.struct("set_id", "list_id").alias("id"))
         near = top_k(near, p.probes)
         before = F.sum("expected").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
@@ -522,9 +528,9 @@ class LabelClusters(TwoLevel):
         near = top_k(near.select("qid", F.col("set_id").alias("id"), squared_l2("m", "center").alias("distance")), p.label_probes).select("qid", F.col("id").alias("set_id"))
         if p.pass_ratio <= 0:
             return near
-        sample = index.data.where(F.pmod(F.xxhash64("id"), F.lit(10)) == 0).select("set_id", *self.labels)
-        passing = sample.join(near, "set_id").join(queries.drop("qvec"), "qid").groupBy("qid", "set_id").agg(F.avg(inside(self.labels).cast("int")).alias("ratio"))
-        return near.join(passing.where(F.col("ratio") >= p.pass_ratio), ["qid", "set_id"], "left_semi")
+        # by the quantiles of all rows of a set: rows are never held against queries here
+        passing = near.join(index.tables["quantiles"], "set_id").join(queries.drop("qvec"), "qid").where(self._share() >= p.pass_ratio)
+        return passing.select("qid", "set_id")
 
 
 class GridCells(TwoLevel):

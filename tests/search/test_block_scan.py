@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from nearfield.functions.filters import inside
 from nearfield.functions.vectors import cosine_distance, squared_l2
 from nearfield.operators import block_scan
 from nearfield.operators.block_scan import Scan, best
-from nearfield.operators.range_join import range_join
+from nearfield.operators.range_join import against, range_join
 from nearfield.operators.topk import top_k
 from nearfield.plans import indexes
 from nearfield.plans.indexes import STRATEGIES, exact, post_filtered, scanned, until_k_pass
@@ -133,3 +135,18 @@ def test_boxes_that_are_alike_are_halved_once(spark, monkeypatch):
     for r in got.collect():
         one[r.qid] += r.z_hi - r.z_lo + 1
     assert seen == [6] and all(n == 3 * (4 - q % 2) for q, n in one.items())
+
+
+def test_label_sets_are_chosen_without_reading_rows(data, queries):  # noqa: F811
+    """Holding a share of the rows against all queries grew with rows times queries, in one task."""
+    strategy = STRATEGIES["ivf-ivf_pq"](LABELS, replace(POOR, label_probes=3, pass_ratio=0.01))
+    index = strategy.build(data)
+    chosen = strategy.chosen(index, queries)
+    assert chosen.count() and not any("/laid/" in f for f in chosen.inputFiles())
+
+
+def test_few_rows_meet_many_queries_in_several_tasks(spark):
+    lists = spark.range(6).coalesce(1).selectExpr("id AS list_id")
+    asked = spark.range(1000).selectExpr("id AS qid")
+    near = against(lists, asked, F.expr("list_id <= qid % 6"))
+    assert near.rdd.getNumPartitions() > 1 and near.count() == sum(1 + q % 6 for q in range(1000))
