@@ -11,11 +11,15 @@ document position is looked up among the benchmark's; around each hit the words
 than WHOLE words is one seed, of all its words.  All seeds start with two neighbouring words, so positions whose two words begin no
 seed are dropped first; items of one word are looked up by it.
 
-Items are cut into pieces of at most PIECE words, which overlap so that each span lies whole in one.  A benchmark of at most
-BROADCAST_WORDS words in pieces (about 60 MB of seeds) is broadcast, and the documents aren't shuffled: only the found pairs are, to
-drop repetitions.  A larger benchmark meets the documents' seeds in one shuffle by seed; the hits, as one row for each document,
-piece and shift, then fetch the words of both and are compared in the same way.  Either way the documents are read a fixed number of
-times.
+Items with the same words are one, which is named again by all their ids in the end.  They are cut into pieces of at most PIECE words,
+which overlap so that each span lies whole in one.  A benchmark of at most BROADCAST_WORDS words in pieces (about 60 MB of seeds) is
+broadcast, and the documents aren't shuffled: only the found pairs are, to drop repetitions.  A larger benchmark meets the documents'
+seeds in one shuffle by seed; the hits, as one row for each document, piece and shift, then fetch the words of both and are compared in
+the same way.  Either way the documents are read a fixed number of times.
+
+No position carries its whole text: texts are cut into chunks of CHUNK words and those around them, and a position takes the words that a
+span through it can reach.  Spark holds all rows that a row of input gives, so memory would else grow with the square of a text.  Words
+longer than any of the benchmark's are blanked there.
 
 Defined cases: null and empty texts, on either side, match nothing; repeated rows give one pair; a null doc_id or
 item_id is a value like any other; an empty table gives no rows; other columns are ignored.
@@ -31,6 +35,8 @@ from nearfield.llm.shared_store import written
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
 SPAN, WHOLE, PIECE, BROADCAST_WORDS = 20, 8, 512, 200_000
+#: Positions of a chunk, and items whose ids are broadcast.
+CHUNK, BROADCAST_IDS = 1024, 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,40 +52,57 @@ def _seed(words: str, at: str, mask: tuple[int, ...]) -> Column:
 
 
 def _seeds(words: str, at: str, masks: dict[int, tuple[int, ...]]) -> Column:
-    return F.array(*(F.struct(F.lit(number).alias("mask"), _seed(words, at, mask).alias("seed")) for number, mask in masks.items()))
+    """One row for each mask that ends within the words."""
+    seeds = F.array(*(F.struct(F.lit(number).alias("mask"), _seed(words, at, mask).alias("seed")) for number, mask in masks.items()))
+    return F.explode_outer(F.filter(seeds, lambda s: s["seed"].isNotNull()))
 
 
-def _pieces(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(piece, item_id, m, span, need, item_words): the items' pieces, m being the words of the whole item."""
+def _pieces(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(piece, item, m, span, need, item_words): the pieces of all different items, m being the words of the whole item; and (item, item_id)."""
     items = benchmark.select(column(benchmark, item_id).alias("item_id"), words_of(column(benchmark, item_text)).alias("words")).where(F.size("words") > 0)
-    cut = items.select("item_id", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {SPAN}, 0), {PIECE - SPAN + 1})")).alias("start"))
+    different = written(items.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    names = written(items.join(different, "words").select("item", "item_id").distinct(), "benchmark-ids")
+    cut = different.select("item", "words", F.explode(F.expr(f"sequence(0, greatest(size(words) - {SPAN}, 0), {PIECE - SPAN + 1})")).alias("start"))
     span = F.least(F.lit(SPAN), F.col("m"))
-    cut = cut.select("item_id", F.size("words").alias("m"), F.expr(f"slice(words, start + 1, {PIECE})").alias("item_words"))
+    cut = cut.select("item", F.size("words").alias("m"), F.expr(f"slice(words, start + 1, {PIECE})").alias("item_words"))
     cut = cut.withColumn("span", span).withColumn("need", F.expr(f"if(m < {WHOLE}, m, (4 * span + 4) div 5)"))
-    return written(cut.withColumn("piece", F.monotonically_increasing_id()), "benchmark-pieces")
+    return written(cut.withColumn("piece", F.monotonically_increasing_id()), "benchmark-pieces"), names
+
+
+def _positions(texts: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """(keys..., chunk, place, at, begin): the positions of all texts but the last of each, at their place in a chunk of the text's words."""
+    around, reach = "greatest(i - {0}, 0)".format(SPAN - 1), CHUNK + SPAN - 1
+    own = f"transform(slice(words, {around} + 1, i + {reach} - {around}), w -> if(octet_length(w) <= {longest}, w, ''))"
+    # the outer form keeps Spark from splitting every text a second time in a filter below it
+    chunks = texts.select(*keys, F.explode_outer(F.expr(f"transform(sequence(0, greatest(size(words) - 1, 0), {CHUNK}), i -> struct(i, i - {around} AS before, {own} AS chunk))")).alias("c"))
+    places = chunks.select(*keys, "c.*").select(*keys, "i", "before", "chunk", F.posexplode_outer("chunk").alias("place", "word"))
+    places = places.where(f"place >= before AND place < before + {CHUNK} AND place + 1 < size(chunk)")
+    return places.select(*keys, "chunk", "place", F.expr("i - before + place").alias("at"), F.expr("xxhash64(word, chunk[place + 1])").alias("begin"))
 
 
-def _matches(texts: DataFrame, keys: list[str], benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
-    """(keys..., item_id): the distinct pairs of texts(keys..., words) and items found in them."""
-    pieces = _pieces(benchmark, item_id, item_text)
-    known = pieces.agg(F.sum(F.size("item_words")).alias("words"), F.collect_set(F.when(F.col("m") < WHOLE, F.col("m"))).alias("short")).first()
+def _matches(texts: DataFrame, keys: list[str], benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(keys..., item): the distinct pairs of texts(keys..., words) and items found in them; and (item, item_id)."""
+    pieces, names = _pieces(benchmark, item_id, item_text)
+    longest = F.max(F.expr("array_max(transform(item_words, w -> octet_length(w)))"))
+    known = pieces.agg(F.sum(F.size("item_words")).alias("words"), longest.alias("longest"), F.collect_set(F.when(F.col("m") < WHOLE, F.col("m"))).alias("short")).first()
     small = (known["words"] or 0) <= BROADCAST_WORDS
     hint = F.broadcast if small else lambda frame: frame
     masks = {**dict(enumerate(MASKS)), **{-m: tuple(range(m)) for m in sorted(known["short"]) if m > 1}}
 
     placed = pieces.where("m > 1").select("piece", "m", "item_words", F.posexplode("item_words").alias("item_at", "item_word")).where(f"m >= {WHOLE} OR item_at = 0")
-    seeds = placed.select("piece", "m", "item_at", F.expr("xxhash64(item_words[item_at], get(item_words, item_at + 1))").alias("begin"), F.explode(_seeds("item_words", "item_at", masks)).alias("s"))
-    seeds = seeds.select("piece", "item_at", "begin", "s.*").where(f"seed IS NOT NULL AND if(m < {WHOLE}, mask = -m, mask >= 0)" if known["short"] else "seed IS NOT NULL")
-    # the outer form keeps Spark from splitting every text a second time in a filter below it
-    positions = texts.select(*keys, "words", F.posexplode_outer("words").alias("at", "word")).where("at + 1 < size(words)")
-    positions = positions.withColumn("begin", F.expr("xxhash64(word, words[at + 1])"))
+    seeds = placed.select("piece", "m", "item_at", F.expr("xxhash64(item_words[item_at], get(item_words, item_at + 1))").alias("begin"), _seeds("item_words", "item_at", masks).alias("s"))
+    seeds = seeds.select("piece", "item_at", "begin", "m", "s.*").where(f"seed IS NOT NULL AND if(m < {WHOLE}, mask = -m, mask >= 0)" if known["short"] else "seed IS NOT NULL").drop("m")
+    positions = _positions(texts, keys, known["longest"] or 0)
     if small:
         positions = positions.join(F.broadcast(seeds.select("begin").distinct()), "begin", "left_semi")
-    carried = [*keys, "words", "at"] if small else [*keys, "at"]
-    hashed = positions.select(*carried, F.explode(_seeds("words", "at", masks)).alias("s")).select(*carried, "s.*").where("seed IS NOT NULL")
+        # a span that holds a position starts at most SPAN - 1 words before it
+        carried = [*keys, F.expr(f"slice(chunk, greatest(place - {SPAN - 2}, 1), {2 * SPAN - 1})").alias("words"), F.expr(f"least(place, {SPAN - 1})").alias("at")]
+        positions = positions.select(*carried)
+        hashed = positions.select(*keys, "words", "at", _seeds("words", "at", masks).alias("s")).select(*keys, "words", "at", "s.*").where("seed IS NOT NULL")
+    else:
+        hashed = positions.select(*keys, "at", _seeds("chunk", "place", masks).alias("s")).select(*keys, "at", "s.*").where("seed IS NOT NULL")
     hits = hashed.join(hint(seeds.drop("begin")), ["mask", "seed"])
     if small:
-        # a span that holds the hit starts at most SPAN - 1 words before it; the words are compared in that surrounding
         hits = hits.join(F.broadcast(pieces), "piece")
         hits = hits.withColumn("first", F.expr("greatest(0, item_at - span + 1)")).withColumn("last", F.expr("least(size(item_words), item_at + span) - 1"))
         hits = hits.withColumn("shift", F.expr("at - item_at"))
@@ -94,25 +117,28 @@ def _matches(texts: DataFrame, keys: list[str], benchmark: DataFrame, item_id: s
         hits.withColumn("same", F.expr("transform(sequence(first, last), i -> int(coalesce(get(words, shift + i) = item_words[i], false)))"))
         .where("aggregate(same, 0, (n, x) -> n + x) >= need")
         .where("exists(sequence(0, size(same) - span), o -> aggregate(slice(same, o + 1, span), 0, (n, x) -> n + x) >= need)")
-        .select(*keys, "item_id")
+        .select(*keys, "item")
     )
     if 1 in known["short"]:
-        single = pieces.where("m = 1").select("item_id", F.expr("item_words[0]").alias("word"))
-        found = found.unionAll(texts.select(*keys, F.explode(F.array_distinct("words")).alias("word")).join(hint(single), "word").select(*keys, "item_id"))
-    return found.distinct()
+        single = pieces.where("m = 1").select("item", F.expr("item_words[0]").alias("word"))
+        found = found.unionAll(texts.select(*keys, F.explode(F.array_distinct("words")).alias("word")).join(hint(single), "word").select(*keys, "item"))
+    return found.distinct(), names
 
 
 def benchmark_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id): the distinct pairs of documents and the items found in them."""
     texts = documents.select(column(documents, doc_id).alias("doc_id"), words_of(column(documents, text)).alias("words"))
-    return _matches(texts, ["doc_id"], benchmark, item_id, item_text).select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))
+    found, names = _matches(texts, ["doc_id"], benchmark, item_id, item_text)
+    if names.count() <= BROADCAST_IDS:
+        names = F.broadcast(names)
+    return found.join(names, "item").select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id)).distinct()
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows in whose text no item is found, judged one by one, whatever their doc_id."""
     own = fingerprint(column(documents, text))
     texts = documents.select(own[0].alias("k0"), own[1].alias("k1"), words_of(column(documents, text)).alias("words"))
-    gone = written(_matches(texts, ["k0", "k1"], benchmark, "item_id", "text").select("k0", "k1").distinct(), "contaminated")
+    gone = written(_matches(texts, ["k0", "k1"], benchmark, "item_id", "text")[0].select("k0", "k1").distinct(), "contaminated")
     return without(documents, own, gone)
 
 

@@ -99,3 +99,23 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert benchmark_matches(none, items).count() == 0
     assert benchmark_matches(items.withColumnRenamed("item_id", "doc_id"), items.limit(0)).count() == 0
+
+
+def test_a_text_that_holds_an_item_over_and_over(spark):
+    """A position takes the words around it, not the whole text: with all words of this text at each of its hits, they are 20 GB."""
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, " ".join([item] * 500)), (2, item.replace("w9", "x")), (3, "w1 w2 w3 w4")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, item if i else item.upper()) for i in range(3)], "item_id long, text string")
+    assert {tuple(r) for r in benchmark_matches(docs, bench).collect()} == {(d, i) for d in (1, 2) for i in range(3)}
+    assert [r.doc_id for r in decontaminate(docs, bench).collect()] == [3]
+
+
+@pytest.mark.parametrize("broadcast_words", [module.BROADCAST_WORDS, 0])
+def test_chunks_of_texts_lose_nothing(spark, monkeypatch, broadcast_words):
+    """However short the chunks, and with words longer than any of the benchmark's."""
+    monkeypatch.setattr(module, "BROADCAST_WORDS", broadcast_words)
+    monkeypatch.setattr(module, "CHUNK", 5)
+    documents, items = cases()
+    documents += [(200 + i, t.replace("\n", " " + "long" * 300 + " ", 1)) for i, (_, t) in enumerate(documents[:30])]
+    got = benchmark_matches(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) > 40 and {tuple(r) for r in got} == brute_force(documents, items)
